@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom import model
-from leadloom.session import compact_codes
+from leadloom.session import codes_where
 
 DIMENSIONS = ("evidence_quality", "demand_clarity", "buying_readiness", "contactability_trust")
 
@@ -46,66 +44,56 @@ def evidence_flags(effective: DataFrame) -> DataFrame:
         *[F.bool_or(F.col("kind").isin(*kinds)).alias(flag) for flag, kinds in FLAG_KINDS.items()])
 
 
-def hold_reasons() -> Column:
-    identity = F.coalesce("organization.name", "organization.domain", "organization.website", "source_reference")
-    return compact_codes(
-        (F.col("compliance.do_not_contact"), "do-not-contact"),
-        (F.col("compliance.restricted_market"), "restricted-market"),
-        (F.col("compliance.duplicate_of").isNotNull(), "duplicate-of-master"),
-        (identity.isNull(), "no-identity"),
-    )
-
-
-def _rules() -> list[tuple[str, Column, int, str]]:
-    """(dimension, condition, points, reason) for every scoring rule."""
-    present = {
-        "message": F.col("inquiry.message"), "product": F.col("inquiry.product"),
-        "quantity": F.col("inquiry.quantity"), "timeline": F.col("inquiry.timeline"), "budget": F.col("inquiry.budget"),
-    }
-    has = {name: c.isNotNull() for name, c in present.items()}
-    number = F.coalesce("contact.whatsapp", "contact.phone").isNotNull()
-    return [
-        ("evidence_quality", F.col("source_reference").isNotNull(), 5, "source-reference"),
-        ("evidence_quality", F.col("site_verified"), 8, "site-verified"),
-        ("evidence_quality", F.col("registration_verified"), 7, "registration-verified"),
-        ("evidence_quality", F.col("factory_verified"), 5, "factory-verified"),
-        ("evidence_quality", ~F.col("factory_verified") & F.col("organization.factory_info").isNotNull(), 2,
-         "factory-claimed"),
-        ("demand_clarity", has["message"], 4, "message"),
-        ("demand_clarity", has["product"], 7, "product"),
-        ("demand_clarity", has["quantity"], 5, "quantity"),
-        ("demand_clarity", has["timeline"], 5, "timeline"),
-        ("demand_clarity", has["budget"], 4, "budget"),
-        ("buying_readiness", F.col("signals.explicit_inquiry"), 6, "explicit-inquiry"),
-        ("buying_readiness", F.col("signals.replied"), 4, "replied"),
-        ("buying_readiness", F.col("signals.requested_quote"), 5, "requested-quote"),
-        ("buying_readiness", F.col("signals.requested_sample"), 6, "requested-sample"),
-        ("buying_readiness", F.col("signals.purchase_order"), 10, "purchase-order"),
-        ("contactability_trust", F.col("email_verified"), 8, "email-verified"),
-        ("contactability_trust", ~F.col("email_verified") & F.col("contact.email").isNotNull(), 2, "email-candidate"),
-        ("contactability_trust", F.col("phone_verified"), 7, "phone-verified"),
-        ("contactability_trust", ~F.col("phone_verified") & number, 2, "phone-candidate"),
-        ("contactability_trust", F.col("contact.name").isNotNull() & F.col("contact.role").isNotNull(), 3,
-         "contact-role"),
-        ("contactability_trust", F.col("signals.mutual_introduction"), 7, "mutual-introduction"),
-        ("contactability_trust", F.col("signals.prior_relationship"), 5, "prior-relationship"),
-    ]
-
-
-def _missing() -> Column:
-    signals = reduce(lambda a, b: a | b, [F.col(f"signals.{s}") for s in (
-        "explicit_inquiry", "replied", "requested_quote", "requested_sample", "purchase_order")])
-    return compact_codes(
-        (F.col("source_reference").isNull(), "source-reference"),
-        (~F.col("site_verified"), "website-evidence"),
-        (~F.col("registration_verified"), "registration-evidence"),
-        (F.col("inquiry.product").isNull(), "product"),
-        (F.col("inquiry.quantity").isNull(), "quantity"),
-        (F.col("inquiry.timeline").isNull(), "timeline"),
-        (~signals, "purchase-action"),
-        (~F.col("email_verified") & F.col("contact.email").isNotNull(), "email-verification"),
-        (F.col("contact.name").isNull() | F.col("contact.role").isNull(), "contact-role"),
-    )
+# The rules are SQL text: each dimension becomes one expression, parsed once.
+HOLD_RULES = (
+    ("compliance.do_not_contact", "do-not-contact"),
+    ("compliance.restricted_market", "restricted-market"),
+    ("compliance.duplicate_of IS NOT NULL", "duplicate-of-master"),
+    ("coalesce(organization.name, organization.domain, organization.website, source_reference) IS NULL", "no-identity"),
+)
+# (dimension, condition, points, reason)
+POINT_RULES = (
+    ("evidence_quality", "source_reference IS NOT NULL", 5, "source-reference"),
+    ("evidence_quality", "site_verified", 8, "site-verified"),
+    ("evidence_quality", "registration_verified", 7, "registration-verified"),
+    ("evidence_quality", "factory_verified", 5, "factory-verified"),
+    ("evidence_quality", "NOT factory_verified AND organization.factory_info IS NOT NULL", 2, "factory-claimed"),
+    ("demand_clarity", "inquiry.message IS NOT NULL", 4, "message"),
+    ("demand_clarity", "inquiry.product IS NOT NULL", 7, "product"),
+    ("demand_clarity", "inquiry.quantity IS NOT NULL", 5, "quantity"),
+    ("demand_clarity", "inquiry.timeline IS NOT NULL", 5, "timeline"),
+    ("demand_clarity", "inquiry.budget IS NOT NULL", 4, "budget"),
+    ("buying_readiness", "signals.explicit_inquiry", 6, "explicit-inquiry"),
+    ("buying_readiness", "signals.replied", 4, "replied"),
+    ("buying_readiness", "signals.requested_quote", 5, "requested-quote"),
+    ("buying_readiness", "signals.requested_sample", 6, "requested-sample"),
+    ("buying_readiness", "signals.purchase_order", 10, "purchase-order"),
+    ("contactability_trust", "email_verified", 8, "email-verified"),
+    ("contactability_trust", "NOT email_verified AND contact.email IS NOT NULL", 2, "email-candidate"),
+    ("contactability_trust", "phone_verified", 7, "phone-verified"),
+    ("contactability_trust", "NOT phone_verified AND coalesce(contact.whatsapp, contact.phone) IS NOT NULL", 2,
+     "phone-candidate"),
+    ("contactability_trust", "contact.name IS NOT NULL AND contact.role IS NOT NULL", 3, "contact-role"),
+    ("contactability_trust", "signals.mutual_introduction", 7, "mutual-introduction"),
+    ("contactability_trust", "signals.prior_relationship", 5, "prior-relationship"),
+)
+MISSING_RULES = (
+    ("source_reference IS NULL", "source-reference"),
+    ("NOT site_verified", "website-evidence"),
+    ("NOT registration_verified", "registration-evidence"),
+    ("inquiry.product IS NULL", "product"),
+    ("inquiry.quantity IS NULL", "quantity"),
+    ("inquiry.timeline IS NULL", "timeline"),
+    ("NOT (signals.explicit_inquiry OR signals.replied OR signals.requested_quote OR signals.requested_sample "
+     "OR signals.purchase_order)", "purchase-action"),
+    ("NOT email_verified AND contact.email IS NOT NULL", "email-verification"),
+    ("contact.name IS NULL OR contact.role IS NULL", "contact-role"),
+)
+
+
+def _points(dimension: str) -> Column:
+    terms = [f"IF({cond}, {points}, 0)" for name, cond, points, _ in POINT_RULES if name == dimension]
+    return F.expr(f"least({DIMENSION_CAP}, {' + '.join(terms)})")
 
 
 def grade_of(score: Column) -> Column:
@@ -132,18 +120,13 @@ def qualify(leads: DataFrame, effective: DataFrame) -> DataFrame:
     score 0, no dimensions and no missing list.
     """
     flagged = leads.join(evidence_flags(effective), "lead_id", "left").fillna(False, list(FLAG_KINDS))
-    rules = _rules()
-    points = {
-        d: F.least(F.lit(DIMENSION_CAP), reduce(lambda a, b: a + b, [
-            F.when(cond, F.lit(p)).otherwise(F.lit(0)) for dim, cond, p, _ in rules if dim == d]))
-        for d in DIMENSIONS
-    }
     held = F.size("_holds") > 0
     scored = flagged.select(
-        "lead_id", hold_reasons().alias("_holds"), *[c.alias(d) for d, c in points.items()],
-        compact_codes(*[(cond, reason) for _, cond, _, reason in rules]).alias("_reasons"), _missing().alias("_missing"),
+        "lead_id", codes_where(HOLD_RULES).alias("_holds"), *[_points(d).alias(d) for d in DIMENSIONS],
+        codes_where([(cond, reason) for _, cond, _, reason in POINT_RULES]).alias("_reasons"),
+        codes_where(MISSING_RULES).alias("_missing"),
     )
-    total = reduce(lambda a, b: a + b, [F.col(d) for d in DIMENSIONS])
+    total = F.expr(" + ".join(DIMENSIONS))
     none = F.array().cast("array<string>")
     graded = scored.withColumn("score", F.when(held, F.lit(0)).otherwise(total)).withColumn(
         "grade", F.when(held, "HOLD").otherwise(grade_of(F.col("score"))))

@@ -6,6 +6,7 @@ Spark (as the queries' input) and in DuckDB (as the first step of the comparison
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+_views: dict[str, tuple[str, str]] = {}
+EACH = re.compile(r"each_of\(([^)]*)\)")  # one row per listed value, in either engine's words
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -42,9 +45,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def derive(spark: SparkSession, folder: str, sql: str) -> DataFrame:
     """Run derivation SQL over the tables it names."""
     for name in TABLES:
-        if name in sql:
+        if name in sql and _views.get(name) != (spark.sparkContext.applicationId, folder):
             table(spark, folder, name).createOrReplaceTempView(name)
-    return spark.sql(sql)
+            _views[name] = (spark.sparkContext.applicationId, folder)
+    return spark.sql(EACH.sub(r"explode(array(\1))", sql))
 
 
 def scalar_columns(df: DataFrame) -> DataFrame:
@@ -65,7 +69,8 @@ def scalar_columns(df: DataFrame) -> DataFrame:
 
 def with_parts(body: str, **parts: str) -> str:
     """A statement with the given parts as common table expressions."""
-    return "WITH RECURSIVE " + ",\n".join(f"{name} AS ({sql})" for name, sql in parts.items()) + "\n" + body
+    steps = ",\n".join(f"{name} AS ({sql})" for name, sql in parts.items())
+    return EACH.sub(r"unnest([\1])", f"WITH RECURSIVE {steps}\n{body}")
 
 
 def time_text(c: str) -> str:
@@ -134,38 +139,38 @@ FROM customer JOIN (
 ORDER_DAY = "o_orderdate"
 
 
-def lead_frame(spark: SparkSession, folder: str, sql: str = LEADS) -> DataFrame:
-    """The derived leads in the nested shape of the data model."""
-    flat = derive(spark, folder, sql)
-    have = set(flat.columns)
+def _group(name: str, fields: tuple[str, ...], columns: dict[str, str]) -> str:
+    parts = ", ".join(f"'{f}', {columns.get(f, f)}" for f in fields)
+    return f"named_struct({parts}) AS {name}"
+
 
-    def group(names: tuple[str, ...], source: dict[str, str]) -> F.Column:
-        picked = [(n, source.get(n, n)) for n in names]
-        return F.struct(*[(F.col(c) if c in have else F.lit(None).cast("string")).alias(n) for n, c in picked])
+NESTED = ", ".join((
+    "lead_id, source, source_reference, CAST(NULL AS TIMESTAMP) AS received_at",
+    _group("organization", model.ORGANIZATION_FIELDS, {n: "CAST(NULL AS STRING)" for n in (
+        "address", "industry", "employee_range")}),
+    _group("contact", model.CONTACT_FIELDS, {"name": "contact_name", "role": "contact_role"}),
+    _group("inquiry", model.INQUIRY_FIELDS, {}), _group("signals", model.SIGNAL_FIELDS, {}),
+    _group("compliance", ("do_not_contact", "restricted_market", "duplicate_of", "consent_status"), {
+        "consent_status": "'unknown'"}),
+    "CAST(NULL AS STRING) AS notes, ordinal",
+))
 
-    return flat.select(
-        "lead_id", "source", "source_reference", F.lit(None).cast("timestamp").alias("received_at"),
-        group(model.ORGANIZATION_FIELDS, {}).alias("organization"),
-        group(model.CONTACT_FIELDS, {"name": "contact_name", "role": "contact_role"}).alias("contact"),
-        group(model.INQUIRY_FIELDS, {}).alias("inquiry"),
-        F.struct(*[F.col(n) for n in model.SIGNAL_FIELDS]).alias("signals"),
-        F.struct("do_not_contact", "restricted_market", "duplicate_of", F.lit("unknown").alias("consent_status")).alias(
-            "compliance"),
-        F.lit(None).cast("string").alias("notes"), "ordinal")
+
+def lead_frame(spark: SparkSession, folder: str, sql: str = LEADS) -> DataFrame:
+    """The derived leads in the nested shape of the data model."""
+    return derive(spark, folder, f"SELECT {NESTED} FROM ({sql})")
 
 
 def evidence_frame(spark: SparkSession, folder: str) -> DataFrame:
-    rows = derive(spark, folder, EVIDENCE)
-    return rows.select(
-        "lead_id", "evidence_id", "seq", "kind", "value", "source_ref", F.lit(None).cast("timestamp").alias("observed_at"),
-        F.lit(0.5).alias("confidence"), "status", F.lit(None).cast("string").alias("note"))
+    return derive(spark, folder, f"""
+        SELECT lead_id, evidence_id, seq, kind, value, source_ref, CAST(NULL AS TIMESTAMP) AS observed_at,
+          CAST(0.5 AS DOUBLE) AS confidence, status, CAST(NULL AS STRING) AS note FROM ({EVIDENCE})""")
 
 
 def review_frame(spark: SparkSession, folder: str) -> DataFrame:
-    rows = derive(spark, folder, REVIEWS)
-    return rows.select(
-        "lead_id", "evidence_id", "seq", "action", "decision", F.lit(None).cast("timestamp").alias("reviewed_at"),
-        F.lit("derived review").alias("note"), F.lit(None).cast("map<string,struct<from:string,to:string>>").alias("changes"))
+    return derive(spark, folder, f"""
+        SELECT lead_id, evidence_id, seq, action, decision, CAST(NULL AS TIMESTAMP) AS reviewed_at, 'derived review' AS note,
+          CAST(NULL AS MAP<STRING, STRUCT<`from`: STRING, `to`: STRING>>) AS changes FROM ({REVIEWS})""")
 
 
 # ---- the same steps for DuckDB ----

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,11 @@ HOT_KEYS = 256
 
 # Wide projections over text make the optimizer's constraint sets grow exponentially; the filters they would
 # infer are written out in the operators.
-PLAN_SETTINGS = {"spark.sql.constraintPropagation.enabled": "false"}
+PLAN_SETTINGS = {
+    "spark.sql.constraintPropagation.enabled": "false",
+    # The JVM never compiles methods over 8000 bytes; stages that large run faster as smaller functions.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -94,3 +99,9 @@ def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> D
 def compact_codes(*pairs: tuple[Column, str]) -> Column:
     """Array of the codes whose condition holds, in the given order."""
     return F.array_compact(F.array(*[F.when(cond, F.lit(code)) for cond, code in pairs]))
+
+
+def codes_where(rules: Iterable[tuple[str, str]]) -> Column:
+    """Like compact_codes for conditions written as SQL text."""
+    parts = ", ".join(f"IF({condition}, '{code}', NULL)" for condition, code in rules)
+    return F.expr(f"array_compact(array({parts}))")
