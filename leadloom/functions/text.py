@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,6 +25,11 @@ def col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once per row, however often `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ascii_regex(pattern: str) -> str:
     """The pattern with word boundaries that only ASCII letters, digits and _ make."""
     return pattern.replace(r"\b", BOUNDARY)
@@ -92,9 +98,12 @@ def percent(part: Column, total: Column) -> Column:
 
 def moment(c: ColumnLike) -> Column:
     """Timestamp from the usual date notations, null when none fits."""
-    value = text(c)
     formats = ("M/d/yyyy[ H:mm[:ss]]", "yyyy/M/d[ H:mm[:ss]]", "MMM d, yyyy", "d MMM yyyy")
-    return F.coalesce(value.try_cast("timestamp"), *[F.try_to_timestamp(value, F.lit(f)) for f in formats])
+
+    def parsed(value: Column) -> Column:
+        return F.coalesce(value.try_cast("timestamp"), *[F.try_to_timestamp(value, F.lit(f)) for f in formats])
+
+    return let(text(c), parsed)
 
 
 def iso(c: Column) -> Column:

@@ -44,8 +44,8 @@ SELECT *, raw_need + raw_fit + raw_timing + raw_reach + raw_quality AS raw_score
     floor(CASE WHEN url IS NULL THEN 0.0 ELSE 3.0 END / 5 * 15 + 0.5)::BIGINT AS raw_reach,
     floor(CASE WHEN reviewed = 'yes' THEN 3.0 WHEN url IS NULL THEN 0.0 ELSE 1.0 END / 5 * 15 + 0.5)::BIGINT AS raw_quality
   FROM (SELECT *, CASE WHEN source_url LIKE 'http%' THEN source_url END AS url,
-      coalesce(least(5.0, try_cast(need AS DOUBLE)), CASE WHEN reviewed = 'yes' THEN 2.0 ELSE 1.0 END) AS need_v,
-      coalesce(least(5.0, try_cast(fit AS DOUBLE)), CASE WHEN reviewed = 'yes' THEN 2.0 ELSE 1.0 END) AS fit_v,
+      coalesce(CASE WHEN try_cast(need AS DOUBLE) > 5 THEN 5 ELSE try_cast(need AS DOUBLE) END, CASE WHEN reviewed = 'yes' THEN 2.0 ELSE 1.0 END) AS need_v,
+      coalesce(CASE WHEN try_cast(fit AS DOUBLE) > 5 THEN 5 ELSE try_cast(fit AS DOUBLE) END, CASE WHEN reviewed = 'yes' THEN 2.0 ELSE 1.0 END) AS fit_v,
       least(5.0, try_cast(timing AS DOUBLE)) AS timing_v FROM prospect_rows))
 """
 SCORED = r"""
