@@ -87,7 +87,7 @@ def merge_import(customers: DataFrame, incoming: DataFrame, now: Column) -> Data
 
     values = [F.when(owned(f), F.col(f"in.{f}")).otherwise(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields]
     entries = F.map_from_entries(F.array_compact(F.array(*[
-        F.when(owned(f) & (F.col(f"in.{f}") != ""), F.struct(F.lit(f), F.col(f"in.{f}"))) for f in fields])))
+        F.when(owned(f) & (F.col(f"in.{f}") != ""), F.struct(F.lit(f).alias("k"), F.col(f"in.{f}").alias("v"))) for f in fields])))
     return joined.select(
         "customer_id", *values,
         F.coalesce(F.nullif("notes", F.lit("")), "in_notes", F.lit("")).alias("notes"),
@@ -113,9 +113,9 @@ def edit_customers(customers: DataFrame, edits: DataFrame, now: Column) -> DataF
     new = edits.select("customer_id", F.struct(*fields, "notes").alias("new"))
     joined = customers.withColumn("_old", F.lit(True)).join(new, "customer_id", "full")
     edited, known = F.col("new").isNotNull(), F.col("_old").isNotNull()
-    unchanged = F.filter(F.array(*[
-        F.when(F.col(f).eqNullSafe(F.col(f"new.{f}")), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
-    still = F.map_filter("managed", lambda k, v: F.array_contains(unchanged, k))
+    unchanged = F.array_compact(F.array(*[F.when(F.col(f).eqNullSafe(F.col(f"new.{f}")), F.lit(f)) for f in fields]))
+    joined = joined.withColumn("_unchanged", unchanged)
+    still = F.map_filter("managed", lambda k, v: F.array_contains("_unchanged", k))
     empty = F.create_map().cast("map<string,string>")
     return joined.select(
         "customer_id", *[F.when(edited, F.col(f"new.{f}")).otherwise(F.col(f)).alias(f) for f in fields],

@@ -293,7 +293,7 @@ FROM (SELECT *, CASE WHEN currency = 'eur' THEN 'EUR' ELSE 'USD' END AS cur FROM
     || {_plain('l_quantity::DECIMAL(18, 4)')} || ' pcs | ' || CASE d.type WHEN 'quotation' THEN d.cur || ' ' || {_plain('l_extendedprice::DECIMAL(12, 2)')} || ' | ' || d.cur || ' '
       || {_plain('round(l_quantity::DECIMAL(18, 4) * l_extendedprice::DECIMAL(12, 2), 2)')}
       ELSE CASE WHEN l_linenumber % 4 = 0 THEN '1' ELSE CAST(l_linenumber % 4 AS STRING) END || ' | ' || CASE WHEN l_linenumber % 3 = 0 THEN '0.01' ELSE CAST(l_linenumber % 3 AS STRING) END || ' | 0.01' END,
-    e'\\n' ORDER BY l_linenumber, l_partkey) AS items FROM lineitem WHERE l_orderkey = d.order_id)""", **TRADE_PARTS, document_rows=DOCUMENT_ROWS))
+    e'\\n' ORDER BY l_linenumber, 'SKU-' || l_partkey, l_returnflag = 'A', l_quantity) AS items FROM lineitem WHERE l_orderkey = d.order_id)""", **TRADE_PARTS, document_rows=DOCUMENT_ROWS))
 def order_document_texts(spark, folder):
     lines = line_frame(spark, folder)
     documents = trade.trade_documents(order_frame(spark, folder, lines))

@@ -20,6 +20,8 @@ PLAN_SETTINGS = {
     "spark.sql.constraintPropagation.enabled": "false",
     # The JVM never compiles methods over 8000 bytes; stages that large run faster as smaller functions.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # A lambda that names a column must mean the input column, never a new column of the same select.
+    "spark.sql.lateralColumnAlias.enableImplicitResolution": "false",
 }
 
 
