@@ -197,4 +197,5 @@ def pair_id(left: Column, right: Column) -> Column:
 
 def days_between(later: Column, earlier: Column) -> Column:
     """Fractional days, at least 0, null when a side is missing."""
-    return F.greatest(F.lit(0.0), (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(86400e6))
+    days = (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(86400e6)
+    return F.when(days.isNotNull(), F.greatest(F.lit(0.0), days))  # greatest alone would skip a null

@@ -150,7 +150,7 @@ def normalize_baselines(df: DataFrame) -> DataFrame:
     grade, score, captured = F.upper(t.trimmed("grade")), t.number("score"), t.moment("captured_at")
     return df.select(
         "lead_id", grade.alias("grade"),
-        F.greatest(F.lit(0), F.least(F.lit(100), t.half_up(score))).cast("int").alias("score"),
+        F.when(score.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), t.half_up(score)))).cast("int").alias("score"),
         captured.alias("captured_at"),
     ).where(F.col("grade").isin(*model.GRADES) & F.col("score").isNotNull() & F.col("captured_at").isNotNull())
 

@@ -186,7 +186,7 @@ SELECT connector_id, target_id, consent, ids, least(100, CASE WHEN ids = '' THEN
 FROM (SELECT *, least(5, coalesce(try_cast(strength AS DOUBLE), 0)) * 8
     + CASE WHEN days <= 30 THEN 20 WHEN days <= 90 THEN 15 WHEN days <= 365 THEN 10 WHEN days <= 730 THEN 5 ELSE 0 END
     + 15 * known::INT + 10 * company::INT + 5 * industry::INT + 5 * education::INT + CASE WHEN consent_s = 'approved' THEN 5 ELSE 0 END AS total
-  FROM (SELECT *, greatest(0.0, date_diff('microsecond', last_order, TIMESTAMP '{PATH_CLOCK}') / 86400e6) AS days,
+  FROM (SELECT *, CASE WHEN last_order IS NOT NULL THEN greatest(0.0, date_diff('microsecond', last_order, TIMESTAMP '{PATH_CLOCK}') / 86400e6) END AS days,
       CASE lower(trim(consent)) WHEN 'approved' THEN 'approved' WHEN 'declined' THEN 'declined' ELSE 'unknown' END AS consent_s FROM paths))
 WHERE consent_s <> 'declined'
 """
