@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 SPACES = (
     "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
+SPACE_RUN = "[\\s\u00a0\u2000-\u200a\u2028\u2029\u3000\ufeff\u1680\u202f\u205f]+"  # the same as a regular expression
 TRUE_WORDS = ("1", "true", "yes", "y", "是")  # fixed values
 WORD = "[0-9A-Za-z_]"
 BOUNDARY = f"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
@@ -49,7 +50,10 @@ def text(c: ColumnLike, limit: int | None = None) -> Column:
 
 def squeezed(c: ColumnLike, limit: int | None = None) -> Column:
     """Runs of white space become one blank; trimmed, cut, null when blank."""
-    return text(F.regexp_replace(col(c).cast("string"), f"[{SPACES}]+", " "), limit)
+    value = col(c).cast("string")
+    # Plain ASCII without double blanks, tabs or line breaks has nothing to collapse.
+    collapsed = F.when(value.rlike("  |[^ -\u009f]"), F.regexp_replace(value, SPACE_RUN, " "))
+    return text(collapsed.otherwise(value), limit)
 
 
 def ellipsis(c: ColumnLike, limit: int) -> Column:
@@ -106,6 +110,11 @@ def moment(c: ColumnLike) -> Column:
     return let(text(c), parsed)
 
 
+def moment_of(df: DataFrame, name: str) -> Column:
+    """The column as timestamp; read from text only when it is not one already."""
+    return F.col(name) if dict(df.dtypes).get(name) == "timestamp" else moment(name)
+
+
 def iso(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
@@ -182,10 +191,11 @@ def text_digest(c: Column) -> Column:
 
 def uri_component(c: Column) -> Column:
     """Percent-encoding that leaves A-Z a-z 0-9 - _ . ! ~ * ' ( ) alone."""
+    plain_text = c.rlike(r"^[A-Za-z0-9\-_.!~*'()]*$")
     out = F.url_encode(c)
     for coded, plain in (("+", "%20"), ("%21", "!"), ("%7E", "~"), ("%27", "'"), ("%28", "("), ("%29", ")")):
         out = F.replace(out, F.lit(coded), F.lit(plain))
-    return out
+    return F.when(plain_text, c).otherwise(out)
 
 
 def pair_id(left: Column, right: Column) -> Column:

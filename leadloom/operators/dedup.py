@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import text as t
 from leadloom.functions.web import host_of
-from leadloom.session import compact_codes, cut_lineage, lookup
+from leadloom.session import first_code, cut_lineage, lookup
 
 # Blocks up to this many accounts list every pair; larger ones list one link per member to the block's
 # first account. Both forms describe the same complete set: any two members of a block are candidates.
 PAIR_BLOCK = 50
 HOLD_CONFIDENCE = 0.95
+SKEW_ROWS = 1_000_000
 
 
 def fingerprints(leads: DataFrame, effective: DataFrame, ascii_names: bool = False) -> DataFrame:
@@ -58,7 +59,7 @@ def master_links(leads: DataFrame) -> DataFrame:
     resolved, open_links = _resolve(edges.select("lead_id", F.col("parent").alias("master_id")))
     if open_links is None:
         return resolved
-    # What is left lies on a cycle or leads into one. After that many jumps every link ends on its cycle.
+    # What is left lies on a cycle or leads into one, and by now every link ends on its cycle.
     members = open_links.select(F.col("master_id").alias("lead_id")).distinct()
     members = cut_lineage(members, "cycle")
     on_cycle = members.select("lead_id", F.col("lead_id").alias("master_id"))
@@ -68,21 +69,28 @@ def master_links(leads: DataFrame) -> DataFrame:
 
 
 def _resolve(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Follow links to nodes that have none; also return the links that never end, if any."""
+    """Follow links to nodes that have none; also return the links that never end, if any.
+
+    Nodes at every smaller depth exist, so a round that finishes none leaves only links that never end. Their
+    ends shrink to the nodes on cycles; once a doubling leaves the number of ends unchanged, the jumps permute
+    the ends, so all of them lie on cycles.
+    """
     state = cut_lineage(links.withColumn("done", F.lit(False)), "links")
-    remaining = state.count()
-    jumps = 1
+    remaining, ends = state.count(), -1
     while remaining:
         ahead = state.select(
             F.col("lead_id").alias("master_id"), F.col("master_id").alias("_next"), F.col("done").alias("_done"))
-        moved = lookup(state.where(~F.col("done")), ahead, "master_id", "left").select(
+        open_links = state.where(~F.col("done"))
+        # Few links cannot make a task too large; many may share a target.
+        join = lookup if remaining > SKEW_ROWS else DataFrame.join
+        moved = join(open_links, ahead, "master_id", "left").select(
             "lead_id", F.coalesce("_next", "master_id").alias("master_id"),
             (F.col("_next").isNull() | F.col("_done")).alias("done"))
         state = cut_lineage(state.where("done").unionByName(moved), "links")
-        still = state.where(~F.col("done")).count()
-        jumps *= 2
-        if still == remaining and jumps > remaining:
+        still, now_ends = state.where(~F.col("done")).agg(F.count(F.lit(1)), F.countDistinct("master_id")).first()
+        if still and still == remaining and now_ends == ends:
             return state.where("done").drop("done"), state.where(~F.col("done")).drop("done")
+        ends = now_ends if still == remaining else -1
         remaining = still
     return state.drop("done"), None
 
@@ -153,23 +161,22 @@ def latest_decisions(decisions: DataFrame) -> DataFrame:
 
     The reviews of the pair's smaller id count as entered first. A plain aggregate with map-side combine.
     """
-    pair = t.pair_id(F.col("lead_id"), F.col("other_lead_id"))
-    rows = decisions.withColumn("_pair", pair).where(
-        F.col("_pair").isNotNull() & (F.col("pair_id").isNull() | (F.col("pair_id") == F.col("_pair"))))
+    a, b = F.col("lead_id"), F.col("other_lead_id")
+    named = F.when(F.col("pair_id").isNotNull(), F.col("pair_id") == t.pair_id(a, b)).otherwise(True)
+    rows = decisions.where((a != "") & (b != "") & (a != b) & named)
     order = F.struct(
         F.coalesce(F.unix_micros("reviewed_at"), F.lit(-(2**62))),
         (F.col("lead_id") > F.col("other_lead_id")), F.col("seq"))
     value = F.struct("decision", "primary_lead_id", "reviewed_at", "note", "confidence", "reasons")
-    merged = rows.groupBy(
-        F.col("_pair").alias("pair_id"), F.least("lead_id", "other_lead_id").alias("left_id"),
-        F.greatest("lead_id", "other_lead_id").alias("right_id")).agg(F.max_by(value, order).alias("last"))
-    return merged.select("pair_id", "left_id", "right_id", "last.*")
+    merged = rows.groupBy(F.least(a, b).alias("left_id"), F.greatest(a, b).alias("right_id")).agg(
+        F.max_by(value, order).alias("last"))
+    return merged.select(t.pair_id(F.col("left_id"), F.col("right_id")).alias("pair_id"), "left_id", "right_id", "last.*")
 
 
 def open_candidates(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     """Candidates that nobody has settled (a reopened pair is open again)."""
-    settled = latest_decisions(decisions).where(F.col("decision") != "reopened").select("pair_id")
-    return candidates.join(settled, "pair_id", "left_anti")
+    settled = latest_decisions(decisions).where(F.col("decision") != "reopened").select("left_id", "right_id")
+    return candidates.join(settled, ["left_id", "right_id"], "left_anti").select(*candidates.columns)
 
 
 def standing_decisions(decisions: DataFrame, leads: DataFrame) -> DataFrame:
@@ -232,7 +239,7 @@ def review_pairs(leads: DataFrame, effective: DataFrame, decisions: DataFrame, p
     def third(c: str) -> Column:
         return F.col(c).isNotNull() & ~F.col(c).isin(F.col("left_id"), F.col("right_id"))
 
-    refusals = compact_codes(
+    refusal = first_code(
         (~F.coalesce(F.col("decision").isin("same", "distinct", "reopened"), F.lit(False)), "unknown-decision"),
         (F.coalesce(F.length("note"), F.lit(0)) < 3, "note-too-short"),
         (F.col("left_id") == F.col("right_id"), "same-lead"),
@@ -243,7 +250,7 @@ def review_pairs(leads: DataFrame, effective: DataFrame, decisions: DataFrame, p
         ((F.col("decision") == "same") & ~F.coalesce(in_pair, F.lit(False)), "primary-not-in-pair"),
         ((F.col("decision") == "same") & (third("left_master") | third("right_master")), "belongs-to-other-master"),
     )
-    outcome = F.when(~F.col("early"), "deferred").otherwise(F.coalesce(F.get(refusals, F.lit(0)), F.lit("accepted")))
+    outcome = F.when(~F.col("early"), "deferred").otherwise(F.coalesce(refusal, F.lit("accepted")))
     same = F.col("decision") == "same"
     return joined.select(
         "seq", t.pair_id(F.col("left_id"), F.col("right_id")).alias("pair_id"), "left_id", "right_id", "decision",

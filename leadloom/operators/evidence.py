@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from leadloom import model
 from leadloom.functions import text as t
 from leadloom.operators.leads import newest
-from leadloom.session import compact_codes, cut_lineage, lookup
+from leadloom.session import first_code, cut_lineage, lookup
 
 ORIGINS_KEPT = 200  # fixed value: field origins kept per lead
 
@@ -172,7 +172,7 @@ def check_reviews(evidence: DataFrame, reviews: DataFrame, actions: DataFrame) -
     short = F.coalesce(F.length(t.text("note")), F.lit(0)) < 3
     revised = F.col("action") == "revised"
     # A given but blank text is not the same as no text: it is refused.
-    static = compact_codes(
+    static = first_code(
         (F.col("_value").isNull() & F.col("_source").isNull(), "unknown-evidence"),
         (~F.coalesce(F.col("action").isin(*model.REVIEW_ACTIONS), F.lit(False)), "unknown-action"),
         (short, "note-too-short"),
@@ -180,7 +180,7 @@ def check_reviews(evidence: DataFrame, reviews: DataFrame, actions: DataFrame) -
         (revised & (t.trimmed("source_ref") == ""), "source-missing"),
         (revised & F.col("value").isNull() & F.col("source_ref").isNull(), "nothing-changed"),
     )
-    checked = joined.withColumn("_static", F.get(static, F.lit(0)))
+    checked = joined.withColumn("_static", static)
     order = Window.partitionBy("lead_id", "evidence_id").orderBy("seq")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     valid = F.col("_static").isNull()

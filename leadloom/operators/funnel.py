@@ -10,7 +10,7 @@ from leadloom import model
 from leadloom.functions import text as t
 from leadloom.operators.leads import newest
 from leadloom.operators.scoring import grade_table
-from leadloom.session import compact_codes, cut_lineage, lookup
+from leadloom.session import first_code, cut_lineage, lookup
 
 MILESTONES = ("contacted", "replied", "quoted", "sampled", "ordered", "won", "lost")
 EVENTS_KEPT = 500  # fixed value: events per lead that count
@@ -168,7 +168,7 @@ def check_proposals(leads: DataFrame, qualified: DataFrame, proposals: DataFrame
     joined = lookup(typed, state, "lead_id", "left")
     kind, outbound = F.col("type"), F.col("type").isin(*model.OUTBOUND_TYPES)
     short_note = F.coalesce(F.length("note"), F.lit(0)) < 3
-    refusals = compact_codes(
+    refusal = first_code(
         (F.col("_known").isNull(), "unknown-lead"),
         (~F.coalesce(kind.isin(*model.EVENT_TYPES), F.lit(False)), "unknown-type"),
         ((kind == "follow-up-scheduled") & F.col("due_at").isNull(), "due-date-missing"),
@@ -181,7 +181,7 @@ def check_proposals(leads: DataFrame, qualified: DataFrame, proposals: DataFrame
         (outbound & F.col("_master").isNotNull(), "duplicate-of-master"),
         (outbound & (F.col("_grade") == "HOLD"), "on-hold"),
     )
-    return joined.withColumn("refusal", F.get(refusals, F.lit(0))).drop(
+    return joined.withColumn("refusal", refusal).drop(
         "_bad_amount", "_known", "_dnc", "_restricted", "_master", "_grade")
 
 

@@ -41,7 +41,7 @@ def normalize_leads(df: DataFrame, interchange_ids: bool = False) -> DataFrame:
         t.text("lead_id").alias("lead_id"),
         F.coalesce(t.text("source"), F.lit("manual")).alias("source"),
         t.text("source_reference").alias("source_reference"),
-        t.moment("received_at").alias("received_at"),
+        t.moment_of(df, "received_at").alias("received_at"),
         group("organization", model.ORGANIZATION_FIELDS, ("domain",)),
         group("contact", model.CONTACT_FIELDS, ("email",)),
         group("inquiry", model.INQUIRY_FIELDS),
@@ -68,7 +68,7 @@ def normalize_evidence(df: DataFrame) -> DataFrame:
     """Type evidence rows: status falls back to candidate, confidence to 1 (verified) or 0.5."""
     status = F.coalesce(t.one_of(F.col("status"), model.EVIDENCE_STATUSES), F.lit("candidate"))
     default = F.when(status == "verified", F.lit(1.0)).otherwise(F.lit(0.5))
-    observed = t.moment("observed_at")
+    observed = t.moment_of(df, "observed_at")
     return df.select(
         "lead_id",
         F.coalesce(t.text("evidence_id"), evidence_id(
@@ -86,7 +86,7 @@ def normalize_evidence(df: DataFrame) -> DataFrame:
 
 def normalize_events(df: DataFrame) -> DataFrame:
     """Drop unusable development events and blank out bad channels, amounts and currencies."""
-    occurred, due = t.moment("occurred_at"), t.moment("due_at")
+    occurred, due = t.moment_of(df, "occurred_at"), t.moment_of(df, "due_at")
     related = t.text("related_event_id", 160)
     amount = F.col("amount").try_cast("decimal(18,2)")
     typed = df.select(
@@ -114,7 +114,7 @@ def normalize_decisions(df: DataFrame) -> DataFrame:
     return df.select(
         t.text("pair_id", 380).alias("pair_id"), "lead_id", other.alias("other_lead_id"), "decision",
         F.when(F.col("decision") == "same", primary).alias("primary_lead_id"),
-        t.moment("reviewed_at").alias("reviewed_at"), t.text("note", 1000).alias("note"),
+        t.moment_of(df, "reviewed_at").alias("reviewed_at"), t.text("note", 1000).alias("note"),
         t.clamped("confidence", 0, 1, 0.0).alias("confidence"),
         F.slice(F.array_compact(F.coalesce(reasons, F.array().cast("array<string>"))), 1, 20).alias("reasons"),
         F.col("seq").cast("bigint").alias("seq"),
@@ -129,8 +129,8 @@ def normalize_origins(df: DataFrame) -> DataFrame:
     return df.select(
         "lead_id", t.text("path", 80).alias("path"), t.text("evidence_id", 120).alias("evidence_id"),
         F.substring(t.trimmed("applied_value"), 1, 2000).alias("applied_value"),
-        t.moment("applied_at").alias("applied_at"), t.moment("updated_at").alias("updated_at"),
-        F.coalesce(F.col("active"), F.lit(True)).alias("active"), t.moment("ended_at").alias("ended_at"),
+        t.moment_of(df, "applied_at").alias("applied_at"), t.moment_of(df, "updated_at").alias("updated_at"),
+        F.coalesce(F.col("active"), F.lit(True)).alias("active"), t.moment_of(df, "ended_at").alias("ended_at"),
         t.text("end_reason", 80).alias("end_reason"), F.col("seq").cast("bigint").alias("seq"),
     ).where(F.col("path").isin(*model.FIELD_PATHS) & F.col("evidence_id").isNotNull())
 
@@ -140,14 +140,14 @@ def normalize_reviews(df: DataFrame, keep: int = 50) -> DataFrame:
     changed = F.map_filter("changes", lambda k, v: k.isin("value", "source_ref") & ~v["from"].eqNullSafe(v["to"]))
     typed = df.select(
         "lead_id", "evidence_id", F.col("seq").cast("bigint").alias("seq"), "action",
-        F.col("decision"), t.moment("reviewed_at").alias("reviewed_at"), t.text("note", 1000).alias("note"),
+        F.col("decision"), t.moment_of(df, "reviewed_at").alias("reviewed_at"), t.text("note", 1000).alias("note"),
         F.when(F.size(changed) > 0, changed).alias("changes"),
     ).where(F.col("action").isin(*model.REVIEW_ACTIONS))
     return newest(typed, ["lead_id", "evidence_id"], keep)
 
 
 def normalize_baselines(df: DataFrame) -> DataFrame:
-    grade, score, captured = F.upper(t.trimmed("grade")), t.number("score"), t.moment("captured_at")
+    grade, score, captured = F.upper(t.trimmed("grade")), t.number("score"), t.moment_of(df, "captured_at")
     return df.select(
         "lead_id", grade.alias("grade"),
         F.when(score.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), t.half_up(score)))).cast("int").alias("score"),

@@ -69,8 +69,8 @@ def normalize_prospects(df: DataFrame, observed_at: Column, product: str | None
     typed = df.select(
         "ordinal", F.coalesce(t.ellipsis("company_name", 300), t.ellipsis("title", 300)).alias("company_name"),
         t.text("company_domain").alias("company_domain"), t.ellipsis("title", 300).alias("title"),
-        url.alias("source_url"), t.moment("published_at").alias("published_at"),
-        F.coalesce(t.moment("observed_at"), observed_at).alias("observed_at"),
+        url.alias("source_url"), t.moment_of(df, "published_at").alias("published_at"),
+        F.coalesce(t.moment_of(df, "observed_at"), observed_at).alias("observed_at"),
         excerpt.alias("signal_excerpt"),
         F.coalesce(t.text("signal_type"), F.lit("public-search-result")).alias("signal_type"),
         F.coalesce(t.text("product"), F.lit(product)).alias("product"),

@@ -31,7 +31,7 @@ def normalize_paths(df: DataFrame) -> DataFrame:
         t.text("connector_id", 200).alias("connector_id"), t.text("connector_name", 300).alias("connector_name"),
         t.text("target_id", 200).alias("target_id"), t.text("target_name", 300).alias("target_name"),
         t.clamped("relationship_strength", 0, 5, 0.0).alias("relationship_strength"),
-        t.moment("last_contact_at").alias("last_contact_at"),
+        t.moment_of(df, "last_contact_at").alias("last_contact_at"),
         *[t.flag(name).alias(name) for name, _, _ in FACT_POINTS],
         F.coalesce(t.one_of(consent, model.CONSENT_STATUSES), F.lit("unknown")).alias("consent_status"),
         F.slice(F.array_compact(F.coalesce(ids, F.array().cast("array<string>"))), 1, 20).alias("evidence_ids"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions import text as t
-from leadloom.session import compact_codes
+from leadloom.session import first_code
 
 # ---- fixed values: document types with titles, defaults and limits ----
 DOCUMENT_TITLES = {
@@ -52,12 +52,12 @@ def check_lines(lines: DataFrame) -> DataFrame:
         positive("net_weight_kg", "0.01").alias("net_weight_kg"))
     numbers = ("quantity", "unit_price", "carton_count", "gross_weight_kg", "net_weight_kg")
     limits = {"sku": 100, "name": 240, "specification": 500, "unit": 30}
-    refusals = compact_codes(
+    refusal = first_code(
         (F.col("sku").isNull(), "sku-missing"), (F.col("name").isNull(), "name-missing"),
         *[(F.length(c) > n, f"{c}-too-long") for c, n in limits.items()],
         *[(F.col(c).isNull() | (F.col(c) <= 0), f"{c}-not-positive") for c in numbers])
     total = F.round(F.col("quantity") * F.col("unit_price"), 2).cast(MONEY)
-    return typed.withColumn("line_total", total).withColumn("refusal", F.get(refusals, F.lit(0)))
+    return typed.withColumn("line_total", total).withColumn("refusal", refusal)
 
 
 def order_totals(checked: DataFrame) -> DataFrame:
@@ -95,14 +95,14 @@ def check_orders(orders: DataFrame, totals: DataFrame, issue_date: Column, prefi
     ).join(totals, "order_id", "left")
     sides = [(f"{s}.{p}", f"{s}-{p}") for s in ("supplier", "buyer") for p in PARTIES]
     limits = {"incoterm": 120, "payment_terms": 500, "reference": 80, "issue_date": 10, "notes": 1000}
-    refusals = compact_codes(
+    refusal = first_code(
         *[(F.col(c).isNull(), f"{label}-missing") for c, label in sides],
         *[(F.length(c) > 500, f"{label}-too-long") for c, label in sides],
         (~F.col("currency").rlike("^[A-Z]{3}$"), "bad-currency"),
         *[(F.length(c) > n, f"{c.replace('_', '-')}-too-long") for c, n in limits.items()],
         (F.coalesce("lines", F.lit(0)) < 1, "no-lines"), (F.col("lines") > LINES_LIMIT, "too-many-lines"),
         (F.col("line_refusal").isNotNull(), "bad-line"), (validity <= 0, "bad-validity"))
-    return typed.withColumn("refusal", F.get(refusals, F.lit(0)))
+    return typed.withColumn("refusal", refusal)
 
 
 def trade_documents(checked: DataFrame) -> DataFrame:

@@ -103,6 +103,19 @@ def compact_codes(*pairs: tuple[Column, str]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, F.lit(code)) for cond, code in pairs]))
 
 
+def first_code(*pairs: tuple[Column, str]) -> Column:
+    """The code of the first condition that holds, null when none does; later conditions are not evaluated."""
+    return F.coalesce(*[F.when(cond, F.lit(code)) for cond, code in pairs])
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    A plain projection would be copied into every filter on its columns; a generated row is not.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def codes_where(rules: Iterable[tuple[str, str]]) -> Column:
     """Like compact_codes for conditions written as SQL text."""
     parts = ", ".join(f"IF({condition}, '{code}', NULL)" for condition, code in rules)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from leadloom import model
 from leadloom.functions import text as t
 from leadloom.operators.leads import evidence_id, lead_id, normalize_leads
-from leadloom.session import compact_codes
+from leadloom.session import first_code
 
 # ---- fixed values: header names understood per field, and the fields an import may fill ----
 HEADER_ALIASES = {
@@ -338,7 +338,7 @@ def import_audit(review: ImportReview, reviewed_at: Column, import_id: str) -> D
 
 def check_audit(audits: DataFrame, newest_version: int = 1) -> DataFrame:
     """Adds `refusal` to stored audits that this version must not read."""
-    return audits.withColumn("refusal", F.get(compact_codes(
+    return audits.withColumn("refusal", first_code(
         (F.coalesce(F.col("schema_version"), F.lit(0)) < 1, "bad-version"),
         (F.col("schema_version") > newest_version, "newer-version"),
-        (F.col("reviewed_at").isNull(), "bad-time")), F.lit(0)))
+        (F.col("reviewed_at").isNull(), "bad-time")))
