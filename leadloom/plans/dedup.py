@@ -151,20 +151,21 @@ def master_links(spark, folder):
     return dedup.master_links(rows.select("lead_id", F.struct("duplicate_of").alias("compliance")))
 
 
-# Three proposals per hundred neighbours: valid, without a reason, on leads that share nothing.
+# Every lead proposes a decision on its neighbour, some on a lead further away, some without a reason.
 PROPOSALS = """
-SELECT concat('L', lpad(CAST(c_custkey AS STRING), 9, '0')) AS left_id,
-  concat('L', lpad(CAST(c_custkey + CASE WHEN c_custkey % 10 = 8 THEN 9 ELSE 1 END AS STRING), 9, '0')) AS right_id,
+SELECT least(own_id, other_id) AS left_id, greatest(own_id, other_id) AS right_id, decision, primary_lead_id, note, seq FROM (
+SELECT concat('L', lpad(CAST(c_custkey AS STRING), 9, '0')) AS own_id,
+  concat('L', lpad(CAST(CASE WHEN c_custkey % 10 = 8 THEN c_custkey + 9 WHEN c_custkey % 2 = 0 THEN c_custkey + 1 ELSE c_custkey - 1 END AS STRING), 9, '0')) AS other_id,
   CASE c_custkey % 3 WHEN 0 THEN 'same' WHEN 1 THEN 'distinct' ELSE 'reopened' END AS decision,
   CASE WHEN c_custkey % 30 <> 6 THEN concat('L', lpad(CAST(c_custkey AS STRING), 9, '0')) END AS primary_lead_id,
   CASE WHEN c_custkey % 20 = 4 THEN 'x' ELSE 'checked by hand' END AS note, c_custkey AS seq
-FROM customer WHERE c_custkey % 2 = 0
+FROM customer) p
 """
 
 
 @query("dup_review_outcomes", with_parts("""
 SELECT p.seq, p.left_id, p.right_id, p.decision, CASE
-  WHEN NOT early THEN 'deferred' WHEN length(p.note) < 3 THEN 'note-too-short' WHEN r.lead_id IS NULL THEN 'unknown-lead'
+  WHEN NOT early THEN 'deferred' WHEN length(p.note) < 3 THEN 'note-too-short' WHEN l.lead_id IS NULL OR r.lead_id IS NULL THEN 'unknown-lead'
   WHEN p.decision = 'reopened' AND coalesce(d.decision, 'reopened') = 'reopened' THEN 'nothing-to-reopen'
   WHEN p.decision <> 'reopened' AND coalesce(d.decision, 'reopened') <> 'reopened' THEN 'already-settled'
   WHEN p.decision <> 'reopened' AND NOT EXISTS (SELECT 1 FROM members a JOIN members b ON a.key = b.key

@@ -161,7 +161,7 @@ def work_list_overdue_d(spark, folder):
     return scoring.work_list(qualified(spark, folder), states(spark, folder), "D", "OVERDUE")
 
 
-# Proposals: every tenth event of the raw log is offered again as a new entry.
+# Proposals: every event of the raw log is offered again as a new entry of another type.
 PROPOSED = """
 SELECT concat('L', lpad(CAST(user_id AS STRING), 9, '0')) AS lead_id, 10000000000 + event_id AS seq,
   CASE event_id % 9 WHEN 0 THEN 'contact-attempted' WHEN 1 THEN 'lost' WHEN 2 THEN 'reopened' WHEN 3 THEN 'follow-up-scheduled'

@@ -30,9 +30,9 @@ def page_titles(spark, folder):
     return page_frame(spark, folder).select("url", web.page_title(F.col("html")).alias("title"))
 
 
-@query("page_text", f"SELECT url, md5({VISIBLE}) AS text_hash, length({VISIBLE}) AS text_length FROM pages WHERE length({VISIBLE}) <= 50000")
+@query("page_text", f"SELECT url, md5({VISIBLE}) AS text_hash, length({VISIBLE}) AS text_length FROM pages")
 def page_text(spark, folder):
-    text = web.visible_text(F.col("html"), 10_000_000)
+    text = F.coalesce(web.visible_text(F.col("html")), F.lit(""))
     return page_frame(spark, folder).select("url", F.md5(text).alias("text_hash"), F.length(text).alias("text_length"))
 
 

@@ -2,7 +2,8 @@
 
 Each micro-batch appends to a table under its batch id (replacing a repeated attempt) and recomputes only the
 leads it touched with the batch operators. Back-filled and void events therefore count exactly as in batch,
-and nothing is dropped by a watermark.
+and nothing is dropped by a watermark. The log is partitioned by a hash of the lead, so a batch reads back only
+the partitions of its own leads.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ REMINDER_DDL = "lead_id string, event_id string, due_at timestamp, note string"
 LINK_DDL = "left_id string, right_id string, confidence double, reason string, key string"
 
 
+BUCKETS = 64
+
+
 def _batch_path(path: str, batch_id: int) -> str:
     return f"{path}/batch={batch_id}"
 
@@ -33,6 +37,20 @@ def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return spark.read.schema(f"{ddl}, batch bigint").parquet(path)
 
 
+def _append(batch: DataFrame, path: str, batch_id: int, key: str) -> list[int]:
+    """Store the batch under its id, split by bucket; returns the buckets it touched (at most BUCKETS)."""
+    bucketed = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+    bucketed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(_batch_path(path, batch_id))
+    return [r.bucket for r in _stored(batch.sparkSession, path, "", batch_id).where(
+        F.col("batch") == batch_id).select("bucket").distinct().collect()]
+
+
+def _stored(spark: SparkSession, path: str, ddl: str, batch_id: int) -> DataFrame:
+    """Everything up to this batch; filters on `bucket` and `batch` only open the folders they name."""
+    columns = ", ".join(c for c in (ddl, "batch bigint", "bucket int") if c)
+    return spark.read.schema(columns).parquet(path).where(F.col("batch") <= batch_id)
+
+
 def distinct_events(stream: DataFrame) -> DataFrame:
     """Each (lead, event id) once. The seen ids are kept without time limit, as late copies must not count."""
     return stream.dropDuplicates(["lead_id", "event_id"])
@@ -58,11 +76,10 @@ def maintain_states(stream: DataFrame, log_path: str, state_path: str, checkpoin
     States are appended per batch; `current_states` reads the newest row of each lead.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(_batch_path(log_path, batch_id))
-        log = _read(spark, log_path, model.EVENT_DDL).where(F.col("batch") <= batch_id).drop("batch")
-        touched = spark.read.schema(model.EVENT_DDL).parquet(_batch_path(log_path, batch_id)).select("lead_id").distinct()
-        states = funnel.lead_states(log.join(touched, "lead_id", "left_semi"), as_of)
+        buckets = _append(batch, log_path, batch_id, "lead_id")
+        log = _stored(batch.sparkSession, log_path, model.EVENT_DDL, batch_id).where(F.col("bucket").isin(buckets))
+        touched = log.where(F.col("batch") == batch_id).select("lead_id").distinct()
+        states = funnel.lead_states(log.join(touched, "lead_id", "left_semi").drop("batch", "bucket"), as_of)
         states.write.mode("overwrite").parquet(_batch_path(state_path, batch_id))
 
     return _start(distinct_events(stream), handle, checkpoint)
@@ -77,14 +94,16 @@ def current_states(spark: SparkSession, state_path: str) -> DataFrame:
 def remind_overdue(stream: DataFrame, log_path: str, reminder_path: str, checkpoint: str) -> StreamingQuery:
     """Write each follow-up once when it becomes overdue; the clock is the newest event time seen so far.
 
-    Only leads with follow-ups are read again; a follow-up reported by an earlier batch is not repeated.
+    A follow-up reported by an earlier batch is not repeated. The clock moves for every lead at once, so each
+    batch looks at all open follow-ups; only the columns and event types this needs are read.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(_batch_path(log_path, batch_id))
         log = _read(spark, log_path, model.EVENT_DDL).where(F.col("batch") <= batch_id).drop("batch")
         now = log.agg(F.max("occurred_at")).first()[0]
-        overdue = funnel.open_follow_ups(log, F.lit(now)).where("overdue").select("lead_id", "event_id", "due_at", "note")
+        plans = log.where(F.col("type").isin("follow-up-scheduled", "follow-up-completed", "activity-voided"))
+        overdue = funnel.open_follow_ups(plans, F.lit(now)).where("overdue").select("lead_id", "event_id", "due_at", "note")
         if batch_id > 0:
             sent = _read(spark, reminder_path, REMINDER_DDL).where(F.col("batch") < batch_id)
             overdue = overdue.join(sent, ["lead_id", "event_id"], "left_anti")
@@ -106,11 +125,9 @@ def link_new_members(stream: DataFrame, member_path: str, link_path: str, checkp
     ddl = "key string, account_id string, confidence double, reason string"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.select("key", "account_id", "confidence", "reason").write.mode("overwrite").parquet(
-            _batch_path(member_path, batch_id))
-        members = _read(spark, member_path, ddl).where(F.col("batch") <= batch_id)
-        new = spark.read.schema(ddl).parquet(_batch_path(member_path, batch_id)).dropDuplicates(["key", "account_id"])
+        buckets = _append(batch.select("key", "account_id", "confidence", "reason"), member_path, batch_id, "key")
+        members = _stored(batch.sparkSession, member_path, ddl, batch_id).where(F.col("bucket").isin(buckets))
+        new = members.where(F.col("batch") == batch_id).drop("batch", "bucket").dropDuplicates(["key", "account_id"])
         heads = members.join(new.select("key").distinct(), "key", "left_semi").groupBy("key").agg(
             F.min_by("account_id", F.struct("batch", "account_id")).alias("head"))
         linked = dedup.lookup(new, heads, "key").where(F.col("head") != F.col("account_id"))
