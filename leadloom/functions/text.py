@@ -205,6 +205,21 @@ def pair_id(left: Column, right: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull() & (a != b), joined)
 
 
+def packed(major: Column, minor: Column, code: Column) -> Column:
+    """One decimal that orders by major, then minor, and carries a one-digit code.
+
+    Its maximum needs no sort: Spark keeps decimals, unlike text or structs, in the hash aggregate's buffer.
+    Major may use 17 digits, minor 19.
+    """
+    wide = "decimal(38,0)"
+    return (major.cast("decimal(18,0)") * F.lit("100000000000000000000").cast("decimal(21,0)")).cast(wide) + (
+        minor.cast("decimal(19,0)") * 10 + code.cast("decimal(1,0)")).cast(wide)
+
+
+def packed_code(value: Column) -> Column:
+    return F.when(value.isNotNull(), F.pmod(value, F.lit(10)).cast("int"))
+
+
 def days_between(later: Column, earlier: Column) -> Column:
     """Fractional days, at least 0, null when a side is missing."""
     days = (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(86400e6)

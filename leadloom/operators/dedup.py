@@ -156,26 +156,45 @@ def block_sizes(members: DataFrame) -> DataFrame:
     return members.groupBy("key").agg(F.first("reason").alias("reason"), F.count(F.lit(1)).alias("accounts"))
 
 
+def _entries(decisions: DataFrame) -> DataFrame:
+    """Decisions on two different leads whose pair id, if given, is that of the two."""
+    a, b = F.col("lead_id"), F.col("other_lead_id")
+    named = F.when(F.col("pair_id").isNotNull(), F.col("pair_id") == t.pair_id(a, b)).otherwise(True)
+    return decisions.where((a != "") & (b != "") & (a != b) & named).withColumn("left_id", F.least(a, b)).withColumn(
+        "right_id", F.greatest(a, b))
+
+
+def latest_verdicts(decisions: DataFrame) -> DataFrame:
+    """(left_id, right_id, decision) of the newest decision per pair, by a hash aggregate.
+
+    Same order as `latest_decisions`, without carrying notes and reasons along.
+    """
+    names = F.array(F.lit("reopened"), F.lit("same"), F.lit("distinct"))
+    side = (F.col("lead_id") > F.col("other_lead_id")).cast("decimal(1,0)")
+    # The side goes between time and entry number; entry numbers below 10^18 leave it a digit.
+    entry = side * F.lit("1000000000000000000").cast("decimal(19,0)") + F.col("seq").cast("decimal(18,0)")
+    when = F.coalesce(F.unix_micros("reviewed_at"), F.lit(-10**17))
+    newest = F.max(t.packed(when, entry, F.array_position(names, F.col("decision")) - 1))
+    merged = _entries(decisions).groupBy("left_id", "right_id").agg(newest.alias("_newest"))
+    return merged.select("left_id", "right_id", F.element_at(names, t.packed_code(F.col("_newest")) + 1).alias("decision"))
+
+
 def latest_decisions(decisions: DataFrame) -> DataFrame:
     """Newest decision per pair: latest time (missing time is oldest), then latest entry.
 
     The reviews of the pair's smaller id count as entered first. A plain aggregate with map-side combine.
     """
-    a, b = F.col("lead_id"), F.col("other_lead_id")
-    named = F.when(F.col("pair_id").isNotNull(), F.col("pair_id") == t.pair_id(a, b)).otherwise(True)
-    rows = decisions.where((a != "") & (b != "") & (a != b) & named)
     order = F.struct(
         F.coalesce(F.unix_micros("reviewed_at"), F.lit(-(2**62))),
         (F.col("lead_id") > F.col("other_lead_id")), F.col("seq"))
     value = F.struct("decision", "primary_lead_id", "reviewed_at", "note", "confidence", "reasons")
-    merged = rows.groupBy(F.least(a, b).alias("left_id"), F.greatest(a, b).alias("right_id")).agg(
-        F.max_by(value, order).alias("last"))
+    merged = _entries(decisions).groupBy("left_id", "right_id").agg(F.max_by(value, order).alias("last"))
     return merged.select(t.pair_id(F.col("left_id"), F.col("right_id")).alias("pair_id"), "left_id", "right_id", "last.*")
 
 
 def open_candidates(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     """Candidates that nobody has settled (a reopened pair is open again)."""
-    settled = latest_decisions(decisions).where(F.col("decision") != "reopened").select("left_id", "right_id")
+    settled = latest_verdicts(decisions).where(F.col("decision") != "reopened").select("left_id", "right_id")
     return candidates.join(settled, ["left_id", "right_id"], "left_anti").select(*candidates.columns)
 
 

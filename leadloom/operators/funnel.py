@@ -55,16 +55,15 @@ def _state_columns(as_of: Column) -> list[Column]:
     rank = F.lit(0)
     for event, stage in model.STAGE_OF_EVENT.items():
         rank = F.when(kind == event, model.STAGES.index(stage)).otherwise(rank)
-    entered = F.struct("occurred_at", "seq")
-    follow_up = F.struct("event_id", "due_at", "note")
+    code = F.when(kind == "won", 1).when(kind == "lost", 2).otherwise(0)
+    marker = t.packed(F.unix_micros("occurred_at"), F.col("seq"), code)
     return [
         F.max(rank).alias("_rank"),
-        F.max_by(kind, F.when(kind.isin("won", "lost", "reopened"), entered)).alias("_terminal"),
+        F.max(F.when(kind.isin("won", "lost", "reopened"), marker)).alias("_terminal"),
         *[F.bool_or(kind == _EVENT_OF_STAGE[s]).alias(s) for s in model.STAGES[1:]],
         F.max("occurred_at").alias("last_activity_at"),
         F.count_if(F.col("open")).alias("open_follow_ups"),
         F.count_if(F.col("open") & (F.col("due_at") < as_of)).alias("overdue_follow_ups"),
-        F.min_by(follow_up, F.when(F.col("open"), F.struct("due_at", "seq"))).alias("next_action"),
     ]
 
 
@@ -72,12 +71,17 @@ def lead_states(events: DataFrame, as_of: Column) -> DataFrame:
     """Stage, milestones, follow-up counts, next action and last activity per lead with active events.
 
     The stage is the highest rank reached unless the last of won/lost/reopened (by time, then entry)
-    closed the lead. Only associative aggregates are used: no sort, partial sums on the map side.
+    closed the lead. All events go through one hash aggregate with partial results on the map side; only the few
+    open follow-ups are read once more for the next action. Both sides are partitioned by lead for the join.
     """
-    grouped = with_completion(active_events(events)).groupBy("lead_id").agg(*_state_columns(as_of))
-    closed = F.col("_terminal").isin("won", "lost")
+    marked = with_completion(active_events(events))
+    numbers = marked.groupBy("lead_id").agg(*_state_columns(as_of))
+    upcoming = marked.where("open").groupBy("lead_id").agg(
+        F.min_by(F.struct("event_id", "due_at", "note"), F.struct("due_at", "seq")).alias("next_action"))
+    grouped = numbers.join(upcoming, "lead_id", "left")
+    last = t.packed_code(F.col("_terminal"))
     reached = F.element_at(F.array(*[F.lit(s) for s in model.STAGES]), F.col("_rank") + 1)
-    stage = F.when(closed, F.col("_terminal")).otherwise(reached)
+    stage = F.when(last == 1, "won").when(last == 2, "lost").otherwise(reached)
     return grouped.select(
         "lead_id", stage.alias("stage"), *model.STAGES[1:],
         (stage == "won").alias("won"), (stage == "lost").alias("lost"),

@@ -250,7 +250,7 @@ def order_frame(spark: SparkSession, folder: str, lines: DataFrame) -> DataFrame
 @query("order_totals", with_parts("SELECT order_id, amount::DOUBLE AS amount, cartons::DOUBLE AS cartons, gross::DOUBLE AS gross_weight_kg, net::DOUBLE AS net_weight_kg, n AS lines FROM totals WHERE order_id % 40 <> 7", **TRADE_PARTS))
 def order_totals(spark, folder):
     totals = trade.order_totals(line_frame(spark, folder))
-    return totals.where(F.col("line_refusal").isNull()).drop("line_refusal")
+    return totals.where(F.col("bad_lines") == 0).drop("bad_lines")
 
 
 @query("order_refusals", with_parts("SELECT order_id, refusal FROM status WHERE refusal IS NOT NULL", **TRADE_PARTS))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from leadloom import model
+from leadloom.functions import text as t
 from leadloom.operators import dedup, funnel
 
 STATE_DDL = (
@@ -61,13 +62,15 @@ def running_stages(stream: DataFrame) -> DataFrame:
     rank = F.lit(0)
     for event, stage in model.STAGE_OF_EVENT.items():
         rank = F.when(F.col("type") == event, model.STAGES.index(stage)).otherwise(rank)
-    terminal = F.col("type").isin("won", "lost", "reopened")
+    kind = F.col("type")
+    code = F.when(kind == "won", 1).when(kind == "lost", 2).otherwise(0)
+    marker = t.packed(F.unix_micros("occurred_at"), F.col("seq"), code)
     grouped = stream.groupBy("lead_id").agg(
         F.max(rank).alias("_rank"),
-        F.max_by("type", F.when(terminal, F.struct("occurred_at", "seq"))).alias("_terminal"))
+        F.max(F.when(kind.isin("won", "lost", "reopened"), marker)).alias("_terminal"))
     reached = F.element_at(F.array(*[F.lit(s) for s in model.STAGES]), F.col("_rank") + 1)
-    return grouped.select("lead_id", F.when(F.col("_terminal").isin("won", "lost"), F.col("_terminal")).otherwise(
-        reached).alias("stage"))
+    last = t.packed_code(F.col("_terminal"))
+    return grouped.select("lead_id", F.when(last == 1, "won").when(last == 2, "lost").otherwise(reached).alias("stage"))
 
 
 def maintain_states(stream: DataFrame, log_path: str, state_path: str, checkpoint: str, as_of: Column) -> StreamingQuery:
