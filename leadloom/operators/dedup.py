@@ -13,7 +13,7 @@ from leadloom.session import first_code, cut_lineage, lookup
 
 # Blocks up to this many accounts list every pair; larger ones list one link per member to the block's
 # first account. Both forms describe the same complete set: any two members of a block are candidates.
-PAIR_BLOCK = 50
+PAIR_BLOCK = 16
 HOLD_CONFIDENCE = 0.95
 SKEW_ROWS = 1_000_000
 
