@@ -72,13 +72,14 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, how: str
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest reachable node for every node of `edges` (columns a, b of type long): columns node, component.
 
-    Alternating large-star and small-star steps; every step keeps at most as many edges as it got and the
-    number of steps is logarithmic in the longest path. Each step aggregates before it shuffles, and its table is
-    written to the shared folder, so a lost executor costs one step.
+    Alternating large-star and small-star steps until every node hangs on one smaller node that hangs on none. A step
+    keeps at most as many edges as it got, and their number is logarithmic in the longest path. Each step aggregates
+    before it shuffles, and its table is written to the shared folder, so a lost executor costs one step.
     """
     edges = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
     for _ in range(rounds):
+        if _settled(edges):
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = keep(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
         large = keep(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
@@ -86,11 +87,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(down, "a").select(F.inline(F.array(
             F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))))
         edges = keep(small.where("a <> b").distinct(), "edges")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     else:
         raise RuntimeError("components did not settle")
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component")))
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every upper end has one lower end, and no lower end is an upper end."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+                                         F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up + down > 1 AND up > 0").isEmpty()

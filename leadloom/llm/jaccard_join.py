@@ -6,9 +6,9 @@ their hashes. Documents with equal sets form a class; classes are joined as foll
 1. Blocks. A class enters one block for each pair of neighbours among the first PREFIX items of its ordered set. Two
    sets with a likeness of 0.8 have a union in which at most a fifth of the items are not shared, so two shared
    items stand next to each other: for sets of up to PREFIX items always; for longer ones, whose order is random,
-   all PREFIX places would have to avoid it, with probability 1e-14.
-2. Stars. Each class meets one other per round, the smallest of its blocks under the round's order, and joins its
-   component if they link. Groups of copies of any size collapse with one comparison per member.
+   all PREFIX places would have to avoid it, with probability below 1e-11.
+2. Stars, in at most STARS rounds. Each class meets one other, the first head of its blocks under the round's order, and
+   joins its component if they link. Groups of copies of any size collapse with a comparison or two per member.
 3. Rest. Blocks that still hold several components are searched in full: all members of different components whose
    item counts in 64 ranges of hashes do not rule the likeness out. Large blocks are dealt in pairs of slices.
 Every comparison is a search in a `PrefixTree` of at most SLICE members around one probe. No pair is skipped unless a
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from leadloom.llm import words
 from leadloom.llm.common import components, free_name, join_hot, keep, register, table
-from leadloom.llm.prefix_tree import PrefixTree, needed
+from leadloom.llm.prefix_tree import PrefixTree
 
-SIZE, PERCENT, PREFIX, SLICE, BLOCK, STARS = 5, 80, 49, 512, 2048, 2
+SIZE, PERCENT, PREFIX, SLICE, BLOCK, STARS = 5, 80, 41, 512, 2048, 4
 
 
 def _set(shingles: np.ndarray) -> np.ndarray:
@@ -56,18 +56,19 @@ def _neighbours(items: np.ndarray) -> np.ndarray:
 
 def sketches(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, text_key, n (set size), node (its class; null for empty sets), blocks and ranges of every document."""
-    def build(batches):
-        for batch in batches:
-            rows = []
-            for w in words.of_texts(batch.text.tolist()):
+    @F.pandas_udf("n long, node long, blocks array<long>, ranges binary")
+    def build(texts: pd.Series) -> pd.DataFrame:
+        rows = [(0, None, None, None)] * len(texts)
+        for i, w in enumerate(words.of_texts(texts.tolist())):
+            if len(w):
                 items = _set(words.shingles(w, size))
-                rows.append((len(items), _node(items), _neighbours(items), _ranges(items)) if len(items) else (0, None, None, None))
-            out = pd.DataFrame(rows, columns=["n", "node", "blocks", "ranges"])
-            out["node"] = out["node"].astype("Int64")
-            yield pd.concat([batch[["doc_id", "text_key"]].reset_index(drop=True), out], axis=1)
+                rows[i] = len(items), _node(items), _neighbours(items), _ranges(items)
+        n, node, blocks, ranges = zip(*rows) if rows else ((), (), (), ())
+        return pd.DataFrame({"n": pd.array(n, "int64"), "node": pd.array(node, "Int64"), "blocks": pd.Series(blocks, dtype=object),
+                             "ranges": pd.Series(ranges, dtype=object)})
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInPandas(
-        build, "doc_id long, text_key long, n long, node long, blocks array<long>, ranges binary")
+    found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), build("text").alias("found"))
+    return found.select("doc_id", "text_key", "found.*")
 
 
 def _possible(n, m, a, b, percent: int):
@@ -76,18 +77,28 @@ def _possible(n, m, a, b, percent: int):
     return (100 + percent) * (n + m - apart) >= 2 * percent * (n + m)  # shared <= (n + m - apart) / 2
 
 
-def _stars(classes: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
-    """Pairs (node, probe): for each class the first other class, in the order of this turn, among its blocks."""
+def _shared_blocks(classes: DataFrame) -> DataFrame:
+    """node and block, for the blocks of two classes at least."""
     members = classes.select("node", F.explode("blocks").alias("block"))
-    if labels is not None:
-        members = members.join(labels, "node")
-    else:
+    shared_by = keep(members.groupBy("block").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "blocks")
+    return keep(join_hot(members, shared_by, "block", "times"), "members")
+
+
+def _live(members: DataFrame, labels: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Members with their component; the blocks of several components with their first member in the order of this turn."""
+    if labels is None:
         members = members.withColumn("component", F.col("node"))
+    else:
+        members = members.join(labels, "node")
     order = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node"), F.col("component"))
-    heads = (members.groupBy("block").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("times"),
+    blocks = members.groupBy("block").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("times"),
                                           F.min("component").alias("low"), F.max("component").alias("high"))
-             .where("low <> high").select("block", "times", "head"))
-    heads = keep(heads, "heads")
+    return members, keep(blocks.where("low <> high").select("block", "times", "head"), "heads")
+
+
+def _stars(members: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """Pairs (node, probe): for each class the first class of another component, in the order of this turn, among the heads of its blocks."""
+    members, heads = _live(members, labels, turn)
     met = join_hot(members, heads, "block", "times").where("head.component <> component")
     return met.groupBy("node").agg(F.min("head").alias("head")).select("node", F.col("head.node").alias("probe"))
 
@@ -96,8 +107,7 @@ def _sifted(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs that sizes and ranges leave possible."""
     light = classes.select("node", "n", "ranges")
     probes = light.select(F.col("node").alias("probe"), F.col("n").alias("probe_n"), F.col("ranges").alias("probe_ranges"))
-    pairs = keep(pairs, "pairs")
-    joined = pairs.join(light, "node").join(probes, "probe")
+    joined = keep(pairs, "pairs").join(light, "node").join(probes, "probe")
 
     @F.pandas_udf("boolean")
     def possible(n, m, a, b):
@@ -108,8 +118,7 @@ def _sifted(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) among (node, probe) that link, each searched in a tree of at most SLICE members."""
-    pairs = keep(pairs, "pairs")
+    """Those of the written pairs (node, probe) that link, as (a, b); each is searched in a tree of at most SLICE members."""
     nodes = pairs.select("node").unionByName(pairs.select(F.col("probe").alias("node"))).distinct()
     wanted = keep(nodes.join(classes, "node").select("node", "rep", "rep_key"), "wanted")
     texts = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text")).join(
@@ -120,31 +129,29 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, pe
             items = [_set(words.shingles(w, size)).tobytes() for w in words.of_texts(batch.text.tolist())]
             yield pd.DataFrame({"node": batch.node, "items": items})
 
-    sets = keep(texts.mapInPandas(build, "node long, items binary").dropDuplicates(["node"]), "sets")
+    sets = keep(texts.mapInPandas(build, "node long, items binary"), "sets")
     probes = keep(pairs.groupBy("probe").agg(F.count(F.lit(1)).alias("times"))
-                  .withColumn("slices", F.ceil(F.col("times") / SLICE).cast("int")), "probes")
+                  .withColumn("slices", F.ceil(F.col("times") / SLICE)), "probes")
     dealt = join_hot(pairs, probes, "probe", "times").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")))
-    members = dealt.join(sets, "node").select("probe", "slice", "node", "items")
+    members = dealt.join(sets, "node").select("probe", "slice", "node", F.lit(False).alias("head"), "items")
     heads = probes.join(sets, probes["probe"] == sets["node"]).select(
-        "probe", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices").cast("long") - 1)).alias("slice"), F.lit(None).cast("long").alias("node"), "items")
+        "probe", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "node", F.lit(True).alias("head"), "items")
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        at_head = group.node.isna().to_numpy()
-        head, rest = group[at_head], group[~at_head]
+        group = group.drop_duplicates(["node", "head"])
+        probe, rest = group[group["head"]]["items"].iloc[0], group[~group["head"]]
         tree = PrefixTree([np.frombuffer(x, "<u8") for x in rest["items"]])
-        found = tree.search(np.frombuffer(head["items"].iloc[0], "<u8"), percent)
-        names = rest["node"].to_numpy()
-        return pd.DataFrame({"a": [int(names[i]) for i in found], "b": int(head["probe"].iloc[0])}, columns=["a", "b"]).astype("int64")
+        found = tree.search(np.frombuffer(probe, "<u8"), percent)
+        a = rest["node"].to_numpy(np.int64)[found]
+        return pd.DataFrame({"a": a, "b": np.full(len(a), group["probe"].iloc[0], np.int64)})
 
-    both = members.unionByName(heads)
-    return both.groupBy("probe", "slice").applyInPandas(search, "a long, b long")
+    return members.unionByName(heads).groupBy("probe", "slice").applyInPandas(search, "a long, b long")
 
 
-def _rest(classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _rest(members: DataFrame, labels: DataFrame | None, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that share a block and that sizes and ranges leave possible."""
-    members = keep(classes.select("node", F.explode("blocks").alias("block")).join(labels, "node"), "members")
-    mixed = members.groupBy("block").agg(F.count(F.lit(1)).alias("times"), F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = keep(mixed.where("low <> high").select("block", "times", F.ceil(F.col("times") / BLOCK).cast("int").alias("slices")), "mixed")
+    members, mixed = _live(members, labels, 0)
+    mixed = keep(mixed.select("block", "times", F.ceil(F.col("times") / BLOCK).cast("int").alias("slices")), "mixed")
     inside = join_hot(members, mixed, "block", "times").withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
     inside = keep(inside.select("node", "block", "component", "own", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other")), "inside")
     light = classes.select("node", "n", "ranges")
@@ -158,8 +165,7 @@ def _rest(classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         one_slice = group.i.iloc[0] == group.j.iloc[0]
         a, b = [], []
         for k in range(len(group) - 1):
-            stop = int(np.searchsorted(n, 100 * n[k] // percent, "right"))
-            near = slice(k + 1, stop)
+            near = slice(k + 1, int(np.searchsorted(n, 100 * n[k] // percent, "right")))
             ok = (part[near] != part[k]) & ((own[near] != own[k]) | one_slice)
             ok &= _possible(n[near], n[k], ranges[near], ranges[k], percent)
             hits = np.flatnonzero(ok) + k + 1
@@ -177,16 +183,20 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     classes = found.where("node IS NOT NULL").groupBy("node").agg(
         least.alias("least"), F.max("n").alias("n"), F.first("blocks").alias("blocks"), F.first("ranges").alias("ranges"), F.count(F.lit(1)).alias("copies"))
     classes = keep(classes.select("node", "n", "blocks", "ranges", "copies", "least", F.col("least.doc_id").alias("rep"), F.col("least.text_key").alias("rep_key")), "classes")
-    links, labels = None, None
-    for turn in range(STARS + 1):
-        pairs = _stars(classes, labels, turn, percent) if turn < STARS else _rest(classes, labels, percent)
-        if turn < STARS:
-            pairs = _sifted(pairs, classes, percent)
-        new = keep(_linked(pairs, docs, classes, size, percent), "links")
+    members, links, labels, stars = _shared_blocks(classes), None, None, STARS
+    while stars >= 0:
+        pairs = _sifted(_stars(members, labels, stars), classes, percent) if stars else _rest(members, labels, classes, percent)
+        pairs = keep(pairs, "pairs")
+        new = None if pairs.isEmpty() else keep(_linked(pairs, docs, classes, size, percent), "links")
+        if new is None or new.isEmpty():  # no star helps any more: what is left is searched in full
+            stars = 0 if stars else -1
+            continue
+        stars -= 1
         links = new if links is None else links.unionByName(new)
-        linked = keep(components(links), "components")
+        linked = components(links)
         labels = keep(classes.select("node").join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
-    whole = classes.join(labels, "node").select("node", "component", "least", "copies")
+    whole = classes.withColumn("component", F.col("node")) if labels is None else classes.join(labels, "node")
+    whole = whole.select("node", "component", "least", "copies")
     firsts = whole.groupBy("component").agg(F.min("least").alias("first"))
     named = keep(whole.join(firsts, "component").select("node", "copies", "first"), "named")
     empty = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_key"))
