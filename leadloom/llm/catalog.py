@@ -4,7 +4,7 @@ import importlib
 
 from leadloom.llm.common import ORACLES, QUERIES
 
-for _operator in ("toxicity", "line_dedup", "jaccard_join"):
+for _operator in ("packing", "line_dedup", "jaccard_join", "toxicity"):
     importlib.import_module(f"leadloom.llm.{_operator}")
 
 __all__ = ["ORACLES", "QUERIES"]
