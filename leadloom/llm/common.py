@@ -57,8 +57,9 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, how: str
     hot = right.where(F.col(weight) * HOT_SHARE > F.lit(total))
     hot = hot.select(F.col(key).alias("_hot_key"), F.struct(*extra).alias("_hot_value"))
     cold = right.where(F.col(weight) * HOT_SHARE <= F.lit(total)).select(F.col(key).alias("_cold_key"), F.struct(*extra).alias("_cold_value"))
+    spread = F.xxhash64(*[c for c, kind in left.dtypes if "map<" not in kind])
     found = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    found = found.withColumn("_spread", F.when(F.col("_hot_key").isNotNull() | F.col(key).isNull(), F.xxhash64(*left.columns)))
+    found = found.withColumn("_spread", F.when(F.col("_hot_key").isNotNull() | F.col(key).isNull(), spread))
     # A shuffled row carries its key and a spread that is 0 for the rows still to be matched.
     cold = cold.withColumn("_cold_spread", F.lit(0).cast("long"))
     joined = found.join(cold, (F.col(key) == F.col("_cold_key")) & (F.coalesce("_spread", F.lit(0).cast("long")) == F.col("_cold_spread")), "left")
