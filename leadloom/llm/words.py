@@ -35,7 +35,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first and end byte of every word of `data`."""
+    """Hash, first byte and ending of every word of `data`; the ending is a number for the word's last two bytes."""
     low = np.frombuffer(data, np.uint8)
     low = np.where((low >= 65) & (low <= 90), low + np.uint8(32), low)
     inside = np.zeros(len(low) + 2, np.int8)
@@ -46,7 +46,9 @@ def hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     total = np.zeros(len(low) + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
     value = (total[end] - total[start]) * down[start]
-    return mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start, end
+    before = np.where(end - start > 1, low[end - 2], 0) if len(end) else end
+    ending = low[end - 1].astype(np.int64) + 256 * before.astype(np.int64)
+    return mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start, ending
 
 
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
