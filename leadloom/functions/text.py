@@ -129,15 +129,16 @@ def currency(c: ColumnLike) -> Column:
     return F.when(code.rlike("^[A-Z]{3}$"), code)
 
 
-def split_list(c: ColumnLike, item_limit: int = 200, keep: int = 20) -> Column:
+def split_list(c: ColumnLike) -> Column:
     """Parts of a list written with | or ; (also full width), blank parts dropped."""
-    parts = F.transform(F.split(F.substring(trimmed(c), 1, 2000), "[|;；]"), lambda x: text(x, item_limit))
-    return F.slice(F.array_compact(F.coalesce(parts, F.array().cast("array<string>"))), 1, keep)
+    parts = F.transform(F.split(trimmed(c), "[|;；]"), lambda x: text(x))
+    return F.array_compact(F.coalesce(parts, F.array().cast("array<string>")))
 
 
-def distinct_first(values: Column, keep: int) -> Column:
-    """Distinct non-blank members in first-seen order, at most `keep`."""
-    return F.slice(F.array_distinct(F.array_compact(values)), 1, keep)
+def distinct_first(values: Column, keep: int | None = None) -> Column:
+    """Distinct members that are not null in first-seen order; the first `keep`, if given."""
+    found = F.array_distinct(F.array_compact(values))
+    return found if keep is None else F.slice(found, 1, keep)
 
 
 def _normal_form(form: str):
@@ -153,17 +154,16 @@ def _unicode_form(c: Column, form: str) -> Column:
     return F.coalesce(_normal_form(form)(F.when(foreign, c)), c)
 
 
-def name_key(c: ColumnLike, ascii_only: bool = False) -> Column:
+def name_key(c: ColumnLike) -> Column:
     """Comparison key of a name: lower case, compatibility form, letters and digits of any script."""
-    lowered = F.lower(col(c))
-    folded = lowered if ascii_only else _unicode_form(lowered, "NFKC")
+    folded = _unicode_form(F.lower(col(c)), "NFKC")
     return F.nullif(F.regexp_replace(folded, r"[^\p{L}\p{N}]", ""), F.lit(""))
 
 
-def ascii_name_parts(c: ColumnLike, ascii_only: bool = False) -> Column:
+def ascii_name_parts(c: ColumnLike) -> Column:
     """Lower-case ASCII words of a person's name, accents removed."""
-    value = F.substring(trimmed(c), 1, 200)
-    plain = value if ascii_only else F.regexp_replace(_unicode_form(value, "NFKD"), r"\p{M}", "")
+    value = trimmed(c)
+    plain = F.regexp_replace(_unicode_form(value, "NFKD"), r"\p{M}", "")
     parts = F.split(F.lower(plain), "[^a-z0-9]+")
     return F.coalesce(F.filter(parts, lambda x: x != ""), F.array().cast("array<string>"))
 

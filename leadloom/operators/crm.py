@@ -56,10 +56,10 @@ def import_rows(leads: DataFrame, qualified: DataFrame, effective: DataFrame, im
         F.struct(
             "lead_id", F.when(F.col("grade").isin(*model.GRADES), F.col("grade")).otherwise("D").alias("grade"),
             F.greatest(F.lit(0), F.least(F.lit(100), F.col("score"))).cast("int").alias("score"),
-            t.text("source", 80).alias("source"), t.text("source_reference", 1000).alias("source_reference"),
-            t.text("inquiry.product", 300).alias("product"), t.text("inquiry.quantity", 200).alias("quantity"),
-            t.text("inquiry.timeline", 200).alias("timeline"), t.text("inquiry.budget", 200).alias("budget"),
-            t.text("inquiry.message", 8000).alias("inquiry_message"), t.text("next_action", 1000).alias("next_action"),
+            t.text("source").alias("source"), t.text("source_reference").alias("source_reference"),
+            t.text("inquiry.product").alias("product"), t.text("inquiry.quantity").alias("quantity"),
+            t.text("inquiry.timeline").alias("timeline"), t.text("inquiry.budget").alias("budget"),
+            t.text("inquiry.message").alias("inquiry_message"), t.text("next_action").alias("next_action"),
             F.slice("missing", 1, 20).alias("missing"),
             F.least(F.lit(999), F.coalesce("evidence_count", F.lit(0))).cast("int").alias("evidence_count"),
             imported_at.alias("imported_at")).cast(PROFILE_DDL).alias("profile"))
@@ -144,7 +144,7 @@ def migrate_customers(rows: DataFrame, now: Column) -> DataFrame:
         F.coalesce(column("managed", "map<string,string>"), F.create_map().cast("map<string,string>")),
         lambda k, v: k.isin(*MANAGED_FIELDS) & (F.coalesce(t.trimmed(v), F.lit("")) != ""))
     typed = rows.select(
-        t.text(column("customer_id"), 100).alias("customer_id"), short("name", 80).alias("name"),
+        t.text(column("customer_id")).alias("customer_id"), short("name", 80).alias("name"),
         short("company", 120).alias("company"), short("country", 80).alias("country"),
         F.lower(short("email", 254)).alias("email"), short("whatsapp", 80).alias("whatsapp"),
         short("notes", 1000).alias("notes"), column("profile", PROFILE_DDL).alias("profile"),
@@ -163,12 +163,12 @@ def append_replies(history: DataFrame, added: DataFrame, keep: int = REPLIES_KEP
     """
     def typed(rows: DataFrame) -> DataFrame:
         return rows.select(
-            "workspace_id", t.text("reply_id", 100).alias("reply_id"), "created_at",
-            F.coalesce(t.text("customer_id", 100), F.lit("")).alias("customer_id"),
-            F.coalesce(t.text("inbound", 8000), F.lit("")).alias("inbound"),
-            F.coalesce(t.text("scenario_id", 40), F.lit("inquiry")).alias("scenario_id"),
-            F.coalesce(t.text("reply", 12000), F.lit("")).alias("reply"),
-            F.coalesce(t.text("mode", 20), F.lit("generic")).alias("mode"),
+            "workspace_id", t.text("reply_id").alias("reply_id"), "created_at",
+            F.coalesce(t.text("customer_id"), F.lit("")).alias("customer_id"),
+            F.coalesce(t.text("inbound"), F.lit("")).alias("inbound"),
+            F.coalesce(t.text("scenario_id"), F.lit("inquiry")).alias("scenario_id"),
+            F.coalesce(t.text("reply"), F.lit("")).alias("reply"),
+            F.coalesce(t.text("mode"), F.lit("generic")).alias("mode"),
             F.when(F.col("provider") == "ai", "ai").otherwise("template").alias("provider"))
 
     newest = Window.partitionBy("workspace_id").orderBy(F.desc("created_at"), F.desc("reply_id"))

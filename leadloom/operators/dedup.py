@@ -11,20 +11,18 @@ from leadloom.functions import text as t
 from leadloom.functions.web import host_of
 from leadloom.session import first_code, cut_lineage, lookup
 
-# Blocks up to this many accounts list every pair; larger ones list one link per member to the block's
-# first account. Both forms describe the same complete set: any two members of a block are candidates.
-PAIR_BLOCK = 16
+# Any two accounts of a block are candidates. Candidates are written as links: each account of a block is linked to the
+# first other one it has no settled decision with. `is_candidate` answers for any single pair.
 HOLD_CONFIDENCE = 0.95
-SKEW_ROWS = 1_000_000
 
 
-def fingerprints(leads: DataFrame, effective: DataFrame, ascii_names: bool = False) -> DataFrame:
+def fingerprints(leads: DataFrame, effective: DataFrame) -> DataFrame:
     """Blocking keys of each lead with the confidence and reason a shared key gives."""
     reference = F.concat(F.lit("source:"), F.col("source"), F.lit(":"), F.col("source_reference"))
     registration = F.concat(F.lit("registration:"), F.lower("organization.registration_id"))
     domain = F.concat(F.lit("domain:"), host_of(F.coalesce("organization.domain", "organization.website")))
-    name = t.name_key(F.col("organization.name"), ascii_names)
-    country = t.name_key(F.col("organization.country"), ascii_names)
+    name = t.name_key(F.col("organization.name"))
+    country = t.name_key(F.col("organization.country"))
     company = F.concat(F.lit("name-country:"), name, F.lit(":"), country)
 
     def entry(key: Column, confidence: float, reason: str) -> Column:
@@ -81,9 +79,7 @@ def _resolve(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         ahead = state.select(
             F.col("lead_id").alias("master_id"), F.col("master_id").alias("_next"), F.col("done").alias("_done"))
         open_links = state.where(~F.col("done"))
-        # Few links cannot make a task too large; many may share a target.
-        join = lookup if remaining > SKEW_ROWS else DataFrame.join
-        moved = join(open_links, ahead, "master_id", "left").select(
+        moved = lookup(open_links, ahead, "master_id", "left").select(
             "lead_id", F.coalesce("_next", "master_id").alias("master_id"),
             (F.col("_next").isNull() | F.col("_done")).alias("done"))
         state = cut_lineage(state.where("done").unionByName(moved), "links")
@@ -102,53 +98,66 @@ def block_members(keys: DataFrame, masters: DataFrame) -> DataFrame:
     return mapped.dropDuplicates(["key", "account_id"])
 
 
-def candidate_links(members: DataFrame, pair_block: int = PAIR_BLOCK) -> DataFrame:
-    """(left_id, right_id, confidence, reason, block_pairs): pairs of small blocks, links of large ones.
+def candidate_links(members: DataFrame, settled: DataFrame | None = None) -> DataFrame:
+    """(left_id, right_id), distinct: each account with the first other account of each of its blocks, settled pairs left out.
 
-    The rank limit runs before the shuffle, so a key shared by a third of all leads ships at most
-    pair_block + 1 rows per input task. Members of large blocks are linked through `lookup`, which keeps
-    hot keys out of the shuffle.
+    The first two accounts of a block come from an aggregate; a member whose link is settled looks further down its
+    block. It has to pass at most as many accounts as it has settled pairs there, so a block's first accounts up to the largest
+    such number suffice; the rank limit that finds them runs before the shuffle.
     """
+    heads = members.groupBy("key").agg(F.min("account_id").alias("head"), F.max("account_id").alias("last"), F.count(F.lit(1)).alias("accounts"))
+    heads = heads.where(F.col("head") < F.col("last")).select("key", "head")
+    others = lookup(members.select("key", "account_id"), heads, "key")
+    links = others.where(F.col("account_id") != F.col("head")).select("key", "account_id", F.col("head").alias("other_id"))
+    pair = F.least("account_id", "other_id").alias("left_id"), F.greatest("account_id", "other_id").alias("right_id")
+    if settled is None:
+        return links.select(*pair).distinct()
+
+    done = cut_lineage(settled.select("left_id", "right_id").distinct().select(F.inline(F.array(
+        F.struct(F.col("left_id").alias("account_id"), F.col("right_id").alias("other_id")),
+        F.struct(F.col("right_id").alias("account_id"), F.col("left_id").alias("other_id"))))), "settled")
+    links = cut_lineage(links, "links")
+    free = links.join(done, ["account_id", "other_id"], "left_anti")
+    stuck = cut_lineage(links.join(done, ["account_id", "other_id"], "left_semi").select("key", "account_id"), "stuck")
+    # A block's head needs a link of its own only when all links to it are settled.
+    lone = heads.select("key", F.col("head").alias("account_id")).join(stuck.select("key").distinct(), "key", "left_semi").join(
+        free.select("key", F.col("other_id").alias("account_id")).distinct(), ["key", "account_id"], "left_anti")
+    stuck = cut_lineage(stuck.unionByName(lone), "stuck")
+    inside = done.join(stuck.select("key", "account_id"), "account_id").join(
+        members.select("key", F.col("account_id").alias("other_id")), ["key", "other_id"], "left_semi")
+    inside = cut_lineage(inside.select("key", "account_id", "other_id"), "settled-inside")
+    most = inside.groupBy("key", "account_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     order = Window.partitionBy("key").orderBy("account_id")
-    first = members.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= pair_block + 1)
-    blocks = first.groupBy("key").agg(
-        F.array_sort(F.collect_list("account_id")).alias("ids"),
-        F.first("confidence").alias("confidence"), F.first("reason").alias("reason"),
-    ).where(F.size("ids") > 1)
-
-    small = blocks.where(F.size("ids") <= pair_block)
-    pairs = F.flatten(F.transform("ids", lambda left, i: F.transform(
-        F.slice("ids", i + 2, F.lit(pair_block)),
-        lambda right: F.struct(left.alias("left_id"), right.alias("right_id")))))
-    listed = small.select(F.inline(pairs), "confidence", "reason", F.lit(True).alias("listed"))
-
-    large = blocks.where(F.size("ids") > pair_block).select("key", F.col("ids")[0].alias("left_id"))
-    linked = lookup(members, large, "key").where(F.col("account_id") != F.col("left_id")).select(
-        "left_id", F.col("account_id").alias("right_id"), "confidence", "reason", F.lit(False).alias("listed"))
-    return listed.unionByName(linked)
+    firsts = members.select("key", "account_id").join(stuck.select("key").distinct(), "key", "left_semi").withColumn(
+        "rank", F.row_number().over(order)).where(F.col("rank") <= most + 2)
+    # A member skips itself and its settled pairs: the first rank that is not taken by them.
+    ranked = firsts.select("key", F.col("account_id").alias("other_id"), "rank")
+    taken = inside.unionByName(stuck.select("key", "account_id", F.col("account_id").alias("other_id"))).join(ranked, ["key", "other_id"])
+    taken = taken.groupBy("key", "account_id").agg(F.array_sort(F.collect_set("rank")).alias("ranks"))
+    gap = F.filter(F.sequence(F.lit(1), F.size("ranks") + 1), lambda r: ~F.array_contains("ranks", r))[0]
+    wanted = stuck.join(taken, ["key", "account_id"], "left").select("key", "account_id", F.coalesce(gap, F.lit(1)).alias("rank"))
+    moved = wanted.join(ranked, ["key", "rank"]).select("key", "account_id", "other_id")
+    return free.unionByName(moved).select(*pair).distinct()
 
 
 def duplicate_candidates(leads: DataFrame, effective: DataFrame, masters: DataFrame | None = None,
-                         pair_block: int = PAIR_BLOCK, ascii_names: bool = False) -> DataFrame:
-    """One row per candidate pair with its best confidence, hold recommendation and reasons.
+                         decisions: DataFrame | None = None) -> DataFrame:
+    """Links between candidate accounts with their best confidence, hold recommendation and all reasons, best first.
 
-    `all_pairs_listed` is false for links that stand for a block of more than `pair_block` accounts.
+    Any two accounts of a block are candidates; the links join all accounts of a block, one link or less per account
+    and block. With `decisions`, settled pairs are left out and every account that still has an open pair has a link.
     """
     masters = masters if masters is not None else master_links(leads)
-    members = block_members(fingerprints(leads, effective, ascii_names), masters)
-    # Read by the pair branch and by both branches of the lookup.
-    return roll_up(candidate_links(cut_lineage(members, "members"), pair_block))
+    members = cut_lineage(block_members(fingerprints(leads, effective), masters), "members")
+    settled = None if decisions is None else latest_verdicts(decisions).where(F.col("decision") != "reopened")
+    return describe_links(candidate_links(members, settled), members)
 
 
-def roll_up(links: DataFrame) -> DataFrame:
-    merged = links.groupBy("left_id", "right_id").agg(
-        F.max("confidence").alias("confidence"),
-        F.array_sort(F.collect_set("reason")).alias("reasons"),  # five reasons exist
-        F.bool_and("listed").alias("all_pairs_listed"),
-    )
+def describe_links(links: DataFrame, members: DataFrame) -> DataFrame:
+    merged = is_candidate(links, members)
     return merged.select(
         t.pair_id(F.col("left_id"), F.col("right_id")).alias("pair_id"), "left_id", "right_id", "confidence",
-        (F.col("confidence") >= HOLD_CONFIDENCE).alias("hold_recommended"), "reasons", "all_pairs_listed")
+        (F.col("confidence") >= HOLD_CONFIDENCE).alias("hold_recommended"), "reasons").orderBy(F.desc("confidence"), "pair_id")
 
 
 def block_sizes(members: DataFrame) -> DataFrame:
@@ -192,10 +201,9 @@ def latest_decisions(decisions: DataFrame) -> DataFrame:
     return merged.select(t.pair_id(F.col("left_id"), F.col("right_id")).alias("pair_id"), "left_id", "right_id", "last.*")
 
 
-def open_candidates(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Candidates that nobody has settled (a reopened pair is open again)."""
-    settled = latest_verdicts(decisions).where(F.col("decision") != "reopened").select("left_id", "right_id")
-    return candidates.join(settled, ["left_id", "right_id"], "left_anti").select(*candidates.columns)
+def open_candidates(leads: DataFrame, effective: DataFrame, decisions: DataFrame, masters: DataFrame | None = None) -> DataFrame:
+    """Links for the pairs that nobody has settled (a reopened pair is open again)."""
+    return duplicate_candidates(leads, effective, masters, decisions)
 
 
 def standing_decisions(decisions: DataFrame, leads: DataFrame) -> DataFrame:
@@ -210,18 +218,24 @@ def standing_decisions(decisions: DataFrame, leads: DataFrame) -> DataFrame:
 def is_candidate(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """For given pairs (left_id, right_id), the confidence and reasons of the keys they share.
 
-    Answers for any pair without listing the pairs of a block.
+    Answers for any pair without listing the pairs of a block: the keys of the account that has fewer are looked up
+    among those of the other, so an account with very many keys is never written out per pair.
     """
-    keyed = pairs.select("left_id", "right_id").distinct()
-    left = keyed.join(members.withColumnRenamed("account_id", "left_id"), "left_id")
-    right = members.select(F.col("account_id").alias("right_id"), "key")
-    shared = left.join(right, ["right_id", "key"])
+    pairs = pairs.select("left_id", "right_id").distinct()
+    wide = members.groupBy("account_id").agg(F.count(F.lit(1)).alias("keys"))
+    sized = lookup(lookup(pairs, wide.select(F.col("account_id").alias("left_id"), F.col("keys").alias("left_keys")), "left_id"),
+                   wide.select(F.col("account_id").alias("right_id"), F.col("keys").alias("right_keys")), "right_id")
+    turned = F.col("left_keys") > F.col("right_keys")
+    probes = sized.select("left_id", "right_id", F.when(turned, F.col("right_id")).otherwise(F.col("left_id")).alias("account_id"),
+                          F.when(turned, F.col("left_id")).otherwise(F.col("right_id")).alias("other_id"))
+    keyed = probes.join(members, "account_id").select("left_id", "right_id", "other_id", "key", "confidence", "reason")
+    shared = keyed.join(members.select(F.col("account_id").alias("other_id"), "key"), ["other_id", "key"], "left_semi")
     return shared.groupBy("left_id", "right_id").agg(
         F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
 def review_pairs(leads: DataFrame, effective: DataFrame, decisions: DataFrame, proposals: DataFrame,
-                 masters: DataFrame | None = None, ascii_names: bool = False) -> DataFrame:
+                 masters: DataFrame | None = None) -> DataFrame:
     """Judge proposed decisions on pairs: `outcome` is accepted, deferred or the refusal code.
 
     Proposals: left_id, right_id, decision, primary_lead_id, note, reviewed_at, seq. A proposal is
@@ -229,11 +243,12 @@ def review_pairs(leads: DataFrame, effective: DataFrame, decisions: DataFrame, p
     on its result and come back as deferred, to be sent again after the accepted rows were appended.
     """
     masters = masters if masters is not None else master_links(leads)
-    members = block_members(fingerprints(leads, effective, ascii_names), masters)
+    members = cut_lineage(block_members(fingerprints(leads, effective), masters), "members")
     p = proposals.select(
         F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"),
-        "decision", t.text("primary_lead_id").alias("primary_lead_id"), t.text("note", 1000).alias("note"),
+        "decision", t.text("primary_lead_id").alias("primary_lead_id"), t.text("note").alias("note"),
         "reviewed_at", "seq")
+    p = cut_lineage(p, "proposals")
 
     ends = p.select("seq", F.explode(F.array_distinct(F.array("left_id", "right_id"))).alias("end_id"))
     first_of_end = ends.groupBy("end_id").agg(F.min("seq").alias("first_seq"))
@@ -304,12 +319,11 @@ def apply_reviews(leads: DataFrame, decisions: DataFrame, judged: DataFrame) ->
     return updated.select(*leads.columns), decisions.unionByName(log.select(*decisions.columns))
 
 
-def review_all(leads: DataFrame, effective: DataFrame, decisions: DataFrame, proposals: DataFrame,
-               ascii_names: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def review_all(leads: DataFrame, effective: DataFrame, decisions: DataFrame, proposals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Judge and apply a batch to the end: as many passes as the longest chain of dependent proposals."""
     done: list[DataFrame] = []
     while True:
-        judged = cut_lineage(review_pairs(leads, effective, decisions, proposals, None, ascii_names), "judged")
+        judged = cut_lineage(review_pairs(leads, effective, decisions, proposals), "judged")
         leads, decisions = apply_reviews(leads, decisions, judged)
         leads, decisions = cut_lineage(leads, "leads"), cut_lineage(decisions, "decisions")
         done.append(judged.where(F.col("outcome") != "deferred"))

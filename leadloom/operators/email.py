@@ -13,13 +13,13 @@ CANDIDATES_KEPT = 10  # fixed value
 ROLES = (("sales", "sales-team"), ("export", "export-team"), ("info", "general-information"))  # fixed values
 
 
-def email_candidates(people: DataFrame, ascii_names: bool = False) -> DataFrame:
+def email_candidates(people: DataFrame) -> DataFrame:
     """At most ten address candidates per person (person_id, full_name, domain); no shuffle.
 
     Rows whose domain is no company domain yield nothing (see `refused_domains`).
     """
     staged = people.select("person_id", company_domain(F.col("domain")).alias("domain"),
-                           t.ascii_name_parts("full_name", ascii_names).alias("_parts")).where(
+                           t.ascii_name_parts("full_name").alias("_parts")).where(
         F.col("domain").isNotNull())
     first = F.coalesce(F.get("_parts", F.lit(0)), F.lit(""))
     last = F.when(F.size("_parts") > 1, F.element_at("_parts", -1)).otherwise("")

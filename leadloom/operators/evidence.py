@@ -195,8 +195,8 @@ def check_reviews(evidence: DataFrame, reviews: DataFrame, actions: DataFrame) -
     # A revision of rejected evidence has no effect, so it must not feed later comparisons.
     staged = checked.withColumn("_refused_state", rejects())
     effective = valid & revised & ~F.col("_refused_state")
-    staged = staged.withColumn("_new_value", F.when(effective, t.text("value", 2000))).withColumn(
-        "_new_source", F.when(effective, t.text("source_ref", 2000)))
+    staged = staged.withColumn("_new_value", F.when(effective, t.text("value"))).withColumn(
+        "_new_source", F.when(effective, t.text("source_ref")))
     staged = staged.withColumn("from_value", last_before(F.col("_new_value"), "_value")).withColumn(
         "from_source", last_before(F.col("_new_source"), "_source"))
     changes_value = F.coalesce(t.comparable("_new_value") != t.comparable("from_value"), F.lit(False)) & F.col(
@@ -214,7 +214,7 @@ def check_reviews(evidence: DataFrame, reviews: DataFrame, actions: DataFrame) -
             F.lit("source_ref"), F.struct(F.col("from_source").alias("from"), F.col("_new_source").alias("to"))),
         lambda k, v: F.when(k == "value", changes_value).otherwise(changes_source))
     return staged.select(
-        "lead_id", "evidence_id", "seq", "action", t.text("note", 1000).alias("note"), "reviewed_at",
+        "lead_id", "evidence_id", "seq", "action", t.text("note").alias("note"), "reviewed_at",
         outcome.alias("outcome"), F.when(revised & (F.size(pair) > 0), pair).alias("changes"),
         F.when(changes_value, F.col("_new_value")).alias("to_value"), "from_value",
         F.when(changes_source, F.col("_new_source")).alias("to_source"))

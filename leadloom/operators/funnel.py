@@ -153,12 +153,12 @@ def check_proposals(leads: DataFrame, qualified: DataFrame, proposals: DataFrame
     """
     occurred = F.coalesce(F.col("occurred_at"), recorded_at)
     amount = F.col("amount").try_cast("decimal(18,2)")
-    currency = F.upper(t.text("currency", 3))
+    currency = F.upper(t.text("currency"))
     typed = proposals.select(
-        "lead_id", "seq", "type", occurred.alias("occurred_at"), F.lower(t.text("channel", 30)).alias("channel"),
-        t.text("note", 1000).alias("note"), "due_at", t.text("related_event_id", 160).alias("related_event_id"),
-        amount.alias("amount"), currency.alias("currency"), t.text("outcome_reason", 120).alias("outcome_reason"),
-        t.text("event_id", 160).alias("event_id"),
+        "lead_id", "seq", "type", occurred.alias("occurred_at"), F.lower(t.text("channel")).alias("channel"),
+        t.text("note").alias("note"), "due_at", t.text("related_event_id").alias("related_event_id"),
+        amount.alias("amount"), currency.alias("currency"), t.text("outcome_reason").alias("outcome_reason"),
+        t.text("event_id").alias("event_id"),
         (F.col("amount").isNotNull() & (amount.isNull() | (amount < 0))).alias("_bad_amount"),
     )
     made = t.content_id("dev", *[F.col(c).cast("string") for c in (

@@ -87,15 +87,15 @@ def normalize_evidence(df: DataFrame) -> DataFrame:
 def normalize_events(df: DataFrame) -> DataFrame:
     """Drop unusable development events and blank out bad channels, amounts and currencies."""
     occurred, due = t.moment_of(df, "occurred_at"), t.moment_of(df, "due_at")
-    related = t.text("related_event_id", 160)
+    related = t.text("related_event_id")
     amount = F.col("amount").try_cast("decimal(18,2)")
     typed = df.select(
-        "lead_id", t.text("event_id", 160).alias("event_id"), F.col("seq").cast("bigint").alias("seq"),
+        "lead_id", t.text("event_id").alias("event_id"), F.col("seq").cast("bigint").alias("seq"),
         F.col("type"), occurred.alias("occurred_at"),
-        t.one_of(F.col("channel"), model.CHANNELS).alias("channel"), t.text("note", 1000).alias("note"),
+        t.one_of(F.col("channel"), model.CHANNELS).alias("channel"), t.text("note").alias("note"),
         due.alias("due_at"), related.alias("related_event_id"),
         F.when(amount >= 0, amount).alias("amount"), t.currency("currency").alias("currency"),
-        t.text("outcome_reason", 120).alias("outcome_reason"),
+        t.text("outcome_reason").alias("outcome_reason"),
     )
     kept = typed.where(
         F.col("type").isin(*model.EVENT_TYPES) & F.col("occurred_at").isNotNull()
@@ -109,12 +109,12 @@ def normalize_events(df: DataFrame) -> DataFrame:
 
 def normalize_decisions(df: DataFrame) -> DataFrame:
     """Drop duplicate decisions without a valid verdict, other lead or (for `same`) primary."""
-    other, primary = t.text("other_lead_id", 160), t.text("primary_lead_id", 160)
-    reasons = F.transform(F.col("reasons"), lambda x: t.text(x, 240))
+    other, primary = t.text("other_lead_id"), t.text("primary_lead_id")
+    reasons = F.transform(F.col("reasons"), lambda x: t.text(x))
     return df.select(
-        t.text("pair_id", 380).alias("pair_id"), "lead_id", other.alias("other_lead_id"), "decision",
+        t.text("pair_id").alias("pair_id"), "lead_id", other.alias("other_lead_id"), "decision",
         F.when(F.col("decision") == "same", primary).alias("primary_lead_id"),
-        t.moment_of(df, "reviewed_at").alias("reviewed_at"), t.text("note", 1000).alias("note"),
+        t.moment_of(df, "reviewed_at").alias("reviewed_at"), t.text("note").alias("note"),
         t.clamped("confidence", 0, 1, 0.0).alias("confidence"),
         F.slice(F.array_compact(F.coalesce(reasons, F.array().cast("array<string>"))), 1, 20).alias("reasons"),
         F.col("seq").cast("bigint").alias("seq"),
@@ -127,11 +127,11 @@ def normalize_decisions(df: DataFrame) -> DataFrame:
 def normalize_origins(df: DataFrame) -> DataFrame:
     """Field origins on known paths with an evidence id."""
     return df.select(
-        "lead_id", t.text("path", 80).alias("path"), t.text("evidence_id", 120).alias("evidence_id"),
-        F.substring(t.trimmed("applied_value"), 1, 2000).alias("applied_value"),
+        "lead_id", t.text("path").alias("path"), t.text("evidence_id").alias("evidence_id"),
+        t.trimmed("applied_value").alias("applied_value"),
         t.moment_of(df, "applied_at").alias("applied_at"), t.moment_of(df, "updated_at").alias("updated_at"),
         F.coalesce(F.col("active"), F.lit(True)).alias("active"), t.moment_of(df, "ended_at").alias("ended_at"),
-        t.text("end_reason", 80).alias("end_reason"), F.col("seq").cast("bigint").alias("seq"),
+        t.text("end_reason").alias("end_reason"), F.col("seq").cast("bigint").alias("seq"),
     ).where(F.col("path").isin(*model.FIELD_PATHS) & F.col("evidence_id").isNotNull())
 
 
@@ -140,7 +140,7 @@ def normalize_reviews(df: DataFrame, keep: int = 50) -> DataFrame:
     changed = F.map_filter("changes", lambda k, v: k.isin("value", "source_ref") & ~v["from"].eqNullSafe(v["to"]))
     typed = df.select(
         "lead_id", "evidence_id", F.col("seq").cast("bigint").alias("seq"), "action",
-        F.col("decision"), t.moment_of(df, "reviewed_at").alias("reviewed_at"), t.text("note", 1000).alias("note"),
+        F.col("decision"), t.moment_of(df, "reviewed_at").alias("reviewed_at"), t.text("note").alias("note"),
         F.when(F.size(changed) > 0, changed).alias("changes"),
     ).where(F.col("action").isin(*model.REVIEW_ACTIONS))
     return newest(typed, ["lead_id", "evidence_id"], keep)

@@ -65,10 +65,10 @@ def normalize_prospects(df: DataFrame, observed_at: Column, product: str | None
     """
     reviewed = t.flag("original_page_reviewed", "已核查")
     url = http_url(F.col("source_url"))
-    excerpt = t.ellipsis("signal_excerpt", 2000)
+    excerpt = t.text("signal_excerpt")
     typed = df.select(
-        "ordinal", F.coalesce(t.ellipsis("company_name", 300), t.ellipsis("title", 300)).alias("company_name"),
-        t.text("company_domain").alias("company_domain"), t.ellipsis("title", 300).alias("title"),
+        "ordinal", F.coalesce(t.text("company_name"), t.text("title")).alias("company_name"),
+        t.text("company_domain").alias("company_domain"), t.text("title").alias("title"),
         url.alias("source_url"), t.moment_of(df, "published_at").alias("published_at"),
         F.coalesce(t.moment_of(df, "observed_at"), observed_at).alias("observed_at"),
         excerpt.alias("signal_excerpt"),

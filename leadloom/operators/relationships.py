@@ -23,13 +23,13 @@ CAP_WITHOUT_EVIDENCE = 49
 
 def normalize_paths(df: DataFrame) -> DataFrame:
     """Type relationship rows; the evidence ids may be text with | or ; between them."""
-    consent = F.lower(t.text("consent_status", 20))
+    consent = F.lower(t.text("consent_status"))
     ids = F.col("evidence_ids")
     if dict(df.dtypes)["evidence_ids"] == "string":
         ids = t.split_list("evidence_ids")
     return df.select(
-        t.text("connector_id", 200).alias("connector_id"), t.text("connector_name", 300).alias("connector_name"),
-        t.text("target_id", 200).alias("target_id"), t.text("target_name", 300).alias("target_name"),
+        t.text("connector_id").alias("connector_id"), t.text("connector_name").alias("connector_name"),
+        t.text("target_id").alias("target_id"), t.text("target_name").alias("target_name"),
         t.clamped("relationship_strength", 0, 5, 0.0).alias("relationship_strength"),
         t.moment_of(df, "last_contact_at").alias("last_contact_at"),
         *[t.flag(name).alias(name) for name, _, _ in FACT_POINTS],

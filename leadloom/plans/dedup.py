@@ -32,22 +32,31 @@ MEMBERS = """
 SELECT DISTINCT key, coalesce(master_id, f.lead_id) AS account_id, confidence, reason
 FROM fingerprints f LEFT JOIN masters m ON m.lead_id = f.lead_id
 """
-BLOCKS = "SELECT key, count(*) AS accounts, min(account_id) AS head FROM members GROUP BY key"
-LINKS = f"""
-SELECT a.account_id AS left_id, b.account_id AS right_id, a.confidence, a.reason, TRUE AS listed
-FROM members a JOIN members b ON a.key = b.key AND a.account_id < b.account_id JOIN blocks k ON k.key = a.key
-WHERE k.accounts <= {dedup.PAIR_BLOCK}
-UNION ALL SELECT k.head, m.account_id, m.confidence, m.reason, FALSE FROM members m JOIN blocks k ON k.key = m.key
-WHERE k.accounts > {dedup.PAIR_BLOCK} AND m.account_id <> k.head
+# The rule itself: any two accounts of a block are candidates; settled pairs are not open.
+ALL_PAIRS = """
+SELECT a.account_id AS left_id, b.account_id AS right_id, a.key, a.confidence, a.reason
+FROM members a JOIN members b ON a.key = b.key AND a.account_id < b.account_id
 """
-CANDIDATES = """
+
+
+def listed(pairs: str) -> str:
+    """Of all pairs: each account's first one in each block."""
+    return f"""
 SELECT 'duplicate:' || left_id || ':' || right_id AS pair_id, left_id, right_id, max(confidence) AS confidence,
-  max(confidence) >= 0.95 AS hold_recommended, array_to_string(list_sort(list_distinct(list(reason))), ',') AS reasons,
-  bool_and(listed) AS all_pairs_listed
-FROM links GROUP BY left_id, right_id
+  max(confidence) >= 0.95 AS hold_recommended, array_to_string(list_sort(list_distinct(list(reason))), ',') AS reasons
+FROM all_pairs WHERE (left_id, right_id) IN (
+  SELECT least(own, other), greatest(own, other) FROM (
+    SELECT key, own, min(other) AS other FROM (
+      SELECT key, left_id AS own, right_id AS other FROM {pairs} UNION ALL SELECT key, right_id, left_id FROM {pairs}) GROUP BY key, own))
+GROUP BY left_id, right_id
+"""
+
+
+CANDIDATES = listed("all_pairs")
+OPEN_PAIRS = """
+SELECT * FROM all_pairs p WHERE NOT EXISTS (SELECT 1 FROM latest d WHERE d.left_id = p.left_id AND d.right_id = p.right_id AND d.decision <> 'reopened')
 """
-CANDIDATE_PARTS = {**LEAD_PARTS, "fingerprints": FINGERPRINTS, "walk": WALK, "masters": MASTERS, "members": MEMBERS,
-                   "blocks": BLOCKS, "links": LINKS, "candidates": CANDIDATES}
+CANDIDATE_PARTS = {**LEAD_PARTS, "fingerprints": FINGERPRINTS, "walk": WALK, "masters": MASTERS, "members": MEMBERS, "all_pairs": ALL_PAIRS}
 
 # Decisions on pairs of neighbours, several per pair, entered from either side.
 DECISIONS = """
@@ -78,7 +87,7 @@ def effective(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return dedup.duplicate_candidates(lead_frame(spark, folder), effective(spark, folder), ascii_names=True)
+    return dedup.duplicate_candidates(lead_frame(spark, folder), effective(spark, folder))
 
 
 @query("dup_fingerprints", with_parts("SELECT * FROM fingerprints", **LEAD_PARTS, fingerprints=FINGERPRINTS))
@@ -92,10 +101,10 @@ def dup_fingerprints(spark, folder):
 def dup_block_sizes(spark, folder):
     leads = lead_frame(spark, folder)
     return dedup.block_sizes(dedup.block_members(
-        dedup.fingerprints(leads, effective(spark, folder), True), dedup.master_links(leads)))
+        dedup.fingerprints(leads, effective(spark, folder)), dedup.master_links(leads)))
 
 
-@query("dup_candidates", with_parts("SELECT * FROM candidates", **CANDIDATE_PARTS))
+@query("dup_candidates", with_parts("SELECT * FROM candidates", **CANDIDATE_PARTS, candidates=CANDIDATES))
 def dup_candidates(spark, folder):
     return candidates(spark, folder)
 
@@ -116,11 +125,28 @@ def dup_standing_decisions(spark, folder):
         "pair_id", "decision", "reviewed_at")
 
 
-@query("dup_open", with_parts(
-    "SELECT c.* FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM latest d WHERE d.pair_id = c.pair_id AND d.decision <> 'reopened')",
-    **CANDIDATE_PARTS, decisions=DECISIONS, latest=LATEST))
+# The first account of the largest blocks has decisions with many of its members, so links have to move on.
+HEAD_DECISIONS = DECISIONS + """
+UNION ALL SELECT head, account_id, 'distinct', CAST('2024-01-01' AS TIMESTAMP), 900000000 + row_number() OVER (ORDER BY head, account_id), TRUE FROM (
+  SELECT DISTINCT k.head, m.account_id FROM members m JOIN (SELECT key, min(account_id) AS head FROM members GROUP BY key HAVING count(*) > 2) k
+  ON k.key = m.key WHERE m.account_id <> k.head AND CAST(substring(m.account_id, 2) AS BIGINT) % 3 = 0)
+"""
+
+
+@query("dup_open", with_parts("SELECT * FROM open_candidates", **CANDIDATE_PARTS, decisions=HEAD_DECISIONS, latest=LATEST, open_pairs=OPEN_PAIRS,
+                              open_candidates=listed("open_pairs").replace("FROM all_pairs WHERE", "FROM open_pairs WHERE")))
 def dup_open(spark, folder):
-    return dedup.open_candidates(candidates(spark, folder), decision_frame(spark, folder))
+    leads, known = lead_frame(spark, folder), effective(spark, folder)
+    masters = dedup.master_links(leads)
+    members = dedup.block_members(dedup.fingerprints(leads, known), masters)
+    heads = members.groupBy("key").agg(F.min("account_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 2")
+    extra = members.join(heads, "key").where("account_id <> head AND CAST(substring(account_id, 2) AS BIGINT) % 3 = 0").select("head", "account_id").distinct()
+    base = decision_frame(spark, folder)
+    more = extra.select(
+        F.lit(None).cast("string").alias("pair_id"), F.col("head").alias("lead_id"), F.col("account_id").alias("other_lead_id"), F.lit("distinct").alias("decision"),
+        F.lit(None).cast("string").alias("primary_lead_id"), F.lit("2024-01-01").cast("timestamp").alias("reviewed_at"), F.lit("derived decision").alias("note"),
+        F.lit(0.5).alias("confidence"), F.array(F.lit("same-domain")).alias("reasons"), F.lit(900000000).cast("long").alias("seq"))
+    return dedup.open_candidates(leads, known, base.unionByName(more.select(*base.columns)), masters)
 
 
 # A third of all leads points straight at lead 0; the others form chains by halving and a few cycles.
@@ -182,6 +208,5 @@ LEFT JOIN latest d ON d.left_id = p.left_id AND d.right_id = p.right_id""",
       ON f.id = e.id GROUP BY e.seq"""))
 def dup_review_outcomes(spark, folder):
     proposals = derive(spark, folder, PROPOSALS).withColumn("reviewed_at", F.lit("2024-02-01 00:00:00").cast("timestamp"))
-    judged = dedup.review_pairs(lead_frame(spark, folder), effective(spark, folder), decision_frame(spark, folder), proposals,
-                                ascii_names=True)
+    judged = dedup.review_pairs(lead_frame(spark, folder), effective(spark, folder), decision_frame(spark, folder), proposals)
     return judged.select("seq", "left_id", "right_id", "decision", "outcome")

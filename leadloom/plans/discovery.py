@@ -33,7 +33,7 @@ def search_plans(spark, folder):
 
 PROSPECT_ROWS = """
 SELECT page_id AS ordinal, concat(' Page ', CAST(page_id AS STRING)) AS title, CASE WHEN page_id % 13 = 0 THEN 'ftp://x.example/y' ELSE url END AS source_url,
-  CASE WHEN page_id % 17 <> 0 THEN substring(html, 1, 40) END AS signal_excerpt, CASE WHEN page_id % 3 = 0 THEN 'yes' ELSE '' END AS reviewed,
+  CASE WHEN page_id % 17 <> 0 THEN html END AS signal_excerpt, CASE WHEN page_id % 3 = 0 THEN 'yes' ELSE '' END AS reviewed,
   CASE WHEN page_id % 4 <> 0 THEN CAST(page_id % 7 AS STRING) END AS need, CASE WHEN page_id % 5 <> 0 THEN CAST(page_id % 6 AS STRING) ELSE 'many' END AS fit,
   CAST(page_id % 11 / 2.0 AS STRING) AS timing FROM pages
 """
@@ -176,7 +176,7 @@ SELECT concat('S', CAST(s_suppkey AS STRING)) AS connector_id, s_name AS connect
   c_custkey % 2 = 0 AS known, c_custkey % 3 = 0 AS company, c_custkey % 4 = 0 AS industry, c_custkey % 5 = 0 AS education,
   CASE (s_suppkey + c_custkey) % 5 WHEN 0 THEN ' Approved' WHEN 1 THEN 'DECLINED' WHEN 2 THEN 'maybe' ELSE 'unknown' END AS consent,
   CASE WHEN (s_suppkey + c_custkey) % 3 = 0 THEN '' ELSE concat('e', CAST(s_suppkey AS STRING), '| m;；x') END AS ids
-FROM (SELECT DISTINCT l.l_suppkey, o.o_custkey FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE l.l_linenumber = 1) k
+FROM (SELECT DISTINCT l.l_suppkey, o.o_custkey FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey) k
 JOIN supplier s ON s.s_suppkey = k.l_suppkey JOIN customer c ON c.c_custkey = k.o_custkey
 LEFT JOIN (SELECT o_custkey, max(CAST(o_orderdate AS TIMESTAMP)) AS last_order FROM orders GROUP BY o_custkey) t ON t.o_custkey = c.c_custkey
 """
@@ -259,7 +259,7 @@ SELECT c.person_id, c.email, CASE coalesce(domain_status, 'inconclusive') WHEN '
   split_part(c.email, '@', 1) = 'sales' AND c.person_id % 100 < 50 AS listed_on_website, coalesce(domain_status, 'inconclusive') AS domain_status
 FROM candidates c LEFT JOIN domains d ON d.domain = c.domain""", people=PEOPLE, options=OPTIONS, candidates=CANDIDATES, domains=DOMAINS))
 def email_assessment(spark, folder):
-    candidates = email.email_candidates(derive(spark, folder, PEOPLE), ascii_names=True)
+    candidates = email.email_candidates(derive(spark, folder, PEOPLE))
     published = table(spark, folder, "customer").where("c_custkey % 100 < 50").select(
         F.concat(F.lit(" Sales@d"), F.col("c_custkey") % 100, F.lit(".example")).alias("email"))
     assessed = email.assess_candidates(candidates, providers.mail_domains(derive(spark, folder, DNS)), published)

@@ -231,7 +231,7 @@ def registry_match(spark, folder):
     leads = lead_frame(spark, folder).select(
         "lead_id", "organization.name", F.when(F.col("ordinal") % 2 == 0, F.concat(F.lit("j"), (F.col("ordinal") % 3).cast("string"))).alias(
             "jurisdiction"))
-    return providers.match_registry(leads, providers.registry_companies(registry_frame(spark, folder)), ascii_names=True)
+    return providers.match_registry(leads, providers.registry_companies(registry_frame(spark, folder)))
 
 
 @query("extraction_evidence", """

@@ -63,7 +63,7 @@ WHERE key IN (SELECT key FROM fingerprints GROUP BY key HAVING count(DISTINCT le
 def stream_links(spark, folder):
     """Accounts that share a block with another one, counted from the links found while they arrive."""
     path, links = work_path(spark, "keys"), work_path(spark, "links")
-    keys = dedup.fingerprints(lead_frame(spark, folder), effective(spark, folder), ascii_names=True)
+    keys = dedup.fingerprints(lead_frame(spark, folder), effective(spark, folder))
     keys.withColumnRenamed("lead_id", "account_id").select("key", "account_id", "confidence", "reason").repartition(
         4, "account_id").write.parquet(path)
     stream = spark.readStream.schema("key string, account_id string, confidence double, reason string").option(

@@ -45,7 +45,7 @@ SELECT {key}, array_to_string(list_filter(list_transform(mails, lambda m: CASE
 FIRST_SEEN = """
 SELECT {key}, string_agg(m, ',' ORDER BY pos) AS emails FROM (
   SELECT {key}, m, min(pos) AS pos FROM (SELECT {key}, unnest(string_split(raw, ' ')) AS m, generate_subscripts(string_split(raw, ' '), 1) AS pos FROM found) WHERE m <> ''
-  GROUP BY {key}, m QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY min(pos)) <= 20) GROUP BY {key}
+  GROUP BY {key}, m) GROUP BY {key}
 """
 
 
@@ -179,7 +179,7 @@ def _walk(spark: SparkSession, folder: str) -> DataFrame:
         "url", F.concat(F.lit("https://site"), "site", F.lit(".example/extra"), F.col("page_id") % 20).alias("target"), F.lit("legal").alias("reason"),
         F.lit(1).alias("position"))
     return website.walk_sites(pages.where("is_root").select(F.col("url").alias("root")), pages.select("url", "readable"),
-                              from_root.unionByName(onward))
+                              from_root.unionByName(onward), max_pages=5)
 
 
 @query("site_walks", with_parts("""

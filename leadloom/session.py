@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -10,8 +12,9 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A key outside the HOT_KEYS most frequent ones holds less than 1/HOT_KEYS of all rows.
-HOT_KEYS = 256
+# A key is hot when it holds more than 1/HOT_SHARE of the rows, so at most HOT_SHARE keys are, at any size.
+HOT_SHARE = 256
+_written: list[str] = []
 
 
 # Wide projections over text make the optimizer's constraint sets grow exponentially; the filters they would
@@ -52,20 +55,29 @@ def build_session(app: str = "leadloom", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; local masters may fall back to a new temporary one."""
+    """The shared folder named in spark.checkpoint.dir. Only a local master may lack it: it gets a folder that goes when Python exits."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="leadloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    _written.append(os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}"))
+    return _written[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables this process has written. Call it once the results that read them are written."""
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
@@ -80,22 +92,33 @@ def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join `left` to `right`, which holds at most a few rows per key, when `left` may have hot keys.
+    """Join `left`, which may have hot keys, to `right`, which has one row per key (a second one is an error).
 
-    The rows of the HOT_KEYS most frequent keys meet a broadcast of just those keys (bounded by the
-    limit, whatever the data), so they never shuffle; all other keys are small and use a shuffle join.
-    Every row is kept; only its route differs.
+    A count of `left` by key finds the keys with more than 1/HOT_SHARE of its rows: at most HOT_SHARE keys. Their rows
+    meet a broadcast of just those keys and take no part in the shuffle join of the rest, in which no key has more than that
+    share. Apart from the count, `left` is read once, and every row is kept; only its route differs.
     """
     if how not in ("inner", "left"):
         raise ValueError("lookup supports inner and left joins")
-    hot = (
-        left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-        .orderBy(F.desc("_rows"), key).limit(HOT_KEYS).select(key)
-    )
-    hot_right = right.join(F.broadcast(hot), key, "left_semi")
-    on_hot = left.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(hot_right), key, how)
-    on_rest = left.join(F.broadcast(hot), key, "left_anti").join(right, key, how)
-    return on_hot.unionByName(on_rest)
+    extra = [c for c in right.columns if c != key]
+    counts = left.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_rows"))
+    total = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0))).scalar()
+    hot = counts.where(F.col("_rows") * HOT_SHARE > total).select("_key")
+    value = F.when(F.count(F.lit(1)) == 1, F.first(F.struct(F.lit(True).alias("_found"), *extra))).otherwise(
+        F.raise_error(F.lit(f"lookup: {key} is not unique on the right side")))
+    single = right.groupBy(F.col(key).alias("_key")).agg(value.alias("_value"))
+    on_hot = single.join(F.broadcast(hot), "_key", "left_semi").select(F.col("_key").alias("_hot_key"), F.col("_value").alias("_hot"))
+    rest = single.select(F.col("_key").alias("_cold_key"), F.lit(0).cast("long").alias("_cold_spread"), F.col("_value").alias("_cold"))
+    # Rows that found a hot key, and those without a key, shuffle under a spread of their own that matches nothing.
+    spread = F.xxhash64(*[c for c, kind in left.dtypes if "map<" not in kind and "variant" not in kind])
+    met = left.join(F.broadcast(on_hot), F.col(key) == F.col("_hot_key"), "left").withColumn(
+        "_spread", F.when(F.col("_hot_key").isNotNull() | F.col(key).isNull(), spread).otherwise(0))
+    met = met.join(rest, (F.col(key) == F.col("_cold_key")) & (F.col("_spread") == F.col("_cold_spread")), "left")
+    met = met.withColumn("_value", F.coalesce("_hot", "_cold"))
+    if how == "inner":
+        met = met.where(F.col("_value._found"))
+    columns = [key, *[c for c in left.columns if c != key]]
+    return met.select(*columns, *[F.col(f"_value.{c}").alias(c) for c in extra])
 
 
 def compact_codes(*pairs: tuple[Column, str]) -> Column:

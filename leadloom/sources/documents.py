@@ -10,6 +10,7 @@ from leadloom.functions import text as t
 from leadloom.functions.web import http_url
 from leadloom.operators import leads as shape
 from leadloom.sources import inquiry_csv
+from leadloom.sources.json_files import read_json
 
 # ---- lead documents ----
 
@@ -56,14 +57,15 @@ def _path(c: Column) -> Column:
     return out
 
 
-def read_lead_documents(spark: SparkSession, path: str, interchange_ids: bool = False) -> model.LeadTables:
+def read_lead_documents(spark: SparkSession, path: str, interchange_ids: bool = False, multiline: bool | None = None) -> model.LeadTables:
     """Lead JSON: an array, {leads: [...]}, or an earlier result {results: [{lead}]}; also one lead per line.
 
-    Flags and numbers are read as text, so 1 counts as true and a numeric quantity keeps its digits.
+    Flags and numbers are read as text, so 1 counts as true and a numeric quantity keeps its digits. All entries are
+    read; `leads.newest` keeps the newest per lead where a caller wants a limit.
     """
     own = ", ".join(_split_fields(_LEAD))
     schema = own + f", leads array<struct<{_LEAD}>>, results array<struct<lead:struct<{_LEAD}>>>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    raw = read_json(spark, path, schema, multiline)
     names = [f.split(" ", 1)[0].strip("`") for f in _split_fields(_LEAD)]
     itself = F.array(F.struct(*[F.col(n) for n in names]))
     docs = raw.select(F.explode(F.coalesce(
@@ -104,21 +106,21 @@ def read_lead_documents(spark: SparkSession, path: str, interchange_ids: bool =
         F.map_filter(changes, lambda k, v: v.isNotNull()).alias("changes")))
 
     listed = keyed.select("lead_id", F.posexplode("fieldOrigins").alias("seq", "o"))
-    origins = shape.newest(shape.normalize_origins(listed.select(
+    origins = shape.normalize_origins(listed.select(
         "lead_id", "seq", _path(F.col("o.path")).alias("path"), F.col("o.evidenceId").alias("evidence_id"),
         F.col("o.appliedValue").alias("applied_value"), F.col("o.appliedAt").alias("applied_at"),
         F.col("o.updatedAt").alias("updated_at"), "o.active", F.col("o.endedAt").alias("ended_at"),
-        F.col("o.endReason").alias("end_reason"))), ["lead_id"], 200)
+        F.col("o.endReason").alias("end_reason")))
     judged = keyed.select("lead_id", F.posexplode("duplicateReviews").alias("seq", "r"))
-    decisions = shape.newest(shape.normalize_decisions(judged.select(
+    decisions = shape.normalize_decisions(judged.select(
         "lead_id", "seq", F.col("r.pairId").alias("pair_id"), F.col("r.otherLeadId").alias("other_lead_id"), "r.decision",
         F.col("r.primaryLeadId").alias("primary_lead_id"), F.col("r.reviewedAt").alias("reviewed_at"), "r.note",
-        "r.confidence", "r.reasons")), ["lead_id"], 100)
+        "r.confidence", "r.reasons"))
     happened = keyed.select("lead_id", F.posexplode("development.events").alias("seq", "v"))
-    events = shape.newest(shape.normalize_events(happened.select(
+    events = shape.normalize_events(happened.select(
         "lead_id", "seq", F.col("v.id").alias("event_id"), "v.type", F.col("v.occurredAt").alias("occurred_at"),
         "v.channel", "v.note", F.col("v.dueAt").alias("due_at"), F.col("v.relatedEventId").alias("related_event_id"),
-        "v.amount", "v.currency", F.col("v.outcomeReason").alias("outcome_reason"))), ["lead_id"], 500)
+        "v.amount", "v.currency", F.col("v.outcomeReason").alias("outcome_reason")))
     base = keyed.select("lead_id", F.col("development.qualificationBaseline").alias("b")).where(F.col("b").isNotNull())
     baselines = shape.normalize_baselines(base.select(
         "lead_id", "b.grade", "b.score", F.col("b.capturedAt").alias("captured_at")))
@@ -194,12 +196,12 @@ _PROSPECT = (
 )
 
 
-def read_prospects_json(spark: SparkSession, path: str) -> DataFrame:
+def read_prospects_json(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
     """Prospect JSON: an array, {prospects: [...]} or {results: [...]}; members may be wrapped in {prospect}."""
     member = f"struct<{_PROSPECT},prospect:struct<{_PROSPECT}>>"
     fields = _split_fields(_PROSPECT)
     schema = ", ".join(fields) + f", prospect struct<{_PROSPECT}>, prospects array<{member}>, results array<{member}>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    raw = read_json(spark, path, schema, multiline)
     names = [f.split(" ", 1)[0] for f in fields]
     itself = F.array(F.struct(*[F.col(n) for n in [*names, "prospect"]]))
     items = raw.select(F.explode(F.coalesce("prospects", "results", itself)).alias("i"))
@@ -223,11 +225,6 @@ def read_prospects_json(spark: SparkSession, path: str) -> DataFrame:
 
 # ---- search results ----
 
-# ---- fixed values ----
-TITLE_LIMIT, HIGHLIGHT_LIMIT = 300, 2000
-# ---- end of fixed values ----
-
-
 def parse_search_results(envelopes: DataFrame) -> DataFrame:
     """Result blocks of search answers (query_id, payload): title, url, published_at, author, highlights.
 
@@ -246,9 +243,9 @@ def parse_search_results(envelopes: DataFrame) -> DataFrame:
 
     listed = envelopes.select("query_id", F.posexplode(blocks).alias("position", "block"))
     return listed.select(
-        "query_id", "position", F.substring(line("Title"), 1, TITLE_LIMIT).alias("title"), http_url(line("URL")).alias("url"),
+        "query_id", "position", line("Title").alias("title"), http_url(line("URL")).alias("url"),
         known("Published").alias("published_at"), known("Author").alias("author"),
-        t.text(F.regexp_extract("block", r"(?im)^Highlights:\s*$([\s\S]*)", 1), HIGHLIGHT_LIMIT).alias("highlights"),
+        t.text(F.regexp_extract("block", r"(?im)^Highlights:\s*$([\s\S]*)", 1)).alias("highlights"),
     ).where(F.col("url").isNotNull())
 
 
@@ -290,12 +287,12 @@ def read_paths_csv(spark: SparkSession, path: str) -> DataFrame:
     return by_alias(inquiry_csv.read_rows(spark, path, headers), headers, both, PATH_COLUMNS)
 
 
-def read_paths_json(spark: SparkSession, path: str) -> DataFrame:
+def read_paths_json(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
     """Relationship JSON: an array or {paths: [...]}; keys in camel or snake case."""
     names = [n for c in PATH_COLUMNS for n in dict.fromkeys((_camel(c), c))]
     body = ",".join(f"{n}:string" for n in names)
     schema = ", ".join(f"{n} string" for n in names) + f", paths array<struct<{body}>>"
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    raw = read_json(spark, path, schema, multiline)
     itself = F.array(F.struct(*[F.col(n) for n in names]))
     docs = raw.select(F.explode(F.coalesce("paths", itself)).alias("p")).select("p.*").where(
         F.coalesce(*names).isNotNull())

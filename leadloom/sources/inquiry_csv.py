@@ -113,14 +113,34 @@ def map_headers(headers: list[str], field_map: dict[str, str] | None = None) ->
 
 # ---- reading ----
 
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some cell holds a line break: then a line has an odd number of quotes."""
+    odd = spark.read.text(path).where(F.regexp_count("value", F.lit('"')) % 2 == 1)
+    return not odd.limit(1).isEmpty()
+
+
+def _check_headers(spark: SparkSession, path: str) -> None:
+    """Refuse files whose first lines differ: one header is applied to all."""
+    files = spark.read.format("binaryFile").load(path).select("path").limit(2).count()
+    if files < 2:
+        return
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                                         F.monotonically_increasing_id().alias("row"), t.trimmed(F.regexp_replace("value", "^\ufeff", "")).alias("line"))
+    first = lines.groupBy("file").agg(F.min_by("line", F.struct("at", "row")).alias("line"), F.min("file").alias("name"))
+    kinds = first.groupBy("line").agg(F.min("file").alias("file")).limit(2).collect()
+    if len(kinds) > 1:
+        raise ValueError(f"files with different headers: {kinds[0].file} and {kinds[1].file}; read them one by one")
+
+
 def _reader(spark: SparkSession, multiline: bool):
     return spark.read.option("multiLine", multiline).option("quote", '"').option("escape", '"').option(
         "mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
 
 
-def read_headers(spark: SparkSession, path: str, multiline: bool = True) -> list[str]:
-    """Header row as it stands in the file (Spark would rename duplicate headers)."""
-    row = _reader(spark, multiline).option("header", False).csv(path).first()
+def read_headers(spark: SparkSession, path: str, multiline: bool | None = None) -> list[str]:
+    """Header row as it stands in the files, which must agree (Spark would rename duplicate headers)."""
+    _check_headers(spark, path)
+    row = _reader(spark, spans_lines(spark, path) if multiline is None else multiline).option("header", False).csv(path).first()
     if row is None:
         return []
     cells = [(c or "").strip(t.SPACES) for c in row]
@@ -134,11 +154,13 @@ def unclosed_quotes(spark: SparkSession, path: str) -> DataFrame:
     return lines.groupBy("file").agg(F.sum("quotes").alias("quotes")).where(F.col("quotes") % 2 == 1).select("file")
 
 
-def read_rows(spark: SparkSession, path: str, headers: list[str], multiline: bool = True) -> DataFrame:
+def read_rows(spark: SparkSession, path: str, headers: list[str], multiline: bool | None = None) -> DataFrame:
     """Data rows as trimmed text columns c0..cn with `ordinal`, `file` and the row's `width`.
 
-    With multiline=False (no line breaks inside cells) large files are split into many tasks.
+    Files without line breaks inside cells are split into many tasks; whether there are any is looked up unless given.
     """
+    if multiline is None:
+        multiline = spans_lines(spark, path)
     names = [f"c{i}" for i in range(len(headers))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_corrupt_record"]])
     raw = _reader(spark, multiline).schema(schema).option("header", True).option("enforceSchema", True).csv(path)
@@ -221,7 +243,7 @@ def leads_from_rows(canonical: DataFrame, interchange_ids: bool = False) -> mode
 
 
 def read_leads(spark: SparkSession, path: str, channel: str = "auto", field_map: dict[str, str] | None = None,
-               multiline: bool = True, interchange_ids: bool = False) -> model.LeadTables:
+               multiline: bool | None = None, interchange_ids: bool = False) -> model.LeadTables:
     """Read an inquiry CSV file or folder (one header for all files) into lead tables.
 
     Raises when a file has an unclosed quote, as nothing after it could be trusted.

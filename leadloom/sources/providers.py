@@ -9,6 +9,7 @@ from leadloom.functions import text as t
 from leadloom.functions import web
 from leadloom.operators.leads import evidence_id
 from leadloom.session import lookup
+from leadloom.sources.json_files import read_json
 
 # ---- legal entity registry ----
 
@@ -24,10 +25,10 @@ REGISTRY_DDL = (
 REGISTRY_RECORDS = "https://api.gleif.org/api/v1/lei-records"  # fixed value: public registry
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
+def read_registry(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
     """Registry bulk file: one record per line, or an array, or {data: [...]}."""
     record = REGISTRY_DDL.replace("id string, attributes ", "id:string,attributes:")
-    raw = spark.read.schema(REGISTRY_DDL + f", data array<struct<{record}>>").option("multiLine", True).json(path)
+    raw = read_json(spark, path, REGISTRY_DDL + f", data array<struct<{record}>>", multiline)
     return raw.select(F.explode(F.coalesce("data", F.array(F.struct("id", "attributes")))).alias("r")).select("r.*").where(
         F.col("attributes").isNotNull())
 
@@ -35,28 +36,28 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 def _address(path: str) -> Column:
     lines = F.coalesce(F.col(f"{path}.addressLines"), F.array().cast("array<string>"))
     parts = F.concat(lines, F.array(*[F.col(f"{path}.{p}") for p in ("city", "region", "postalCode", "country")]))
-    return F.nullif(F.array_join(F.array_compact(F.transform(parts, lambda x: t.text(x, 300))), ", "), F.lit(""))
+    return F.nullif(F.array_join(F.array_compact(F.transform(parts, lambda x: t.text(x))), ", "), F.lit(""))
 
 
 def registry_companies(records: DataFrame) -> DataFrame:
     """Flat registry companies with the status and confidence their corroboration gives."""
     e, r = "attributes.entity", "attributes.registration"
-    lei = t.text(F.coalesce(F.col("attributes.lei"), F.col("id")), 20)
+    lei = t.text(F.coalesce(F.col("attributes.lei"), F.col("id")))
     corroborated = F.coalesce(F.col(f"{r}.corroborationLevel") == "FULLY_CORROBORATED", F.lit(False))
     issued = F.coalesce(F.col(f"{r}.status") == "ISSUED", F.lit(False))
     names = F.transform(F.coalesce(F.col(f"{e}.otherNames"), F.array().cast("array<struct<name:string>>")),
-                        lambda n: t.text(n["name"], 500))
+                        lambda n: t.text(n["name"]))
     return records.select(
-        lei.alias("lei"), t.text(f"{e}.legalName.name", 500).alias("legal_name"),
-        F.array_compact(names).alias("other_names"), t.text(f"{e}.status", 40).alias("entity_status"),
-        t.text(f"{r}.status", 40).alias("registration_status"),
-        t.text(f"{r}.corroborationLevel", 80).alias("corroboration_level"),
-        t.text(f"{e}.jurisdiction", 40).alias("jurisdiction"),
-        t.text(F.coalesce(f"{e}.registeredAt.id", f"{r}.validatedAt.id"), 100).alias("registered_at"),
-        t.text(F.coalesce(f"{e}.registeredAs", f"{r}.validatedAs"), 200).alias("registered_as"),
+        lei.alias("lei"), t.text(f"{e}.legalName.name").alias("legal_name"),
+        F.array_compact(names).alias("other_names"), t.text(f"{e}.status").alias("entity_status"),
+        t.text(f"{r}.status").alias("registration_status"),
+        t.text(f"{r}.corroborationLevel").alias("corroboration_level"),
+        t.text(f"{e}.jurisdiction").alias("jurisdiction"),
+        t.text(F.coalesce(f"{e}.registeredAt.id", f"{r}.validatedAt.id")).alias("registered_at"),
+        t.text(F.coalesce(f"{e}.registeredAs", f"{r}.validatedAs")).alias("registered_as"),
         _address(f"{e}.legalAddress").alias("legal_address"),
         _address(f"{e}.headquartersAddress").alias("headquarters_address"),
-        t.text(f"{r}.lastUpdateDate", 40).alias("last_update"),
+        t.text(f"{r}.lastUpdateDate").alias("last_update"),
         F.concat(F.lit(REGISTRY_RECORDS + "/"), t.uri_component(lei)).alias("source_ref"),
         F.when(issued & corroborated, "verified").otherwise("inconclusive").alias("record_status"),
         corroborated.alias("corroborated"))
@@ -82,27 +83,28 @@ def registry_evidence(companies: DataFrame, observed_at: Column) -> DataFrame:
         F.col("record_status").alias("status"))
 
 
-def match_registry(leads: DataFrame, companies: DataFrame, per_lead: int = 10, ascii_names: bool = False) -> DataFrame:
-    """Registry candidates per lead by company name (legal or other), at most `per_lead` of 1 to 10.
+def match_registry(leads: DataFrame, companies: DataFrame, per_lead: int = 10) -> DataFrame:
+    """Registry candidates per lead by company name (legal or other), the best `per_lead`.
 
     Leads: lead_id, name, jurisdiction (null: any). The best companies per name (and jurisdiction) are
     ranked first, with the rank limit applied before the shuffle; a name shared by many leads and many
     companies therefore yields at most `per_lead` rows per lead.
     """
-    per_lead = max(1, min(10, per_lead))
     names = companies.select("lei", "legal_name", "jurisdiction", "record_status", F.explode(F.array_compact(F.concat(
         F.array("legal_name"), "other_names"))).alias("_name"))
-    keyed = names.withColumn("name_key", t.name_key("_name", ascii_names)).where(F.col("name_key").isNotNull())
+    keyed = names.withColumn("name_key", t.name_key("_name")).where(F.col("name_key").isNotNull())
     scoped = keyed.select("lei", "legal_name", "record_status", F.explode(F.array(
         F.concat(F.lit("*|"), "name_key"), F.concat(F.upper("jurisdiction"), F.lit("|"), "name_key"))).alias("match_key")).where(
         F.col("match_key").isNotNull()).dropDuplicates(["match_key", "lei"])
     best = Window.partitionBy("match_key").orderBy(F.desc(F.col("record_status") == "verified"), "lei")
     top = scoped.withColumn("position", F.row_number().over(best)).where(F.col("position") <= per_lead)
-    scope = F.coalesce(F.upper(t.text("jurisdiction", 20)), F.lit("*"))
-    wanted = leads.where(F.length(t.text("name", 200)) >= 2).select(
-        "lead_id", F.concat(scope, F.lit("|"), t.name_key("name", ascii_names)).alias("match_key")).where(
+    scope = F.coalesce(F.upper(t.text("jurisdiction")), F.lit("*"))
+    wanted = leads.where(F.length(t.text("name")) >= 2).select(
+        "lead_id", F.concat(scope, F.lit("|"), t.name_key("name")).alias("match_key")).where(
         F.col("match_key").isNotNull())
-    return lookup(wanted, top, "match_key").select("lead_id", "position", "lei", "legal_name", "record_status")
+    # One row per key: its list of at most `per_lead` companies.
+    lists = top.groupBy("match_key").agg(F.array_sort(F.collect_list(F.struct("position", "lei", "legal_name", "record_status"))).alias("best"))
+    return lookup(wanted, lists, "match_key").select("lead_id", F.inline("best"))
 
 
 # ---- site extraction and address verification ----

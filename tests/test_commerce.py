@@ -54,24 +54,24 @@ def imported(spark, tmp_path, customers, *docs):
 
 
 def test_import_updates_managed_fields_only(spark, tmp_path):
-    doc = {"id": "lead", "source": "Alibaba", "sourceReference": "R", "organization": {"name": "Northstar", "country": "Exampleland"},
-           "contact": {"name": "Alex", "email": "A@northstar.example"}, "inquiry": {"product": "Bottle", "quantity": "10"},
+    doc = {"id": "lead", "source": "Alibaba", "sourceReference": "R", "organization": {"name": "Velmora", "country": "Norvania"},
+           "contact": {"name": "Alex", "email": "A@velmora.example"}, "inquiry": {"product": "Bottle", "quantity": "10"},
            "evidence": [{"kind": "factory", "value": "x", "sourceRef": "s", "status": "rejected"}, {"kind": "factory", "value": "y", "sourceRef": "s"}]}
     merged, incoming = imported(spark, tmp_path, crm.empty_customers(spark), doc)
     c = merged.first()
-    assert (c.change, c.name, c.email, c.profile.evidence_count, c.notes) == ("imported", "Alex", "a@northstar.example", 1, "产品：Bottle\n数量：10\n下一步：keep-record")
-    assert c.managed == {"name": "Alex", "company": "Northstar", "country": "Exampleland", "email": "a@northstar.example"}
+    assert (c.change, c.name, c.email, c.profile.evidence_count, c.notes) == ("imported", "Alex", "a@velmora.example", 1, "产品：Bottle\n数量：10\n下一步：keep-record")
+    assert c.managed == {"name": "Alex", "company": "Velmora", "country": "Norvania", "email": "a@velmora.example"}
     assert tuple(crm.import_counts(merged, incoming).first()) == (1, 0)
 
     stored = merged.drop("change")
-    edit = spark.createDataFrame([("lead", "Alexandra", "Northstar", "Exampleland", "a@northstar.example", "", "own note")],
+    edit = spark.createDataFrame([("lead", "Alexandra", "Velmora", "Norvania", "a@velmora.example", "", "own note")],
                                  "customer_id string, name string, company string, country string, email string, whatsapp string, notes string")
     edited = crm.edit_customers(stored, edit, at("2026-09-09"))
     assert set(edited.first().managed) == {"company", "country", "email"}
-    again, incoming = imported(spark, tmp_path, edited, {**doc, "contact": {"name": "Someone", "email": ""}, "organization": {"name": "Northstar Ltd", "country": "Exampleland"}})
+    again, incoming = imported(spark, tmp_path, edited, {**doc, "contact": {"name": "Someone", "email": ""}, "organization": {"name": "Velmora Ltd", "country": "Norvania"}})
     c = again.first()
-    assert (c.change, c.name, c.company, c.email, c.notes) == ("updated", "Alexandra", "Northstar Ltd", "", "own note")
-    assert c.managed == {"company": "Northstar Ltd", "country": "Exampleland"}
+    assert (c.change, c.name, c.company, c.email, c.notes) == ("updated", "Alexandra", "Velmora Ltd", "", "own note")
+    assert c.managed == {"company": "Velmora Ltd", "country": "Norvania"}
 
 
 def test_old_customers_and_replies(spark):

@@ -10,11 +10,11 @@ from leadloom.session import lookup
 from tests.fixtures import leads, rows
 
 PRIMARY = {"id": "lead-primary", "source": "Alibaba", "sourceReference": "DEMO-A",
-           "organization": {"name": "Northstar Demo Imports", "domain": "northstar.example"},
-           "inquiry": {"product": "Reusable bottle", "quantity": "2000"}, "signals": {"explicitInquiry": True}}
+           "organization": {"name": "Velmora Home Goods", "domain": "velmora.example"},
+           "inquiry": {"product": "Enamel lantern", "quantity": "2000"}, "signals": {"explicitInquiry": True}}
 SECONDARY = {"id": "lead-secondary", "source": "Made-in-China", "sourceReference": "DEMO-B",
-             "organization": {"name": "Northstar Imports Ltd", "website": "https://northstar.example/about"},
-             "contact": {"email": "sourcing@northstar.example"}, "inquiry": {"message": "Please send a catalog", "product": "Bottle"}}
+             "organization": {"name": "Velmora Imports Ltd", "website": "https://velmora.example/about"},
+             "contact": {"email": "sourcing@velmora.example"}, "inquiry": {"message": "Please send a catalog", "product": "Bottle"}}
 
 
 def effective(tables):
@@ -33,13 +33,13 @@ def judge(spark, tables, *items):
 
 
 def open_pairs(new_leads, evidence, decisions):
-    return rows(dedup.open_candidates(dedup.duplicate_candidates(new_leads, evidence), decisions))
+    return rows(dedup.open_candidates(new_leads, evidence, decisions))
 
 
 def test_same_domain_is_a_strong_match(spark, tmp_path):
     tables = leads(spark, tmp_path, [
-        {"id": "a", "organization": {"name": "Demo Buyer", "country": "Exampleland", "website": "https://buyer.example/about"}},
-        {"id": "b", "organization": {"name": "Demo Buyer", "country": "Exampleland", "domain": "buyer.example"}}])
+        {"id": "a", "organization": {"name": "Demo Buyer", "country": "Norvania", "website": "https://buyer.example/about"}},
+        {"id": "b", "organization": {"name": "Demo Buyer", "country": "Norvania", "domain": "buyer.example"}}])
     found = rows(dedup.duplicate_candidates(tables.leads, effective(tables)))
     assert len(found) == 1 and found[0]["confidence"] == 0.95 and found[0]["hold_recommended"]
     assert found[0]["reasons"] == ["same-domain", "same-name-and-country"]
@@ -94,7 +94,7 @@ def test_member_of_another_master_is_refused(spark, tmp_path):
 
 
 def test_secondary_gives_its_fingerprints_to_the_master(spark, tmp_path):
-    mail = [{"kind": "business-email", "value": "sourcing@northstar.example", "sourceRef": "https://northstar.example/contact", "status": "verified"}]
+    mail = [{"kind": "business-email", "value": "sourcing@velmora.example", "sourceRef": "https://velmora.example/contact", "status": "verified"}]
     tables = leads(spark, tmp_path, [
         PRIMARY, {**SECONDARY, "compliance": {"duplicateOf": "lead-primary"}, "evidence": mail},
         {"id": "lead-third", "organization": {"name": "Different spelling"}, "evidence": mail}])
@@ -122,33 +122,42 @@ def members(spark, blocks):
     return spark.createDataFrame(data, "key string, account_id string, confidence double, reason string")
 
 
-def test_every_candidate_of_a_large_block_stays_reachable(spark):
+def links_by_hand(blocks, settled=()):
+    """Each account of each block with the first other one it has no settled decision with."""
+    out = set()
+    for accounts in blocks.values():
+        for own in accounts:
+            other = [x for x in sorted(accounts) if x != own and (min(x, own), max(x, own)) not in settled]
+            out |= {(min(own, x), max(own, x)) for x in other[:1]}
+    return out
+
+
+def pair_frame(spark, pairs):
+    return spark.createDataFrame(sorted(pairs), "left_id string, right_id string")
+
+
+def test_every_account_of_a_block_has_one_link(spark):
     blocks = {"hot": [f"a{i:03}" for i in range(120)], "small": ["a003", "b1", "b2"], "single": ["z"]}
-    found = dedup.candidate_links(members(spark, blocks), pair_block=10)
-    got = {(r.left_id, r.right_id, r.listed) for r in found.collect()}
-    small = {("a003", "b1", True), ("a003", "b2", True), ("b1", "b2", True)}
-    assert small <= got and got - small == {("a000", f"a{i:03}", False) for i in range(1, 120)}
+    got = {(r.left_id, r.right_id) for r in dedup.candidate_links(members(spark, blocks)).collect()}
+    assert got == links_by_hand(blocks) == {("a000", f"a{i:03}") for i in range(1, 120)} | {("a003", "b1"), ("a003", "b2")}
 
 
-def test_block_limit_does_not_change_the_groups(spark):
-    rnd = random.Random(7)
-    blocks = {f"k{i}": rnd.sample([f"n{j:02}" for j in range(60)], rnd.randint(1, 12)) for i in range(25)}
-    data = members(spark, blocks)
+def test_settled_pairs_move_links_instead_of_losing_them(spark):
+    blocks = {"hot": [f"a{i:02}" for i in range(20)], "other": ["a05", "a19", "c1"], "done": ["x", "y"]}
+    head = {("a00", f"a{i:02}") for i in range(1, 20)}
+    for settled in ({("a00", "a19")}, head, head | {("a01", f"a{i:02}") for i in range(2, 20, 2)} | {("x", "y")}, {("a05", "a19"), ("a19", "c1"), ("x", "y")}):
+        got = {(r.left_id, r.right_id) for r in dedup.candidate_links(members(spark, blocks), pair_frame(spark, settled)).collect()}
+        assert got == links_by_hand(blocks, settled)
+        assert not got & settled
 
-    def groups(limit):
-        parent = {}
 
-        def find(x):
-            while parent.setdefault(x, x) != x:
-                x = parent[x]
-            return x
-        for r in dedup.candidate_links(data, limit).collect():
-            parent[find(r.left_id)] = find(r.right_id)
-        out = {}
-        for x in parent:
-            out.setdefault(find(x), set()).add(x)
-        return {frozenset(v) for v in out.values()}
-    assert groups(3) == groups(1000)
+def test_links_of_random_blocks(spark):
+    rnd = random.Random(7)
+    blocks = {f"k{i}": rnd.sample([f"n{j:02}" for j in range(60)], rnd.randint(1, 12)) for i in range(25)}
+    every = {(min(a, b), max(a, b)) for accounts in blocks.values() for a in accounts for b in accounts if a != b}
+    settled = set(rnd.sample(sorted(every), len(every) // 2))
+    got = {(r.left_id, r.right_id) for r in dedup.candidate_links(members(spark, blocks), pair_frame(spark, settled)).collect()}
+    assert got == links_by_hand(blocks, settled)
 
 
 def test_pairs_can_be_checked_without_listing_them(spark):
@@ -206,12 +215,19 @@ def test_lookup_equals_a_plain_join(spark, how):
     assert same(lookup(left, right, "k", how)) == same(left.join(right, "k", how))
 
 
+def test_lookup_refuses_a_second_row_per_key(spark):
+    left, right = spark.range(5).withColumnRenamed("id", "k"), spark.createDataFrame([(1, "a"), (1, "b")], "k long, v string")
+    with pytest.raises(Exception, match="not unique"):
+        lookup(left, right, "k").collect()
+
+
 def test_candidates_do_not_depend_on_partitioning(spark, tmp_path):
     docs = [{"id": f"l{i}", "source": "s", "organization": {"name": f"N{i % 7}", "country": "X", "domain": f"d{i % 5}.example"}} for i in range(25)]
     tables = leads(spark, tmp_path, docs)
     one = rows(dedup.duplicate_candidates(tables.leads.repartition(1), effective(tables)), "pair_id")
     assert one == rows(dedup.duplicate_candidates(tables.leads.repartition(7), effective(tables)), "pair_id")
-    assert len(one) == len({(min(a, b), max(a, b)) for a in range(25) for b in range(25) if a != b and (a % 7 == b % 7 or a % 5 == b % 5)})
+    blocks = {("name", k): [f"l{i}" for i in range(25) if i % 7 == k] for k in range(7)} | {("domain", k): [f"l{i}" for i in range(25) if i % 5 == k] for k in range(5)}
+    assert {(r["left_id"], r["right_id"]) for r in one} == links_by_hand(blocks)
 
 
 def test_model_has_every_lead_path():

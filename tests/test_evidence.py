@@ -6,8 +6,8 @@ from leadloom import model
 from leadloom.operators import evidence as ev, scoring
 from tests.fixtures import leads, rows
 
-SITE = {"id": "site", "kind": "company-website", "value": "https://northstar.example/about", "sourceRef": "https://northstar.example/about", "status": "verified"}
-MAIL = {"id": "mail", "kind": "business-email", "value": "sales@northstar.example", "sourceRef": "https://northstar.example/contact", "status": "verified"}
+SITE = {"id": "site", "kind": "company-website", "value": "https://velmora.example/about", "sourceRef": "https://velmora.example/about", "status": "verified"}
+MAIL = {"id": "mail", "kind": "business-email", "value": "sales@velmora.example", "sourceRef": "https://velmora.example/contact", "status": "verified"}
 ORIGINS = [{"path": "organization.website", "evidenceId": "site", "appliedValue": SITE["value"], "active": True},
            {"path": "contact.email", "evidenceId": "mail", "appliedValue": MAIL["value"], "active": True}]
 LEAD = {"id": "lead", "source": "Manual", "sourceReference": "DEMO-REVIEW", "organization": {"name": "Typed name", "website": SITE["value"]},
@@ -58,15 +58,15 @@ def test_reject_clears_restore_refills_and_manual_edits_stay(spark, tmp_path):
     after = scoring.qualify(done["leads"], scoring.effective_evidence(done["evidence"], done["reviews"])).first().score
     assert after < before
 
-    edited = leads(spark, tmp_path, [{**LEAD, "contact": {"email": "manual@northstar.example"}}])
+    edited = leads(spark, tmp_path, [{**LEAD, "contact": {"email": "manual@velmora.example"}}])
     done, _, effects = review(spark, edited, ("mail", "rejected", {}))
-    assert effects == {(1, "contact.email"): "preserved"} and done["leads"].first().contact.email == "manual@northstar.example"
+    assert effects == {(1, "contact.email"): "preserved"} and done["leads"].first().contact.email == "manual@velmora.example"
     assert done["origins"].where("path = 'contact.email'").first().end_reason == "field-changed"
 
 
 def test_revision_updates_the_managed_field_and_logs_the_change(spark, tmp_path):
     tables = leads(spark, tmp_path, [LEAD])
-    new = "https://northstar.example/company"
+    new = "https://velmora.example/company"
     done, outcomes, effects = review(
         spark, tables, ("site", "revised", {"value": new, "source": new}), ("site", "revised", {"value": new.upper()}), ("site", "revised", {"source": ""}),
         ("site", "rejected", {"note": "no"}), ("mail", "rejected", {}), ("mail", "revised", {"value": "other@x.example"}), ("none", "accepted", {}))
@@ -142,8 +142,8 @@ def test_selection_keeps_status_and_fills_only_selected_fields(spark, tmp_path):
 
 def test_strong_lead_and_country_neutrality(spark, tmp_path):
     strong = {"id": "strong", "source": "Alibaba", "sourceReference": "DEMO-001", "organization": {"name": "Demo Buyer", "website": "https://buyer.example"},
-              "contact": {"name": "Alex", "role": "Sourcing Manager", "email": "alex@buyer.example"},
-              "inquiry": {"message": "Please quote", "product": "Reusable bottle", "quantity": "2000", "timeline": "30 days", "budget": "USD 4-5"},
+              "contact": {"name": "Alex", "role": "Head of Buying", "email": "alex@buyer.example"},
+              "inquiry": {"message": "Please quote", "product": "Enamel lantern", "quantity": "2000", "timeline": "30 days", "budget": "USD 4-5"},
               "signals": {s: True for s in ("explicitInquiry", "replied", "requestedQuote", "requestedSample", "mutualIntroduction")},
               "evidence": [{"kind": k, "value": k, "sourceRef": "s", "status": "verified"} for k in ("company-website", "business-registration", "factory", "business-email")]}
     base = {"sourceReference": "DEMO-003", "organization": {"name": "Same"}, "inquiry": {"product": "Part", "quantity": "100"}, "signals": {"explicitInquiry": True}}

@@ -7,9 +7,9 @@ from leadloom.operators import funnel, leads as shape, scoring
 from tests.fixtures import leads, rows
 
 LEAD = {"id": "lead", "source": "Alibaba", "sourceReference": "DEMO-DEV-01",
-        "organization": {"name": "Northstar Demo Imports", "domain": "northstar.example"},
-        "contact": {"name": "Alex Demo", "role": "Sourcing Manager", "email": "buyer@northstar.example"},
-        "inquiry": {"message": "Please quote", "product": "Reusable bottle", "quantity": "2000"}, "signals": {"explicitInquiry": True}}
+        "organization": {"name": "Velmora Home Goods", "domain": "velmora.example"},
+        "contact": {"name": "Alex Demo", "role": "Head of Buying", "email": "buyer@velmora.example"},
+        "inquiry": {"message": "Please quote", "product": "Enamel lantern", "quantity": "2000"}, "signals": {"explicitInquiry": True}}
 RAW = ("lead_id string, event_id string, seq bigint, type string, occurred_at string, channel string, note string, due_at string, "
        "related_event_id string, amount string, currency string, outcome_reason string")
 

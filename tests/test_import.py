@@ -78,7 +78,7 @@ def test_unknown_column_is_reported_and_import_allowed(spark, tmp_path):
 
 def test_explicit_map(spark, tmp_path):
     path = write(tmp_path / "m.csv", "Buyer Organization,Ticket,Body,Requested Item,Unneeded Column\n"
-                 "Northstar Demo Imports,DEMO-102,Please quote 500 units,Reusable bottle,ignore me\n")
+                 "Velmora Home Goods,DEMO-102,Please quote 500 units,Enamel lantern,ignore me\n")
     assert not review(spark, path, "made-in-china").summary.first().can_import
     field_map = {"Buyer Organization": "company_name", "Ticket": "source_reference", "Body": "message",
                  "Requested Item": "product", "Unneeded Column": ""}
@@ -89,14 +89,14 @@ def test_explicit_map(spark, tmp_path):
 
 
 def test_duplicate_targets_and_weak_traceability(spark, tmp_path):
-    path = write(tmp_path / "d.csv", "Company,公司名称,Product\n,虚构采购公司,Storage box\nNorthstar Demo Imports,,\n")
+    path = write(tmp_path / "d.csv", "Company,公司名称,Product\n,虚构采购公司,Storage box\nVelmora Home Goods,,\n")
     got = review(spark, path)
     s = got.summary.first()
     assert s.can_import and s.duplicate_targets == ["company_name"]
     assert (s.missing_reference_rows, s.missing_inquiry_rows, s.missing_contact_rows) == (2, 1, 2)
     assert {"duplicate-targets", "missing-reference", "missing-contact", "no-source"} <= set(s.warnings)
     names = {r.organization.name for r in csv.read_leads(spark, path).leads.collect()}
-    assert names == {"虚构采购公司", "Northstar Demo Imports"}
+    assert names == {"虚构采购公司", "Velmora Home Goods"}
 
 
 def test_structural_errors_block_the_import(spark, tmp_path):
@@ -124,7 +124,7 @@ def test_two_samples_in_first_seen_order(spark, tmp_path):
 
 
 def test_audit_holds_no_samples(spark, tmp_path):
-    path = write(tmp_path / "a.csv", "Company,Message,Private Column\nNorthstar Demo Imports,Please quote,secret words\n")
+    path = write(tmp_path / "a.csv", "Company,Message,Private Column\nVelmora Home Goods,Please quote,secret words\n")
     got = review(spark, path, field_map={"Company": "company_name", "Message": "message", "Private Column": ""})
     audit = csv.import_audit(got, F.lit("2026-09-08 17:00:00").cast("timestamp"), "import-1")
     row = audit.first()
