@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadloom import model
-from leadloom.session import tune
+from leadloom.session import plan_session, ship
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages",
           "benchmark", "labels", "conversations")
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-_views: dict[str, tuple[str, str]] = {}
+_views: dict[tuple[int, str], str] = {}  # by plan session and table
 EACH = re.compile(r"each_of\(([^)]*)\)")  # one row per listed value, in either engine's words
 
 
@@ -29,8 +29,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query and, where SQL can express it, the statement its result is compared with."""
     def register(build: Query) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            tune(spark)
-            return scalar_columns(build(spark, folder))
+            ship(spark)
+            return scalar_columns(build(plan_session(spark), folder))
         QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
@@ -43,11 +43,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def derive(spark: SparkSession, folder: str, sql: str) -> DataFrame:
-    """Run derivation SQL over the tables it names."""
+    """Run derivation SQL over the tables it names, as views of the plan session alone."""
     for name in TABLES:
-        if name in sql and _views.get(name) != (spark.sparkContext.applicationId, folder):
+        if re.search(rf"\b{name}\b", sql) and _views.get((id(spark), name)) != folder:
             table(spark, folder, name).createOrReplaceTempView(name)
-            _views[name] = (spark.sparkContext.applicationId, folder)
+            _views[id(spark), name] = folder
     return spark.sql(EACH.sub(r"explode(array(\1))", sql))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 # A key is hot when it holds more than 1/HOT_SHARE of the rows, so at most HOT_SHARE keys are, at any size.
 HOT_SHARE = 256
 _written: list[str] = []
+_own_folders: dict[str, str] = {}
 
 
 # Wide projections over text make the optimizer's constraint sets grow exponentially; the filters they would
@@ -29,11 +30,31 @@ PLAN_SETTINGS = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the plan settings to a session built elsewhere."""
-    for key, value in PLAN_SETTINGS.items():
-        spark.conf.set(key, value)
-    return spark
+_plan_sessions: dict[int, tuple[SparkSession, SparkSession]] = {}
+_shipped: set[str] = set()
+
+
+def plan_session(spark: SparkSession) -> SparkSession:
+    """A session beside `spark`, with its settings, the plan settings and views of its own; `spark` itself stays as it is."""
+    known = _plan_sessions.get(id(spark))
+    if known is None or known[0] is not spark:
+        known = _plan_sessions[id(spark)] = (spark, spark.newSession())
+    own, wanted = known[1], {**dict(spark.conf.getAll), **PLAN_SETTINGS}
+    for key, value in wanted.items():
+        if own.conf.get(key, None) != value and spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    return own
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application, so that its functions load wherever Python was started."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        staging = tempfile.mkdtemp(prefix="leadloom-ship-")
+        atexit.register(shutil.rmtree, staging, ignore_errors=True)
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        context.addPyFile(shutil.make_archive(os.path.join(staging, "leadloom"), "zip", root, "leadloom"))
 
 
 def build_session(app: str = "leadloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -56,14 +77,14 @@ def build_session(app: str = "leadloom", master: str | None = None, **conf: str)
 
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir. Only a local master may lack it: it gets a folder that goes when Python exits."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or _own_folders.get(spark.sparkContext.applicationId)
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="leadloom-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", folder)
+    _own_folders[spark.sparkContext.applicationId] = folder
     return folder
 
 
