@@ -165,7 +165,8 @@ def _counted(sample: DataFrame, pick) -> DataFrame:
             for text, toxic in zip(batch.text, batch.toxic):
                 both[toxic].update(pick(fold(text)))
         terms = list(both[0].keys() | both[1].keys())
-        yield pd.DataFrame({"term": terms, "toxic": [both[1][t] for t in terms], "clean": [both[0][t] for t in terms]})
+        if terms:
+            yield pd.DataFrame({"term": terms, "toxic": [both[1][t] for t in terms], "clean": [both[0][t] for t in terms]})
 
     found = sample.select("text", "toxic").mapInPandas(count, "term string, toxic long, clean long")
     return found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
