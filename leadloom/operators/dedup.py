@@ -160,6 +160,11 @@ def describe_links(links: DataFrame, members: DataFrame) -> DataFrame:
         (F.col("confidence") >= HOLD_CONFIDENCE).alias("hold_recommended"), "reasons").orderBy(F.desc("confidence"), "pair_id")
 
 
+def candidate_summary(candidates: DataFrame) -> DataFrame:
+    """How many links there are, and how many are strong enough to recommend a hold."""
+    return candidates.agg(F.count(F.lit(1)).alias("candidates"), F.count_if("hold_recommended").alias("strong"))
+
+
 def block_sizes(members: DataFrame) -> DataFrame:
     """Accounts per blocking key, for a report on hot keys."""
     return members.groupBy("key").agg(F.first("reason").alias("reason"), F.count(F.lit(1)).alias("accounts"))

@@ -58,6 +58,16 @@ SELECT * FROM all_pairs p WHERE NOT EXISTS (SELECT 1 FROM latest d WHERE d.left_
 """
 CANDIDATE_PARTS = {**LEAD_PARTS, "fingerprints": FINGERPRINTS, "walk": WALK, "masters": MASTERS, "members": MEMBERS, "all_pairs": ALL_PAIRS}
 
+SUMMARY = """
+SELECT count(*) AS candidates, count(*) FILTER (hold_recommended) AS strong FROM candidates
+"""
+
+
+@query("dup_summary", with_parts(SUMMARY, **CANDIDATE_PARTS, candidates=CANDIDATES))
+def dup_summary(spark, folder):
+    return dedup.candidate_summary(candidates(spark, folder))
+
+
 # Decisions on pairs of neighbours, several per pair, entered from either side.
 DECISIONS = """
 SELECT concat('L', lpad(CAST(o_custkey AS STRING), 9, '0')) AS a_id, concat('L', lpad(CAST(o_custkey + 1 AS STRING), 9, '0')) AS b_id,

@@ -7,6 +7,7 @@ from leadloom import model
 from leadloom.operators import evidence as ev, scoring
 from leadloom.plans.base import (
     EVIDENCE, LEADS, QUALIFIED, REVIEWS, EFFECTIVE, derive, evidence_frame, lead_frame, query, review_frame, table, with_parts)
+from leadloom.session import work_path
 from leadloom.sources import providers
 
 NOW = "2024-02-01 00:00:00"
@@ -197,6 +198,18 @@ def registry_frame(spark: SparkSession, folder: str) -> DataFrame:
     return nested
 
 
+@query("registry_file", with_parts("""
+SELECT lei, legal_name, jurisdiction, CASE WHEN sure THEN 'verified' ELSE 'inconclusive' END AS record_status, registered_as, legal_address FROM companies""",
+    registry=REGISTRY, companies=COMPANIES.replace("legal_name,", "regexp_replace(legal_name, ' +', ' ', 'g') AS legal_name,", 1)))
+def registry_file(spark, folder):
+    """Round trip through a bulk file that holds one record per line, in several files."""
+    path = work_path(spark, "registry")
+    registry_frame(spark, folder).select(F.to_json(F.struct("id", "attributes")).alias("value")).repartition(5).write.text(path)
+    companies = providers.registry_companies(providers.read_registry(spark, path))
+    return companies.select("lei", F.regexp_replace("legal_name", " +", " ").alias("legal_name"), "jurisdiction", "record_status", "registered_as", "legal_address")
+
+
+
 @query("registry_companies", with_parts("""
 SELECT lei, legal_name, other_name AS other_names, jurisdiction, registered_as, legal_address,
   'https://api.gleif.org/api/v1/lei-records/' || lei AS source_ref, CASE WHEN sure THEN 'verified' ELSE 'inconclusive' END AS record_status FROM companies""",

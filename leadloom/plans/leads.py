@@ -4,11 +4,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadloom import model
-from leadloom.operators import leads as shape, scoring
+from leadloom.operators import leads as shape, relationships, scoring
 from leadloom.plans.base import (
     LEADS, QUALIFIED_PARTS, derive, evidence_frame, lead_frame, query, review_frame, table, with_parts)
 from leadloom.session import work_path
-from leadloom.sources import inquiry_csv
+from leadloom.sources import documents, inquiry_csv
 
 
 def qualified(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,29 +50,27 @@ FROM documents
 
 
 @query("lead_normalization", with_parts("""
-SELECT doc_id AS ordinal, CASE WHEN trim(raw_source, e' \\t') = '' THEN 'manual' ELSE trim(raw_source, e' \\t') END AS source,
-  nullif(trim(reference), '') AS source_reference, lower(trim(raw_source, e' \\t')) || '.example' AS domain,
-  length(text) > 0 AS has_message, lower(trim(replied)) IN ('1', 'true', 'yes', 'y') AS replied,
-  'lead_' || left(sha256(concat_ws('|', CASE WHEN trim(raw_source, e' \\t') = '' THEN 'manual' ELSE trim(raw_source, e' \\t') END,
-    trim(reference), 'Company ' || lang, '', '')), 32) AS lead_id
-FROM raw""", raw=RAW_LEADS))
+SELECT doc_id AS ordinal, source, reference, domain, md5(message) AS message_hash, length(message) AS message_length, replied,
+  'lead_' || left(sha256(concat_ws('|', source, coalesce(reference, ''), 'Company ' || lang, '', coalesce(message, ''))), 32) AS lead_id
+FROM (SELECT *, CASE WHEN trim(raw_source, e' \\t') = '' THEN 'manual' ELSE trim(raw_source, e' \\t') END AS source, nullif(trim(given_reference), '') AS reference,
+    lower(trim(raw_source || '.example', e' \\t')) AS domain, nullif(trim(text, e' \\t\\n\\r'), '') AS message, lower(trim(given_reply)) IN ('1', 'true', 'yes', 'y') AS replied
+  FROM (SELECT doc_id, raw_source, lang, reference AS given_reference, text, replied AS given_reply FROM raw))""", raw=RAW_LEADS))
 def lead_normalization(spark, folder):
     raw = derive(spark, folder, RAW_LEADS)
     nothing = F.lit(None).cast("string")
+    given = {"name": F.concat(F.lit("Company "), "lang"), "domain": F.concat("raw_source", F.lit(".example"))}
     shaped = raw.select(
         nothing.alias("lead_id"), F.col("raw_source").alias("source"), F.col("reference").alias("source_reference"),
         nothing.alias("received_at"),
-        F.struct(*[{"name": F.concat(F.lit("Company "), "lang"), "domain": F.concat("raw_source", F.lit(".example"))}.get(
-            n, nothing).alias(n) for n in model.ORGANIZATION_FIELDS]).alias("organization"),
+        F.struct(*[given.get(n, nothing).alias(n) for n in model.ORGANIZATION_FIELDS]).alias("organization"),
         F.struct(*[nothing.alias(n) for n in model.CONTACT_FIELDS]).alias("contact"),
-        F.struct(*[nothing.alias(n) for n in model.INQUIRY_FIELDS]).alias("inquiry"),
+        F.struct(*[(F.col("text") if n == "message" else nothing).alias(n) for n in model.INQUIRY_FIELDS]).alias("inquiry"),
         F.struct(*[(F.col("replied") if n == "replied" else nothing).alias(n) for n in model.SIGNAL_FIELDS]).alias("signals"),
         F.struct(*[nothing.alias(n) for n in ("do_not_contact", "restricted_market", "duplicate_of", "consent_status")]).alias(
-            "compliance"), nothing.alias("notes"), F.col("doc_id").alias("ordinal"), F.col("text"))
-    out = shape.normalize_leads(shaped.drop("text"))
-    # The domain keeps inner blanks of the raw text in both engines, so compare it rebuilt from the source.
-    return out.select("ordinal", "source", "source_reference", F.concat(F.lower("source"), F.lit(".example")).alias("domain"),
-                      F.lit(True).alias("has_message"), F.col("signals.replied").alias("replied"), "lead_id")
+            "compliance"), nothing.alias("notes"), F.col("doc_id").alias("ordinal"))
+    out = shape.normalize_leads(shaped)
+    return out.select("ordinal", "source", F.col("source_reference").alias("reference"), "organization.domain", F.md5("inquiry.message").alias("message_hash"),
+                      F.length("inquiry.message").alias("message_length"), "signals.replied", "lead_id")
 
 
 @query("lead_ids_interchange", """
@@ -191,3 +189,47 @@ def event_labels(spark, folder):
     return counts.join(F.broadcast(labels), counts.event_type == labels.code).select("event_type", "events", "label")
 
 
+
+
+JSON_LEADS = """
+SELECT concat('J', CAST(c_custkey AS STRING)) AS id, CASE WHEN c_custkey % 3 = 0 THEN 'fair' ELSE ' web ' END AS source, c_custkey,
+  named_struct('name', c_name, 'domain', concat('D', CAST(c_custkey AS STRING), '.example')) AS organization,
+  named_struct('message', concat('Line one of ', c_mktsegment, '\\nand "two"')) AS inquiry,
+  named_struct('replied', c_custkey % 2 = 0) AS signals FROM customer
+"""
+
+
+def written_lines(spark, rows, name: str, files: int = 4) -> str:
+    """The rows as JSON, one record per line, in several files."""
+    path = work_path(spark, name)
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).repartition(files).write.text(path)
+    return path
+
+
+@query("json_leads", """
+SELECT 'J' || c_custkey AS lead_id, CASE WHEN c_custkey % 3 = 0 THEN 'fair' ELSE 'web' END AS source, c_name AS name, 'd' || c_custkey || '.example' AS domain,
+  md5('Line one of ' || c_mktsegment || chr(10) || 'and "two"') AS message_hash, c_custkey % 2 = 0 AS replied FROM customer""")
+def json_leads(spark, folder):
+    """Round trip through files that hold one lead per line."""
+    rows = derive(spark, folder, JSON_LEADS).drop("c_custkey").withColumn(
+        "inquiry", F.struct(F.replace("inquiry.message", F.lit("\\n"), F.lit("\n")).alias("message")))
+    leads = documents.read_lead_documents(spark, written_lines(spark, rows, "json-leads")).leads
+    return leads.select("lead_id", "source", "organization.name", "organization.domain", F.md5("inquiry.message").alias("message_hash"), "signals.replied")
+
+
+@query("relationship_files", """
+SELECT 'S' || s_suppkey AS connector_id, s_name AS connector_name, s_suppkey % 6 AS strength, CASE WHEN s_suppkey % 2 = 0 THEN 'a,b' ELSE 'm' || s_suppkey END AS evidence_ids FROM supplier""")
+def relationship_files(spark, folder):
+    """Round trip of relationship rows, half of them through JSON lines and half through CSV files."""
+    rows = table(spark, folder, "supplier").select(
+        "s_suppkey", F.concat(F.lit("S"), "s_suppkey").alias("connector_id"), F.col("s_name").alias("connector_name"),
+        (F.col("s_suppkey") % 6).cast("string").alias("relationship_strength"),
+        F.when(F.col("s_suppkey") % 2 == 0, "a|b").otherwise(F.concat(F.lit("m"), "s_suppkey")).alias("evidence_ids"))
+    lines = rows.where("s_suppkey % 4 < 2").drop("s_suppkey").withColumnRenamed("evidence_ids", "evidenceIds")
+    listed = lines.withColumn("evidenceIds", F.split("evidenceIds", "[|]"))
+    path = work_path(spark, "relationships")
+    rows.where("s_suppkey % 4 >= 2").drop("s_suppkey").repartition(3).write.option("header", True).csv(path)
+    both = documents.read_paths_json(spark, written_lines(spark, listed, "relationships")).unionByName(
+        documents.read_paths_csv(spark, path).drop("ordinal"), allowMissingColumns=True)
+    paths = relationships.normalize_paths(both)
+    return paths.select("connector_id", "connector_name", F.col("relationship_strength").cast("long").alias("strength"), "evidence_ids")

@@ -29,23 +29,20 @@ def stream_states(spark, folder):
     return streaming.current_states(spark, state).select("lead_id", "stage", "open_follow_ups", "overdue_follow_ups", "last_activity_at")
 
 
-@query("stream_stages", with_parts("""
-SELECT lead_id, CASE WHEN terminal IN ('won', 'lost') THEN terminal WHEN top = 5 THEN 'ordered' WHEN top = 4 THEN 'sampled' WHEN top = 3 THEN 'quoted' WHEN top = 2 THEN 'replied'
-  WHEN top = 1 THEN 'contacted' ELSE 'new' END AS stage FROM (
-  SELECT lead_id, arg_max(type, (occurred_at, seq)) FILTER (type IN ('won', 'lost', 'reopened')) AS terminal, max(CASE type WHEN 'contact-attempted' THEN 1
-    WHEN 'buyer-replied' THEN 2 WHEN 'quote-sent' THEN 3 WHEN 'sample-sent' THEN 4 WHEN 'order-received' THEN 5 ELSE 0 END) AS top FROM clean GROUP BY lead_id)""",
-    events0=EVENT_PARTS["events0"], clean=EVENT_PARTS["clean"]))
+@query("stream_stages", with_parts("SELECT stage, count(*) AS leads FROM states GROUP BY stage", **EVENT_PARTS))
 def stream_stages(spark, folder):
-    """Stages as a plain streaming aggregate; the newest row per lead is what an update-mode sink keeps."""
-    out, stages = work_path(spark, "stages"), streaming.running_stages(streaming.distinct_events(_event_files(spark, folder)))
+    """Leads per stage after all batches; voided events count as little as in batch."""
+    stream, state = _event_files(spark, folder, 1), work_path(spark, "states")
+    streaming.maintain_states(stream, work_path(spark, "log"), state, work_path(spark, "checkpoint"), as_of()).awaitTermination()
+    return streaming.current_states(spark, state).groupBy("stage").agg(F.count(F.lit(1)).alias("leads"))
 
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    stages.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", work_path(spark, "checkpoint")).trigger(
-        availableNow=True).start().awaitTermination()
-    rows = spark.read.schema("lead_id string, stage string, batch bigint").parquet(out)
-    return rows.groupBy("lead_id").agg(F.max_by("stage", "batch").alias("stage"))
+@query("stream_activity", with_parts(f"""
+SELECT {time_text("date_trunc('day', occurred_at)")} AS starts_at, type, count(*) AS events FROM clean GROUP BY ALL""", events0=EVENT_PARTS["events0"], clean=EVENT_PARTS["clean"]))
+def stream_activity(spark, folder):
+    stream, out = _event_files(spark, folder), work_path(spark, "activity")
+    streaming.activity_counts(stream, out, work_path(spark, "checkpoint"), "1 day").awaitTermination()
+    return streaming.activity(spark, out)
 
 
 @query("stream_reminders", with_parts(f"""
@@ -58,10 +55,10 @@ def stream_reminders(spark, folder):
 
 
 @query("stream_links", with_parts("""
-SELECT count(*) AS accounts, count(DISTINCT key) AS blocks FROM (SELECT key, lead_id FROM fingerprints GROUP BY ALL)
+SELECT DISTINCT key, lead_id AS account_id FROM fingerprints
 WHERE key IN (SELECT key FROM fingerprints GROUP BY key HAVING count(DISTINCT lead_id) > 1)""", **LEAD_PARTS, fingerprints=FINGERPRINTS))
 def stream_links(spark, folder):
-    """Accounts that share a block with another one, counted from the links found while they arrive."""
+    """The accounts that share a block with another one, from the links found while they arrive."""
     path, links = work_path(spark, "keys"), work_path(spark, "links")
     keys = dedup.fingerprints(lead_frame(spark, folder), effective(spark, folder))
     keys.withColumnRenamed("lead_id", "account_id").select("key", "account_id", "confidence", "reason").repartition(
@@ -70,7 +67,6 @@ def stream_links(spark, folder):
         "maxFilesPerTrigger", 2).parquet(path)
     streaming.link_new_members(stream, work_path(spark, "members"), links, work_path(spark, "checkpoint")).awaitTermination()
     rows = spark.read.schema(streaming.LINK_DDL + ", batch bigint").parquet(links)
-    ends = rows.select("key", F.explode(F.array("left_id", "right_id")).alias("account_id")).distinct()
-    return ends.agg(F.count(F.lit(1)).alias("accounts"), F.countDistinct("key").alias("blocks"))
+    return rows.select("key", F.explode(F.array("left_id", "right_id")).alias("account_id")).distinct()
 
 

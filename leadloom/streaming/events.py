@@ -57,20 +57,18 @@ def distinct_events(stream: DataFrame) -> DataFrame:
     return stream.dropDuplicates(["lead_id", "event_id"])
 
 
-def running_stages(stream: DataFrame) -> DataFrame:
-    """Stage per lead as a streaming aggregate, for logs without void events (update or complete mode)."""
-    rank = F.lit(0)
-    for event, stage in model.STAGE_OF_EVENT.items():
-        rank = F.when(F.col("type") == event, model.STAGES.index(stage)).otherwise(rank)
-    kind = F.col("type")
-    code = F.when(kind == "won", 1).when(kind == "lost", 2).otherwise(0)
-    marker = t.packed(F.unix_micros("occurred_at"), F.col("seq"), code)
-    grouped = stream.groupBy("lead_id").agg(
-        F.max(rank).alias("_rank"),
-        F.max(F.when(kind.isin("won", "lost", "reopened"), marker)).alias("_terminal"))
-    reached = F.element_at(F.array(*[F.lit(s) for s in model.STAGES]), F.col("_rank") + 1)
-    last = t.packed_code(F.col("_terminal"))
-    return grouped.select("lead_id", F.when(last == 1, "won").when(last == 2, "lost").otherwise(reached).alias("stage"))
+def activity_counts(stream: DataFrame, count_path: str, checkpoint: str, width: str = "1 hour") -> StreamingQuery:
+    """Count distinct events per time window and type. Late events still count: a batch adds its own counts to the table."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        counted = batch.groupBy(F.window("occurred_at", width).alias("w"), "type").agg(F.count(F.lit(1)).alias("events"))
+        counted.select(F.col("w.start").alias("starts_at"), "type", "events").write.mode("overwrite").parquet(_batch_path(count_path, batch_id))
+
+    return _start(distinct_events(stream), handle, checkpoint)
+
+
+def activity(spark: SparkSession, count_path: str) -> DataFrame:
+    rows = _read(spark, count_path, "starts_at timestamp, type string, events bigint")
+    return rows.groupBy("starts_at", "type").agg(F.sum("events").alias("events"))
 
 
 def maintain_states(stream: DataFrame, log_path: str, state_path: str, checkpoint: str, as_of: Column) -> StreamingQuery:
