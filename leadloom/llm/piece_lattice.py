@@ -22,6 +22,7 @@ import heapq
 import math
 import re
 import zlib
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -32,15 +33,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import register, table
+from leadloom.llm.words import MULTIPLIER, mix
 
-K, ALPHA, SEED = 4, 1.0, 42
-MOST_EDGES, TEXTS_AT_ONCE = 4_000_000, 64
+K, ALPHA, SEED = 3, 1.0, 42
+MOST_EDGES, TEXTS_AT_ONCE = 6_000_000, 128
 SPACE = "▁"  # fixed value: how the model writes a space
 _WORD = re.compile(f"{SPACE}+[^{SPACE}\\n\\t]*|[\\n\\t]|[^{SPACE}\\n\\t]+")
 
 
 class Pieces:
-    """The model's pieces with their log weights, and the lattices of the words met so far."""
+    """The model's pieces with their log weights, and the lattices of the words met so far.
+
+    A node is a place in a word. Node n has the edges low[n], low[n] + 1, ..., likeliest first: the summed shares up to
+    each, its own share, the node it leads to (-1 at the word's end) and its piece.
+    """
 
     def __init__(self, path: str, alpha: float = ALPHA):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -51,151 +57,248 @@ class Pieces:
             raise ValueError("a piece reaches over the start of a word")
         ranked = sorted(plain, key=lambda i: -self.model.get_score(i))
         self.weight = {names[i]: (i, -alpha * math.log(rank + 2)) for rank, i in enumerate(ranked)}
-        self.bytes = {int(names[i][3:5], 16): i for i in range(size) if self.model.is_byte(i)}
+        self.byte_ids = np.zeros(256, np.int64)
+        for i in range(size):
+            if self.model.is_byte(i):
+                self.byte_ids[int(names[i][3:5], 16)] = i
         self.byte_weight = -alpha * math.log(size + 2)
-        self.surface = names
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        byte_of = {int(i): bytes([b]) for b, i in enumerate(self.byte_ids)}
+        self.surface = [byte_of.get(i) or names[i].replace(SPACE, " ").encode() for i in range(size)]
         self.longest = max(len(names[i]) for i in plain)
+        hashes = np.array([self._hash(n) for n in self.weight], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        assert (self.hashes[1:] != self.hashes[:-1]).all()
+        self.names = np.array([i for i, _ in self.weight.values()], np.int64)[order]
+        self.weights = np.array([w for _, w in self.weight.values()])[order]
         self.clear()
 
+    @staticmethod
+    def _hash(name: str) -> int:
+        return sum((ord(c) + 1) * pow(MULTIPLIER, t, 1 << 64) for t, c in enumerate(name)) % (1 << 64)
+
     def clear(self) -> None:
         self.start: dict[str, int] = {}
         self.nodes = self.size = 0
-        self.groups: list[list[int]] = []  # bytes of characters without a piece
-        self.cdf, self.p = np.empty(1 << 16), np.empty(1 << 16)
-        self.log_p, self.end, self.piece = np.empty(1 << 16), np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
-
-    def learn(self, words: set[str]) -> None:
-        """Add the lattices of new words: per edge the next node (-1 at the end), the piece and the share of its node."""
-        cdf, p, log_p, end, piece = [], [], [], [], []
-        weight, longest = self.weight, self.longest
-        for word in words:
-            n, base = len(word), self.nodes
-            edges: list[list[tuple[int, int, float]]] = []
-            for i in range(n):
-                out = []
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    found = weight.get(word[i:j])
-                    if found:
-                        out.append((j, found[0], found[1]))
-                if word[i] not in weight:
-                    data = word[i].encode("utf-8", "surrogatepass")
-                    self.groups.append([self.bytes[b] for b in data])
-                    out.append((i + 1, -len(self.groups), self.byte_weight * len(data)))
-                edges.append(out)
-            beta = [0.0] * (n + 1)
-            for i in range(n - 1, -1, -1):
-                sums = [w + beta[j] for j, _, w in edges[i]]
-                top = max(sums)
-                beta[i] = top + math.log(sum(math.exp(s - top) for s in sums))
-            for i in range(n):
-                run, last = 0.0, len(edges[i]) - 1
-                for at, (j, name, w) in enumerate(edges[i]):
-                    share = w + beta[j] - beta[i]
-                    run += math.exp(share)
-                    cdf.append(base + i + (1.0 if at == last else min(run, 1.0)))
-                    p.append(1.0 if last == 0 else math.exp(share))
-                    log_p.append(0.0 if last == 0 else share)
-                    end.append(base + j if j < n else -1)
-                    piece.append(name)
-            self.start[word] = base
-            self.nodes += n
-        need = self.size + len(cdf)
-        for name, new in (("cdf", cdf), ("p", p), ("log_p", log_p), ("end", end), ("piece", piece)):
+        self.low = np.empty(1 << 14, np.int64)
+        self.run, self.p = np.empty(1 << 16), np.empty(1 << 16)
+        self.end, self.piece = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
+
+    def learn(self, words: list[str]) -> None:
+        """Add the lattices of new words, all at once: find every piece in them, then sum backwards from the ends."""
+        if not words:
+            return
+        length = np.array([len(w) for w in words])
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        total, stop = len(code), np.repeat(np.cumsum(length), length)
+        left = stop - np.arange(total)  # characters to the word's end
+        at, size, piece, weight = [], [], [], []
+        value, place, single = np.zeros(total, np.uint64), np.arange(total), np.zeros(total, bool)
+        for n in range(1, min(self.longest, int(length.max())) + 1):
+            place = place[left[place] >= n]
+            value[place] += (code[place + n - 1] + np.uint64(1)) * np.uint64(pow(MULTIPLIER, n - 1, 1 << 64))
+            hit = np.minimum(np.searchsorted(self.hashes, value[place]), len(self.hashes) - 1)
+            good = self.hashes[hit] == value[place]
+            at.append(place[good])
+            size.append(np.full(int(good.sum()), n))
+            piece.append(self.names[hit[good]])
+            weight.append(self.weights[hit[good]])
+            if n == 1:
+                single[place[good]] = True
+        bare = np.flatnonzero(~single)  # as bytes: -1 - code stands for the character
+        at.append(bare)
+        size.append(np.ones(len(bare), np.int64))
+        piece.append(-1 - code[bare].astype(np.int64))
+        weight.append(self.byte_weight * (1 + (code[bare] > 0x7F) + (code[bare] > 0x7FF) + (code[bare] > 0xFFFF)))
+        at, size, piece, weight = map(np.concatenate, (at, size, piece, weight))
+
+        order = np.lexsort((at, left[at]))  # ends of words first
+        at, size, piece, weight = at[order], size[order], piece[order], weight[order]
+        beta, log = np.zeros(total), np.empty(len(at))
+        bounds = np.searchsorted(left[at], np.arange(1, int(left.max()) + 2))
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            own, after = at[a:b], size[a:b]
+            sums = weight[a:b] + np.where(after < left[own], beta[np.minimum(own + after, total - 1)], 0.0)
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            many = np.diff(np.append(first, len(own)))
+            top = np.maximum.reduceat(sums, first)
+            beta[own[first]] = top + np.log(np.add.reduceat(np.exp(sums - np.repeat(top, many)), first))
+            log[a:b] = sums - beta[own]
+        order = np.lexsort((-log, at))
+        at, size, piece, log = at[order], size[order], piece[order], log[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        many = np.diff(np.append(first, len(at)))
+        log[first[many == 1]] = 0.0
+        share = np.exp(log)
+        run = share.copy()  # summed node by node, so that a word's lattice is the same wherever it is built
+        for n in range(1, int(many.max())):
+            here = first[many > n] + n
+            run[here] += run[here - 1]
+        run[first + many - 1] = 1.0
+        end = np.where(size < left[at], self.nodes + at + size, -1)
+        for name, new, filled in (("low", self.size + first, self.nodes), ("run", run, self.size), ("p", share, self.size),
+                                  ("end", end, self.size), ("piece", piece, self.size)):
             held = getattr(self, name)
-            if need > len(held):
-                grown = np.empty(max(need, 2 * len(held)), held.dtype)
-                grown[:self.size] = held[:self.size]
+            if filled + len(new) + 1 > len(held):
+                grown = np.empty(max(filled + len(new) + 1, 2 * len(held)), held.dtype)
+                grown[:filled] = held[:filled]
                 held = grown
                 setattr(self, name, held)
-            held[self.size:need] = new
-        self.size = need
-
-    def draw(self, nodes: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
-        """From each node to the end of its word, edges drawn by their shares: the edges in order, and the word each belongs to."""
-        word, node = np.flatnonzero(nodes >= 0), nodes[nodes >= 0]
-        words, edges = [], []
-        cdf = self.cdf[:self.size]
-        while len(word):
-            edge = np.searchsorted(cdf, node + rng.random(len(node)), "right")
-            words.append(word)
+            held[filled:filled + len(new)] = new
+        self.start.update(zip(words, (self.nodes + np.cumsum(length) - length).tolist()))
+        self.nodes, self.size = self.nodes + total, self.size + len(at)
+        self.low[self.nodes] = self.size
+
+    def draw(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From each node to the end of its word, edges drawn by their shares: the edges in order, the entry each belongs to, its number there.
+
+        The n-th draw of an entry depends on its key and n alone.
+        """
+        entry = np.flatnonzero(nodes >= 0)
+        node, entries, edges, n = nodes[entry], [], [], 0
+        while len(entry):
+            n += 1
+            u, edge = _uniform(keys[entry], n), self.low[node].copy()
+            late = np.flatnonzero(u >= self.run[edge])
+            while len(late):
+                edge[late] += 1
+                late = late[u[late] >= self.run[edge[late]]]
+            entries.append(entry)
             edges.append(edge)
-            node = self.end[edge]
+            node = self.end[edge].astype(np.int64)
             more = node >= 0
-            word, node = word[more], node[more]
-        if not words:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        order = np.argsort(np.concatenate(words), kind="stable")
-        return np.concatenate(edges)[order], np.concatenate(words)[order]
-
-    def sample(self, starts: np.ndarray, k: int, rng) -> list[tuple[np.ndarray, float, float, float]]:
-        """Up to k distinct paths, best perturbed first: edges, log probability, perturbed log probability, log inclusion probability."""
-        queue: list[tuple] = []
-        paths: list[tuple[np.ndarray, float, float]] = []
-        found: list[tuple] = []  # edges, their words, log probability before each
-
-        def add(edges, words, before, total, first, top):
-            """Take in a path whose edges from `first` on are new; what lies beside them waits in the queue."""
-            paths.append((edges, total, top))
-            found.append((edges, words, before))
-            rest = 1 - self.p[edges[first:]]
-            at = np.flatnonzero(rest > 1e-12)
-            if len(at):
-                mass = before[first:][at] + np.log(rest[at])
-                limit = -np.logaddexp(-top, np.log(rng.standard_exponential(len(at))) - mass)
-                best = np.argpartition(-limit, min(k, len(limit) - 1))[:k] if len(limit) > k else np.arange(len(limit))
-                for b in best:
-                    place = int(first + at[b])
-                    heapq.heappush(queue, (-float(limit[b]), len(paths) - 1, place, (int(edges[place]),)))
-
-        edges, words = self.draw(starts, rng)
-        log = self.log_p[edges]
-        before = np.concatenate([[0.0], np.cumsum(log)])
-        add(edges, words, before[:-1], float(before[-1]), 0, -math.log(rng.standard_exponential()))
-        while len(paths) < k and queue:
-            top, path, place, taken = heapq.heappop(queue)
-            top = -top
-            edges, words, before = found[path]
-            node = int(np.floor(self.cdf[edges[place]] - 1e-9)) if self.p[edges[place]] < 1 else -1
-            cdf = self.cdf[:self.size]
-            low, high = int(np.searchsorted(cdf, node, "right")), int(np.searchsorted(cdf, node + 1, "left")) + 1
-            free = np.array([e for e in range(low, high) if e not in taken])
-            share = self.p[free] / self.p[free].sum()
-            edge = int(free[min(int(np.searchsorted(np.cumsum(share), rng.random(), "right")), len(free) - 1)])
-            taken = (*taken, edge)
-            if len(free) > 1:
-                mass = float(before[place]) + math.log(max(float(self.p[[e for e in free if e != edge]].sum()), 1e-300))
-                limit = -float(np.logaddexp(-top, math.log(rng.standard_exponential()) - mass))
-                heapq.heappush(queue, (-limit, path, place, taken))
-            word = int(words[place])
-            more, more_words = self.draw(np.concatenate([[self.end[edge]], starts[word + 1:]]), rng)
-            new_edges = np.concatenate([edges[:place], [edge], more])
-            new_words = np.concatenate([words[:place], [word], more_words + word])
-            sums = float(before[place]) + np.concatenate([[0.0], np.cumsum(self.log_p[new_edges[place:]])])
-            # What lies beside the new edge itself was pushed above.
-            add(new_edges, new_words, np.concatenate([before[:place], sums[:-1]]), float(sums[-1]), place + 1, top)
-        limit = -queue[0][0] if queue else -math.inf
-        return [(edges, total, top, _log_inclusion(total - limit)) for edges, total, top in paths]
+            entry, node = entry[more], node[more]
+        if not entries:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        turns = np.repeat(np.arange(1, n + 1), [len(x) for x in entries])
+        entries = np.concatenate(entries)
+        order = np.argsort(entries, kind="stable")
+        return np.concatenate(edges)[order], entries[order], turns[order]
+
+    def sample(self, texts: list[np.ndarray], keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
+        """For each text (the first nodes of its words) up to k distinct paths, best perturbed first.
+
+        A path: edges, log probability, perturbed log probability, log inclusion probability. All texts take a step
+        together: each takes the first subspace out of its queue and draws the path's remainder.
+        """
+        searches = [_Search(starts, key) for starts, key in zip(texts, keys)]
+        for turn in range(k):
+            steps = [(s, step) for s in searches if (step := s.next(self, turn))]
+            if not steps:
+                break
+            nodes = [np.concatenate([[step.node], s.starts[step.word + 1:]]) for s, step in steps]
+            sizes = np.array([len(x) for x in nodes])
+            word_keys = _mixed(np.repeat(np.array([step.key for _, step in steps], np.uint64), sizes), np.concatenate([np.arange(n) for n in sizes]))
+            edges, entries, turns = self.draw(np.concatenate(nodes), word_keys)
+            # What lies beside each new edge: its mass, and a maximum truncated at the path's own.
+            owner = np.repeat(np.arange(len(steps)), sizes)[entries]
+            share = self.p[edges]
+            log, rest = np.log(share), 1 - share
+            cuts, after, start = np.searchsorted(owner, np.arange(len(steps) + 1)), np.empty(len(edges)), np.empty(len(edges))
+            for n, (_, step) in enumerate(steps):
+                part = slice(cuts[n], cuts[n + 1])
+                np.cumsum(log[part], out=after[part])
+                after[part] += step.before
+                start[part] = np.concatenate([[step.before], after[part][:-1]])[:part.stop - part.start]
+            waits = -np.log1p(-_uniform(_mixed(word_keys[entries], turns), 1 << 20))
+            with np.errstate(divide="ignore"):
+                mass = start + np.log(np.where(rest > 1e-12, rest, 0.0))
+                limits = -np.logaddexp(-np.array([step.top for _, step in steps])[owner], np.log(waits) - mass)
+            inside = entries - (np.cumsum(sizes) - sizes)[owner]
+            for n, (s, step) in enumerate(steps):
+                part = slice(cuts[n], cuts[n + 1])
+                s.add(step, edges[part], inside[part] + step.word, start[part], float(after[part.stop - 1]) if part.stop > part.start else step.before, limits[part], k)
+        return [s.result() for s in searches]
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
-        names = self.piece[edges]
-        if len(names) and names.min() < 0:
-            names = np.array([i for x in names for i in ((x,) if x >= 0 else self.groups[-x - 1])], np.int64)
+        names = self.piece[edges].astype(np.int64)
+        bare = np.flatnonzero(names < 0)
+        if len(bare):  # characters without a piece become their bytes
+            code = -1 - names[bare]
+            names[bare[code < 128]] = self.byte_ids[code[code < 128]]
+            data = [self.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))] for c in code[code >= 128]]
+            if data:
+                names = np.concatenate([x for a, b, d in zip(np.append(0, bare[code >= 128] + 1), bare[code >= 128], data) for x in (names[a:b], d)]
+                                       + [names[bare[code >= 128][-1] + 1:]])
         return names.astype("<u4")
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of the ids: pieces joined, bytes put together, spaces written plainly, without the model's leading space."""
-        parts, data = [], bytearray()
-        for i in ids.tolist():
-            if i in self.byte_of:
-                data.append(self.byte_of[i])
-                continue
-            if data:
-                parts.append(data.decode("utf-8", "replace"))
-                data = bytearray()
-            parts.append(self.surface[i])
-        parts.append(data.decode("utf-8", "replace"))
-        return "".join(parts).replace(SPACE, " ").removeprefix(" ")
+    def decode(self, ids: np.ndarray) -> bytes:
+        """UTF-8 text of the ids: pieces and bytes joined, spaces written plainly, without the model's leading space."""
+        return b"".join(map(self.surface.__getitem__, ids.tolist())).removeprefix(b" ")
+
+
+@dataclass
+class _Step:
+    """A subspace taken out of the queue: a beginning (`path` up to `place`), the edge after it, and what bounds it."""
+
+    top: float
+    key: int
+    path: int = -1
+    place: int = 0
+    edge: int = -1
+    word: int = -1  # of the edge; the words after it are drawn anew
+    node: int = -1  # where the edge leads inside its word
+    before: float = 0.0  # log probability up to and with the edge
+
+
+class _Search:
+    """The queue of one text's subspaces, and the paths found so far."""
+
+    def __init__(self, starts: np.ndarray, key: int):
+        self.starts, self.key, self.draws = starts, key % 2**64, 0
+        self.queue: list[tuple[float, int, int, tuple[int, ...]]] = []
+        self.paths: list[tuple] = []  # edges, their words, log probability before each, whole, perturbed
+
+    def uniform(self) -> float:
+        self.draws += 1
+        return float(_uniform(np.array([self.key], np.uint64), self.draws)[0])
+
+    def next(self, model: Pieces, turn: int) -> _Step | None:
+        key = int(_mixed(np.array([self.key], np.uint64), turn + (1 << 32))[0])
+        if turn == 0:
+            return _Step(-math.log(-math.log1p(-self.uniform())), key)
+        if not self.queue:
+            return None
+        top, path, place, taken = heapq.heappop(self.queue)
+        edges, words, before, _, _ = self.paths[path]
+        first = int(edges[place])
+        # The edges of one node stand together and their summed shares end at 1.
+        low = int(np.searchsorted(model.low[:model.nodes], first, "right")) - 1
+        free = [e for e in range(int(model.low[low]), int(model.low[low + 1])) if e not in taken]
+        shares = model.p[free]
+        edge = free[min(int(np.searchsorted(np.cumsum(shares), self.uniform() * shares.sum(), "right")), len(free) - 1)]
+        mass = float(shares.sum() - model.p[edge])
+        if len(free) > 1 and mass > 0:
+            wait = -math.log1p(-self.uniform())
+            limit = -float(np.logaddexp(top, math.log(wait) - float(before[place]) - math.log(mass)))
+            heapq.heappush(self.queue, (-limit, path, place, (*taken, edge)))
+        return _Step(-top, key, path, place, edge, int(words[place]), int(model.end[edge]), float(before[place]) + math.log(model.p[edge]))
+
+    def add(self, step: _Step, edges, words, before, total: float, limits, k: int) -> None:
+        if step.path >= 0:
+            old = self.paths[step.path]
+            edges = np.concatenate([old[0][:step.place], [step.edge], edges])
+            words = np.concatenate([old[1][:step.place], [step.word], words])
+            before = np.concatenate([old[2][:step.place + 1], before])
+        skip = len(edges) - len(limits)
+        best = np.argpartition(-limits, k)[:k] if len(limits) > k else np.arange(len(limits))
+        for b in best.tolist():
+            if limits[b] > -math.inf:
+                heapq.heappush(self.queue, (-float(limits[b]), len(self.paths), skip + b, (int(edges[skip + b]),)))
+        self.paths.append((edges, words, before, total, step.top))
+
+    def result(self) -> list[tuple[np.ndarray, float, float, float]]:
+        limit = -self.queue[0][0] if self.queue else -math.inf
+        return [(edges, total, top, _log_inclusion(total - limit)) for edges, _, _, total, top in self.paths]
+
+
+def _mixed(keys: np.ndarray, n) -> np.ndarray:
+    return mix(keys + mix(np.atleast_1d(n).astype(np.uint64) + np.uint64(MULTIPLIER)))
+
+
+def _uniform(keys: np.ndarray, n) -> np.ndarray:
+    """A number in [0, 1) for each key and n, equal wherever it is asked for."""
+    return (_mixed(keys, n) >> np.uint64(11)) * 2.0 ** -53
 
 
 def _log_inclusion(x: float) -> float:
@@ -225,14 +328,15 @@ def sample(docs: DataFrame, k: int = K, path: str | None = None, alpha: float =
             split = [_WORD.findall(t) for t in some]
             if model.size > MOST_EDGES:
                 model.clear()
-            model.learn({w for ws in split for w in ws if w not in model.start})
-            for text, ws, key in zip(some, split, keys[at:]):
-                rng = np.random.Generator(np.random.Philox(key=[key % 2**64, seed]))
-                starts, rows = np.fromiter(map(model.start.__getitem__, ws), np.int64, len(ws)), []
-                for n, (edges, total, top, inclusion) in enumerate(model.sample(starts, k, rng), 1):
+            model.learn(list({w for ws in split for w in ws if w not in model.start}))
+            starts = [np.fromiter(map(model.start.__getitem__, ws), np.int64, len(ws)) for ws in split]
+            row_keys = [int(_mixed(np.array([key % 2**64], np.uint64), seed)[0]) for key in keys[at:at + TEXTS_AT_ONCE]]
+            for text, found in zip(some, model.sample(starts, row_keys, k)):
+                rows, plain = [], text.replace(SPACE, " ").encode("utf-8", "surrogatepass").removeprefix(b" ")
+                for n, (edges, total, top, inclusion) in enumerate(found, 1):
                     ids = model.ids(edges)
                     row = {"sample": n, "n_pieces": len(ids), "ids_crc32": zlib.crc32(ids.tobytes()), "log_prob": total, "perturbed": top,
-                           "log_inclusion": inclusion, "round_trip": model.decode(ids) == text.replace(SPACE, " ").removeprefix(" ")}
+                           "log_inclusion": inclusion, "round_trip": model.decode(ids) == plain}
                     rows.append(row | {"ids": ids.astype(np.int32)} if with_ids else row)
                 out.append(rows)
         return pd.Series(out, dtype=object)
@@ -246,7 +350,7 @@ def decode(encoded: DataFrame, path: str | None = None, alpha: float = ALPHA) ->
 
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
-        return pd.Series([pieces(path, alpha).decode(np.asarray(x)) if x is not None else None for x in ids], dtype=object)
+        return pd.Series([pieces(path, alpha).decode(np.asarray(x)).decode("utf-8", "replace") if x is not None else None for x in ids], dtype=object)
 
     return encoded.withColumn("decoded", text("ids"))
 
