@@ -20,6 +20,8 @@ HEADLINE = (
     "registry_match", "mail_domains", "prospect_scores", "prospect_rank", "search_plans", "intro_paths", "intro_best_paths", "email_candidates",
     "email_assessment", "page_titles", "page_text", "page_emails", "page_links", "doc_contacts", "doc_rule_hits", "message_class",
     "template_replies", "crm_merge", "order_totals", "order_documents", "order_document_texts",
+    # The heaviest ones.
+    "dup_review_outcomes", "evidence_review", "dev_record_events", "site_walks", "stream_states", "stream_links",
 )
 
 

@@ -139,7 +139,7 @@ def plain_number(c: Column) -> Column:
 
 def document_texts(documents: DataFrame, checked_lines: DataFrame) -> DataFrame:
     """Plain text of each document. Usable orders have at most LINES_LIMIT lines, so the list is bounded."""
-    usable = documents.select("order_id").distinct()
+    usable = documents.where(F.col("type") == next(iter(DOCUMENT_TITLES))).select("order_id")  # each usable order has each type once
     fields = ("line_no", "sku", "name", "specification", "quantity", "unit", "carton_count", "gross_weight_kg",
               "net_weight_kg", "unit_price", "line_total")
     items = checked_lines.join(usable, "order_id", "left_semi").groupBy("order_id").agg(

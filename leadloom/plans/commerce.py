@@ -279,25 +279,28 @@ def _plain(c: str) -> str:
     return f"regexp_replace(regexp_replace(CAST({c} AS STRING), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
 
 
+_TITLES = "CASE type " + " ".join(f"WHEN '{kind}' THEN '{title.upper()}'" for kind, title in trade.DOCUMENT_TITLES.items()) + " END"
+
+
 @query("order_document_texts", with_parts(f"""
-SELECT order_id, type, concat_ws(e'\\n', CASE type WHEN 'quotation' THEN '报价单 / QUOTATION' ELSE '装箱单 / PACKING LIST' END, 'DRAFT · ' || reference || '-' || upper(type),
-  'Issue date: 2024-02-01', 'Seller: Maker | Road 1 | Sam', 'Buyer: ' || buyer || ' | Street 2 | Kim',
-  CASE type WHEN 'quotation' THEN 'SKU | Product | Specification | Quantity | Unit price | Line total'
-    ELSE 'SKU | Product | Specification | Quantity | Cartons | Gross weight kg | Net weight kg' END, items,
-  CASE type WHEN 'quotation' THEN 'Total: ' || cur || ' ' || {_plain('amount')} END, 'Incoterm: FOB Shanghai',
-  CASE type WHEN 'quotation' THEN 'Payment terms: T/T 30% deposit, 70% before shipment' END,
+SELECT order_id, type, concat_ws(e'\\n', {_TITLES}, 'DRAFT · ' || reference || '-' || upper(type),
+  'Issue date: 2024-02-01', 'Seller: Maker | Road 1 | Sam', CASE WHEN type <> 'product-catalog' THEN 'Buyer: ' || buyer || ' | Street 2 | Kim' END,
+  'SKU | Product | Specification | Quantity' || CASE type WHEN 'packing-list' THEN ' | Cartons | Gross weight kg | Net weight kg' WHEN 'product-catalog' THEN ''
+    ELSE ' | Unit price | Line total' END, items,
+  CASE WHEN type NOT IN ('packing-list', 'product-catalog') THEN 'Total: ' || cur || ' ' || {_plain('amount')} END, CASE WHEN type <> 'product-catalog' THEN 'Incoterm: FOB Shanghai' END,
+  CASE WHEN type NOT IN ('packing-list', 'product-catalog') THEN 'Payment terms: T/T 30% deposit, 70% before shipment' END,
   CASE type WHEN 'packing-list' THEN 'Packing: ' || cartons || ' cartons; G.W. ' || {_plain('gross')} || ' kg; N.W. ' || {_plain('net')} || ' kg' END,
   CASE type WHEN 'quotation' THEN 'Validity: 30 days' END, '{trade.STATUS_LINE}') AS text
-FROM (SELECT *, CASE WHEN currency = 'eur' THEN 'EUR' ELSE 'USD' END AS cur FROM document_rows WHERE type IN ('quotation', 'packing-list')) d, LATERAL (
+FROM (SELECT *, CASE WHEN currency = 'eur' THEN 'EUR' ELSE 'USD' END AS cur FROM document_rows) d, LATERAL (
   SELECT string_agg('SKU-' || l_partkey || ' | Part ' || l_partkey || ' | ' || CASE WHEN l_returnflag = 'A' THEN 'spec A' ELSE '-' END || ' | '
-    || {_plain('l_quantity::DECIMAL(18, 4)')} || ' pcs | ' || CASE d.type WHEN 'quotation' THEN d.cur || ' ' || {_plain('l_extendedprice::DECIMAL(12, 2)')} || ' | ' || d.cur || ' '
-      || {_plain('round(l_quantity::DECIMAL(18, 4) * l_extendedprice::DECIMAL(12, 2), 2)')}
-      ELSE CASE WHEN l_linenumber % 4 = 0 THEN '1' ELSE CAST(l_linenumber % 4 AS STRING) END || ' | ' || CASE WHEN l_linenumber % 3 = 0 THEN '0.01' ELSE CAST(l_linenumber % 3 AS STRING) END || ' | 0.01' END,
+    || {_plain('l_quantity::DECIMAL(18, 4)')} || ' pcs' || CASE d.type WHEN 'product-catalog' THEN ''
+      WHEN 'packing-list' THEN ' | ' || CASE WHEN l_linenumber % 4 = 0 THEN '1' ELSE CAST(l_linenumber % 4 AS STRING) END || ' | ' || CASE WHEN l_linenumber % 3 = 0 THEN '0.01' ELSE CAST(l_linenumber % 3 AS STRING) END || ' | 0.01'
+      ELSE ' | ' || d.cur || ' ' || {_plain('l_extendedprice::DECIMAL(12, 2)')} || ' | ' || d.cur || ' '
+        || {_plain('round(l_quantity::DECIMAL(18, 4) * l_extendedprice::DECIMAL(12, 2), 2)')} END,
     e'\\n' ORDER BY l_linenumber, 'SKU-' || l_partkey, l_returnflag = 'A', l_quantity) AS items FROM lineitem WHERE l_orderkey = d.order_id)""", **TRADE_PARTS, document_rows=DOCUMENT_ROWS))
 def order_document_texts(spark, folder):
     lines = line_frame(spark, folder)
-    documents = trade.trade_documents(order_frame(spark, folder, lines))
-    return trade.document_texts(documents, lines).where(F.col("type").isin("quotation", "packing-list"))
+    return trade.document_texts(trade.trade_documents(order_frame(spark, folder, lines)), lines)
 
 
 # ---- storage ----
