@@ -11,7 +11,6 @@ from leadloom.functions import text as t
 # ---- fixed values: managed fields with their length limits, and list limits ----
 MANAGED_FIELDS = {"name": 80, "company": 120, "country": 80, "email": 254, "whatsapp": 80}
 CUSTOMERS_KEPT = 500
-REPLIES_KEPT = 200
 LEADS_PER_IMPORT = 500
 # ---- end of fixed values ----
 
@@ -156,8 +155,8 @@ def migrate_customers(rows: DataFrame, now: Column) -> DataFrame:
     return typed.withColumn("customer_id", F.coalesce("customer_id", made))
 
 
-def append_replies(history: DataFrame, added: DataFrame, keep: int = REPLIES_KEPT) -> DataFrame:
-    """Newest `keep` replies per workspace after an append.
+def append_replies(history: DataFrame, added: DataFrame, keep: int | None = None) -> DataFrame:
+    """The replies after an append; the newest `keep` per workspace, if given.
 
     Columns: workspace_id, reply_id, created_at, customer_id, inbound, scenario_id, reply, mode, provider.
     """
@@ -171,8 +170,11 @@ def append_replies(history: DataFrame, added: DataFrame, keep: int = REPLIES_KEP
             F.coalesce(t.text("mode"), F.lit("generic")).alias("mode"),
             F.when(F.col("provider") == "ai", "ai").otherwise("template").alias("provider"))
 
+    every = typed(history).unionByName(typed(added))
+    if keep is None:
+        return every
     newest = Window.partitionBy("workspace_id").orderBy(F.desc("created_at"), F.desc("reply_id"))
-    return typed(history).unionByName(typed(added)).withColumn("_rank", F.row_number().over(newest)).where(
+    return every.withColumn("_rank", F.row_number().over(newest)).where(
         F.col("_rank") <= keep).drop("_rank")
 
 

@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 
 from leadloom import model
 from leadloom.functions import text as t
-from leadloom.operators.leads import newest
 from leadloom.session import first_code, cut_lineage, lookup
 
-ORIGINS_KEPT = 200  # fixed value: field origins kept per lead
 
 # Field filled by each kind of a reviewer's selection (the first row of the kind counts).
 SELECTED_FIELDS = {
@@ -118,7 +116,7 @@ def fill_empty(leads: DataFrame, evidence: DataFrame, origins: DataFrame, patch:
         none.alias("updated_at"), F.lit(True).alias("active"), none.alias("ended_at"), no_text.alias("end_reason"),
         (F.coalesce("_last", F.lit(0)) + position).alias("seq"))
     updated = put_fields(leads, filled.select("lead_id", "path", F.col("value").alias("new_value")))
-    kept = newest(origins.select(*added.columns).unionByName(added), ["lead_id"], ORIGINS_KEPT)
+    kept = origins.select(*added.columns).unionByName(added)
     return updated, kept, filled
 
 
@@ -277,12 +275,12 @@ def review_evidence(leads: DataFrame, evidence: DataFrame, reviews: DataFrame, o
     Returns the new `leads`, `evidence`, `reviews` and `origins`, every action with its `outcome`, and the
     `effects` (lead_id, seq, path, result in cleared / restored / updated / preserved).
 
-    Fields are independent, so the ordered fold runs per (lead, field). A group holds that field's origins (at
-    most ORIGINS_KEPT per lead) and at most `per_round` actions; more actions on one field take further rounds.
+    Fields are independent, so the ordered fold runs per (lead, field). A group holds that field's origins and at most
+    `per_round` actions; more actions on one field take further rounds.
     """
     checked = cut_lineage(check_reviews(evidence, reviews, actions), "actions")
     accepted = checked.where(F.col("outcome") == "accepted")
-    current = newest(origins, ["lead_id"], ORIGINS_KEPT).withColumnRenamed("seq", "origin_seq")
+    current = origins.withColumnRenamed("seq", "origin_seq")
     touching = accepted.join(current.select("lead_id", "evidence_id", "path").distinct(), ["lead_id", "evidence_id"])
     order = Window.partitionBy("lead_id", "path").orderBy("seq")
     numbered = cut_lineage(touching.withColumn(
@@ -333,6 +331,6 @@ def review_evidence(leads: DataFrame, evidence: DataFrame, reviews: DataFrame, o
         *evidence.columns)
     return {
         "leads": leads, "evidence": new_evidence,
-        "reviews": newest(reviews.select(*entries.columns).unionByName(entries), ["lead_id", "evidence_id"], 50),
+        "reviews": reviews.select(*entries.columns).unionByName(entries),
         "origins": current.withColumnRenamed("origin_seq", "seq"), "actions": checked, "effects": effects,
     }

@@ -239,13 +239,30 @@ def _judge(key: tuple, proposals: pd.DataFrame, history: pd.DataFrame) -> pd.Dat
     return pd.DataFrame(out, columns=["lead_id", "seq", "outcome"])
 
 
+def _matters(history: DataFrame, batch: DataFrame, per_round: int) -> DataFrame:
+    """The past events that decide on a batch: those it names, what voids or completes them, and the last open or closing marks."""
+    named = batch.select("lead_id", F.explode(F.array("event_id", "related_event_id")).alias("event_id")).where("event_id IS NOT NULL").distinct()
+    about = named.withColumnRenamed("event_id", "related_event_id")
+    own = history.join(named, ["lead_id", "event_id"], "left_semi")
+    effects = history.where(F.col("type").isin("activity-voided", "follow-up-completed")).join(about, ["lead_id", "related_event_id"], "left_semi")
+    voids = history.where(F.col("type") == "activity-voided")
+    undone = voids.join(effects.select("lead_id", F.col("event_id").alias("related_event_id")).distinct(), ["lead_id", "related_event_id"], "left_semi")
+    marks = history.where(F.col("type").isin("won", "lost", "reopened")).join(batch.select("lead_id").distinct(), "lead_id", "left_semi").join(
+        voids.select("lead_id", F.col("related_event_id").alias("event_id")), ["lead_id", "event_id"], "left_anti")
+    # A round voids at most `per_round` of them, so one more than that suffices.
+    newest_first = Window.partitionBy("lead_id").orderBy(F.desc("occurred_at"), F.desc("seq"), F.desc("event_id"))
+    marks = marks.withColumn("_rank", F.row_number().over(newest_first)).where(F.col("_rank") <= per_round + 1).drop("_rank")
+    columns = history.columns
+    return own.select(columns).union(effects.select(columns)).union(undone.select(columns)).union(marks.select(columns)).distinct()
+
+
 def record_events(leads: DataFrame, qualified: DataFrame, events: DataFrame, proposals: DataFrame,
                   recorded_at: Column, per_round: int = PROPOSALS_PER_ROUND) -> DataFrame:
     """Judge proposed events; returns them with `outcome` (accepted or a refusal code).
 
-    Each proposal is judged against the history including earlier accepted ones. One lead's group holds at
-    most EVENTS_KEPT past events (what the data model keeps) and `per_round` proposals; leads with more
-    proposals go through further rounds, so no group grows with the data.
+    Each proposal is judged against the whole history including earlier accepted ones. Joins pick the past events that
+    can matter to a round's proposals; one lead's group holds those and `per_round` proposals, and leads with more proposals go
+    through further rounds, so no group grows with the data.
     """
     checked = check_proposals(leads, qualified, proposals, recorded_at)
     order = Window.partitionBy("lead_id").orderBy("seq")
@@ -256,7 +273,7 @@ def record_events(leads: DataFrame, qualified: DataFrame, events: DataFrame, pro
     needed = ["lead_id", "event_id", "seq", "type", "occurred_at", "related_event_id"]
     for number in range(0 if rounds is None else rounds + 1):
         batch = numbered.where(F.col("_round") == number)
-        past = recent_events(history.select(*needed).join(batch.select("lead_id"), "lead_id", "left_semi"))
+        past = _matters(history.select(*needed), batch, per_round)
         verdicts = batch.select(*needed, "refusal").groupBy("lead_id").cogroup(past.groupBy("lead_id")).applyInPandas(
             _judge, CHECKED_DDL)
         done = cut_lineage(batch.join(verdicts, ["lead_id", "seq"]), "judged")

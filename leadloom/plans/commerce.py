@@ -186,7 +186,7 @@ def crm_stats(spark, folder):
 @query("reply_log", f"""
 SELECT workspace_id, reply_id, scenario_id, provider FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY created_at DESC, reply_id DESC) AS rn FROM (
   SELECT 'ws_' || user_id % 3 AS workspace_id, 'r' || event_id AS reply_id, ts AS created_at, CASE WHEN event_type = 'view' THEN 'inquiry' ELSE event_type END AS scenario_id,
-    CASE WHEN event_type = 'click' THEN 'ai' ELSE 'template' END AS provider, event_id FROM events)) WHERE rn <= 200 AND event_id % 7 <> 0""")
+    CASE WHEN event_type = 'click' THEN 'ai' ELSE 'template' END AS provider, event_id FROM events)) WHERE event_id % 7 <> 0""")
 def reply_log(spark, folder):
     events = table(spark, folder, "events")
     rows = events.select(
