@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadloom.session import cut_lineage
+from leadloom.session import cut_lineage, ship
 
 #: A key is hot when it holds more than 1/HOT_SHARE of all rows, so at most HOT_SHARE keys are hot, at any size.
 HOT_SHARE = 256
@@ -15,7 +17,11 @@ HOT_SHARE = 256
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-keep = cut_lineage
+
+def keep(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write `df` once to the shared folder and read it back."""
+    ship(df.sparkSession)
+    return cut_lineage(df, name)
 
 
 def register(name: str, sql: str | None = None):
@@ -29,6 +35,7 @@ def register(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -61,7 +68,7 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, how: str
     found = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     found = found.withColumn("_spread", F.when(F.col("_hot_key").isNotNull() | F.col(key).isNull(), spread))
     # A shuffled row carries its key and a spread that is 0 for the rows still to be matched.
-    cold = cold.withColumn("_cold_spread", F.lit(0).cast("long"))
+    cold = cold.withColumn("_cold_spread", F.lit(0).cast("long")).hint("merge")
     joined = found.join(cold, (F.col(key) == F.col("_cold_key")) & (F.coalesce("_spread", F.lit(0).cast("long")) == F.col("_cold_spread")), "left")
     value = F.coalesce("_hot_value", "_cold_value")
     joined = joined.withColumn("_value", value)
@@ -70,6 +77,42 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, how: str
     return joined.select(*left.columns, *[F.col(f"_value.{c}").alias(c) for c in extra])
 
 
+def by_group(df: DataFrame, keys: list[str], function: Callable, schema: str) -> DataFrame:
+    """`function` on the columns (as arrays) of each group of rows with equal whole-number keys; it returns arrays in the order of `schema`.
+
+    Like a grouped apply, but rows stream through sorted partitions, so many small groups cost little each. A task holds one
+    group and one batch: callers bound their groups.
+    """
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(batches):
+        held: list[dict] = []
+
+        def finish():
+            if held:
+                yield function({c: np.concatenate([h[c] for h in held]) for c in held[0]} if len(held) > 1 else held[0])
+                held.clear()
+
+        def parts(batch):
+            columns = {c: batch[c].to_numpy() for c in batch.columns}
+            key = np.column_stack([columns[k] for k in keys])
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            for n, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(key)])):
+                if not n and held and any(held[-1][k][-1] != columns[k][0] for k in keys) or n:
+                    yield from finish()
+                held.append({c: v[a:b] for c, v in columns.items()})
+
+        for batch in batches:
+            if len(batch):
+                found = list(parts(batch))
+                if found:
+                    yield pd.DataFrame({n: np.concatenate(x) for n, x in zip(names, zip(*found))})
+        for found in finish():
+            yield pd.DataFrame(dict(zip(names, found)))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest reachable node for every node of `edges` (columns a, b of type long): columns node, component.
 

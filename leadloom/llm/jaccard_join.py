@@ -8,9 +8,9 @@ their hashes. Documents with equal sets form a class; classes are joined as foll
    items stand next to each other: for sets of up to PREFIX items always; for longer ones, whose order is random,
    all PREFIX places would have to avoid it, with probability below 1e-11.
 2. Stars, in at most STARS rounds. Each class meets one other, the first head of its blocks under the round's order, and
-   joins its component if they link. Groups of copies of any size collapse with a comparison or two per member.
-3. Rest. Blocks that still hold several components are searched in full: all members of different components whose
-   item counts in 64 ranges of hashes do not rule the likeness out. Large blocks are dealt in pairs of slices.
+   takes over its label if they link. Groups of copies of any size collapse with a comparison or two per member.
+3. Rest. Blocks that still hold several components are searched in full: the members outside the block's largest
+   component meet all members of other components whose counts in ranges of hashes do not rule the likeness out.
 Every comparison is a search in a `PrefixTree` of at most SLICE members around one probe. No pair is skipped unless a
 bound rules it out or its classes already share a component, so components are those of all links.
 
@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.llm import words
-from leadloom.llm.common import components, free_name, join_hot, keep, register, table
+from leadloom.llm.common import by_group, components, free_name, join_hot, keep, register, table
 from leadloom.llm.prefix_tree import PrefixTree
 
-SIZE, PERCENT, PREFIX, SLICE, BLOCK, STARS = 5, 80, 41, 512, 2048, 4
+SIZE, PERCENT, PREFIX, SLICE, BLOCK, STARS = 5, 80, 41, 512, 2048, 3
+#: Documents whose keys are broadcast to fetch their texts (24 bytes each).
+FEW = 400_000
 
 
 def _set(shingles: np.ndarray) -> np.ndarray:
@@ -45,8 +47,14 @@ def _node(items: np.ndarray) -> int:
 
 
 def _ranges(items: np.ndarray) -> bytes:
-    """Item counts in 64 ranges of hashes; the likeness is bounded by their differences."""
-    return np.minimum(np.bincount((items >> np.uint64(58)).astype(np.int64), minlength=64), 65535).astype("<u2").tobytes()
+    """What bounds the likeness of two sets: whether the counts in 512 ranges of hashes are odd, and the counts in 64 ranges."""
+    counts = np.bincount((items >> np.uint64(55)).astype(np.int64), minlength=512)
+    return np.packbits(counts & 1).tobytes() + np.minimum(counts.reshape(64, 8).sum(axis=1), 65535).astype("<u2").tobytes()
+
+
+def _bounds(ranges) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.frombuffer(b"".join(ranges), np.uint8).reshape(-1, 192)
+    return rows[:, :64].copy().view(np.uint64), rows[:, 64:].copy().view("<u2")
 
 
 def _neighbours(items: np.ndarray) -> np.ndarray:
@@ -71,10 +79,19 @@ def sketches(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return found.select("doc_id", "text_key", "found.*")
 
 
-def _possible(n, m, a, b, percent: int):
-    """Whether counts by range leave the likeness possible; a and b are uint16 rows."""
-    apart = np.abs(a.astype(np.int32) - b.astype(np.int32)).sum(axis=-1)
-    return (100 + percent) * (n + m - apart) >= 2 * percent * (n + m)  # shared <= (n + m - apart) / 2
+def _possible(n, m, a, b, percent: int) -> np.ndarray:
+    """Whether the bounds leave the likeness possible, row by row; `a` and `b` are pairs of arrays from `_bounds`.
+
+    Ranges with odd counts on one side only hold an item that is not shared; so do the differences of counts.
+    """
+    n, m = np.broadcast_arrays(n, m)
+    most = (n + m) - 2 * percent * (n + m) / (100 + percent)  # items that may not be shared
+    ok = np.bitwise_count(a[0] ^ b[0]).sum(axis=-1, dtype=np.int64) <= most
+    at = np.flatnonzero(ok)
+    if len(at):
+        x, y = (v[at] if len(v) == len(ok) else v for v in (a[1], b[1]))
+        ok[at] = np.abs(x.astype(np.int32) - y).sum(axis=-1) <= most[at]
+    return ok
 
 
 def _shared_blocks(classes: DataFrame) -> DataFrame:
@@ -89,7 +106,7 @@ def _live(members: DataFrame, labels: DataFrame | None, turn: int) -> tuple[Data
     if labels is None:
         members = members.withColumn("component", F.col("node"))
     else:
-        members = members.join(labels, "node")
+        members = members.join(labels.hint("merge"), "node")
     order = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node"), F.col("component"))
     blocks = members.groupBy("block").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("times"),
                                           F.min("component").alias("low"), F.max("component").alias("high"))
@@ -103,16 +120,29 @@ def _stars(members: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame
     return met.groupBy("node").agg(F.min("head").alias("head")).select("node", F.col("head.node").alias("probe"))
 
 
+def _adopted(classes: DataFrame, labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels after a round: a class that links takes over its probe's label, and then the label of the class that label names.
+
+    Equal labels mean one component; the reverse holds once `components` has run over all links.
+    """
+    before = classes.select("node", F.col("node").alias("component")) if labels is None else labels
+    named = before.select(F.col("node").alias("b"), F.col("component").alias("taken"))
+    taken = links.join(named.hint("merge"), "b").select(F.col("a").alias("node"), "taken")
+    step = keep(before.join(taken.hint("merge"), "node", "left").select("node", F.coalesce("taken", "component").alias("component")), "labels")
+    again = step.select(F.col("node").alias("component"), F.col("component").alias("next"))
+    sizes = keep(step.groupBy("component").agg(F.count(F.lit(1)).alias("times")).join(again.hint("merge"), "component"), "names")
+    return keep(join_hot(step, sizes, "component", "times").select("node", F.col("next").alias("component")), "labels")
+
+
 def _sifted(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs that sizes and ranges leave possible."""
     light = classes.select("node", "n", "ranges")
     probes = light.select(F.col("node").alias("probe"), F.col("n").alias("probe_n"), F.col("ranges").alias("probe_ranges"))
-    joined = keep(pairs, "pairs").join(light, "node").join(probes, "probe")
+    joined = pairs.join(light.hint("merge"), "node").join(probes.hint("merge"), "probe")
 
     @F.pandas_udf("boolean")
     def possible(n, m, a, b):
-        counts = [np.frombuffer(b"".join(x), "<u2").reshape(-1, 64) for x in (a, b)]
-        return pd.Series(_possible(n.to_numpy(), m.to_numpy(), *counts, percent))
+        return pd.Series(_possible(n.to_numpy(), m.to_numpy(), _bounds(a), _bounds(b), percent))
 
     return joined.where(possible("n", "probe_n", "ranges", "probe_ranges")).select("node", "probe")
 
@@ -120,7 +150,9 @@ def _sifted(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the written pairs (node, probe) that link, as (a, b); each is searched in a tree of at most SLICE members."""
     nodes = pairs.select("node").unionByName(pairs.select(F.col("probe").alias("node"))).distinct()
-    wanted = keep(nodes.join(classes, "node").select("node", "rep", "rep_key"), "wanted")
+    wanted = keep(nodes.join(classes.hint("merge"), "node").select("node", "rep", "rep_key"), "wanted")
+    # The texts of a few documents are fetched without moving the others; beyond the checked bound, all texts shuffle once.
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted.hint("merge")
     texts = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text")).join(
         wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_key") == F.col("rep_key"))).select("node", "text")
 
@@ -133,47 +165,62 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, pe
     probes = keep(pairs.groupBy("probe").agg(F.count(F.lit(1)).alias("times"))
                   .withColumn("slices", F.ceil(F.col("times") / SLICE)), "probes")
     dealt = join_hot(pairs, probes, "probe", "times").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")))
-    members = dealt.join(sets, "node").select("probe", "slice", "node", F.lit(False).alias("head"), "items")
-    heads = probes.join(sets, probes["probe"] == sets["node"]).select(
+    members = dealt.join(sets.hint("merge"), "node").select("probe", "slice", "node", F.lit(False).alias("head"), "items")
+    heads = probes.join(sets.hint("merge"), probes["probe"] == sets["node"]).select(
         "probe", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "node", F.lit(True).alias("head"), "items")
 
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["node", "head"])
-        probe, rest = group[group["head"]]["items"].iloc[0], group[~group["head"]]
-        tree = PrefixTree([np.frombuffer(x, "<u8") for x in rest["items"]])
-        found = tree.search(np.frombuffer(probe, "<u8"), percent)
-        a = rest["node"].to_numpy(np.int64)[found]
-        return pd.DataFrame({"a": a, "b": np.full(len(a), group["probe"].iloc[0], np.int64)})
+    def search(group):
+        _, first = np.unique(np.where(group["head"], 0, group["node"]), return_index=True)  # rows repeated as a whole come several times
+        rest = first[~group["head"][first].astype(bool)]
+        probe = group["items"][np.flatnonzero(group["head"])[0]]
+        tree = PrefixTree([np.frombuffer(group["items"][i], "<u8") for i in rest])
+        a = group["node"][rest[tree.search(np.frombuffer(probe, "<u8"), percent)]]
+        return a, np.full(len(a), group["probe"][0])
 
-    return members.unionByName(heads).groupBy("probe", "slice").applyInPandas(search, "a long, b long")
+    return by_group(members.unionByName(heads), ["probe", "slice"], search, "a long, b long")
 
 
 def _rest(members: DataFrame, labels: DataFrame | None, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a block and that sizes and ranges leave possible."""
-    members, mixed = _live(members, labels, 0)
-    mixed = keep(mixed.select("block", "times", F.ceil(F.col("times") / BLOCK).cast("int").alias("slices")), "mixed")
-    inside = join_hot(members, mixed, "block", "times").withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
-    inside = keep(inside.select("node", "block", "component", "own", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other")), "inside")
+    """Pairs (node, probe) of different components that share a block and that sizes and ranges leave possible.
+
+    Of a block's components, the one with the most members is its main one. The others' members meet all members; two
+    members of the main component never meet. Large blocks are dealt in slices of either side.
+    """
+    members = members.withColumn("component", F.col("node")) if labels is None else members.join(labels.hint("merge"), "node")
+    members = keep(members, "labelled")
+    parts = members.groupBy("block", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("block").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("times"), F.count(F.lit(1)).alias("parts"))
+    mixed = mixed.where("parts > 1").select(
+        "block", "times", F.col("main.component").alias("main"), F.ceil(F.col("times") / BLOCK).cast("int").alias("slices"),
+        F.ceil((F.col("times") - F.col("main.n")) / BLOCK).cast("int").alias("few_slices"))
+    inside = join_hot(members, keep(mixed, "mixed"), "block", "times")
+    few, own = F.col("component") != F.col("main"), F.xxhash64("node")
+    spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_any = inside.select("node", "block", "component", few.alias("few"), F.lit(False).alias("asks"),
+                           F.pmod(own, F.col("slices")).cast("int").alias("i"), F.explode(spread("few_slices")).alias("j"))
+    asking = inside.where(few).select("node", "block", "component", few.alias("few"), F.lit(True).alias("asks"),
+                                      F.explode(spread("slices")).alias("i"), F.pmod(own, F.col("few_slices")).cast("int").alias("j"))
     light = classes.select("node", "n", "ranges")
-    inside = inside.join(light, "node").withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        """Members sorted by set size; each meets the next ones as long as their sizes allow the likeness."""
-        group = group.sort_values(["n", "node"], ignore_index=True)
-        n, node, part, own = (group[c].to_numpy() for c in ("n", "node", "component", "own"))
-        ranges = np.frombuffer(b"".join(group["ranges"]), "<u2").reshape(-1, 64)
-        one_slice = group.i.iloc[0] == group.j.iloc[0]
-        a, b = [], []
-        for k in range(len(group) - 1):
-            near = slice(k + 1, int(np.searchsorted(n, 100 * n[k] // percent, "right")))
-            ok = (part[near] != part[k]) & ((own[near] != own[k]) | one_slice)
-            ok &= _possible(n[near], n[k], ranges[near], ranges[k], percent)
-            hits = np.flatnonzero(ok) + k + 1
-            a.extend(node[hits])
-            b.extend([node[k]] * len(hits))
-        return pd.DataFrame({"node": np.array(a, np.int64), "probe": np.array(b, np.int64)})
-
-    return inside.groupBy("block", "i", "j").applyInPandas(search, "node long, probe long").distinct()
+    met = keep(as_any.unionByName(asking), "inside").join(light.hint("merge"), "node")
+
+    def search(group):
+        """Each asking member meets the members whose set size allows the likeness."""
+        order = np.argsort(group["n"], kind="stable")
+        n, node, part, few, asks = (group[c][order] for c in ("n", "node", "component", "few", "asks"))
+        odd, counts = _bounds(group["ranges"][order])
+        asks, few = asks.astype(bool), few.astype(bool)
+        a, b = [node[:0]], [node[:0]]
+        for k in np.flatnonzero(asks):
+            near = slice(int(np.searchsorted(n, -(-percent * n[k] // 100))), int(np.searchsorted(n, 100 * n[k] // percent, "right")))
+            # two asking members meet twice; one meeting is enough
+            at = np.flatnonzero(~asks[near] & (part[near] != part[k]) & (~few[near] | (node[near] < node[k]))) + near.start
+            if len(at):
+                at = at[_possible(n[at], n[k], (odd[at], counts[at]), (odd[k:k + 1], counts[k:k + 1]), percent)]
+                a.append(node[at])
+                b.append(np.full(len(at), node[k]))
+        return np.concatenate(a), np.concatenate(b)
+
+    return by_group(met, ["block", "i", "j"], search, "node long, probe long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -183,18 +230,31 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
     classes = found.where("node IS NOT NULL").groupBy("node").agg(
         least.alias("least"), F.max("n").alias("n"), F.first("blocks").alias("blocks"), F.first("ranges").alias("ranges"), F.count(F.lit(1)).alias("copies"))
     classes = keep(classes.select("node", "n", "blocks", "ranges", "copies", "least", F.col("least.doc_id").alias("rep"), F.col("least.text_key").alias("rep_key")), "classes")
-    members, links, labels, stars = _shared_blocks(classes), None, None, STARS
-    while stars >= 0:
-        pairs = _sifted(_stars(members, labels, stars), classes, percent) if stars else _rest(members, labels, classes, percent)
+    members, links, labels = _shared_blocks(classes), None, None
+
+    def joined_by(pairs: DataFrame) -> DataFrame | None:
+        """The links among the pairs, if any; they also join the links found so far."""
+        nonlocal links
         pairs = keep(pairs, "pairs")
         new = None if pairs.isEmpty() else keep(_linked(pairs, docs, classes, size, percent), "links")
-        if new is None or new.isEmpty():  # no star helps any more: what is left is searched in full
-            stars = 0 if stars else -1
-            continue
-        stars -= 1
+        if new is None or new.isEmpty():
+            return None
         links = new if links is None else links.unionByName(new)
-        linked = components(links)
-        labels = keep(classes.select("node").join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
+        return new
+
+    def all_joined() -> DataFrame | None:
+        if links is None:
+            return None
+        return keep(classes.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
+
+    for turn in range(STARS, 0, -1):
+        new = joined_by(_sifted(_stars(members, labels, turn), classes, percent))
+        if new is None:
+            break
+        labels = _adopted(classes, labels, new)
+    labels = all_joined()
+    if joined_by(_rest(members, labels, classes, percent)) is not None:
+        labels = all_joined()
     whole = classes.withColumn("component", F.col("node")) if labels is None else classes.join(labels, "node")
     whole = whole.select("node", "component", "least", "copies")
     firsts = whole.groupBy("component").agg(F.min("least").alias("first"))
@@ -214,7 +274,7 @@ def one_of_each(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> Da
         F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
     stay = keep(stay, "stay")
     key, name = F.xxhash64("text"), free_name(docs.columns, "text_key")
-    joined = docs.withColumn(name, key).join(stay, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col(name) == F.col("_key")), "left_semi")
+    joined = docs.withColumn(name, key).join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col(name) == F.col("_key")), "left_semi")
     return joined.dropDuplicates(["doc_id", name]).select(*docs.columns)
 
 
