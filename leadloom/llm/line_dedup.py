@@ -50,7 +50,7 @@ def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     gone = covered(docs, lines)
     gone = keep(gone.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("gone").alias("_gone")), "gone")
     key = F.xxhash64("text")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_doc")) & (key == F.col("_key")), "left")
+    joined = docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_doc")) & (key == F.col("_key")), "left")
     total, removed = free_name(docs.columns, "lines_total"), free_name(docs.columns, "lines_removed")
     counted = F.expr(f"size(filter({_lines('coalesce(text, \"\")')}, x -> x <> ''))")
     return joined.withColumn(total, counted).withColumn(removed, F.coalesce(F.size("_gone"), F.lit(0))).withColumn("text", _kept("_gone")).select(
