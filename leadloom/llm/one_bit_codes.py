@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from leadloom.llm.common import keep, register, table
 
 K, EPSILON, SEED = 20, 2.5, 42
-VECTOR_BLOCK, QUERY_BLOCK, STEP = 16_384, 4_096, 1_024
+VECTOR_BLOCK, QUERY_BLOCK, STEP, MOST_TASKS = 8_192, 4_096, 1_024, 100_000
 
 
 @lru_cache(maxsize=8)
@@ -154,7 +154,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, epsilon: float = E
         q, r, s, _ = search_block(codes, given, centres[given.shape[1]], k + 1, epsilon, seed)
         return pd.DataFrame({"query_id": asked["vec_id"].to_numpy()[q], "score": s, "ids": codes["ids"].to_numpy()[r]})
 
-    found = left.groupBy("dim", "block", "part").cogroup(right.groupBy("dim", "block", "part")).applyInPandas(
+    # One task per pair of blocks: the work is in the products, which the size of the shuffled rows does not show.
+    keys, tasks = ["dim", "block", "part"], min(blocks * parts, MOST_TASKS)
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         search, "query_id long, score double, ids array<long>")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("ids")[0])
     found = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
