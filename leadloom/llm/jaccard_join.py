@@ -10,7 +10,8 @@ their hashes. Documents with equal sets form a class; classes are joined as foll
 2. Stars, in at most STARS rounds. Each class meets one other, the first head of its blocks under the round's order, and
    takes over its label if they link. Groups of copies of any size collapse with a comparison or two per member.
 3. Rest. Blocks that still hold several components are searched in full: the members outside the block's largest
-   component meet all members of other components whose counts in ranges of hashes do not rule the likeness out.
+   component meet all members of other components whose counts in ranges of hashes do not rule the likeness out;
+   before that, only the nearest of each component, as one link is enough to join two components.
 Every comparison is a search in a `PrefixTree` of at most SLICE members around one probe. No pair is skipped unless a
 bound rules it out or its classes already share a component, so components are those of all links.
 
@@ -32,7 +33,7 @@ from leadloom.llm import words
 from leadloom.llm.common import by_group, components, free_name, join_hot, keep, register, table
 from leadloom.llm.prefix_tree import PrefixTree
 
-SIZE, PERCENT, PREFIX, SLICE, BLOCK, STARS = 5, 80, 41, 512, 2048, 3
+SIZE, PERCENT, PREFIX, SLICE, BLOCK, STARS, NEAREST = 5, 80, 41, 512, 2048, 2, 3
 #: Documents whose keys are broadcast to fetch their texts (24 bytes each).
 FEW = 400_000
 
@@ -80,18 +81,23 @@ def sketches(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def _possible(n, m, a, b, percent: int) -> np.ndarray:
-    """Whether the bounds leave the likeness possible, row by row; `a` and `b` are pairs of arrays from `_bounds`.
+    """Whether the bounds leave the likeness possible, row by row; `a` and `b` are pairs of arrays from `_bounds`."""
+    return _apart(n, m, a, b, percent) < np.iinfo(np.int64).max
+
+
+def _apart(n, m, a, b, percent: int) -> np.ndarray:
+    """How many items are surely not shared, row by row; the largest number where that rules the likeness out.
 
     Ranges with odd counts on one side only hold an item that is not shared; so do the differences of counts.
     """
     n, m = np.broadcast_arrays(n, m)
     most = (n + m) - 2 * percent * (n + m) / (100 + percent)  # items that may not be shared
-    ok = np.bitwise_count(a[0] ^ b[0]).sum(axis=-1, dtype=np.int64) <= most
-    at = np.flatnonzero(ok)
+    apart = np.bitwise_count(a[0] ^ b[0]).sum(axis=-1, dtype=np.int64)
+    at = np.flatnonzero(apart <= most)
     if len(at):
-        x, y = (v[at] if len(v) == len(ok) else v for v in (a[1], b[1]))
-        ok[at] = np.abs(x.astype(np.int32) - y).sum(axis=-1) <= most[at]
-    return ok
+        x, y = (v[at] if len(v) == len(apart) else v for v in (a[1], b[1]))
+        apart[at] = np.maximum(apart[at], np.abs(x.astype(np.int32) - y).sum(axis=-1))
+    return np.where(apart <= most, apart, np.iinfo(np.int64).max)
 
 
 def _shared_blocks(classes: DataFrame) -> DataFrame:
@@ -180,9 +186,11 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, pe
     return by_group(members.unionByName(heads), ["probe", "slice"], search, "a long, b long")
 
 
-def _rest(members: DataFrame, labels: DataFrame | None, classes: DataFrame, percent: int) -> DataFrame:
+def _rest(members: DataFrame, labels: DataFrame | None, classes: DataFrame, percent: int, nearest: int | None = None) -> DataFrame:
     """Pairs (node, probe) of different components that share a block and that sizes and ranges leave possible.
 
+    With `nearest`, only the so many nearest members of each component, by the bounds, for each probe and block.
+
     Of a block's components, the one with the most members is its main one. The others' members meet all members; two
     members of the main component never meet. Large blocks are dealt in slices of either side.
     """
@@ -215,7 +223,12 @@ def _rest(members: DataFrame, labels: DataFrame | None, classes: DataFrame, perc
             # two asking members meet twice; one meeting is enough
             at = np.flatnonzero(~asks[near] & (part[near] != part[k]) & (~few[near] | (node[near] < node[k]))) + near.start
             if len(at):
-                at = at[_possible(n[at], n[k], (odd[at], counts[at]), (odd[k:k + 1], counts[k:k + 1]), percent)]
+                apart = _apart(n[at], n[k], (odd[at], counts[at]), (odd[k:k + 1], counts[k:k + 1]), percent)
+                at, apart = at[apart < np.iinfo(np.int64).max], apart[apart < np.iinfo(np.int64).max]
+                if nearest is not None and len(at):
+                    order = np.lexsort((node[at], apart, part[at]))
+                    first = np.searchsorted(part[at][order], part[at][order])
+                    at = at[order[np.arange(len(order)) - first < nearest]]
                 a.append(node[at])
                 b.append(np.full(len(at), node[k]))
         return np.concatenate(a), np.concatenate(b)
@@ -253,8 +266,10 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
             break
         labels = _adopted(classes, labels, new)
     labels = all_joined()
-    if joined_by(_rest(members, labels, classes, percent)) is not None:
-        labels = all_joined()
+    # First each one's nearest, which join it to most components it links with; then all that is left.
+    for nearest in (NEAREST, None):
+        if joined_by(_rest(members, labels, classes, percent, nearest)) is not None:
+            labels = all_joined()
     whole = classes.withColumn("component", F.col("node")) if labels is None else classes.join(labels, "node")
     whole = whole.select("node", "component", "least", "copies")
     firsts = whole.groupBy("component").agg(F.min("least").alias("first"))
