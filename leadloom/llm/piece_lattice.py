@@ -37,6 +37,7 @@ from leadloom.llm.words import MULTIPLIER, mix
 
 K, ALPHA, SEED = 3, 1.0, 42
 MOST_EDGES, TEXTS_AT_ONCE = 6_000_000, 128
+DEPTH, _ALL = 60.0, (1 << 64) - 1
 SPACE = "▁"  # fixed value: how the model writes a space
 _WORD = re.compile(f"{SPACE}+[^{SPACE}\\n\\t]*|[\\n\\t]|[^{SPACE}\\n\\t]+")
 
@@ -44,7 +45,7 @@ _WORD = re.compile(f"{SPACE}+[^{SPACE}\\n\\t]*|[\\n\\t]|[^{SPACE}\\n\\t]+")
 class Pieces:
     """The model's pieces with their log weights, and the lattices of the words met so far.
 
-    A node is a place in a word. Node n has the edges low[n], low[n] + 1, ..., likeliest first: the summed shares up to
+    A node is a place in a word. Node n has the edges low[n], low[n] + 1, ..., longest first: the summed shares up to
     each, its own share, the node it leads to (-1 at the word's end) and its piece.
     """
 
@@ -112,7 +113,7 @@ class Pieces:
         weight.append(self.byte_weight * (1 + (code[bare] > 0x7F) + (code[bare] > 0x7FF) + (code[bare] > 0xFFFF)))
         at, size, piece, weight = map(np.concatenate, (at, size, piece, weight))
 
-        order = np.lexsort((at, left[at]))  # ends of words first
+        order = np.argsort(left[at] * total + at)  # ends of words first
         at, size, piece, weight = at[order], size[order], piece[order], weight[order]
         beta, log = np.zeros(total), np.empty(len(at))
         bounds = np.searchsorted(left[at], np.arange(1, int(left.max()) + 2))
@@ -124,7 +125,7 @@ class Pieces:
             top = np.maximum.reduceat(sums, first)
             beta[own[first]] = top + np.log(np.add.reduceat(np.exp(sums - np.repeat(top, many)), first))
             log[a:b] = sums - beta[own]
-        order = np.lexsort((-log, at))
+        order = np.argsort(at * (self.longest + 1) - size)  # longer pieces, mostly the likelier ones, first
         at, size, piece, log = at[order], size[order], piece[order], log[order]
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         many = np.diff(np.append(first, len(at)))
@@ -200,10 +201,11 @@ class Pieces:
                 np.cumsum(log[part], out=after[part])
                 after[part] += step.before
                 start[part] = np.concatenate([[step.before], after[part][:-1]])[:part.stop - part.start]
-            waits = -np.log1p(-_uniform(_mixed(word_keys[entries], turns), 1 << 20))
-            with np.errstate(divide="ignore"):
-                mass = start + np.log(np.where(rest > 1e-12, rest, 0.0))
-                limits = -np.logaddexp(-np.array([step.top for _, step in steps])[owner], np.log(waits) - mass)
+            # What lies DEPTH nats further down the path holds no maximum that counts (with a chance of exp(-DEPTH)).
+            limits = np.full(len(edges), -np.inf)
+            near = np.flatnonzero((start > np.array([step.before for _, step in steps])[owner] - DEPTH) & (rest > 1e-12))
+            waits = -np.log1p(-_uniform(_mixed(word_keys[entries[near]], turns[near]), 1 << 20))
+            limits[near] = -np.logaddexp(-np.array([step.top for _, step in steps])[owner[near]], np.log(waits) - start[near] - np.log(rest[near]))
             inside = entries - (np.cumsum(sizes) - sizes)[owner]
             for n, (s, step) in enumerate(steps):
                 part = slice(cuts[n], cuts[n + 1])
@@ -251,10 +253,10 @@ class _Search:
 
     def uniform(self) -> float:
         self.draws += 1
-        return float(_uniform(np.array([self.key], np.uint64), self.draws)[0])
+        return (_mixed_one(self.key, self.draws) >> 11) * 2.0 ** -53
 
     def next(self, model: Pieces, turn: int) -> _Step | None:
-        key = int(_mixed(np.array([self.key], np.uint64), turn + (1 << 32))[0])
+        key = _mixed_one(self.key, turn + (1 << 32))
         if turn == 0:
             return _Step(-math.log(-math.log1p(-self.uniform())), key)
         if not self.queue:
@@ -265,12 +267,14 @@ class _Search:
         # The edges of one node stand together and their summed shares end at 1.
         low = int(np.searchsorted(model.low[:model.nodes], first, "right")) - 1
         free = [e for e in range(int(model.low[low]), int(model.low[low + 1])) if e not in taken]
-        shares = model.p[free]
-        edge = free[min(int(np.searchsorted(np.cumsum(shares), self.uniform() * shares.sum(), "right")), len(free) - 1)]
-        mass = float(shares.sum() - model.p[edge])
+        shares = model.p[free].tolist()
+        mark, at = self.uniform() * sum(shares), 0
+        while at < len(free) - 1 and mark >= shares[at]:
+            mark, at = mark - shares[at], at + 1
+        edge, mass = free[at], sum(shares) - shares[at]
         if len(free) > 1 and mass > 0:
             wait = -math.log1p(-self.uniform())
-            limit = -float(np.logaddexp(top, math.log(wait) - float(before[place]) - math.log(mass)))
+            limit = -_log_add(top, math.log(wait) - float(before[place]) - math.log(mass))
             heapq.heappush(self.queue, (-limit, path, place, (*taken, edge)))
         return _Step(-top, key, path, place, edge, int(words[place]), int(model.end[edge]), float(before[place]) + math.log(model.p[edge]))
 
@@ -281,10 +285,10 @@ class _Search:
             words = np.concatenate([old[1][:step.place], [step.word], words])
             before = np.concatenate([old[2][:step.place + 1], before])
         skip = len(edges) - len(limits)
-        best = np.argpartition(-limits, k)[:k] if len(limits) > k else np.arange(len(limits))
+        open_ = np.flatnonzero(limits > -np.inf)
+        best = open_[np.argpartition(-limits[open_], k)[:k]] if len(open_) > k else open_
         for b in best.tolist():
-            if limits[b] > -math.inf:
-                heapq.heappush(self.queue, (-float(limits[b]), len(self.paths), skip + b, (int(edges[skip + b]),)))
+            heapq.heappush(self.queue, (-float(limits[b]), len(self.paths), skip + b, (int(edges[skip + b]),)))
         self.paths.append((edges, words, before, total, step.top))
 
     def result(self) -> list[tuple[np.ndarray, float, float, float]]:
@@ -296,6 +300,23 @@ def _mixed(keys: np.ndarray, n) -> np.ndarray:
     return mix(keys + mix(np.atleast_1d(n).astype(np.uint64) + np.uint64(MULTIPLIER)))
 
 
+def _mix_one(x: int) -> int:
+    """`mix` of one number."""
+    x ^= x >> 31
+    x = x * 0x7FB5D329728EA185 & _ALL
+    x ^= x >> 27
+    x = x * 0x81DADEF4BC2DD44D & _ALL
+    return x ^ x >> 33
+
+
+def _mixed_one(key: int, n: int) -> int:
+    return _mix_one(key + _mix_one(n + MULTIPLIER & _ALL) & _ALL)
+
+
+def _log_add(a: float, b: float) -> float:
+    return max(a, b) + math.log1p(math.exp(-abs(a - b)))
+
+
 def _uniform(keys: np.ndarray, n) -> np.ndarray:
     """A number in [0, 1) for each key and n, equal wherever it is asked for."""
     return (_mixed(keys, n) >> np.uint64(11)) * 2.0 ** -53
