@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from leadloom import model
 from leadloom.functions import text as t
 
-# ---- fixed values: managed fields with their length limits, and list limits ----
-MANAGED_FIELDS = {"name": 80, "company": 120, "country": 80, "email": 254, "whatsapp": 80}
+# ---- fixed values: managed fields, and the limits of the interactive tool ----
+MANAGED_FIELDS = ("name", "company", "country", "email", "whatsapp")
+#: Characters by field, entries of `missing`, largest `evidence_count`, characters of any other managed value.
+TOOL_LIMITS = {"name": 80, "company": 120, "country": 80, "email": 254, "whatsapp": 80, "notes": 1000, "missing": 20, "evidence_count": 999, "managed": 120}
 CUSTOMERS_KEPT = 500
 LEADS_PER_IMPORT = 500
 # ---- end of fixed values ----
@@ -25,6 +27,10 @@ CUSTOMER_DDL = (
 )
 
 
+def _cut(c: Column, limit: int | None) -> Column:
+    return F.substring(c, 1, limit) if limit else c
+
+
 def evidence_counts(effective: DataFrame) -> DataFrame:
     """Evidence per lead that neither its status nor its review rejects."""
     return effective.where(F.col("status") != "rejected").groupBy("lead_id").agg(
@@ -32,10 +38,11 @@ def evidence_counts(effective: DataFrame) -> DataFrame:
 
 
 def import_rows(leads: DataFrame, qualified: DataFrame, effective: DataFrame, imported_at: Column,
-                first: int | None = None) -> DataFrame:
+                first: int | None = None, limits: dict[str, int] | None = None) -> DataFrame:
     """Qualified leads in the shape of CRM customers; `ordinal` gives the order of the import.
 
     All leads are imported; `first` (LEADS_PER_IMPORT in the interactive tool) keeps only the first ones.
+    Values are whole; `limits` (TOOL_LIMITS in the interactive tool) cuts those it names.
     """
     if first:
         leads = leads.orderBy("ordinal").limit(first)
@@ -44,14 +51,20 @@ def import_rows(leads: DataFrame, qualified: DataFrame, effective: DataFrame, im
         "\n", F.concat(F.lit("产品："), F.col("inquiry.product")), F.concat(F.lit("数量："), F.col("inquiry.quantity")),
         F.concat(F.lit("下一步："), F.col("next_action")))
 
-    def short(c: str, limit: int) -> Column:
-        return F.coalesce(t.text(c, limit), F.lit(""))
+    limits = limits or {}
+
+    def short(c: str, name: str) -> Column:
+        return F.coalesce(t.text(c, limits.get(name)), F.lit(""))
+
+    count = F.coalesce("evidence_count", F.lit(0))
+    if "evidence_count" in limits:
+        count = F.least(F.lit(limits["evidence_count"]), count)
 
     return joined.select(
         F.col("lead_id").alias("customer_id"), "ordinal",
-        short("contact.name", 80).alias("name"), short("organization.name", 120).alias("company"),
-        short("organization.country", 80).alias("country"), F.lower(short("contact.email", 254)).alias("email"),
-        short("contact.whatsapp", 80).alias("whatsapp"), F.substring(note, 1, 1000).alias("notes"),
+        short("contact.name", "name").alias("name"), short("organization.name", "company").alias("company"),
+        short("organization.country", "country").alias("country"), F.lower(short("contact.email", "email")).alias("email"),
+        short("contact.whatsapp", "whatsapp").alias("whatsapp"), _cut(note, limits.get("notes")).alias("notes"),
         F.struct(
             "lead_id", F.when(F.col("grade").isin(*model.GRADES), F.col("grade")).otherwise("D").alias("grade"),
             F.greatest(F.lit(0), F.least(F.lit(100), F.col("score"))).cast("int").alias("score"),
@@ -59,8 +72,8 @@ def import_rows(leads: DataFrame, qualified: DataFrame, effective: DataFrame, im
             t.text("inquiry.product").alias("product"), t.text("inquiry.quantity").alias("quantity"),
             t.text("inquiry.timeline").alias("timeline"), t.text("inquiry.budget").alias("budget"),
             t.text("inquiry.message").alias("inquiry_message"), t.text("next_action").alias("next_action"),
-            F.slice("missing", 1, 20).alias("missing"),
-            F.least(F.lit(999), F.coalesce("evidence_count", F.lit(0))).cast("int").alias("evidence_count"),
+            (F.slice("missing", 1, limits["missing"]) if "missing" in limits else F.col("missing")).alias("missing"),
+            count.cast("int").alias("evidence_count"),
             imported_at.alias("imported_at")).cast(PROFILE_DDL).alias("profile"))
 
 
@@ -129,26 +142,27 @@ def first_customers(customers: DataFrame, keep: int = CUSTOMERS_KEPT) -> DataFra
     return customers.orderBy(F.desc("created_at"), "customer_id").limit(keep)
 
 
-def migrate_customers(rows: DataFrame, now: Column) -> DataFrame:
-    """Bring customers of older versions to the current columns, limits and defaults."""
+def migrate_customers(rows: DataFrame, now: Column, limits: dict[str, int] | None = None) -> DataFrame:
+    """Bring customers of older versions to the current columns and defaults; `limits` as in `import_rows`."""
+    limits = limits or {}
     have = set(rows.columns)
 
     def column(name: str, kind: str = "string") -> Column:
         return F.col(name) if name in have else F.lit(None).cast(kind)
 
-    def short(name: str, limit: int) -> Column:
-        return F.coalesce(t.text(column(name), limit), F.lit(""))
+    def short(name: str) -> Column:
+        return F.coalesce(t.text(column(name), limits.get(name)), F.lit(""))
 
     managed = F.map_filter(
         F.coalesce(column("managed", "map<string,string>"), F.create_map().cast("map<string,string>")),
         lambda k, v: k.isin(*MANAGED_FIELDS) & (F.coalesce(t.trimmed(v), F.lit("")) != ""))
     typed = rows.select(
-        t.text(column("customer_id")).alias("customer_id"), short("name", 80).alias("name"),
-        short("company", 120).alias("company"), short("country", 80).alias("country"),
-        F.lower(short("email", 254)).alias("email"), short("whatsapp", 80).alias("whatsapp"),
-        short("notes", 1000).alias("notes"), column("profile", PROFILE_DDL).alias("profile"),
-        F.transform_values(managed, lambda k, v: F.when(k == "email", F.lower(F.substring(t.trimmed(v), 1, 254))).otherwise(
-            F.substring(t.trimmed(v), 1, 120))).alias("managed"),
+        t.text(column("customer_id")).alias("customer_id"), short("name").alias("name"),
+        short("company").alias("company"), short("country").alias("country"),
+        F.lower(short("email")).alias("email"), short("whatsapp").alias("whatsapp"),
+        short("notes").alias("notes"), column("profile", PROFILE_DDL).alias("profile"),
+        F.transform_values(managed, lambda k, v: F.when(k == "email", F.lower(_cut(t.trimmed(v), limits.get("email")))).otherwise(
+            _cut(t.trimmed(v), limits.get("managed")))).alias("managed"),
         F.coalesce(column("created_at", "timestamp"), now).alias("created_at"),
         F.coalesce(column("updated_at", "timestamp"), now).alias("updated_at"))
     made = t.content_id("customer", F.col("name"), F.col("company"), F.col("email"), F.col("whatsapp"))

@@ -107,16 +107,16 @@ def normalize_events(df: DataFrame) -> DataFrame:
     return kept.withColumn("event_id", F.coalesce("event_id", derived))
 
 
-def normalize_decisions(df: DataFrame) -> DataFrame:
-    """Drop duplicate decisions without a valid verdict, other lead or (for `same`) primary."""
+def normalize_decisions(df: DataFrame, keep: int | None = None) -> DataFrame:
+    """Drop duplicate decisions without a valid verdict, other lead or (for `same`) primary; the first `keep` reasons, if given."""
     other, primary = t.text("other_lead_id"), t.text("primary_lead_id")
-    reasons = F.transform(F.col("reasons"), lambda x: t.text(x))
+    reasons = F.array_compact(F.coalesce(F.transform(F.col("reasons"), lambda x: t.text(x)), F.array().cast("array<string>")))
     return df.select(
         t.text("pair_id").alias("pair_id"), "lead_id", other.alias("other_lead_id"), "decision",
         F.when(F.col("decision") == "same", primary).alias("primary_lead_id"),
         t.moment_of(df, "reviewed_at").alias("reviewed_at"), t.text("note").alias("note"),
         t.clamped("confidence", 0, 1, 0.0).alias("confidence"),
-        F.slice(F.array_compact(F.coalesce(reasons, F.array().cast("array<string>"))), 1, 20).alias("reasons"),
+        (F.slice(reasons, 1, keep) if keep else reasons).alias("reasons"),
         F.col("seq").cast("bigint").alias("seq"),
     ).where(
         F.col("decision").isin(*model.DUPLICATE_DECISIONS) & F.col("other_lead_id").isNotNull()
@@ -135,15 +135,15 @@ def normalize_origins(df: DataFrame) -> DataFrame:
     ).where(F.col("path").isin(*model.FIELD_PATHS) & F.col("evidence_id").isNotNull())
 
 
-def normalize_reviews(df: DataFrame, keep: int = 50) -> DataFrame:
-    """Review history: valid actions, only real changes, the newest `keep` per evidence row."""
+def normalize_reviews(df: DataFrame, keep: int | None = None) -> DataFrame:
+    """Review history: valid actions, only real changes, the newest `keep` per evidence row, if given."""
     changed = F.map_filter("changes", lambda k, v: k.isin("value", "source_ref") & ~v["from"].eqNullSafe(v["to"]))
     typed = df.select(
         "lead_id", "evidence_id", F.col("seq").cast("bigint").alias("seq"), "action",
         F.col("decision"), t.moment_of(df, "reviewed_at").alias("reviewed_at"), t.text("note").alias("note"),
         F.when(F.size(changed) > 0, changed).alias("changes"),
     ).where(F.col("action").isin(*model.REVIEW_ACTIONS))
-    return newest(typed, ["lead_id", "evidence_id"], keep)
+    return newest(typed, ["lead_id", "evidence_id"], keep) if keep else typed
 
 
 def normalize_baselines(df: DataFrame) -> DataFrame:

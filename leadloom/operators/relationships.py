@@ -21,12 +21,13 @@ CAP_WITHOUT_EVIDENCE = 49
 # ---- end of fixed values ----
 
 
-def normalize_paths(df: DataFrame) -> DataFrame:
-    """Type relationship rows; the evidence ids may be text with | or ; between them."""
+def normalize_paths(df: DataFrame, keep: int | None = None) -> DataFrame:
+    """Type relationship rows; the evidence ids (the first `keep`, if given) may be text with | or ; between them."""
     consent = F.lower(t.text("consent_status"))
     ids = F.col("evidence_ids")
     if dict(df.dtypes)["evidence_ids"] == "string":
         ids = t.split_list("evidence_ids")
+    ids = F.array_compact(F.coalesce(ids, F.array().cast("array<string>")))
     return df.select(
         t.text("connector_id").alias("connector_id"), t.text("connector_name").alias("connector_name"),
         t.text("target_id").alias("target_id"), t.text("target_name").alias("target_name"),
@@ -34,7 +35,7 @@ def normalize_paths(df: DataFrame) -> DataFrame:
         t.moment_of(df, "last_contact_at").alias("last_contact_at"),
         *[t.flag(name).alias(name) for name, _, _ in FACT_POINTS],
         F.coalesce(t.one_of(consent, model.CONSENT_STATUSES), F.lit("unknown")).alias("consent_status"),
-        F.slice(F.array_compact(F.coalesce(ids, F.array().cast("array<string>"))), 1, 20).alias("evidence_ids"),
+        (F.slice(ids, 1, keep) if keep else ids).alias("evidence_ids"),
     )
 
 

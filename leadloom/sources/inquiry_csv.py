@@ -348,14 +348,17 @@ def review_import(rows: DataFrame, mappings: list[ColumnMapping], channel: str =
     return ImportReview(columns, summary)
 
 
-def import_audit(review: ImportReview, reviewed_at: Column, import_id: str) -> DataFrame:
-    """Versioned record of a confirmed import, without sample values; empty when the import failed its checks."""
-    columns = review.columns.where(F.col("position") < 200).agg(F.array_sort(F.collect_list(F.struct(
-        "position", F.substring("header", 1, 200).alias("header"), "field", "status", "populated_rows"))).alias("mappings"))
+def import_audit(review: ImportReview, reviewed_at: Column, import_id: str, first: int | None = None) -> DataFrame:
+    """Versioned record of a confirmed import, without sample values; empty when the import failed its checks.
+
+    All columns are audited; `first` keeps only the first ones.
+    """
+    columns = review.columns.where(F.col("position") < first) if first else review.columns
+    columns = columns.agg(F.array_sort(F.collect_list(F.struct("position", "header", "field", "status", "populated_rows"))).alias("mappings"))
     return review.summary.where("can_import").select(
         F.lit(import_id).alias("import_id"), F.lit(1).alias("schema_version"), reviewed_at.alias("reviewed_at"),
-        F.substring("channel", 1, 40).alias("channel"), "row_count", "usable_rows",
-        F.slice("warnings", 1, 50).alias("warnings"), columns.scalar().alias("mappings"))
+        "channel", "row_count", "usable_rows",
+        "warnings", columns.scalar().alias("mappings"))
 
 
 def check_audit(audits: DataFrame, newest_version: int = 1) -> DataFrame:
