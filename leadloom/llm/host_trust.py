@@ -4,7 +4,8 @@ Rules (`host/path`) decide the pages they fit; the longest wins. They also seed
 the share of its pages that rules allow, its distrust seed the share they block. Trust is a personalised PageRank along
 links: a host hands on DAMPING of its trust in shares of its out-links. Distrust runs against the links: a host hands it on to
 the hosts that link to it, in shares of its in-links. A host is blocked when its distrust reaches THRESHOLD and exceeds its
-trust; that is the verdict of its pages without a rule. Hosts without seeds on either side are allowed.
+trust; that is the verdict of its pages without a rule. Hosts without seeds on either side are allowed. Rounds go on until no
+host changes by more than TOLERANCE.
 
 Edges count the pages of one host that link to another; links inside a host are not edges.
 
@@ -23,7 +24,11 @@ from pyspark.sql import functions as F
 from leadloom.llm.common import join_hot, keep, register, table
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 10, 1e-6, 0.5
+DAMPING, ROUNDS, TOLERANCE, THRESHOLD = 0.85, 400, 1e-6, 0.5
+#: A change below this share of the largest value is rounding.
+ROUNDING = 1e-12
+#: Rounds written out in the SQL, which therefore compares pages whose hosts settle within them.
+SQL_ROUNDS = 10
 HREF = r"(?is)<a\s[^>]*?href\s*=\s*[\x22\x27]?([^\x22\x27\s>]+)"
 
 
@@ -62,7 +67,8 @@ def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping:
     """host, trust, distrust. `seeds`: host, trust_seed, distrust_seed; `links`: src, dst, pages.
 
     One row per host and round, written to the shared folder; a round joins the links to the hosts on one end and
-    sums before it shuffles to the other. Rounds end early when no host changes by more than the tolerance.
+    sums before it shuffles to the other. Rounds end when no host changes by more than the tolerance; each shrinks the sum of
+    all changes by the damping, so `rounds` is a bound that only a wrong damping reaches, and reaching it is an error.
     """
     links = keep(links, "links")
     if links.isEmpty():
@@ -76,18 +82,17 @@ def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping:
         F.struct(F.col("dst").alias("giver"), F.col("src").alias("host"), F.lit(0.0).alias("trust_share"), (F.col("pages") / F.col("in_pages")).alias("distrust_share"))))), "flows")
     linked = links.select(F.explode(F.array("src", "dst")).alias("host")).distinct().join(seeds.select("host"), "host", "left_anti")
     seeds = keep(seeds.unionByName(linked.select("host", F.lit(0.0).alias("trust_seed"), F.lit(0.0).alias("distrust_seed"))), "seeds")
-    state = seeds.select("host", F.col("trust_seed").alias("trust"), F.col("distrust_seed").alias("distrust"))
+    state = seeds.withColumns({"trust": F.col("trust_seed"), "distrust": F.col("distrust_seed")})
     for _ in range(rounds):
-        given = flows.join(state.withColumnRenamed("host", "giver"), "giver").groupBy("host").agg(
+        given = flows.join(state.select(F.col("host").alias("giver"), "trust", "distrust"), "giver").groupBy("host").agg(
             F.sum(F.col("trust") * F.col("trust_share")).alias("trust_in"), F.sum(F.col("distrust") * F.col("distrust_share")).alias("distrust_in"))
-        nxt = seeds.join(given, "host", "left").select(
-            "host", *[(F.col(f"{k}_seed") + damping * F.coalesce(f"{k}_in", F.lit(0.0))).alias(k) for k in ("trust", "distrust")])
-        nxt = keep(nxt, "state")
-        change = nxt.alias("a").join(state.alias("b"), "host").agg(F.max(F.greatest(F.abs(F.expr("a.trust - b.trust")), F.abs(F.expr("a.distrust - b.distrust"))))).first()[0]
-        state = nxt
-        if (change or 0.0) <= tolerance:
-            break
-    return state
+        new = {k: F.col(f"{k}_seed") + damping * F.coalesce(f"{k}_in", F.lit(0.0)) for k in ("trust", "distrust")}
+        moved = F.greatest(*[F.abs(c - F.col(k)) for k, c in new.items()])
+        state = keep(state.join(given, "host", "left").select("host", "trust_seed", "distrust_seed", *[c.alias(k) for k, c in new.items()], moved.alias("moved")), "state")
+        change, largest = state.agg(F.max("moved"), F.max(F.greatest("trust", "distrust"))).first()
+        if (change or 0.0) <= max(tolerance, ROUNDING * (largest or 0.0)):
+            return state.select("host", "trust", "distrust")
+    raise RuntimeError(f"trust did not settle in {rounds} rounds")
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -107,7 +112,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
 
 
 def _oracle() -> str:
-    """The same rounds, written out."""
+    """The first rounds, written out."""
     lower = "translate({}, '" + string.ascii_uppercase + "', '" + string.ascii_lowercase + "')"
     host = lower.format(r"regexp_extract({}, '^.*?://([^/?#]*)', 1, 's')")
     case = {k: "CASE " + " ".join(
@@ -115,7 +120,7 @@ def _oracle() -> str:
         for s, t in sorted(RULES, key=lambda r: -len(r[1]))) + " END" for k in ("rule", "verdict")}
     rounds = "".join(f""", s{i + 1} AS MATERIALIZED (
   SELECT s.host, s.trust_seed + {DAMPING} * coalesce(sum(p.trust * f.t), 0) AS trust, s.distrust_seed + {DAMPING} * coalesce(sum(p.distrust * f.d), 0) AS distrust
-  FROM seeds s LEFT JOIN flows f ON f.host = s.host LEFT JOIN s{i} p ON p.host = f.giver GROUP BY s.host, s.trust_seed, s.distrust_seed)""" for i in range(ROUNDS))
+  FROM seeds s LEFT JOIN flows f ON f.host = s.host LEFT JOIN s{i} p ON p.host = f.giver GROUP BY s.host, s.trust_seed, s.distrust_seed)""" for i in range(SQL_ROUNDS))
     href = r"<a\s[^>]*?href\s*=\s*[\x22\x27]?([^\x22\x27\s>]+)"
     return f"""
 WITH p AS (
@@ -135,7 +140,7 @@ WITH p AS (
   SELECT * FROM own UNION ALL SELECT DISTINCT h, 0.0, 0.0 FROM (SELECT src AS h FROM l UNION SELECT dst FROM l) WHERE h NOT IN (SELECT host FROM own)
 ), s0 AS MATERIALIZED (SELECT host, trust_seed AS trust, distrust_seed AS distrust FROM seeds){rounds}
 SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.says, CASE WHEN s.distrust >= {THRESHOLD} AND s.distrust > s.trust THEN 'block' ELSE 'allow' END) AS verdict
-FROM r LEFT JOIN s{ROUNDS} s ON s.host = r.host
+FROM r LEFT JOIN s{SQL_ROUNDS} s ON s.host = r.host
 """
 
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +60,20 @@ def test_links_carry_distrust_back_and_trust_forward(spark):
 def test_empty(spark):
     assert host_trust.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert F is not None
+
+
+def test_a_cycle_is_followed_to_its_fixed_point(spark):
+    to = lambda h: f"<a href='http://{h}/'>"
+    rows = [(i, f"http://a.example.com/{'de/' if i < 15 else 'x/'}{i}", to("b.info")) for i in range(100)] + [(100, "http://b.info/", to("a.example.com"))]
+    rules = (("block", "a.example.com/de/"),)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seeds = spark.createDataFrame([("a.example.com", 0.0, 0.15), ("b.info", 0.0, 0.0)], "host string, trust_seed double, distrust_seed double")
+    d = host_trust.DAMPING
+    want = np.linalg.solve(np.array([[1, -d], [-d, 1]]), np.array([0.15, 0.0]))
+    state = {r.host: r.distrust for r in host_trust.propagate(seeds, host_trust.edges(pages)).collect()}
+    assert state["a.example.com"] == pytest.approx(want[0], abs=1e-5) and state["b.info"] == pytest.approx(want[1], abs=1e-5)
+    assert want[0] > host_trust.THRESHOLD
+    verdicts = {r.verdict for r in host_trust.judge(pages, rules).where("host = 'a.example.com'").collect()}
+    assert verdicts == {"block"}
+    with pytest.raises(RuntimeError, match="settle"):
+        host_trust.propagate(seeds, host_trust.edges(pages), rounds=3)
