@@ -13,14 +13,23 @@ from leadloom.session import cut_lineage, ship
 
 #: A key is hot when it holds more than 1/HOT_SHARE of all rows, so at most HOT_SHARE keys are hot, at any size.
 HOT_SHARE = 256
+#: A batch of rows handed to Python holds about so many bytes, however long its texts are.
+BATCH_BYTES = 16 << 20
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and bound batches for Python by bytes where the session doesn't yet (no result depends on it)."""
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, str(2 ** 31 - 1), "2147483647b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def keep(df: DataFrame, name: str = "step") -> DataFrame:
     """Write `df` once to the shared folder and read it back."""
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     return cut_lineage(df, name)
 
 
@@ -35,7 +44,7 @@ def register(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -18,10 +18,9 @@ each; phrases of equal score and count are ranked by their bytes; an empty table
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -64,7 +63,7 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(flat)), piece
 
 
-def shards(batches: Iterator[pa.RecordBatch], size: int = SHARD_WORDS) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
+def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
     """Language, words and piece numbers of slices of about `size` words; a slice ends with a text."""
     held: dict[str, list[tuple[pa.Array, np.ndarray]]] = {}
     count: dict[str, int] = {}
@@ -178,12 +177,13 @@ def _crc(lang: str, words: list[str]) -> np.ndarray:
     return np.array([(zlib.crc32(w.encode()) + salt) & 0xFFFFFFFF for w in words], np.int64)
 
 
-def _bits(codes: np.ndarray) -> np.ndarray:
-    """Filter bit of each row of word codes."""
-    total = codes[:, 0].copy()
+def _passes(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Whether the filter has the bit of each row of word codes."""
+    total = codes[:, 0]
     for k in range(1, codes.shape[1]):
-        total = (total * _MIX + codes[:, k]) % FILTER_BITS
-    return total % FILTER_BITS
+        total = (total * _MIX + codes[:, k]) % (8 * len(bits))
+    at = total % (8 * len(bits))
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def frequent_filter(counted: DataFrame) -> np.ndarray:
@@ -198,10 +198,6 @@ def frequent_filter(counted: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
 def _rows(lang: str, phrases: pa.Array, *numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
     keys = pc.binary_join_element_wise(phrases.cast(pa.string()), pa.scalar(lang), "\t")
     for at in range(0, len(keys), ROWS_OUT):
@@ -212,8 +208,10 @@ def _rows(lang: str, phrases: pa.Array, *numbers: np.ndarray) -> Iterator[pa.Rec
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """key (word, tab, language) and n of every word; the key without a word holds the language's number of words."""
+    size = SHARD_WORDS
+
     def count(batches):
-        for lang, words, _ in shards(batches):
+        for lang, words, _ in shards(batches, size):
             found = words.value_counts()
             yield from _rows(lang, found.field(0), found.field(1).to_numpy())
             yield from _rows(lang, pa.array([""]), np.array([len(words)]))
@@ -224,13 +222,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def build(docs: DataFrame, words: DataFrame, depth: int) -> DataFrame:
     """The written index: per shard its language, words (sorted, joined by spaces) and both transforms."""
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(frequent_filter(words))
+    known, size = spark.sparkContext.broadcast(frequent_filter(words)), SHARD_WORDS
 
     def index(batches):
-        for lang, words, piece in shards(batches):
+        for lang, words, piece in shards(batches, size):
             coded = words.dictionary_encode()
             names = coded.dictionary.to_pylist()
-            frequent = _set(known.value, _bits(_crc(lang, names)[:, None]))
+            frequent = _passes(known.value, _crc(lang, names)[:, None])
             kept = sorted(n for n, f in zip(names, frequent) if f)
             number = {n: i + RARE + 1 for i, n in enumerate(kept)}
             ids = np.array([number.get(n, RARE) for n in names], np.int32)[coded.indices.to_numpy()]
@@ -261,16 +259,15 @@ def ngrams(index: DataFrame, length: int, shorter: dict[int, np.ndarray]) -> Dat
                         # both parts that are one word shorter must be frequent, and so must the phrase if it is extended
                         held = np.ones(len(patterns[3]), bool)
                         if k - 1 in filters:
-                            held &= _set(filters[k - 1].value, _bits(codes[patterns[0][:, 1:]]))
+                            held &= _passes(filters[k - 1].value, codes[patterns[0][:, 1:]])
                         if k in filters:
-                            held &= _set(filters[k].value, _bits(codes[patterns[0]]))
+                            held &= _passes(filters[k].value, codes[patterns[0]])
                         patterns = tuple(p[held] for p in patterns)
                 if len(patterns[3]):
                     strings = pa.array(["", "", *names])
                     phrase = pc.binary_join_element_wise(*[strings.take(pa.array(patterns[0][:, c])) for c in range(length)], " ")
                     yield from _rows(lang, phrase, patterns[3], *shard.beside(patterns))
 
-    # A row holds a whole shard, so few meet in a batch.
     rows = index.mapInArrow(count, "key string, n long, before long, after long")
     return rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum("before").alias("before"), F.sum("after").alias("after"))
 
