@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by largest inner product, with randomly rotated one-bit codes.
 
-Index: every vector is centred, rotated by a random orthogonal matrix and kept as the signs of its coordinates, packed
-to bits, with three scalars: its distance from the centre, its inner product with the centre, and how well the signs
-match the rotated direction. Search: signs and scalars estimate the inner product with a query, and bound the error to
+Index: every vector is centred, padded with zeros to a longer one, rotated by a random orthogonal matrix and kept as the signs of
+its coordinates, packed to bits, with three scalars: its distance from the centre, its inner product with the centre, and how
+well the signs match the rotated direction. The error of an estimate falls with the root of the number of bits. Search: signs and scalars estimate the inner product with a query, and bound the error to
 EPSILON deviations. Vectors whose upper bound stays below the query's current k-th exact product are left out; the others are
 reranked on the original vectors in double precision. Blocks of vectors meet blocks of queries; a block hands on the k best
 of each query, and the best of those are the answer.
@@ -27,14 +27,20 @@ from pyspark.sql import functions as F
 from leadloom.llm.common import keep, register, table
 
 K, EPSILON, SEED = 20, 2.5, 42
-VECTOR_BLOCK, QUERY_BLOCK, STEP, MOST_TASKS = 8_192, 4_096, 1_024, 100_000
+VECTOR_BLOCK, QUERY_BLOCK, STEP, MOST_TASKS = 8_192, 1_024, 1_024, 100_000
+#: Bits of a code: BITS_PER_NUMBER for each component, from LEAST_BITS to MOST_BITS, and one per component at least. Pairs reranked at a time.
+BITS_PER_NUMBER, LEAST_BITS, MOST_BITS, SLICE = 8, 256, 1_024, 32_768
 
 
-@lru_cache(maxsize=8)
+def code_bits(dim: int) -> int:
+    return max(dim, min(MOST_BITS, max(LEAST_BITS, BITS_PER_NUMBER * dim)))
+
+
+@lru_cache(maxsize=4)
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
-    """Random orthogonal matrix, equal on every worker."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return (q * np.sign(np.diag(r))).astype(np.float64)
+    """`dim` random orthonormal rows of code_bits(dim) numbers, equal on every worker."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((code_bits(dim), dim)))
+    return np.ascontiguousarray((q * np.sign(np.diag(r))).T)
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -69,7 +75,7 @@ def index(vectors: DataFrame, k: int = K, seed: int = SEED) -> tuple[DataFrame,
             turned = apart @ rotation(int(dim), seed) / np.where(distance > 0, distance, 1)[:, None]
             for i, bits in zip(at, np.packbits(turned >= 0, axis=1)):
                 code[i] = bits.tobytes()
-            scalars[at] = np.column_stack([distance, v @ centres[dim], np.abs(turned).sum(axis=1) / np.sqrt(dim)])
+            scalars[at] = np.column_stack([distance, v @ centres[dim], np.abs(turned).sum(axis=1) / np.sqrt(turned.shape[1])])
         return pd.DataFrame({"code": code, "distance": scalars[:, 0], "along": scalars[:, 1], "match": scalars[:, 2]})
 
     coded = classes.withColumn("found", encode("vector")).select("vector", "ids", "found.*")
@@ -95,37 +101,53 @@ def search_block(codes: pd.DataFrame, queries: np.ndarray, centre: np.ndarray, k
     """query index, row index and exact score of the k best rows for each query; also the share of pairs that were reranked."""
     dim = queries.shape[1]
     apart = queries - centre
-    reach = np.linalg.norm(apart, axis=1)
+    reach = np.linalg.norm(apart, axis=1).astype(np.float32)
     turned = (apart @ rotation(dim, seed)).astype(np.float32)
+    length = turned.shape[1]
     vectors = np.stack(codes["vector"].to_numpy())
     bits = np.frombuffer(b"".join(codes["code"]), np.uint8).reshape(len(codes), -1)
     distance, along, match = (codes[c].to_numpy() for c in ("distance", "along", "match"))
-    slope = np.where(match > 0, distance / (np.where(match > 0, match, 1) * np.sqrt(dim)), 0)
-    spread = epsilon * distance * np.sqrt(np.maximum(1 - match ** 2, 0)) / np.where(match > 0, match, 1) / np.sqrt(max(dim - 1, 1))
-    offset = (queries @ centre) - centre @ centre
+    safe = np.where(match > 0, match, 1)
+    slope = np.where(match > 0, distance / (safe * np.sqrt(length)), 0).astype(np.float32)
+    spread = (epsilon * distance * np.sqrt(np.maximum(1 - match ** 2, 0)) / safe / np.sqrt(max(length - 1, 1))).astype(np.float32)
+    offset = ((queries @ centre) - centre @ centre).astype(np.float32)
     none = np.zeros(0)
     best_q, best_r, best_s = none.astype(int), none.astype(int), none
     floor, reranked = np.full(len(queries), -np.inf), 0
+
+    def guess(part) -> np.ndarray:
+        signs = np.unpackbits(bits[part], axis=1, count=length).astype(np.float32) * 2 - 1
+        return (signs @ turned.T) * slope[part, None] + along[part, None].astype(np.float32) + offset
+
+    def first_floor() -> None:
+        """Exact scores of the best guesses of all parts, a few at a time: the k-th is where each query's answers begin."""
+        nonlocal floor
+        most, rows = np.full((k, len(queries)), -np.inf, np.float32), np.zeros((k, len(queries)), int)
+        for at in range(0, len(codes), step):
+            part = slice(at, min(at + step, len(codes)))
+            every, row = np.vstack([most, guess(part)]), np.vstack([rows, np.broadcast_to(np.arange(at, part.stop)[:, None], (part.stop - at, len(queries)))])
+            top = np.argpartition(-every, k - 1, axis=0)[:k]
+            most, rows = np.take_along_axis(every, top, 0), np.take_along_axis(row, top, 0)
+        low = np.full(len(queries), np.inf)
+        for one in rows:
+            low = np.minimum(low, _scores(vectors[one], queries))
+        floor = low
+
+    if len(codes) > k:
+        first_floor()
     for at in range(0, len(codes), step):
         part = slice(at, min(at + step, len(codes)))
-        signs = np.unpackbits(bits[part], axis=1, count=dim).astype(np.float32) * 2 - 1
-        guess = (signs @ turned.T) * slope[part, None] + along[part, None] + offset
-        bound = guess + spread[part, None] * reach
-        n = part.stop - part.start
-        if at == 0 and n > k:  # the best guesses, reranked, give each query its first floor
-            top = np.argpartition(-guess, min(4 * k, n - 1), axis=0)[:min(4 * k, n)]
-            cols = np.broadcast_to(np.arange(len(queries)), top.shape)
-            s = _scores(vectors[top.ravel()], queries[cols.ravel()]).reshape(top.shape)
-            if len(top) >= k:
-                floor = np.partition(s, len(top) - k, axis=0)[len(top) - k]
-        r, q = np.nonzero(bound >= floor - 1e-9)
+        bound = guess(part) + spread[part, None] * reach
+        tolerance = 1e-5 * (1 + np.abs(bound))
+        r, q = np.nonzero(bound + tolerance >= floor)
         reranked += len(r)
-        s = _scores(vectors[r + at], queries[q])
-        query, row, score = np.concatenate([best_q, q]), np.concatenate([best_r, r + at]), np.concatenate([best_s, s])
-        good = score >= floor[query]
-        query, row, score = query[good], row[good], score[good]
-        stay = _best(query, score, row, k)
-        best_q, best_r, best_s = query[stay], row[stay], score[stay]
+        for cut in range(0, len(r), SLICE):  # no more copies of vectors than a slice has pairs
+            rows, asked = r[cut:cut + SLICE] + at, q[cut:cut + SLICE]
+            s = _scores(vectors[rows], queries[asked])
+            good = s >= floor[asked]
+            query, row, score = (np.concatenate(x) for x in ((best_q, asked[good]), (best_r, rows[good]), (best_s, s[good])))
+            stay = _best(query, score, row, k)
+            best_q, best_r, best_s = query[stay], row[stay], score[stay]
         full = np.bincount(best_q, minlength=len(queries)) >= k
         low = np.full(len(queries), np.inf)
         np.minimum.at(low, best_q, best_s)

@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.llm.common import keep, register, table
-from leadloom.session import lookup
+from leadloom.session import lookup, work_path
 
-SHARD_WORDS, FILTER_BITS = 1 << 19, 1 << 26
+SHARD_WORDS, FILTER_BITS, FILE_SHARDS = 1 << 17, 1 << 26, 64
 #: Symbols 0 and 1 of every shard: the end of a piece, and words too rare for any candidate.
 END, RARE = 0, 1
 ROWS_OUT = 1 << 16
@@ -236,7 +236,10 @@ def build(docs: DataFrame, words: DataFrame, depth: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([" ".join(kept)]), pa.array([forward.tobytes()]), pa.array([reverse.tobytes()])],
                                              ["lang", "words", "forward", "reverse"])
 
-    return keep(docs.select("lang", "text").mapInArrow(index, "lang string, words string, forward binary, reverse binary"), "fm-index")
+    schema, path = "lang string, words string, forward binary, reverse binary", work_path(spark, "fm-index")
+    # Few shards in a file, because a reader holds many rows at a time.
+    docs.select("lang", "text").mapInArrow(index, schema).write.option("maxRecordsPerFile", FILE_SHARDS).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def ngrams(index: DataFrame, length: int, shorter: dict[int, np.ndarray]) -> DataFrame:

@@ -1,7 +1,8 @@
 """Token ids of whole texts from a word-level BPE file, one word at a time.
 
 The tokenizer drops white space and never joins words, so the ids of a text are those of its words in order. Words repeat,
-so each worker keeps the ids of words it has seen (at most CACHE_WORDS). Words of Latin letters, digits and ASCII
+so each worker keeps the ids of words it has seen: two generations of at most CACHE_WORDS each, of which the older one is
+dropped when the younger is full, so words that come again stay. Words of Latin letters, digits and ASCII
 signs are cut by the file's own rule and merged by its model directly; all others go through the whole tokenizer.
 """
 
@@ -13,7 +14,8 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_WORDS = 1_000_000
+#: About 250 bytes each. Longer words than LONGEST characters are not kept.
+CACHE_WORDS, LONGEST = 60_000, 64
 # Letters that have one lower-case form, one composed form and no neighbours that change them; the apostrophe is left out, as it starts contractions.
 _plain = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+|[0-9]|[!-&(-/:-@\[-`{-~]+)+")
 _parts = re.compile(r"[A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
@@ -35,7 +37,8 @@ class WordBpe:
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.model = self.whole.model
-        self.cache: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
         ids = []
@@ -44,35 +47,44 @@ class WordBpe:
             ids.extend(t.id for t in self.model.tokenize(part))
         return np.array(ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache = {"": b""}
+    def _find(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words that the younger generation lacks."""
+        old = self.old
+        found = {w: old[w] for w in words if w in old}
         rest = []
         for word in words:
-            if _plain.fullmatch(word):
-                self.cache[word] = self._word(word)
-            else:
-                rest.append(word)
-        for word, found in zip(rest, self.whole.encode_batch(rest, add_special_tokens=False) if rest else ()):
-            self.cache[word] = np.array(found.ids, "<u4").tobytes()
+            if word not in found:
+                if _plain.fullmatch(word):
+                    found[word] = self._word(word)
+                else:
+                    rest.append(word)
+        for word, coded in zip(rest, self.whole.encode_batch(rest, add_special_tokens=False) if rest else ()):
+            found[word] = np.array(coded.ids, "<u4").tobytes()
+        return found
+
+    def _keep(self, found: dict[str, bytes]) -> None:
+        for word, ids in found.items():
+            if len(word) <= LONGEST:
+                if len(self.young) >= CACHE_WORDS:
+                    self.old, self.young = self.young, {}
+                self.young[word] = ids
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
         if _odd_space.search(text):  # Python splits there, the tokenizer does not
-            words = re.sub(r"[\n\t\r]", " ", text).split(" ")
+            words = [w for w in re.sub(r"[\n\t\r]", " ", text).split(" ") if w]
         else:
             words = text.split()
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            new = {w for w in words if w not in self.cache}
-            self._learn(new)
-            if new and next(iter(new)) in self.cache and all(w in self.cache for w in words):
-                return b"".join(map(self.cache.__getitem__, words))
-            self._learn(set(words))  # the cache was emptied meanwhile
-            return b"".join(map(self.cache.__getitem__, words))
+        young = self.young
+        new = {w for w in words if w not in young}
+        if not new:
+            return b"".join(map(young.__getitem__, words))
+        found = self._find(new)
+        out = b"".join([young[w] if w in young else found[w] for w in words])
+        self._keep(found)
+        return out
 
 
 @lru_cache(maxsize=2)
