@@ -22,8 +22,10 @@ import heapq
 import math
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,7 @@ from leadloom.llm.common import register, table
 from leadloom.llm.words import MULTIPLIER, mix
 
 K, ALPHA, SEED = 3, 1.0, 42
-MOST_EDGES, TEXTS_AT_ONCE = 6_000_000, 128
+MOST_EDGES, TEXTS_AT_ONCE, CHARACTERS_AT_ONCE = 6_000_000, 128, 1 << 20
 DEPTH, _ALL = 60.0, (1 << 64) - 1
 SPACE = "▁"  # fixed value: how the model writes a space
 _WORD = re.compile(f"{SPACE}+[^{SPACE}\\n\\t]*|[\\n\\t]|[^{SPACE}\\n\\t]+")
@@ -72,8 +74,19 @@ class Pieces:
         assert (self.hashes[1:] != self.hashes[:-1]).all()
         self.names = np.array([i for i, _ in self.weight.values()], np.int64)[order]
         self.weights = np.array([w for _, w in self.weight.values()])[order]
+        # Beginnings of pieces, by the upper bits of their hashes: no piece starts where a place's bit is not set.
+        starts = {n[:i] for n in self.weight for i in range(1, len(n) + 1)}
+        self.begins = np.zeros(1 << 22, bool)
+        self.begins[self._slot(np.array([self._hash(n) for n in starts], np.uint64))] = True
+        sizes = np.array([len(x) for x in self.surface])
+        self.surface_size, self.surface_start = sizes, np.cumsum(sizes) - sizes
+        self.surface_bytes = np.frombuffer(b"".join(self.surface), np.uint8)
         self.clear()
 
+    @staticmethod
+    def _slot(hashes: np.ndarray) -> np.ndarray:
+        return (hashes * np.uint64(MULTIPLIER) >> np.uint64(42)).astype(np.int64)
+
     @staticmethod
     def _hash(name: str) -> int:
         return sum((ord(c) + 1) * pow(MULTIPLIER, t, 1 << 64) for t, c in enumerate(name)) % (1 << 64)
@@ -93,42 +106,50 @@ class Pieces:
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         total, stop = len(code), np.repeat(np.cumsum(length), length)
         left = stop - np.arange(total)  # characters to the word's end
-        at, size, piece, weight = [], [], [], []
+        found = []  # per piece length: places in ascending order, pieces, weights
         value, place, single = np.zeros(total, np.uint64), np.arange(total), np.zeros(total, bool)
         for n in range(1, min(self.longest, int(length.max())) + 1):
             place = place[left[place] >= n]
-            value[place] += (code[place + n - 1] + np.uint64(1)) * np.uint64(pow(MULTIPLIER, n - 1, 1 << 64))
-            hit = np.minimum(np.searchsorted(self.hashes, value[place]), len(self.hashes) - 1)
-            good = self.hashes[hit] == value[place]
-            at.append(place[good])
-            size.append(np.full(int(good.sum()), n))
-            piece.append(self.names[hit[good]])
-            weight.append(self.weights[hit[good]])
+            now = value[place] + (code[place + n - 1] + np.uint64(1)) * np.uint64(pow(MULTIPLIER, n - 1, 1 << 64))
+            open_ = self.begins[self._slot(now)]
+            place, now = place[open_], now[open_]
+            value[place] = now
+            hit = np.minimum(np.searchsorted(self.hashes, now), len(self.hashes) - 1)
+            good = self.hashes[hit] == now
+            found.append((place[good], self.names[hit[good]], self.weights[hit[good]]))
             if n == 1:
                 single[place[good]] = True
         bare = np.flatnonzero(~single)  # as bytes: -1 - code stands for the character
-        at.append(bare)
-        size.append(np.ones(len(bare), np.int64))
-        piece.append(-1 - code[bare].astype(np.int64))
-        weight.append(self.byte_weight * (1 + (code[bare] > 0x7F) + (code[bare] > 0x7FF) + (code[bare] > 0xFFFF)))
-        at, size, piece, weight = map(np.concatenate, (at, size, piece, weight))
-
-        order = np.argsort(left[at] * total + at)  # ends of words first
-        at, size, piece, weight = at[order], size[order], piece[order], weight[order]
-        beta, log = np.zeros(total), np.empty(len(at))
-        bounds = np.searchsorted(left[at], np.arange(1, int(left.max()) + 2))
+        bytes_ = 1 + (code[bare] > 0x7F) + (code[bare] > 0x7FF) + (code[bare] > 0xFFFF)
+        found.insert(0, (bare, -1 - code[bare].astype(np.int64), self.byte_weight * bytes_))
+
+        # Edges place by place; longer pieces, mostly the likelier ones, first.
+        many = np.zeros(total, np.int64)
+        for where, _, _ in found:
+            many[where] += 1
+        first = np.cumsum(many) - many
+        free, edges = first.copy(), int(many.sum())
+        size, piece, weight = np.empty(edges, np.int64), np.empty(edges, np.int64), np.empty(edges)
+        for n in range(len(found) - 1, -1, -1):
+            where, what, heavy = found[n]
+            slot = free[where]
+            free[where] += 1
+            size[slot], piece[slot], weight[slot] = max(n, 1), what, heavy
+        at = np.repeat(np.arange(total), many)
+
+        most = int(left.max())
+        ends_first = left[at].astype(np.uint16 if most < 1 << 16 else np.int64)
+        order = np.argsort(ends_first, kind="stable")
+        beta, log = np.zeros(total + 1), np.empty(edges)
+        bounds = np.searchsorted(ends_first[order], np.arange(1, most + 2))
+        after = np.where(size < left[at], at + size, total)  # beta is 0 at a word's end
         for a, b in zip(bounds[:-1], bounds[1:]):
-            own, after = at[a:b], size[a:b]
-            sums = weight[a:b] + np.where(after < left[own], beta[np.minimum(own + after, total - 1)], 0.0)
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            many = np.diff(np.append(first, len(own)))
-            top = np.maximum.reduceat(sums, first)
-            beta[own[first]] = top + np.log(np.add.reduceat(np.exp(sums - np.repeat(top, many)), first))
-            log[a:b] = sums - beta[own]
-        order = np.argsort(at * (self.longest + 1) - size)  # longer pieces, mostly the likelier ones, first
-        at, size, piece, log = at[order], size[order], piece[order], log[order]
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        many = np.diff(np.append(first, len(at)))
+            own = order[a:b]
+            sums, node = weight[own] + beta[after[own]], at[own]
+            head = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            top = np.maximum.reduceat(sums, head)
+            beta[node[head]] = top + np.log(np.add.reduceat(np.exp(sums - np.repeat(top, np.diff(np.append(head, b - a)))), head))
+            log[own] = sums - beta[node]
         log[first[many == 1]] = 0.0
         share = np.exp(log)
         run = share.copy()  # summed node by node, so that a word's lattice is the same wherever it is built
@@ -150,6 +171,17 @@ class Pieces:
         self.nodes, self.size = self.nodes + total, self.size + len(at)
         self.low[self.nodes] = self.size
 
+    def places(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The first node of every word of each text; new words are learnt."""
+        words = list(chain.from_iterable(texts))
+        found = np.fromiter(map(self.start.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            again = [words[i] for i in new.tolist()]
+            self.learn(list(dict.fromkeys(again)))
+            found[new] = np.fromiter(map(self.start.__getitem__, again), np.int64, len(new))
+        return np.split(found, np.cumsum([len(ws) for ws in texts])[:-1]) if texts else []
+
     def draw(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """From each node to the end of its word, edges drawn by their shares: the edges in order, the entry each belongs to, its number there.
 
@@ -169,12 +201,15 @@ class Pieces:
             node = self.end[edge].astype(np.int64)
             more = node >= 0
             entry, node = entry[more], node[more]
-        if not entries:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        turns = np.repeat(np.arange(1, n + 1), [len(x) for x in entries])
-        entries = np.concatenate(entries)
-        order = np.argsort(entries, kind="stable")
-        return np.concatenate(edges)[order], entries[order], turns[order]
+        many = np.zeros(len(nodes), np.int64)
+        for one in entries:
+            many[one] += 1
+        first = np.cumsum(many) - many
+        out = np.empty(int(many.sum()), np.int64)
+        for turn, (one, edge) in enumerate(zip(entries, edges)):
+            out[first[one] + turn] = edge
+        entries = np.repeat(np.arange(len(nodes)), many)
+        return out, entries, np.arange(1, len(out) + 1) - first[entries]
 
     def sample(self, texts: list[np.ndarray], keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text (the first nodes of its words) up to k distinct paths, best perturbed first.
@@ -212,8 +247,16 @@ class Pieces:
                 s.add(step, edges[part], inside[part] + step.word, start[part], float(after[part.stop - 1]) if part.stop > part.start else step.before, limits[part], k)
         return [s.result() for s in searches]
 
-    def ids(self, edges: np.ndarray) -> np.ndarray:
-        names = self.piece[edges].astype(np.int64)
+    def ids_all(self, paths: list[np.ndarray]) -> Iterator[np.ndarray]:
+        """The ids of each path of edges."""
+        every = self.piece[np.concatenate(paths)] if paths else np.zeros(0, np.int32)
+        whole = not len(every) or every.min() >= 0
+        last = 0
+        for path in paths:
+            names, last = every[last:last + len(path)], last + len(path)
+            yield names.astype("<u4") if whole else self._with_bytes(names.astype(np.int64))
+
+    def _with_bytes(self, names: np.ndarray) -> np.ndarray:
         bare = np.flatnonzero(names < 0)
         if len(bare):  # characters without a piece become their bytes
             code = -1 - names[bare]
@@ -226,7 +269,19 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 text of the ids: pieces and bytes joined, spaces written plainly, without the model's leading space."""
-        return b"".join(map(self.surface.__getitem__, ids.tolist())).removeprefix(b" ")
+        return next(self.decode_all([ids]))
+
+    def decode_all(self, paths: list[np.ndarray]) -> Iterator[bytes]:
+        """The text of each path, gathered for all of them at once."""
+        ids = np.concatenate(paths) if paths else np.zeros(0, np.int64)
+        size = self.surface_size[ids]
+        stop = np.cumsum(size)
+        where = np.repeat((self.surface_start[ids] - stop + size).astype(np.int32 if len(ids) < 1 << 24 else np.int64), size)
+        where += np.arange(len(where), dtype=where.dtype)
+        data = self.surface_bytes[where].tobytes()
+        last = np.append(0, stop)[np.cumsum([0] + [len(p) for p in paths])].tolist()
+        for a, b in zip(last[:-1], last[1:]):
+            yield data[a:b].removeprefix(b" ")
 
 
 @dataclass
@@ -334,6 +389,16 @@ def pieces(path: str, alpha: float) -> Pieces:
     return Pieces(path, alpha)
 
 
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of at most TEXTS_AT_ONCE texts and about CHARACTERS_AT_ONCE characters."""
+    at = size = 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if i + 1 - at == TEXTS_AT_ONCE or size >= CHARACTERS_AT_ONCE or i + 1 == len(texts):
+            yield at, i + 1
+            at, size = i + 1, 0
+
+
 def sample(docs: DataFrame, k: int = K, path: str | None = None, alpha: float = ALPHA, seed: int = SEED, with_ids: bool = False) -> DataFrame:
     """Per row up to k rows: doc_id, sample (from 1), n_pieces, ids_crc32, log_prob, perturbed, log_inclusion, round_trip (, ids)."""
     path = path or public_tokenizers.path("piece_bpe_32k.model")
@@ -342,23 +407,23 @@ def sample(docs: DataFrame, k: int = K, path: str | None = None, alpha: float =
 
     @F.pandas_udf(kind)
     def draw(texts: pd.Series, keys: pd.Series) -> pd.Series:
-        model, out = pieces(path, alpha), []
-        texts, keys = texts.tolist(), keys.tolist()
-        for at in range(0, len(texts), TEXTS_AT_ONCE):
-            some = [model.model.normalize(t) if t else "" for t in texts[at:at + TEXTS_AT_ONCE]]
+        model, texts, out = pieces(path, alpha), texts.tolist(), []
+        row_keys = _mixed(keys.to_numpy().astype(np.uint64), seed).tolist()
+        for at, stop in _slices(texts):
+            some = [model.model.normalize(t) if t else "" for t in texts[at:stop]]
             split = [_WORD.findall(t) for t in some]
             if model.size > MOST_EDGES:
                 model.clear()
-            model.learn(list({w for ws in split for w in ws if w not in model.start}))
-            starts = [np.fromiter(map(model.start.__getitem__, ws), np.int64, len(ws)) for ws in split]
-            row_keys = [int(_mixed(np.array([key % 2**64], np.uint64), seed)[0]) for key in keys[at:at + TEXTS_AT_ONCE]]
-            for text, found in zip(some, model.sample(starts, row_keys, k)):
+            every = model.sample(model.places(split), row_keys[at:stop], k)
+            ids = list(model.ids_all([edges for found in every for edges, *_ in found]))
+            back, ids = model.decode_all(ids), iter(ids)
+            for text, found in zip(some, every):
                 rows, plain = [], text.replace(SPACE, " ").encode("utf-8", "surrogatepass").removeprefix(b" ")
-                for n, (edges, total, top, inclusion) in enumerate(found, 1):
-                    ids = model.ids(edges)
-                    row = {"sample": n, "n_pieces": len(ids), "ids_crc32": zlib.crc32(ids.tobytes()), "log_prob": total, "perturbed": top,
-                           "log_inclusion": inclusion, "round_trip": model.decode(ids) == plain}
-                    rows.append(row | {"ids": ids.astype(np.int32)} if with_ids else row)
+                for n, (_, total, top, inclusion) in enumerate(found, 1):
+                    own = next(ids)
+                    row = {"sample": n, "n_pieces": len(own), "ids_crc32": zlib.crc32(own), "log_prob": total, "perturbed": top,
+                           "log_inclusion": inclusion, "round_trip": next(back) == plain}
+                    rows.append(row | {"ids": own.astype(np.int32)} if with_ids else row)
                 out.append(rows)
         return pd.Series(out, dtype=object)
 
