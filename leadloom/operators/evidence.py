@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,11 +149,8 @@ def select_evidence(evidence: DataFrame, selected: DataFrame, reviewed_at: Colum
 
 # ---- review with rollback ----
 
-ACTIONS_PER_ROUND = 500
-
-REVIEW_FOLD_DDL = """lead_id string, path string, current string, touched boolean, evidence_id string, origin_seq bigint,
-    applied_value string, updated_at timestamp, active boolean, ended_at timestamp, end_reason string,
-    results array<struct<seq:bigint,result:string>>"""
+# A slice holds at most 2 ** SLICE_BITS actions of one field.
+SLICE_BITS = 9
 
 
 def check_reviews(evidence: DataFrame, reviews: DataFrame, actions: DataFrame) -> DataFrame:
@@ -218,102 +214,121 @@ def check_reviews(evidence: DataFrame, reviews: DataFrame, actions: DataFrame) -
         F.when(changes_source, F.col("_new_source")).alias("to_source"))
 
 
-def _same(a: str | None, b: str | None) -> bool:
-    return (a or "").strip().lower() == (b or "").strip().lower()
-
-
-def _fold_field(key: tuple, actions: pd.DataFrame, origins: pd.DataFrame) -> pd.DataFrame:
-    """Apply one field's review actions in order to its origins (both bounded) and its value."""
-    if origins.empty:
-        return pd.DataFrame(columns=["lead_id", "path", "current", "touched", "evidence_id", "origin_seq",
-                                     "applied_value", "updated_at", "active", "ended_at", "end_reason", "results"])
-    current = origins["current"].iloc[0]
-    state = origins.sort_values("origin_seq").to_dict("records")
-    for o in state:
-        o["results"] = []
-    touched = False
-    for act in actions.sort_values("seq").itertuples():
-        for o in state:
-            if o["evidence_id"] != act.evidence_id:
-                continue
-            unchanged = _same(current, o["applied_value"])
-            result = None
-            if act.action == "rejected" and o["active"]:
-                result = "cleared" if unchanged else "preserved"
-                if unchanged:
-                    current, touched = None, True
-                o.update(active=False, ended_at=act.reviewed_at,
-                         end_reason="evidence-rejected" if unchanged else "field-changed")
-            elif act.action == "accepted" and not o["active"]:
-                empty = not (current or "").strip()
-                result = "restored" if empty or unchanged else "preserved"
-                if result == "restored":
-                    if empty:
-                        current, touched = o["applied_value"], True
-                    o.update(active=True, ended_at=None, end_reason=None)
-            elif act.action == "revised" and o["active"] and act.to_value and _same(o["applied_value"], act.from_value):
-                result = "updated" if unchanged else "preserved"
-                if unchanged:
-                    current, touched = act.to_value, True
-                    o.update(applied_value=act.to_value, updated_at=act.reviewed_at)
-                else:
-                    o.update(active=False, ended_at=act.reviewed_at, end_reason="field-changed")
-            if result:
-                o["results"].append({"seq": int(act.seq), "result": result})
-    for o in state:
-        o.update(current=current, touched=touched)
-    out = pd.DataFrame(state)
-    for c in ("updated_at", "ended_at"):
-        out[c] = pd.to_datetime(out[c])
-    return out
-
-
-def review_evidence(leads: DataFrame, evidence: DataFrame, reviews: DataFrame, origins: DataFrame, actions: DataFrame,
-                    per_round: int = ACTIONS_PER_ROUND) -> dict[str, DataFrame]:
+def _step(state: Column, action: Column, origin: Column) -> Column:
+    """The field's state after an action met one of its origins."""
+    unchanged = t.comparable(state["current"]) == t.comparable(origin["applied_value"])
+    kept_or = lambda good, name: F.when(good, name).otherwise("preserved")
+    empty = t.comparable(state["current"]) == ""
+    revises = origin["active"] & (t.comparable(action["to_value"]) != "") & (t.comparable(origin["applied_value"]) == t.comparable(action["from_value"]))
+    result = F.when(origin["evidence_id"] == action["evidence_id"], F.when(
+        (action["action"] == "rejected") & origin["active"], kept_or(unchanged, "cleared")).when(
+        (action["action"] == "accepted") & ~origin["active"], kept_or(empty | unchanged, "restored")).when(
+        (action["action"] == "revised") & revises, kept_or(unchanged, "updated")))
+
+    def after(r: Column) -> Column:
+        updated, ends = r == "updated", (r == "cleared") | ((r == "preserved") & (action["action"] != "accepted"))
+        is_ = lambda c: F.coalesce(c, F.lit(False))
+        next_origin = F.struct(
+            origin["evidence_id"].alias("evidence_id"), origin["origin_seq"].alias("origin_seq"),
+            F.when(is_(updated), action["to_value"]).otherwise(origin["applied_value"]).alias("applied_value"),
+            F.when(is_(updated), action["reviewed_at"]).otherwise(origin["updated_at"]).alias("updated_at"),
+            F.when(is_(ends), F.lit(False)).when(is_(r == "restored"), F.lit(True)).otherwise(origin["active"]).alias("active"),
+            F.when(is_(ends), action["reviewed_at"]).when(is_(r == "restored"), F.lit(None)).otherwise(origin["ended_at"]).alias("ended_at"),
+            F.when(is_(r == "cleared"), F.lit("evidence-rejected")).when(is_(ends), F.lit("field-changed")).when(
+                is_(r == "restored"), F.lit(None)).otherwise(origin["end_reason"]).alias("end_reason"))
+        sets = is_(r == "cleared") | is_(updated) | (is_(r == "restored") & empty)
+        value = F.when(is_(r == "cleared"), F.lit(None)).when(is_(updated), action["to_value"]).when(
+            is_(r == "restored") & empty, origin["applied_value"]).otherwise(state["current"])
+        done = F.struct(action["seq"].alias("seq"), r.alias("result"))
+        return F.struct(value.alias("current"), (state["touched"] | sets).alias("touched"), F.concat(state["origins"], F.array(next_origin)).alias("origins"),
+                        F.when(r.isNotNull(), F.concat(state["results"], F.array(done))).otherwise(state["results"]).alias("results"))
+    return t.let(result, after)
+
+
+_ORIGINS = "array<struct<evidence_id:string,origin_seq:bigint,applied_value:string,updated_at:timestamp,active:boolean,ended_at:timestamp,end_reason:string>>"
+_RESULTS = "array<struct<seq:bigint,result:string>>"
+
+
+def _folded(slices: DataFrame) -> DataFrame:
+    """`slices` (with `actions` and the state they start from, `before`) with the state after them, `after`, what they did, `results`, and `touched`."""
+    start = F.struct(F.col("before.current").alias("current"), F.lit(False).alias("touched"), F.col("before.origins").alias("origins"),
+                     F.array().cast(_RESULTS).alias("results"))
+
+    def act(state: Column, action: Column) -> Column:
+        none = F.struct(state["current"].alias("current"), state["touched"].alias("touched"), F.array().cast(_ORIGINS).alias("origins"), state["results"].alias("results"))
+        return F.aggregate(state["origins"], none, lambda s, o: _step(s, action, o))
+
+    done = slices.withColumn("_done", F.aggregate("actions", start, act))
+    return done.select("lead_id", "path", "slice", "actions", "before", F.struct("_done.current", "_done.origins").alias("after"), "_done.touched", "_done.results")
+
+
+def _field_slices(touching: DataFrame) -> DataFrame:
+    """lead_id, path, slice and actions: the actions of each field in order, cut wherever a slice of the sorted table ends.
+
+    The table is sorted in ranges, so neither a sort nor a slice meets all actions of a busy field.
+    """
+    ordered = touching.repartitionByRange("lead_id", "path", "seq").sortWithinPartitions("lead_id", "path", "seq", "evidence_id")
+    numbered = cut_lineage(ordered.withColumn("slice", F.shiftright(F.monotonically_increasing_id(), SLICE_BITS)), "field-actions")
+    action = F.struct("seq", "evidence_id", "action", "reviewed_at", "from_value", "to_value")
+    return numbered.groupBy("lead_id", "path", "slice").agg(F.sort_array(F.collect_list(action)).alias("actions"))
+
+
+def fold_fields(slices: DataFrame, start: DataFrame) -> DataFrame:
+    """Slices with the state before and after them, their `results`, and whether they `touched` the field's value.
+
+    All slices are folded at once, from the field's first state. Where a slice started from another state than the one
+    before it ended in, it is folded again from that; slices soon end in a state that does not depend on where they began.
+    Each pass settles one more slice of every field at least.
+    """
+    done = cut_lineage(_folded(slices.join(start, ["lead_id", "path"])), "folded")
+    order = Window.partitionBy("lead_id", "path").orderBy("slice")  # one row for 2 ** SLICE_BITS actions
+    while True:
+        seen = done.select("lead_id", "path", "slice", F.lag("after").over(order).alias("ended"), F.row_number().over(order).alias("nth"), "before")
+        wrong = cut_lineage(seen.where((F.col("nth") > 1) & ~F.col("before").eqNullSafe(F.col("ended"))).select(
+            "lead_id", "path", "slice", F.col("ended").alias("before")), "wrong")
+        if wrong.isEmpty():
+            return done
+        again = _folded(done.select("lead_id", "path", "slice", "actions").join(wrong, ["lead_id", "path", "slice"]))
+        done = cut_lineage(done.join(wrong, ["lead_id", "path", "slice"], "left_anti").select(*again.columns).unionByName(again), "folded")
+
+
+def review_evidence(leads: DataFrame, evidence: DataFrame, reviews: DataFrame, origins: DataFrame, actions: DataFrame) -> dict[str, DataFrame]:
     """Apply accept / reject / revise actions with field-level rollback.
 
     Returns the new `leads`, `evidence`, `reviews` and `origins`, every action with its `outcome`, and the
-    `effects` (lead_id, seq, path, result in cleared / restored / updated / preserved).
+    `effects` (lead_id, path, seq, result in cleared / restored / updated / preserved).
 
-    Fields are independent, so the ordered fold runs per (lead, field). A group holds that field's origins and at most
-    `per_round` actions; more actions on one field take further rounds.
+    A field's state is its value and its origins (one for each evidence that filled it). Its actions are folded in slices of bounded
+    length, all slices at once (`fold_fields`).
     """
     checked = cut_lineage(check_reviews(evidence, reviews, actions), "actions")
     accepted = checked.where(F.col("outcome") == "accepted")
     current = origins.withColumnRenamed("seq", "origin_seq")
-    touching = accepted.join(current.select("lead_id", "evidence_id", "path").distinct(), ["lead_id", "evidence_id"])
-    order = Window.partitionBy("lead_id", "path").orderBy("seq")
-    numbered = cut_lineage(touching.withColumn(
-        "_round", F.floor((F.row_number().over(order) - 1) / per_round)), "field-actions")
-    rounds = numbered.agg(F.max("_round")).first()[0]
-    effects = None
-    for number in range(0 if rounds is None else rounds + 1):
-        batch = numbered.where(F.col("_round") == number).select(
-            "lead_id", "path", "evidence_id", "seq", "action", "reviewed_at", "from_value", "to_value")
-        hit = batch.select("lead_id", "path").distinct()
-        state = current.join(hit, ["lead_id", "path"], "left_semi").join(field_values(leads), ["lead_id", "path"]).select(
-            "lead_id", "path", "current", "evidence_id", "origin_seq", "applied_value", "updated_at", "active",
-            "ended_at", "end_reason")
-        folded = cut_lineage(
-            batch.groupBy("lead_id", "path").cogroup(state.groupBy("lead_id", "path")).applyInPandas(
-                _fold_field, REVIEW_FOLD_DDL), "folded")
-        changes = folded.where("touched").groupBy("lead_id", "path").agg(F.first("current").alias("new_value"))
-        leads = put_fields(leads, changes)
-        updates = folded.select("lead_id", "path", "evidence_id", "origin_seq", F.struct(
-            "applied_value", "updated_at", "active", "ended_at", "end_reason").alias("_new"))
-        joined = current.join(updates, ["lead_id", "path", "evidence_id", "origin_seq"], "left")
-
-        def pick(name: str) -> Column:
-            return F.when(F.col("_new").isNotNull(), F.col(f"_new.{name}")).otherwise(F.col(name)).alias(name)
-
-        current = joined.select("lead_id", "path", "evidence_id", pick("applied_value"), "applied_at",
-                                pick("updated_at"), pick("active"), pick("ended_at"), pick("end_reason"), "origin_seq")
-        done = folded.select("lead_id", "path", F.inline("results"))
-        effects = done if effects is None else effects.unionByName(done)
-        if number < rounds:
-            leads, current = cut_lineage(leads, "leads"), cut_lineage(current, "origins")
-    if effects is None:
-        effects = numbered.select("lead_id", "path", "seq", F.lit(None).cast("string").alias("result")).limit(0)
+    wanted = accepted.select("lead_id", "evidence_id", "seq", "action", "reviewed_at", "from_value", "to_value")
+    touching = wanted.join(current.select("lead_id", "evidence_id", "path").distinct(), ["lead_id", "evidence_id"])
+    slices = _field_slices(touching)
+    # Only origins that some action names can change.
+    named = current.join(wanted.select("lead_id", "evidence_id").distinct(), ["lead_id", "evidence_id"], "left_semi")
+    state = named.groupBy("lead_id", "path").agg(F.sort_array(F.collect_list(F.struct(
+        "origin_seq", "evidence_id", "applied_value", "updated_at", "active", "ended_at", "end_reason"))).alias("origins"))
+    shaped = F.transform("origins", lambda o: F.struct(*[o[c].alias(c) for c in (
+        "evidence_id", "origin_seq", "applied_value", "updated_at", "active", "ended_at", "end_reason")]))
+    start = state.join(field_values(leads), ["lead_id", "path"]).select("lead_id", "path", F.struct("current", shaped.alias("origins")).alias("before"))
+    folded = fold_fields(slices, start)
+
+    last = folded.groupBy("lead_id", "path").agg(F.max_by("after", "slice").alias("after"), F.bool_or("touched").alias("touched"))
+    changes = last.where("touched").select("lead_id", "path", F.col("after.current").alias("new_value"))
+    leads = put_fields(leads, changes)
+    updates = last.select("lead_id", "path", F.explode("after.origins").alias("_new"))
+    updates = updates.select("lead_id", "path", "_new.evidence_id", "_new.origin_seq", "_new")
+
+    def pick(name: str) -> Column:
+        return F.when(F.col("_new").isNotNull(), F.col(f"_new.{name}")).otherwise(F.col(name)).alias(name)
+
+    current = current.join(updates, ["lead_id", "path", "evidence_id", "origin_seq"], "left").select(
+        "lead_id", "path", "evidence_id", pick("applied_value"), "applied_at", pick("updated_at"), pick("active"), pick("ended_at"),
+        pick("end_reason"), "origin_seq")
+    effects = folded.select("lead_id", "path", F.inline("results"))
 
     decided = accepted.join(
         reviews.groupBy("lead_id", "evidence_id").agg(F.max_by("decision", "seq").alias("_before")),

@@ -127,45 +127,60 @@ def evidence_selection(spark, folder):
     return patch
 
 
-# Every lead's e-mail came from its evidence; the reviews reject, restore and revise that evidence.
-ORIGINS = """
+# Many leads' e-mails came from their evidence; four actions each reject, restore and revise that evidence.
+_MAIL = "concat('Sales@d', CAST(CAST(floor({0} / 3) AS BIGINT) AS STRING), '.example')"
+FILLED_LEADS = LEADS.replace(
+    "CASE WHEN c.c_custkey % 5 <> 4 THEN", f"CASE WHEN c.c_custkey % 4 <> 0 THEN upper({_MAIL.format('c.c_custkey')}) WHEN c.c_custkey % 5 <> 4 THEN")
+ORIGINS = f"""
 SELECT concat('L', lpad(CAST(c_custkey AS STRING), 9, '0')) AS lead_id, 'contact.email' AS path, concat('M', CAST(c_custkey AS STRING)) AS evidence_id,
-  concat('c', CAST(c_custkey AS STRING), CASE WHEN c_custkey % 6 = 0 THEN '@old.example' ELSE '@MAIL.example' END) AS applied_value,
+  CASE WHEN c_custkey % 9 = 2 THEN concat('c', CAST(c_custkey AS STRING), '@MAIL.example') ELSE {_MAIL.format('c_custkey')} END AS applied_value,
   c_custkey % 8 <> 2 AS active, CAST(1 AS BIGINT) AS seq FROM customer
 """
-ACTIONS = """
-SELECT concat('L', lpad(CAST(c_custkey AS STRING), 9, '0')) AS lead_id, concat('M', CAST(c_custkey AS STRING)) AS evidence_id, c_custkey AS seq,
-  CASE c_custkey % 3 WHEN 0 THEN 'rejected' WHEN 1 THEN 'accepted' ELSE 'revised' END AS action,
-  CASE WHEN c_custkey % 25 = 0 THEN 'x' ELSE 'looked it up' END AS note,
-  CASE WHEN c_custkey % 3 = 2 THEN concat('new', CAST(c_custkey AS STRING), '@mail.example') END AS value
-FROM customer
+ACTIONS = f"""
+SELECT concat('L', lpad(CAST(c_custkey AS STRING), 9, '0')) AS lead_id, concat('M', CAST(c_custkey AS STRING)) AS evidence_id, CAST(seq AS BIGINT) AS seq,
+  CASE (c_custkey + CAST(floor(c_custkey / 4) AS BIGINT) * seq + seq * seq) % 4 WHEN 0 THEN 'rejected' WHEN 1 THEN 'accepted' ELSE 'revised' END AS action,
+  CASE WHEN (c_custkey + seq) % 25 = 0 THEN 'x' ELSE 'looked it up' END AS note,
+  CASE WHEN (c_custkey + CAST(floor(c_custkey / 4) AS BIGINT) * seq + seq * seq) % 4 > 1 THEN
+    CASE WHEN (c_custkey + seq) % 7 = 0 THEN {_MAIL.format('c_custkey')} ELSE concat('new', CAST(seq AS STRING), 'x', CAST(c_custkey AS STRING), '@mail.example') END END AS value
+FROM (SELECT c_custkey, each_of(1, 2, 3, 4) AS seq FROM customer) x
+"""
+REVIEWED = """
+SELECT l.lead_id, CAST(0 AS BIGINT) AS step, l.email, o.active, o.applied_value AS applied, e.value, e.evidence_id IS NOT NULL AS known, coalesce(r.decision, '') AS decided,
+  '' AS outcome, CAST(NULL AS VARCHAR) AS result
+FROM leads l JOIN origins o USING (lead_id) LEFT JOIN evidence e ON e.lead_id = l.lead_id AND e.evidence_id = o.evidence_id
+LEFT JOIN (SELECT lead_id, evidence_id, arg_max(decision, seq) AS decision FROM reviews GROUP BY ALL) r ON r.lead_id = l.lead_id AND r.evidence_id = o.evidence_id
+UNION ALL
+SELECT lead_id, step + 1,
+  CASE WHEN result = 'cleared' THEN NULL WHEN result = 'updated' THEN new_value WHEN result = 'restored' AND email IS NULL THEN applied ELSE email END,
+  CASE WHEN result = 'cleared' OR (result = 'preserved' AND action <> 'accepted') THEN FALSE WHEN result = 'restored' THEN TRUE ELSE active END,
+  CASE WHEN result = 'updated' THEN new_value ELSE applied END, CASE WHEN outcome = 'accepted' AND action = 'revised' THEN new_value ELSE value END, known,
+  CASE WHEN outcome = 'accepted' AND action <> 'revised' THEN action ELSE decided END, outcome, result
+FROM (SELECT *, CASE WHEN outcome <> 'accepted' THEN NULL
+    WHEN action = 'rejected' AND active THEN CASE WHEN same THEN 'cleared' ELSE 'preserved' END
+    WHEN action = 'accepted' AND NOT active THEN CASE WHEN same OR email IS NULL THEN 'restored' ELSE 'preserved' END
+    WHEN action = 'revised' AND active AND lower(applied) = lower(value) THEN CASE WHEN same THEN 'updated' ELSE 'preserved' END END AS result
+  FROM (SELECT w.* EXCLUDE (outcome, result), a.action, a.value AS new_value, coalesce(lower(w.email) = lower(w.applied), FALSE) AS same,
+      CASE WHEN NOT known THEN 'unknown-evidence' WHEN length(a.note) < 3 THEN 'note-too-short' WHEN a.action = 'revised' AND w.decided = 'rejected' THEN 'evidence-is-rejected'
+        WHEN a.action = 'revised' AND lower(a.value) = lower(w.value) THEN 'nothing-changed' ELSE 'accepted' END AS outcome
+    FROM walk w JOIN actions a ON a.lead_id = w.lead_id AND a.seq = w.step + 1))
 """
 
 
 @query("evidence_review", with_parts("""
-SELECT a.lead_id, CASE WHEN e.evidence_id IS NULL THEN 'unknown-evidence' WHEN length(a.note) < 3 THEN 'note-too-short'
-    WHEN a.action = 'revised' AND r.decision = 'rejected' THEN 'evidence-is-rejected' ELSE 'accepted' END AS outcome,
-  CASE WHEN e.evidence_id IS NULL OR length(a.note) < 3 OR (a.action = 'revised' AND coalesce(r.decision, '') = 'rejected') THEN NULL
-    WHEN a.action = 'rejected' AND o.active THEN CASE WHEN same_value THEN 'cleared' ELSE 'preserved' END
-    WHEN a.action = 'accepted' AND NOT o.active THEN CASE WHEN same_value OR l.email IS NULL THEN 'restored' ELSE 'preserved' END END AS result,
-  CASE WHEN e.evidence_id IS NULL OR length(a.note) < 3 THEN l.email
-    WHEN a.action = 'rejected' AND o.active AND same_value THEN NULL
-    WHEN a.action = 'accepted' AND NOT o.active AND l.email IS NULL THEN o.applied_value ELSE l.email END AS email
-FROM actions a JOIN leads l ON l.lead_id = a.lead_id JOIN origins o ON o.lead_id = a.lead_id
-LEFT JOIN evidence e ON e.lead_id = a.lead_id AND e.evidence_id = a.evidence_id
-LEFT JOIN (SELECT lead_id, evidence_id, arg_max(decision, seq) AS decision FROM reviews GROUP BY ALL) r
-  ON r.lead_id = a.lead_id AND r.evidence_id = a.evidence_id,
-LATERAL (SELECT coalesce(lower(l.email) = lower(o.applied_value), FALSE) AS same_value)""",
-    leads=LEADS, evidence=EVIDENCE, reviews=REVIEWS, origins=ORIGINS, actions=ACTIONS))
+SELECT w.lead_id, w.step AS seq, w.outcome, w.result, f.email, f.applied, f.active
+FROM walk w JOIN (SELECT lead_id, email, applied, active FROM walk WHERE step = 4) f USING (lead_id) WHERE step > 0""",
+    leads=FILLED_LEADS, evidence=EVIDENCE, reviews=REVIEWS, origins=ORIGINS, actions=ACTIONS, walk=REVIEWED))
 def evidence_review(spark, folder):
+    """Four actions per field; every result occurs: cleared, restored, updated and preserved."""
     origins = derive(spark, folder, f"""
         SELECT lead_id, path, evidence_id, applied_value, CAST(NULL AS TIMESTAMP) AS applied_at, CAST(NULL AS TIMESTAMP) AS updated_at, active,
           CAST(NULL AS TIMESTAMP) AS ended_at, CAST(NULL AS STRING) AS end_reason, seq FROM ({ORIGINS})""")
     actions = derive(spark, folder, ACTIONS).withColumn("source_ref", F.lit(None).cast("string")).withColumn("reviewed_at", now())
-    done = ev.review_evidence(lead_frame(spark, folder), evidence_frame(spark, folder), review_frame(spark, folder), origins, actions)
+    done = ev.review_evidence(lead_frame(spark, folder, FILLED_LEADS), evidence_frame(spark, folder), review_frame(spark, folder), origins, actions)
+    fields = done["leads"].select("lead_id", "contact.email").join(
+        done["origins"].select("lead_id", F.col("applied_value").alias("applied"), "active"), "lead_id")
     effects = done["effects"].select("lead_id", "seq", "result")
-    return done["actions"].select("lead_id", "seq", "outcome").join(effects, ["lead_id", "seq"], "left").join(
-        done["leads"].select("lead_id", "contact.email"), "lead_id").select("lead_id", "outcome", "result", "email")
+    return done["actions"].select("lead_id", "seq", "outcome").join(effects, ["lead_id", "seq"], "left").join(fields, "lead_id")
 
 
 # ---- registry and provider facts ----

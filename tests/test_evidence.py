@@ -19,11 +19,11 @@ def at(value="2026-09-08T01:00:00Z"):
     return F.lit(value).cast("timestamp")
 
 
-def review(spark, tables, *items, per_round=500):
+def review(spark, tables, *items):
     data = [("lead", e, i + 1, a, more.get("note", "looked it up"), more.get("value"), more.get("source"), f"2026-09-08T0{i % 10}:00:00Z")
             for i, (e, a, more) in enumerate(items)]
     actions = spark.createDataFrame(data, ACTION).withColumn("reviewed_at", F.col("reviewed_at").cast("timestamp"))
-    done = ev.review_evidence(tables.leads, tables.evidence, tables.reviews, tables.origins, actions, per_round)
+    done = ev.review_evidence(tables.leads, tables.evidence, tables.reviews, tables.origins, actions)
     effects = {(r.seq, r.path): r.result for r in done["effects"].collect()}
     outcomes = [r.outcome for r in done["actions"].orderBy("seq").collect()]
     return done, outcomes, effects
@@ -113,7 +113,7 @@ def plain_review(value, origins, evidence, actions):
     return current, sorted(out)
 
 
-def test_review_fold_equals_a_plain_walk_in_any_round_size(spark, tmp_path):
+def test_review_fold_equals_a_plain_walk_in_slices_of_any_size(spark, tmp_path, monkeypatch):
     rnd = random.Random(4)
     texts = [f"v{i}@x.example" for i in range(4)]
     evidence = [{"id": f"m{i}", "kind": "business-email", "value": texts[i % 4], "sourceRef": "https://s.example", "status": "verified"} for i in range(4)]
@@ -124,8 +124,9 @@ def test_review_fold_equals_a_plain_walk_in_any_round_size(spark, tmp_path):
                         {e["id"]: e["value"] for e in evidence}, actions)
     assert len({r for _, r in want[1]}) >= 3
     given = [(e, a, m if a == "revised" else {}) for e, a, m in actions]
-    for per_round in (500, 15):
-        done, _, effects = review(spark, tables, *given, per_round=per_round)
+    for bits in (9, 2, 0):
+        monkeypatch.setattr(ev, "SLICE_BITS", bits)
+        done, _, effects = review(spark, tables, *given)
         assert (done["leads"].first().contact.email, sorted((s, r) for (s, _), r in effects.items())) == want
 
 
