@@ -206,6 +206,11 @@ def _rows(lang: str, phrases: pa.Array, *numbers: np.ndarray) -> Iterator[pa.Rec
                                          ["key", "n", "before", "after"][:1 + len(numbers)])
 
 
+def _summed(rows: DataFrame, *numbers: str) -> DataFrame:
+    """Sums by key. Each shard has a key once, so rows are not worth a table of them before the shuffle; no key is hot."""
+    return rows.repartition("key").groupBy("key").agg(*[F.sum(n).alias(n) for n in numbers])
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """key (word, tab, language) and n of every word; the key without a word holds the language's number of words."""
     size = SHARD_WORDS
@@ -216,7 +221,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             yield from _rows(lang, found.field(0), found.field(1).to_numpy())
             yield from _rows(lang, pa.array([""]), np.array([len(words)]))
 
-    return docs.select("lang", "text").mapInArrow(count, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return _summed(docs.select("lang", "text").mapInArrow(count, "key string, n long"), "n")
 
 
 def build(docs: DataFrame, words: DataFrame, depth: int) -> DataFrame:
@@ -271,8 +276,7 @@ def ngrams(index: DataFrame, length: int, shorter: dict[int, np.ndarray]) -> Dat
                     phrase = pc.binary_join_element_wise(*[strings.take(pa.array(patterns[0][:, c])) for c in range(length)], " ")
                     yield from _rows(lang, phrase, patterns[3], *shard.beside(patterns))
 
-    rows = index.mapInArrow(count, "key string, n long, before long, after long")
-    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.sum("before").alias("before"), F.sum("after").alias("after"))
+    return _summed(index.mapInArrow(count, "key string, n long, before long, after long"), "n", "before", "after")
 
 
 def count_phrases(docs: DataFrame, depth: int = 3, least: int = 10) -> tuple[DataFrame, DataFrame]:
