@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,12 +139,6 @@ def conversion_by_grade(leads: DataFrame, states: DataFrame, baselines: DataFram
 
 # ---- recording new events ----
 
-# Proposals of one lead handled together; more of them are handled in further rounds.
-PROPOSALS_PER_ROUND = 1000
-
-CHECKED_DDL = "lead_id string, seq bigint, outcome string"
-
-
 def check_proposals(leads: DataFrame, qualified: DataFrame, proposals: DataFrame, recorded_at: Column) -> DataFrame:
     """Proposals with defaults applied and a `refusal` code for everything that needs no history.
 
@@ -189,96 +182,83 @@ def check_proposals(leads: DataFrame, qualified: DataFrame, proposals: DataFrame
         "_bad_amount", "_known", "_dnc", "_restricted", "_master", "_grade")
 
 
-def _judge(key: tuple, proposals: pd.DataFrame, history: pd.DataFrame) -> pd.DataFrame:
-    """Accept or refuse one lead's proposals in entry order against its (bounded) history."""
-    types: dict[str, str] = {}
-    voided: set[str] = set()
-    completions: dict[str, set[str]] = {}
-    markers: list[tuple] = []
-
-    def enter(row) -> None:
-        types.setdefault(row.event_id, row.type)
-        if row.type == "activity-voided":
-            voided.add(row.related_event_id)
-        elif row.type == "follow-up-completed":
-            completions.setdefault(row.related_event_id, set()).add(row.event_id)
-        elif row.type in ("won", "lost", "reopened"):
-            markers.append((row.occurred_at, row.seq, row.event_id, row.type))
-
-    def closed() -> bool:
-        live = [m for m in markers if m[2] not in voided]
-        return bool(live) and max(live)[3] != "reopened"
-
-    def is_open(target: str) -> bool:
-        finished = completions.get(target, set()) - voided
-        return types.get(target) == "follow-up-scheduled" and target not in voided and not finished
-
-    for row in history.sort_values("seq").itertuples():
-        enter(row)
-    out = []
-    for row in proposals.sort_values("seq").itertuples():
-        target = row.related_event_id
-        if row.refusal is not None and row.refusal == row.refusal:
-            verdict = row.refusal
-        elif row.event_id in types:
-            verdict = "event-id-exists"
-        elif row.type == "activity-voided" and (target not in types or types[target] == "activity-voided"):
-            verdict = "nothing-to-void"
-        elif row.type == "activity-voided" and target in voided:
-            verdict = "already-voided"
-        elif row.type == "follow-up-scheduled" and closed():
-            verdict = "lead-is-closed"
-        elif row.type == "follow-up-completed" and not is_open(target):
-            verdict = "no-open-follow-up"
-        elif row.type == "reopened" and not closed():
-            verdict = "lead-is-not-closed"
-        else:
-            verdict = "accepted"
-            enter(row)
-        out.append((key[0], row.seq, verdict))
-    return pd.DataFrame(out, columns=["lead_id", "seq", "outcome"])
-
-
-def _matters(history: DataFrame, batch: DataFrame, per_round: int) -> DataFrame:
-    """The past events that decide on a batch: those it names, what voids or completes them, and the last open or closing marks."""
-    named = batch.select("lead_id", F.explode(F.array("event_id", "related_event_id")).alias("event_id")).where("event_id IS NOT NULL").distinct()
-    about = named.withColumnRenamed("event_id", "related_event_id")
-    own = history.join(named, ["lead_id", "event_id"], "left_semi")
-    effects = history.where(F.col("type").isin("activity-voided", "follow-up-completed")).join(about, ["lead_id", "related_event_id"], "left_semi")
-    voids = history.where(F.col("type") == "activity-voided")
-    undone = voids.join(effects.select("lead_id", F.col("event_id").alias("related_event_id")).distinct(), ["lead_id", "related_event_id"], "left_semi")
-    marks = history.where(F.col("type").isin("won", "lost", "reopened")).join(batch.select("lead_id").distinct(), "lead_id", "left_semi").join(
-        voids.select("lead_id", F.col("related_event_id").alias("event_id")), ["lead_id", "event_id"], "left_anti")
-    # A round voids at most `per_round` of them, so one more than that suffices.
-    newest_first = Window.partitionBy("lead_id").orderBy(F.desc("occurred_at"), F.desc("seq"), F.desc("event_id"))
-    marks = marks.withColumn("_rank", F.row_number().over(newest_first)).where(F.col("_rank") <= per_round + 1).drop("_rank")
-    columns = history.columns
-    return own.select(columns).union(effects.select(columns)).union(undone.select(columns)).union(marks.select(columns)).distinct()
-
-
-def record_events(leads: DataFrame, qualified: DataFrame, events: DataFrame, proposals: DataFrame,
-                  recorded_at: Column, per_round: int = PROPOSALS_PER_ROUND) -> DataFrame:
+def standing(intervals: DataFrame, points: DataFrame, span: int) -> DataFrame:
+    """`points` with `top`, the largest `value` of the intervals of their `key` that hold their `place`; null where none does.
+
+    Intervals have key, since, until (excluded) and value; places and ends lie between 0 and `span`. An interval is cut
+    into pieces of sizes 1, 4, 16, ... that start at multiples of their size, three each side and size at most, and a place lies in one piece of
+    each size. So pieces meet places by equality, whatever the number of intervals or places of a key.
+    """
+    levels = 1
+    while 4 ** levels <= span:
+        levels += 1
+    width = F.pow(F.lit(4.0), "level").cast("bigint")
+    cut = intervals.where("since < until").select("key", "value", "since", "until", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    cut = cut.withColumns({"low": F.ceil(F.col("since") / width).cast("bigint"), "high": F.floor(F.col("until") / width).cast("bigint")}).where("low < high")
+    # The pieces of this size that no larger piece covers: up to the first multiple of four, and from the last one.
+    left, right = F.least(F.col("high"), (F.ceil(F.col("low") / 4) * 4).cast("bigint")), F.expr("greatest(low, (high div 4) * 4)")
+    places = lambda start, stop: F.when(start < stop, F.sequence(start, stop - 1)).otherwise(F.array().cast("array<bigint>"))
+    pieces = F.when(left >= right, places(F.col("low"), F.col("high"))).otherwise(F.concat(places(F.col("low"), left), places(right, F.col("high"))))
+    best = cut.select("key", "level", F.explode(pieces).alias("piece"), "value").groupBy("key", "level", "piece").agg(F.max("value").alias("value"))
+    asked = points.select("key", "place").distinct().select("key", "place", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    asked = asked.withColumn("piece", F.floor(F.col("place") / width).cast("bigint"))
+    tops = asked.join(best, ["key", "level", "piece"]).groupBy("key", "place").agg(F.max("value").alias("top"))
+    return points.join(tops, ["key", "place"], "left")
+
+
+def _verdicts(checked: DataFrame, entered: DataFrame, span: int) -> DataFrame:
+    """The outcome of every checked proposal, were `entered` (history and accepted proposals, by place) the whole log."""
+    by_id = entered.where("event_id IS NOT NULL").groupBy("lead_id", "event_id").agg(
+        F.min("place").alias("_first"), F.min_by("type", F.struct("place", "seq")).alias("_type"))
+    voids = entered.where("type = 'activity-voided' AND related_event_id IS NOT NULL").groupBy("lead_id", "related_event_id").agg(F.min("place").alias("_void"))
+    lasting = entered.where(F.col("type").isin("won", "lost", "reopened", "follow-up-completed")).join(
+        voids.withColumnRenamed("related_event_id", "event_id"), ["lead_id", "event_id"], "left")
+    mark = F.col("type") != "follow-up-completed"
+    # Marks count for their lead, completions for the plan they name; both until they are voided, from the place after their own.
+    lasting = lasting.where(mark | F.col("related_event_id").isNotNull()).select(
+        F.struct("lead_id", F.when(~mark, F.col("related_event_id")).alias("plan")).alias("key"), (F.col("place") + 1).alias("since"),
+        F.when(F.col("_void") < F.col("place"), F.col("place")).otherwise(F.coalesce(F.col("_void") + 1, F.lit(span + 1))).alias("until"),
+        F.struct("occurred_at", "seq", "event_id", "type").alias("value"))
+    asking = F.col("refusal").isNull() & F.col("type").isin("follow-up-scheduled", "reopened", "follow-up-completed")
+    points = checked.where(asking).select(
+        "lead_id", "seq", F.struct("lead_id", F.when(F.col("type") == "follow-up-completed", F.coalesce("related_event_id", F.lit(""))).alias("plan")).alias("key"), "place")
+    tops = standing(lasting, points, span + 1).select("lead_id", "seq", F.col("top.type").alias("_top"))
+    joined = checked.join(by_id.select("lead_id", "event_id", F.col("_first").alias("_own")), ["lead_id", "event_id"], "left")
+    joined = joined.join(by_id.select("lead_id", F.col("event_id").alias("related_event_id"), "_first", "_type"), ["lead_id", "related_event_id"], "left")
+    joined = joined.join(voids, ["lead_id", "related_event_id"], "left").join(tops, ["lead_id", "seq"], "left")
+    before = lambda c: F.coalesce(F.col(c) < F.col("place"), F.lit(False))
+    target = F.when(before("_first"), F.col("_type"))
+    kind, closed = F.col("type"), F.coalesce(F.col("_top") != "reopened", F.lit(False))
+    is_open = F.coalesce(target == "follow-up-scheduled", F.lit(False)) & ~before("_void") & F.col("_top").isNull()
+    outcome = first_code(
+        (before("_own"), "event-id-exists"),
+        ((kind == "activity-voided") & (target.isNull() | (target == "activity-voided")), "nothing-to-void"),
+        ((kind == "activity-voided") & before("_void"), "already-voided"),
+        ((kind == "follow-up-scheduled") & closed, "lead-is-closed"),
+        ((kind == "follow-up-completed") & ~is_open, "no-open-follow-up"),
+        ((kind == "reopened") & ~closed, "lead-is-not-closed"))
+    return joined.select(*checked.columns, F.coalesce("refusal", outcome, F.lit("accepted")).alias("outcome"))
+
+
+def record_events(leads: DataFrame, qualified: DataFrame, events: DataFrame, proposals: DataFrame, recorded_at: Column) -> DataFrame:
     """Judge proposed events; returns them with `outcome` (accepted or a refusal code).
 
-    Each proposal is judged against the whole history including earlier accepted ones. Joins pick the past events that
-    can matter to a round's proposals; one lead's group holds those and `per_round` proposals, and leads with more proposals go
-    through further rounds, so no group grows with the data.
+    Each proposal is judged against the whole history including earlier accepted ones. A proposal depends only on earlier ones of its
+    lead that name the same event, or on the lead's closing marks, so all are judged at once on the assumption that
+    those without a refusal enter, and again with the outcome until it stays: a round settles at least one more level of
+    dependencies of every lead. No step gathers a lead.
     """
-    checked = check_proposals(leads, qualified, proposals, recorded_at)
-    order = Window.partitionBy("lead_id").orderBy("seq")
-    numbered = cut_lineage(checked.withColumn(
-        "_round", F.floor((F.row_number().over(order) - 1) / per_round)), "proposals")
-    rounds = numbered.agg(F.max("_round")).first()[0]
-    history, judged = events, None
-    needed = ["lead_id", "event_id", "seq", "type", "occurred_at", "related_event_id"]
-    for number in range(0 if rounds is None else rounds + 1):
-        batch = numbered.where(F.col("_round") == number)
-        past = _matters(history.select(*needed), batch, per_round)
-        verdicts = batch.select(*needed, "refusal").groupBy("lead_id").cogroup(past.groupBy("lead_id")).applyInPandas(
-            _judge, CHECKED_DDL)
-        done = cut_lineage(batch.join(verdicts, ["lead_id", "seq"]), "judged")
-        history = history.select(*needed).unionByName(done.where(F.col("outcome") == "accepted").select(*needed))
-        judged = done if judged is None else judged.unionByName(done)
-    if judged is None:
-        judged = numbered.withColumn("outcome", F.lit(None).cast("string"))
-    return judged.drop("_round", "refusal")
+    checked = cut_lineage(check_proposals(leads, qualified, proposals, recorded_at), "proposals")
+    low, high = checked.agg(F.min("seq"), F.max("seq")).first()
+    if low is None:
+        return checked.drop("refusal").withColumn("outcome", F.lit(None).cast("string"))
+    span, needed = high - low + 2, ["lead_id", "event_id", "seq", "type", "occurred_at", "related_event_id", "place"]
+    checked = checked.withColumn("place", F.col("seq") - low + 1)  # the history stands at 0
+    past = cut_lineage(events.withColumn("place", F.lit(0).cast("bigint")).select(*needed), "history")
+    judged = cut_lineage(checked.withColumn("outcome", F.coalesce("refusal", F.lit("accepted"))), "judged")
+    while True:
+        entered = past.unionByName(judged.where("outcome = 'accepted'").select(*needed))
+        new = cut_lineage(_verdicts(judged.withColumnRenamed("outcome", "_assumed"), entered, span), "judged")
+        if new.where((F.col("outcome") == "accepted") != (F.col("_assumed") == "accepted")).isEmpty():
+            return new.drop("_assumed", "refusal", "place")
+        judged = new.drop("_assumed")

@@ -180,23 +180,52 @@ def proposal_frame(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("string").alias("outcome_reason"))
 
 
-@query("dev_proposal_checks", with_parts("""
-SELECT p.lead_id, p.seq, p.type, CASE
+CHECKS = """SELECT p.lead_id, p.seq, p.type, CASE
   WHEN p.type = 'phone-call' THEN 'unknown-type' WHEN p.type = 'follow-up-scheduled' AND due_at IS NULL THEN 'due-date-missing'
   WHEN p.type IN ('lost', 'reopened', 'note', 'activity-voided') AND length(note) < 3 THEN 'note-too-short'
   WHEN CAST(amount_text AS DECIMAL(18, 2)) < 0 THEN 'bad-amount'
   WHEN outbound AND do_not_contact THEN 'do-not-contact' WHEN outbound AND restricted_market THEN 'restricted-market'
   WHEN outbound AND duplicate_of IS NOT NULL THEN 'duplicate-of-master' WHEN outbound AND q.grade = 'HOLD' THEN 'on-hold' END AS refusal
 FROM (SELECT *, type IN ('contact-attempted', 'quote-sent', 'sample-sent', 'follow-up-scheduled') AS outbound FROM proposed) p
-JOIN leads l ON l.lead_id = p.lead_id JOIN qualified q ON q.lead_id = p.lead_id""", **QUALIFIED_PARTS, proposed=PROPOSED))
+JOIN leads l ON l.lead_id = p.lead_id JOIN qualified q ON q.lead_id = p.lead_id
+"""
+
+
+@query("dev_proposal_checks", with_parts(CHECKS, **QUALIFIED_PARTS, proposed=PROPOSED))
 def dev_proposal_checks(spark, folder):
     return funnel.check_proposals(lead_frame(spark, folder), qualified(spark, folder), proposal_frame(spark, folder), as_of()).select(
         "lead_id", "seq", "type", "refusal")
 
 
-@query("dev_record_events")
+# One proposal after the other: each lead's entries so far are a list.
+WALK = """
+SELECT lead_id, CAST(0 AS BIGINT) AS nth, coalesce(h.entries, []) AS entries, CAST(0 AS HUGEINT) AS seq, '' AS type, '' AS outcome
+FROM (SELECT DISTINCT lead_id FROM numbered) l LEFT JOIN history h USING (lead_id)
+UNION ALL
+SELECT lead_id, nth, CASE WHEN outcome = 'accepted' THEN list_append(entries, p) ELSE entries END, p.seq, p.type, outcome
+FROM (SELECT *, CASE WHEN refusal IS NOT NULL THEN refusal
+    WHEN p.type = 'activity-voided' AND (target IS NULL OR target = 'activity-voided') THEN 'nothing-to-void'
+    WHEN p.type = 'activity-voided' AND list_contains(void, p.rel) THEN 'already-voided'
+    WHEN p.type = 'follow-up-scheduled' AND coalesce(mark <> 'reopened', FALSE) THEN 'lead-is-closed'
+    WHEN p.type = 'follow-up-completed' AND NOT (coalesce(target = 'follow-up-scheduled', FALSE) AND NOT list_contains(void, p.rel) AND len(list_filter(live, lambda e: e.type = 'follow-up-completed' AND e.rel = p.rel)) = 0) THEN 'no-open-follow-up'
+    WHEN p.type = 'reopened' AND NOT coalesce(mark <> 'reopened', FALSE) THEN 'lead-is-not-closed' ELSE 'accepted' END AS outcome
+  FROM (SELECT *, list_extract(list_filter(entries, lambda e: e.id = p.rel), 1).type AS target,
+      list_extract(list_reverse_sort(list_transform(list_filter(live, lambda e: e.type IN ('won', 'lost', 'reopened')), lambda e: {'at': e.at, 'seq': e.seq, 'id': e.id, 'type': e.type})), 1).type AS mark
+    FROM (SELECT *, list_filter(entries, lambda e: NOT list_contains(void, e.id)) AS live
+      FROM (SELECT w.lead_id, w.entries, n.nth, n.refusal, n.p, list_transform(list_filter(w.entries, lambda e: e.type = 'activity-voided'), lambda e: e.rel) AS void
+        FROM walk w JOIN numbered n ON n.lead_id = w.lead_id AND n.nth = w.nth + 1))))
+"""
+
+
+@query("dev_record_events", with_parts("SELECT lead_id, CAST(seq AS BIGINT) AS seq, type, outcome FROM walk WHERE nth > 0", **QUALIFIED_PARTS, **EVENT_PARTS,
+    proposed=PROPOSED, checks=CHECKS,
+    history="""SELECT lead_id, list({'id': event_id, 'type': type, 'at': occurred_at, 'seq': CAST(seq AS HUGEINT), 'rel': related} ORDER BY seq) AS entries
+      FROM clean GROUP BY lead_id""",
+    numbered="""SELECT p.lead_id, row_number() OVER (PARTITION BY p.lead_id ORDER BY p.seq) AS nth, c.refusal,
+      {'id': 'p' || p.seq, 'type': p.type, 'at': p.occurred_at, 'seq': CAST(p.seq AS HUGEINT), 'rel': p.related} AS p FROM proposed p JOIN checks c USING (lead_id, seq)""",
+    walk=WALK))
 def dev_record_events(spark, folder):
-    """Ordered judgement of all proposals against each lead's history; compared with a plain walk in the tests."""
+    """Judgement of all proposals against each lead's history and the proposals before them."""
     events = cut_lineage(event_frame(spark, folder), "events")
     judged = funnel.record_events(lead_frame(spark, folder), qualified(spark, folder), events, proposal_frame(spark, folder), as_of())
     return judged.select("lead_id", "seq", "type", "outcome")

@@ -35,10 +35,10 @@ def ev(kind, when, **more):
     return {"type": kind, "occurred_at": when, **more}
 
 
-def outcomes(spark, tables, history, *events, now="2026-09-10T08:00:00Z", per_round=1000):
+def outcomes(spark, tables, history, *events, now="2026-09-10T08:00:00Z"):
     proposals = log(spark, *[{"seq": 100 + i, "event_id": e.get("event_id", f"p{i}"), **e} for i, e in enumerate(events)])
     proposals = proposals.withColumn("occurred_at", F.col("occurred_at").cast("timestamp")).withColumn("due_at", F.col("due_at").cast("timestamp"))
-    judged = funnel.record_events(tables.leads, qualified(tables), shape.normalize_events(history), proposals, at(now), per_round)
+    judged = funnel.record_events(tables.leads, qualified(tables), shape.normalize_events(history), proposals, at(now))
     return [r.outcome for r in judged.orderBy("seq").collect()]
 
 
@@ -176,7 +176,7 @@ def plain_record(history, proposals):
     return out
 
 
-def test_recording_equals_a_plain_walk_in_any_round_size(spark, tmp_path):
+def test_recording_equals_a_plain_walk(spark, tmp_path):
     rnd = random.Random(11)
     kinds = ["won", "lost", "reopened", "follow-up-scheduled", "follow-up-completed", "activity-voided", "quote-sent"]
     tables = leads(spark, tmp_path, [LEAD])
@@ -189,7 +189,15 @@ def test_recording_equals_a_plain_walk_in_any_round_size(spark, tmp_path):
     expected = plain_record([], proposals)
     assert len(set(expected)) >= 5
     assert outcomes(spark, tables, log(spark), *given) == expected
-    assert outcomes(spark, tables, log(spark), *given, per_round=13) == expected
+
+
+def test_standing_equals_a_search_of_all_intervals(spark):
+    rnd = random.Random(5)
+    spans = [(rnd.choice("ab"), *sorted((rnd.randint(0, 90), rnd.randint(0, 91))), i) for i in range(80)]
+    points = [(k, p) for k in "abc" for p in range(91)]
+    got = {(r.key, r.place): r.top for r in funnel.standing(
+        spark.createDataFrame(spans, "key string, since long, until long, value int"), spark.createDataFrame(points, "key string, place long"), 91).collect()}
+    assert got == {(k, p): max([v for key, a, b, v in spans if key == k and a <= p < b], default=None) for k, p in points}
 
 
 def test_states_equal_a_plain_fold(spark):
