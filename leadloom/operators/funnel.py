@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -255,10 +257,16 @@ def record_events(leads: DataFrame, qualified: DataFrame, events: DataFrame, pro
     span, needed = high - low + 2, ["lead_id", "event_id", "seq", "type", "occurred_at", "related_event_id", "place"]
     checked = checked.withColumn("place", F.col("seq") - low + 1)  # the history stands at 0
     past = cut_lineage(events.withColumn("place", F.lit(0).cast("bigint")).select(*needed), "history")
-    judged = cut_lineage(checked.withColumn("outcome", F.coalesce("refusal", F.lit("accepted"))), "judged")
+    judged, settled = cut_lineage(checked.withColumn("outcome", F.coalesce("refusal", F.lit("accepted"))), "judged"), []
     while True:
         entered = past.unionByName(judged.where("outcome = 'accepted'").select(*needed))
         new = cut_lineage(_verdicts(judged.withColumnRenamed("outcome", "_assumed"), entered, span), "judged")
-        if new.where((F.col("outcome") == "accepted") != (F.col("_assumed") == "accepted")).isEmpty():
-            return new.drop("_assumed", "refusal", "place")
-        judged = new.drop("_assumed")
+        changed = (F.col("outcome") == "accepted") != (F.col("_assumed") == "accepted")
+        wrong = cut_lineage(new.where(changed).select("lead_id").distinct(), "wrong")
+        new = new.drop("_assumed")
+        if wrong.isEmpty():
+            return functools.reduce(DataFrame.unionByName, [*settled, new]).drop("refusal", "place")
+        # The proposals of a lead without a change stand.
+        settled.append(new.join(wrong, "lead_id", "left_anti").select(*new.columns))
+        judged = cut_lineage(new.join(wrong, "lead_id", "left_semi").select(*new.columns), "judged")
+        past = cut_lineage(past.join(wrong, "lead_id", "left_semi").select(*needed), "history")
