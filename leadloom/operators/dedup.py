@@ -98,12 +98,47 @@ def block_members(keys: DataFrame, masters: DataFrame) -> DataFrame:
     return mapped.dropDuplicates(["key", "account_id"])
 
 
+def block_ranks(members: DataFrame) -> DataFrame:
+    """key, account_id and rank (from 1, by account) within the key; written once.
+
+    The rows are sorted in ranges, so a block may spread over many tasks; a row's rank is its place in its range and
+    the number of the block's rows in the ranges before.
+    """
+    ordered = members.repartitionByRange("key", "account_id").sortWithinPartitions("key", "account_id")
+    placed = cut_lineage(ordered.withColumn("at", F.monotonically_increasing_id()), "ranks").withColumn("range", F.shiftright("at", 33))
+    parts = placed.groupBy("key", "range").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("rows"))
+    earlier = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("key", "range", "first", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    return placed.join(parts, ["key", "range"]).select("key", "account_id", (F.col("at") - F.col("first") + F.col("before") + 1).alias("rank"))
+
+
+# Numbers are looked at in runs of this length.
+RUN = 1024
+
+
+def first_free(taken: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """For each of `keys` the smallest positive whole number that is not among its numbers.
+
+    In sorted order a number leaves its place where one is missing before it. That is looked for inside runs, and then among the
+    runs, so no list is longer than a run or the number of runs.
+    """
+    run = F.expr(f"({number} - 1) div {RUN}")
+    inside = taken.groupBy(*keys, run.alias("_run")).agg(F.array_sort(F.collect_set(number)).alias("_numbers"))
+    start = F.col("_run") * RUN + 1
+    ahead = F.filter(F.transform("_numbers", lambda n, i: F.when(n > start + i, start + i)), lambda n: n.isNotNull())
+    gap = F.coalesce(F.get(ahead, F.lit(0)), F.when(F.size("_numbers") < RUN, start + F.size("_numbers")))
+    runs = inside.select(*keys, "_run", gap.alias("_gap")).groupBy(*keys).agg(F.min("_gap").alias("_gap"), F.array_sort(F.collect_list("_run")).alias("_runs"))
+    skipped = F.filter(F.transform("_runs", lambda r, i: F.when(r > i, F.lit(RUN) * i + 1)), lambda n: n.isNotNull())
+    least = F.least("_gap", F.coalesce(F.get(skipped, F.lit(0)), F.size("_runs") * RUN + 1))
+    return runs.select(*keys, least.cast("bigint").alias(number))
+
+
 def candidate_links(members: DataFrame, settled: DataFrame | None = None) -> DataFrame:
     """(left_id, right_id), distinct: each account with the first other account of each of its blocks, settled pairs left out.
 
-    The first two accounts of a block come from an aggregate; a member whose link is settled looks further down its
-    block. It has to pass at most as many accounts as it has settled pairs there, so a block's first accounts up to the largest
-    such number suffice; the rank limit that finds them runs before the shuffle.
+    The first two accounts of a block come from an aggregate; a member whose link is settled takes the first account of its
+    block whose rank is not that of a settled one. Ranks and gaps are found by sorted ranges and short runs, in time
+    linear in the block and its settled pairs.
     """
     heads = members.groupBy("key").agg(F.min("account_id").alias("head"), F.max("account_id").alias("last"), F.count(F.lit(1)).alias("accounts"))
     heads = heads.where(F.col("head") < F.col("last")).select("key", "head")
@@ -126,16 +161,12 @@ def candidate_links(members: DataFrame, settled: DataFrame | None = None) -> Dat
     inside = done.join(stuck.select("key", "account_id"), "account_id").join(
         members.select("key", F.col("account_id").alias("other_id")), ["key", "other_id"], "left_semi")
     inside = cut_lineage(inside.select("key", "account_id", "other_id"), "settled-inside")
-    most = inside.groupBy("key", "account_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    order = Window.partitionBy("key").orderBy("account_id")
-    firsts = members.select("key", "account_id").join(stuck.select("key").distinct(), "key", "left_semi").withColumn(
-        "rank", F.row_number().over(order)).where(F.col("rank") <= most + 2)
+    inside = inside.unionByName(stuck.select("key", "account_id", F.col("account_id").alias("other_id")))
+    ranked = block_ranks(members.select("key", "account_id").join(stuck.select("key").distinct(), "key", "left_semi"))
+    ranked = ranked.withColumnRenamed("account_id", "other_id")
     # A member skips itself and its settled pairs: the first rank that is not taken by them.
-    ranked = firsts.select("key", F.col("account_id").alias("other_id"), "rank")
-    taken = inside.unionByName(stuck.select("key", "account_id", F.col("account_id").alias("other_id"))).join(ranked, ["key", "other_id"])
-    taken = taken.groupBy("key", "account_id").agg(F.array_sort(F.collect_set("rank")).alias("ranks"))
-    gap = F.filter(F.sequence(F.lit(1), F.size("ranks") + 1), lambda r: ~F.array_contains("ranks", r))[0]
-    wanted = stuck.join(taken, ["key", "account_id"], "left").select("key", "account_id", F.coalesce(gap, F.lit(1)).alias("rank"))
+    taken = inside.join(ranked, ["key", "other_id"]).select("key", "account_id", "rank")
+    wanted = first_free(taken, ["key", "account_id"], "rank")
     moved = wanted.join(ranked, ["key", "rank"]).select("key", "account_id", "other_id")
     return free.unionByName(moved).select(*pair).distinct()
 

@@ -232,3 +232,13 @@ def test_candidates_do_not_depend_on_partitioning(spark, tmp_path):
 
 def test_model_has_every_lead_path():
     assert len(model.FIELD_PATHS) == 14
+
+
+def test_first_free_number_and_ranks(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "RUN", 4)
+    groups = {"a": [1, 2, 3], "b": [2, 3], "c": list(range(1, 13)), "d": [*range(1, 9), 13, 14], "e": [*range(1, 7), 8, 9], "f": [5, 6, 7, 8], "g": [1, 1, 2, 4]}
+    rows = [(k, n) for k, ns in groups.items() for n in ns]
+    got = {r.key: r.n for r in dedup.first_free(spark.createDataFrame(rows, "key string, n long"), ["key"], "n").collect()}
+    assert got == {k: next(i for i in range(1, 20) if i not in ns) for k, ns in groups.items()}
+    members = spark.createDataFrame([(k, f"{i * 7 % 50:02}") for k in "xyz" for i in range(50)], "key string, account_id string")
+    assert {(r.key, r.account_id): r["rank"] for r in dedup.block_ranks(members).collect()} == {(k, f"{i:02}"): i + 1 for k in "xyz" for i in range(50)}
