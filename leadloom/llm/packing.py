@@ -39,17 +39,22 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
     kind = "array<struct<piece int, start long, length long, crc long" + (", ids array<int>>>" if with_ids else ">>")
 
     @F.pandas_udf(kind)
-    def cut(texts: pd.Series) -> pd.Series:
-        encode, tail, out = tokenizer(path).encode, np.array([end], "<u4").tobytes(), []
-        for text in texts:
-            ids = encode(text) + tail
-            parts = []
-            for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                part = ids[at:at + 4 * capacity]
-                row = {"piece": k, "start": at // 4, "length": len(part) // 4, "crc": zlib.crc32(part)}
-                parts.append(row | {"ids": np.frombuffer(part, "<u4").astype(np.int32)} if with_ids else row)
-            out.append(parts)
-        return pd.Series(out, dtype=object)
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        coder, tail = tokenizer(path), np.array([end], "<u4").tobytes()
+        try:
+            for texts in batches:
+                out = []
+                for text in texts:
+                    ids = coder.encode(text) + tail
+                    parts = []
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at:at + 4 * capacity]
+                        row = {"piece": k, "start": at // 4, "length": len(part) // 4, "crc": zlib.crc32(part)}
+                        parts.append(row | {"ids": np.frombuffer(part, "<u4").astype(np.int32)} if with_ids else row)
+                    out.append(parts)
+                yield pd.Series(out, dtype=object)
+        finally:
+            coder.forget()
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.inline(cut("text")))
     return rows.withColumnRenamed("crc", "ids_crc32")

@@ -21,6 +21,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from leadloom.llm.common import keep, register, table
 from leadloom.session import lookup, work_path
 
-SHARD_WORDS, FILTER_BITS, FILE_SHARDS = 1 << 17, 1 << 26, 64
+SHARD_WORDS, FILTER_BITS, CHUNK_BITS, FILE_SHARDS = 1 << 17, 1 << 26, 1 << 17, 64
 #: Symbols 0 and 1 of every shard: the end of a piece, and words too rare for any candidate.
 END, RARE = 0, 1
 ROWS_OUT = 1 << 16
@@ -186,6 +187,35 @@ def _passes(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def frequent_filter(counted: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits as bytes, set for the phrases of `counted` (key: words joined by spaces, a tab, the language)."""
+    salt = F.crc32(F.element_at(F.split("key", "\t", 2), 2).cast("binary"))
+    codes = F.transform(F.split(F.substring_index("key", "\t", 1), " "), lambda w: F.pmod(F.crc32(w.cast("binary")) + salt, F.lit(1 << 32)))
+    mixed = F.aggregate(F.slice(codes, 2, 1 << 20), F.element_at(codes, 1), lambda t, c: F.pmod(t * _MIX + c, F.lit(FILTER_BITS)))
+    chunk = min(CHUNK_BITS, FILTER_BITS)
+    bit = counted.select(F.pmod(mixed, F.lit(FILTER_BITS)).alias("bit")).distinct()
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(chunk, bool)
+        flags[rows["at"]] = True
+        return pd.DataFrame({"chunk": rows["chunk"][:1], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
+
+    parts = bit.select(F.expr(f"bit div {chunk}").alias("chunk"), (F.col("bit") % chunk).alias("at")).groupBy("chunk").applyInPandas(pack, "chunk long, bits binary")
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts.collect():  # FILTER_BITS bits at most
+        out[r.chunk * chunk // 8:(r.chunk + 1) * chunk // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _passes(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Whether the filter has the bit of each row of word codes."""
+    total = codes[:, 0]
+    for k in range(1, codes.shape[1]):
+        total = (total * _MIX + codes[:, k]) % (8 * len(bits))
+    at = total % (8 * len(bits))
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def frequent_filter(counted: DataFrame) -> np.ndarray:
     """FILTER_BITS bits as bytes, set for the phrases of `counted` (key: words joined by spaces, a tab, the language)."""
     salt = F.crc32(F.element_at(F.split("key", "\t", 2), 2).cast("binary"))

@@ -15,7 +15,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: About 250 bytes each. Longer words than LONGEST characters are not kept.
-CACHE_WORDS, LONGEST = 60_000, 64
+CACHE_WORDS, LONGEST = 250_000, 64
 # Letters that have one lower-case form, one composed form and no neighbours that change them; the apostrophe is left out, as it starts contractions.
 _plain = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+|[0-9]|[!-&(-/:-@\[-`{-~]+)+")
 _parts = re.compile(r"[A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
@@ -37,6 +37,10 @@ class WordBpe:
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.model = self.whole.model
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all words, at the end of a task."""
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
