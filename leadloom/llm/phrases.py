@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from leadloom.llm.common import keep, register, table
 from leadloom.session import lookup, work_path
 
-SHARD_WORDS, FILTER_BITS, CHUNK_BITS, FILE_SHARDS = 1 << 17, 1 << 26, 1 << 17, 64
+SHARD_WORDS, FILTER_BITS, CHUNK_BITS, FILE_SHARDS = 1 << 17, 1 << 23, 1 << 17, 64
 #: Symbols 0 and 1 of every shard: the end of a piece, and words too rare for any candidate.
 END, RARE = 0, 1
 ROWS_OUT = 1 << 16
