@@ -14,8 +14,8 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-#: About 250 bytes each. Longer words than LONGEST characters are not kept.
-CACHE_WORDS, LONGEST = 250_000, 64
+#: About 250 bytes each; a generation may pass it by the words of one text.
+CACHE_WORDS = 250_000
 # Letters that have one lower-case form, one composed form and no neighbours that change them; the apostrophe is left out, as it starts contractions.
 _plain = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+|[0-9]|[!-&(-/:-@\[-`{-~]+)+")
 _parts = re.compile(r"[A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
@@ -66,13 +66,6 @@ class WordBpe:
             found[word] = np.array(coded.ids, "<u4").tobytes()
         return found
 
-    def _keep(self, found: dict[str, bytes]) -> None:
-        for word, ids in found.items():
-            if len(word) <= LONGEST:
-                if len(self.young) >= CACHE_WORDS:
-                    self.old, self.young = self.young, {}
-                self.young[word] = ids
-
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not text:
@@ -81,13 +74,13 @@ class WordBpe:
             words = [w for w in re.sub(r"[\n\t\r]", " ", text).split(" ") if w]
         else:
             words = text.split()
-        young = self.young
-        new = {w for w in words if w not in young}
-        if not new:
-            return b"".join(map(young.__getitem__, words))
-        found = self._find(new)
-        out = b"".join([young[w] if w in young else found[w] for w in words])
-        self._keep(found)
+        try:
+            return b"".join(map(self.young.__getitem__, words))
+        except KeyError:
+            self.young.update(self._find({w for w in words if w not in self.young}))
+        out = b"".join(map(self.young.__getitem__, words))
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
         return out
 
 
