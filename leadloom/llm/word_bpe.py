@@ -3,18 +3,20 @@
 The tokenizer drops white space and never joins words, so the ids of a text are those of its words in order. Words repeat,
 so each worker keeps the ids of words it has seen: two generations of at most CACHE_WORDS each, of which the older one is
 dropped when the younger is full, so words that come again stay. Words of Latin letters, digits and ASCII
-signs are cut by the file's own rule and merged by its model directly; all others go through the whole tokenizer.
+signs are cut by the file's own rule into parts, whose ids are kept too (a name with and without a comma shares them), and merged by
+its model directly; all others go through the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
 from tokenizers import Tokenizer
 
-#: About 250 bytes each; a generation may pass it by the words of one text.
+#: About 250 bytes each, in each generation and of parts; one may pass it by the words of one text.
 CACHE_WORDS = 250_000
 # Letters that have one lower-case form, one composed form and no neighbours that change them; the apostrophe is left out, as it starts contractions.
 _plain = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+|[0-9]|[!-&(-/:-@\[-`{-~]+)+")
@@ -32,6 +34,14 @@ def _byte_letters() -> dict[int, str]:
 _letters = _byte_letters()
 
 
+def _packed(ids) -> bytes:
+    """Little-endian unsigned 32-bit numbers."""
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 class WordBpe:
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
@@ -43,13 +53,17 @@ class WordBpe:
         """Drop all words, at the end of a task."""
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts[part] = _packed(t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_letters)))
+        return ids
 
     def _word(self, word: str) -> bytes:
-        ids = []
-        for part in _parts.findall(word.lower()):
-            part = part.encode().decode("latin-1").translate(_letters)
-            ids.extend(t.id for t in self.model.tokenize(part))
-        return np.array(ids, "<u4").tobytes()
+        word, known = word.lower(), self.parts
+        if word.isascii() and word.isalpha():  # one part
+            return known.get(word) or self._part(word)
+        return b"".join([known.get(part) or self._part(part) for part in _parts.findall(word)])
 
     def _find(self, words: set[str]) -> dict[str, bytes]:
         """The ids of words that the younger generation lacks."""
@@ -63,13 +77,15 @@ class WordBpe:
                 else:
                     rest.append(word)
         for word, coded in zip(rest, self.whole.encode_batch(rest, add_special_tokens=False) if rest else ()):
-            found[word] = np.array(coded.ids, "<u4").tobytes()
+            found[word] = _packed(coded.ids)
         return found
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
+        if text.isascii():
+            text = text.lower()
         if _odd_space.search(text):  # Python splits there, the tokenizer does not
             words = [w for w in re.sub(r"[\n\t\r]", " ", text).split(" ") if w]
         else:
@@ -81,6 +97,8 @@ class WordBpe:
         out = b"".join(map(self.young.__getitem__, words))
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
+        if len(self.parts) > CACHE_WORDS:
+            self.parts = {}
         return out
 
 
