@@ -271,15 +271,16 @@ def is_candidate(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def review_pairs(leads: DataFrame, effective: DataFrame, decisions: DataFrame, proposals: DataFrame,
-                 masters: DataFrame | None = None) -> DataFrame:
+                 masters: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
     """Judge proposed decisions on pairs: `outcome` is accepted, deferred or the refusal code.
 
     Proposals: left_id, right_id, decision, primary_lead_id, note, reviewed_at, seq. A proposal is
     judged when it is the earliest of this batch for both its leads; later ones on the same leads depend
     on its result and come back as deferred, to be sent again after the accepted rows were appended.
     """
-    masters = masters if masters is not None else master_links(leads)
-    members = cut_lineage(block_members(fingerprints(leads, effective), masters), "members")
+    if members is None:
+        masters = masters if masters is not None else master_links(leads)
+        members = cut_lineage(block_members(fingerprints(leads, effective), masters), "members")
     p = proposals.select(
         F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"),
         "decision", t.text("primary_lead_id").alias("primary_lead_id"), t.text("note").alias("note"),
@@ -355,15 +356,51 @@ def apply_reviews(leads: DataFrame, decisions: DataFrame, judged: DataFrame) ->
     return updated.select(*leads.columns), decisions.unionByName(log.select(*decisions.columns))
 
 
+def _reach(leads: DataFrame, ends: DataFrame) -> DataFrame:
+    """(lead_id) of the leads whose master may change when the `ends` (lead_id) are linked or parted: all of their groups.
+
+    Groups that share a cycle have several masters, so every group of a cycle is taken.
+    """
+    masters = cut_lineage(master_links(leads), "masters")
+    grouped = leads.select("lead_id").join(masters, "lead_id", "left").select("lead_id", F.coalesce("master_id", "lead_id").alias("group"))
+    met = grouped.join(ends, "lead_id", "left_semi").select("group").union(masters.where("lead_id = master_id").select("master_id"))
+    return cut_lineage(grouped.join(met.distinct(), "group", "left_semi").select("lead_id"), "reach")
+
+
 def review_all(leads: DataFrame, effective: DataFrame, decisions: DataFrame, proposals: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Judge and apply a batch to the end: as many passes as the longest chain of dependent proposals."""
-    done: list[DataFrame] = []
+    """Judge and apply a batch to the end: as many passes as the longest chain of dependent proposals.
+
+    A pass judges all proposals that come first for both their leads. Passes work on what the batch can touch: the groups of its
+    leads, their blocking keys (made once) and the decisions on its pairs. Masters are followed again only after a pass
+    that moved one. All leads and decisions are read before the first pass and after the last.
+    """
+    proposals = cut_lineage(proposals, "proposals")
+    ends = proposals.select(F.explode(F.array("left_id", "right_id")).alias("lead_id")).distinct()
+    reach = _reach(leads, ends)
+    state = cut_lineage(leads.select("lead_id", "compliance").join(reach, "lead_id", "left_semi"), "state")
+    keys = cut_lineage(fingerprints(leads.join(reach, "lead_id", "left_semi"), effective.join(reach, "lead_id", "left_semi")), "keys")
+    sides = proposals.select(F.inline(F.array(
+        F.struct(F.col("left_id").alias("lead_id"), F.col("right_id").alias("other_lead_id")),
+        F.struct(F.col("right_id").alias("lead_id"), F.col("left_id").alias("other_lead_id"))))).distinct()
+    log = cut_lineage(decisions.join(sides, ["lead_id", "other_lead_id"], "left_semi").select(*decisions.columns), "log")
+    none, waiting, moved, done = log.limit(0), proposals, True, []
+    added: list[DataFrame] = []
     while True:
-        judged = cut_lineage(review_pairs(leads, effective, decisions, proposals), "judged")
-        leads, decisions = apply_reviews(leads, decisions, judged)
-        leads, decisions = cut_lineage(leads, "leads"), cut_lineage(decisions, "decisions")
+        if moved:
+            members = cut_lineage(block_members(keys, master_links(state)), "members")
+        judged = cut_lineage(review_pairs(state, effective, log, waiting, members=members), "judged")
         done.append(judged.where(F.col("outcome") != "deferred"))
-        waiting = judged.where(F.col("outcome") == "deferred").select("seq")
-        if waiting.isEmpty():
-            return leads, decisions, functools.reduce(DataFrame.unionByName, done)
-        proposals = proposals.join(waiting, "seq", "left_semi")
+        changed, entries = apply_reviews(state, none, judged)
+        added.append(cut_lineage(entries, "entries"))
+        before = state.select("lead_id", F.col("compliance.duplicate_of").alias("_before"))
+        changed = cut_lineage(changed, "state")
+        moved = not changed.join(before, "lead_id").where(~F.col("compliance.duplicate_of").eqNullSafe(F.col("_before"))).isEmpty()
+        state, log = changed, log.unionByName(added[-1])
+        left = judged.where(F.col("outcome") == "deferred").select("seq")
+        if left.isEmpty():
+            break
+        waiting = proposals.join(left, "seq", "left_semi")
+    masters = state.select("lead_id", F.lit(True).alias("_known"), F.col("compliance.duplicate_of").alias("_master"))
+    standing = F.when(F.col("_known"), F.col("compliance").withField("duplicate_of", F.col("_master"))).otherwise(F.col("compliance"))
+    new = leads.join(masters, "lead_id", "left").withColumn("compliance", standing).select(*leads.columns)
+    return new, functools.reduce(DataFrame.unionByName, added, decisions), functools.reduce(DataFrame.unionByName, done)

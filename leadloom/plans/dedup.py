@@ -220,3 +220,55 @@ def dup_review_outcomes(spark, folder):
     proposals = derive(spark, folder, PROPOSALS).withColumn("reviewed_at", F.lit("2024-02-01 00:00:00").cast("timestamp"))
     judged = dedup.review_pairs(lead_frame(spark, folder), effective(spark, folder), decision_frame(spark, folder), proposals)
     return judged.select("seq", "left_id", "right_id", "decision", "outcome")
+
+
+# Neighbours get four proposals each, in turn; a later one depends on what became of the earlier ones. `near` says whether two
+# neighbours share a key while neither is the other's master; a decision that parts them makes them candidates again.
+CHAINS = """
+SELECT concat('L', lpad(CAST(c_custkey AS STRING), 9, '0')) AS left_id, concat('L', lpad(CAST(c_custkey + 1 AS STRING), 9, '0')) AS right_id,
+  CASE WHEN turn = 2 OR (c_custkey + turn) % 7 = 0 THEN 'reopened' WHEN (c_custkey + turn) % 4 = 0 THEN 'distinct' ELSE 'same' END AS decision,
+  CASE WHEN (c_custkey + turn) % 30 <> 6 THEN concat('L', lpad(CAST(c_custkey + (c_custkey + turn) % 2 AS STRING), 9, '0')) END AS primary_lead_id,
+  CASE WHEN (c_custkey + turn) % 20 = 4 THEN 'x' ELSE 'checked by hand' END AS note, c_custkey * 10 + turn AS seq, turn
+FROM (SELECT c_custkey, each_of(1, 2, 3, 4) AS turn FROM customer WHERE c_custkey % 2 = 0) c
+"""
+CHAIN_PAIRS = """
+SELECT p.left_id, p.right_id, l.lead_id IS NOT NULL AND r.lead_id IS NOT NULL AS known, l.duplicate_of AS left_master, r.duplicate_of AS right_master,
+  coalesce(d.decision, 'reopened') <> 'reopened' AS settled,
+  CASE WHEN l.duplicate_of = p.right_id OR r.duplicate_of = p.left_id
+    THEN EXISTS (SELECT 1 FROM fingerprints a JOIN fingerprints b ON a.key = b.key WHERE a.lead_id = p.left_id AND b.lead_id = p.right_id)
+    ELSE EXISTS (SELECT 1 FROM members a JOIN members b ON a.key = b.key WHERE a.account_id = p.left_id AND b.account_id = p.right_id) END AS near
+FROM (SELECT DISTINCT left_id, right_id FROM chains) p LEFT JOIN leads l ON l.lead_id = p.left_id LEFT JOIN leads r ON r.lead_id = p.right_id
+LEFT JOIN latest d ON d.left_id = p.left_id AND d.right_id = p.right_id
+"""
+_STEP = """
+SELECT left_id, right_id, c.turn, c.seq, c.decision, near, known, v.outcome,
+  CASE WHEN v.outcome = 'accepted' THEN c.decision <> 'reopened' ELSE settled END AS settled,
+  CASE WHEN v.outcome <> 'accepted' THEN left_master WHEN c.decision = 'same' AND c.primary_lead_id = right_id THEN right_id
+    WHEN left_master NOT IN (left_id, right_id) THEN left_master END AS left_master,
+  CASE WHEN v.outcome <> 'accepted' THEN right_master WHEN c.decision = 'same' AND c.primary_lead_id = left_id THEN left_id
+    WHEN right_master NOT IN (left_id, right_id) THEN right_master END AS right_master
+FROM {before} s JOIN chains c USING (left_id, right_id), LATERAL (SELECT CASE
+  WHEN length(c.note) < 3 THEN 'note-too-short' WHEN NOT known THEN 'unknown-lead'
+  WHEN c.decision = 'reopened' AND NOT settled THEN 'nothing-to-reopen' WHEN c.decision <> 'reopened' AND settled THEN 'already-settled'
+  WHEN c.decision <> 'reopened' AND NOT (near AND coalesce(left_master <> right_id, TRUE) AND coalesce(right_master <> left_id, TRUE)) THEN 'no-candidate' WHEN c.decision = 'same' AND c.primary_lead_id IS NULL THEN 'primary-not-in-pair'
+  WHEN c.decision = 'same' AND (coalesce(left_master, left_id) NOT IN (left_id, right_id) OR coalesce(right_master, left_id) NOT IN (left_id, right_id))
+    THEN 'belongs-to-other-master' ELSE 'accepted' END AS outcome) v
+WHERE c.turn = {turn}
+"""
+
+
+@query("dup_review_applied", with_parts("""
+SELECT t.seq, t.left_id, t.right_id, t.decision, t.outcome, e.left_master, e.right_master, e.settled
+FROM (SELECT * FROM turn1 UNION ALL SELECT * FROM turn2 UNION ALL SELECT * FROM turn3 UNION ALL SELECT * FROM turn4) t JOIN turn4 e USING (left_id, right_id)""",
+    **LEAD_PARTS, fingerprints=FINGERPRINTS, walk=WALK, masters=MASTERS, members=MEMBERS, decisions=DECISIONS, latest=LATEST, chains=CHAINS,
+    turn0=CHAIN_PAIRS, **{f"turn{n}": _STEP.format(before=f"turn{n - 1}", turn=n) for n in (1, 2, 3, 4)}))
+def dup_review_applied(spark, folder):
+    """Outcomes of all proposals, the masters the leads of a pair end with, and whether the pair ends settled."""
+    proposals = derive(spark, folder, CHAINS).withColumn("reviewed_at", (F.lit("2024-02-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs="turn")))
+    leads, log, judged = dedup.review_all(lead_frame(spark, folder), effective(spark, folder), decision_frame(spark, folder), proposals)
+    masters = leads.select("lead_id", F.col("compliance.duplicate_of").alias("master"))
+    ended = dedup.latest_verdicts(log).select("left_id", "right_id", (F.col("decision") != "reopened").alias("settled"))
+    shown = judged.select("seq", "left_id", "right_id", "decision", "outcome").join(ended, ["left_id", "right_id"], "left")
+    for side in ("left", "right"):
+        shown = shown.join(masters.select(F.col("lead_id").alias(f"{side}_id"), F.col("master").alias(f"{side}_master")), f"{side}_id", "left")
+    return shown.select("seq", "left_id", "right_id", "decision", "outcome", "left_master", "right_master", F.coalesce("settled", F.lit(False)).alias("settled"))
