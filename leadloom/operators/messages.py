@@ -113,6 +113,9 @@ SYSTEM_LINES = (
     "Do not invent prices, lead times, certifications, stock, payment status, shipping status, or promises.",
     "Ask concise clarification questions where facts are missing.",
 )
+# Characters the interactive tool keeps of each part of a reply or prompt.
+TOOL_LIMITS = {"customer_name": 80, "customer_company": 120, "customer_country": 80, "customer_notes": 500, "text": 8000, "signature": 300,
+               "industry_profile": 500, "company_profile": 500}
 # ---- end of fixed values ----
 
 
@@ -155,39 +158,43 @@ def _pick(code: Column, table: dict[str, str], default: str) -> Column:
     return out
 
 
-def background(mode: Column, industry: Column, company: Column) -> Column:
+def _part(column: str, limits: dict[str, int] | None) -> Column:
+    return t.squeezed(column, (limits or {}).get(column))
+
+
+def background(limits: dict[str, int] | None = None) -> Column:
     """The one business background the mode selects, null when there is none."""
-    chosen = F.when(mode == "industry", t.squeezed(industry, 500)).when(mode == "company", t.squeezed(company, 500))
+    chosen = F.when(F.col("mode") == "industry", _part("industry_profile", limits)).when(F.col("mode") == "company", _part("company_profile", limits))
     return F.concat(F.lit("Relevant background: "), chosen)
 
 
-def template_replies(rows: DataFrame) -> DataFrame:
+def template_replies(rows: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     """Adds `reply`. Columns used: scenario_id, customer_name, industry_profile, company_profile, signature,
-    mode, tone."""
-    name, signature = t.squeezed("customer_name", 80), t.squeezed("signature", 300)
+    mode, tone. All are kept whole unless `limits` (as TOOL_LIMITS) names them."""
+    name, signature = _part("customer_name", limits), _part("signature", limits)
     scenario = F.col("scenario_id")
     return rows.withColumn("reply", F.concat_ws(
         "\n\n",
         F.coalesce(F.concat(F.lit("Dear "), name, F.lit(",")), F.lit("Hello,")),
         _pick(scenario, {k: v[0] for k, v in REPLY_COPY.items()}, "inquiry"),
-        background(F.col("mode"), F.col("industry_profile"), F.col("company_profile")),
+        background(limits),
         _pick(scenario, {k: v[1] for k, v in REPLY_COPY.items()}, "inquiry"),
         _pick(F.col("tone"), TONE_LINES, "professional"),
         F.coalesce(F.concat(F.lit("Best regards,\n"), signature), F.lit("Best regards,"))))
 
 
-def reply_prompts(rows: DataFrame) -> DataFrame:
+def reply_prompts(rows: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     """Adds `messages`, the system and user message a reply would be written from.
 
     Only the background the mode selects is included. Further columns used: text, customer_company,
-    customer_country, customer_notes.
+    customer_country, customer_notes. All are kept whole unless `limits` (as TOOL_LIMITS) names them.
     """
-    def line(label: str, column: str, limit: int) -> Column:
-        return F.concat(F.lit(label), t.squeezed(column, limit))
+    def line(label: str, column: str) -> Column:
+        return F.concat(F.lit(label), _part(column, limits))
 
     details = F.nullif(F.concat_ws(
-        "\n", line("Contact: ", "customer_name", 80), line("Company: ", "customer_company", 120),
-        line("Market: ", "customer_country", 80), line("Notes: ", "customer_notes", 500)), F.lit(""))
+        "\n", line("Contact: ", "customer_name"), line("Company: ", "customer_company"),
+        line("Market: ", "customer_country"), line("Notes: ", "customer_notes")), F.lit(""))
     scenario = F.col("scenario_id")
     tone = F.concat(F.lit("Use a "), F.col("tone"),
                     F.lit(" tone. Return only the email or chat reply, without analysis or labels."))
@@ -196,11 +203,10 @@ def reply_prompts(rows: DataFrame) -> DataFrame:
         "\n\n",
         F.concat(F.lit("Detected stage: "), _pick(scenario, SCENARIO_LABELS, "inquiry"), F.lit(" ("),
                  F.when(scenario.isin(*SCENARIO_LABELS), scenario).otherwise("inquiry"), F.lit(")")),
-        F.concat(F.lit("Customer message:\n"), F.coalesce(t.squeezed("text", 8000), F.lit(""))),
+        F.concat(F.lit("Customer message:\n"), F.coalesce(_part("text", limits), F.lit(""))),
         F.concat(F.lit("Customer profile:\n"), F.coalesce(details, F.lit("No customer profile is available."))),
-        F.coalesce(background(F.col("mode"), F.col("industry_profile"), F.col("company_profile")),
-                   F.lit("No additional business background was selected.")),
-        F.coalesce(F.concat(F.lit("Signature:\n"), t.squeezed("signature", 300)), F.lit("No signature was provided.")))
+        F.coalesce(background(limits), F.lit("No additional business background was selected.")),
+        F.coalesce(F.concat(F.lit("Signature:\n"), _part("signature", limits)), F.lit("No signature was provided.")))
     return rows.withColumn("messages", F.array(
         F.struct(F.lit("system").alias("role"), system.alias("content")),
         F.struct(F.lit("user").alias("role"), user.alias("content"))))

@@ -162,7 +162,7 @@ def url_admission(spark, folder):
     return derive(spark, folder, URLS).select("page_id", web.admitted_url("url").alias("admitted"), web.url_refusal("url").alias("refusal"))
 
 
-# Pages form sites of twenty; the first page of a site links to all others, every page to its neighbour.
+# Pages form sites of twenty; the first page of a site links to all others, each of them to one page that does not exist.
 SITE_PAGES = """
 SELECT page_id, CAST(floor(page_id / 20) AS BIGINT) AS site, concat('https://site', CAST(CAST(floor(page_id / 20) AS BIGINT) AS STRING), '.example/', CAST(page_id % 20 AS STRING)) AS url,
   page_id % 20 = 0 AS is_root, NOT (page_id % 20 IN (3, 4) AND floor(page_id / 20) % 2 = 1) AND NOT (page_id % 20 = 0 AND floor(page_id / 20) % 5 = 4) AS readable FROM pages
@@ -179,33 +179,37 @@ def _walk(spark: SparkSession, folder: str) -> DataFrame:
         "url", F.concat(F.lit("https://site"), "site", F.lit(".example/extra"), F.col("page_id") % 20).alias("target"), F.lit("legal").alias("reason"),
         F.lit(1).alias("position"))
     return website.walk_sites(pages.where("is_root").select(F.col("url").alias("root")), pages.select("url", "readable"),
-                              from_root.unionByName(onward), max_pages=5)
+                              from_root.unionByName(onward))
 
 
 @query("site_walks", with_parts("""
 , ranked AS (SELECT site, url, readable, page_id, reason, row_number() OVER (PARTITION BY site ORDER BY NOT first_of_reason, page_id) AS turn FROM (
   SELECT *, row_number() OVER (PARTITION BY site, reason ORDER BY page_id) = 1 AS first_of_reason FROM (
     SELECT *, CASE page_id % 3 WHEN 0 THEN 'contact' WHEN 1 THEN 'about' ELSE 'factory' END AS reason FROM site_pages WHERE NOT is_root))),
-visited AS (SELECT *, count(*) FILTER (readable) OVER (PARTITION BY site ORDER BY turn) AS read_so_far FROM ranked)
-SELECT r.url AS root, v.url, CASE WHEN v.readable THEN v.reason END AS reason, v.readable FROM site_pages r JOIN visited v ON v.site = r.site WHERE r.is_root AND r.readable
-  AND (v.read_so_far < 4 OR (v.read_so_far = 4 AND v.readable))
-UNION ALL SELECT url, url, 'root', TRUE FROM site_pages WHERE is_root AND readable""", site_pages=SITE_PAGES).replace("\n, ranked", ", ranked", 1))
+visits AS (SELECT site, turn, url, reason, readable FROM ranked UNION ALL
+  SELECT site, 100 + turn, 'https://site' || site || '.example/extra' || page_id % 20, NULL, FALSE FROM ranked WHERE readable),
+visited AS (SELECT *, row_number() OVER (PARTITION BY site, readable ORDER BY turn) AS visit FROM visits)
+SELECT r.url AS root, v.url, CASE WHEN v.readable THEN v.reason END AS reason, v.readable, CASE WHEN v.readable THEN v.visit ELSE v.visit - 1 END AS visit
+FROM site_pages r JOIN visited v ON v.site = r.site WHERE r.is_root AND r.readable
+UNION ALL SELECT url, url, 'root', TRUE, 0 FROM site_pages WHERE is_root AND readable""", site_pages=SITE_PAGES).replace("\n, ranked", ", ranked", 1))
 def site_walks(spark, folder):
-    return _walk(spark, folder).select("root", "url", F.when(F.col("readable"), F.col("reason")).alias("reason"), "readable")
+    return _walk(spark, folder).select("root", "url", F.when(F.col("readable"), F.col("reason")).alias("reason"), "readable", "visit")
 
 
 @query("site_dossiers", with_parts("""
-, ranked AS (SELECT site, url, readable, page_id, row_number() OVER (PARTITION BY site ORDER BY NOT first_of_reason, page_id) AS turn FROM (
+, ranked AS (SELECT site, page_id, readable, row_number() OVER (PARTITION BY site ORDER BY NOT first_of_reason, page_id) AS visit FROM (
   SELECT *, row_number() OVER (PARTITION BY site, page_id % 3 ORDER BY page_id) = 1 AS first_of_reason FROM site_pages WHERE NOT is_root)),
-visited AS (SELECT site, page_id, row_number() OVER (PARTITION BY site ORDER BY turn) AS visit FROM ranked WHERE readable),
-kept AS (SELECT r.url AS root, v.page_id, v.visit FROM site_pages r JOIN visited v ON v.site = r.site WHERE r.is_root AND r.readable AND visit <= 4
-  UNION ALL SELECT url, page_id, 0 FROM site_pages WHERE is_root AND readable)
-SELECT root, count(*) AS page_count, 'Page ' || min_by(page_id, visit) AS title, string_agg('m' || page_id || '@x.example', ',' ORDER BY visit) AS emails
-FROM kept GROUP BY root""", site_pages=SITE_PAGES).replace("\n, ranked", ", ranked", 1))
+kept AS (SELECT r.url AS root, v.page_id, v.visit FROM site_pages r JOIN ranked v ON v.site = r.site WHERE r.is_root AND r.readable AND v.readable
+  UNION ALL SELECT url, page_id, 0 FROM site_pages WHERE is_root AND readable),
+found AS (SELECT page_id, unnest(string_split(raw, ' ')) AS mail, generate_subscripts(string_split(raw, ' '), 1) AS pos FROM mails),
+mailed AS (SELECT root, string_agg(mail, ',' ORDER BY seen) AS emails FROM (
+  SELECT root, mail, min((visit, pos)) AS seen FROM kept JOIN found USING (page_id) WHERE mail <> '' GROUP BY root, mail) GROUP BY root)
+SELECT root, count(*) AS page_count, arg_min(title, visit) FILTER (title IS NOT NULL) AS title, coalesce(any_value(emails), '') AS emails
+FROM kept JOIN titles USING (page_id) LEFT JOIN mailed USING (root) GROUP BY root""", site_pages=SITE_PAGES,
+    titles="SELECT page_id, nullif(" + squeeze(DECODED.format(r"regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1)")) + ", '') AS title FROM pages",
+    mails=EMAIL_SQL.format(key="page_id", text=DECODED.format("html"), source="pages")).replace("\n, ranked", ", ranked", 1))
 def site_dossiers(spark, folder):
-    pages = derive(spark, folder, SITE_PAGES)
-    none = F.array().cast("array<string>")
-    facts = pages.select(
-        "url", F.concat(F.lit("Page "), "page_id").alias("title"), F.array(F.concat(F.lit("m"), "page_id", F.lit("@x.example"))).alias("emails"),
-        none.alias("phones"), none.alias("whatsapp"), none.alias("addresses"), none.alias("factory_signals"))
-    return website.site_dossiers(_walk(spark, folder), facts).select("root", "page_count", "title", "emails")
+    """All pages of all sites with the facts of their own html."""
+    known = derive(spark, folder, SITE_PAGES).select("page_id", F.col("url").alias("site_url"))
+    pages = table(spark, folder, "pages").select("page_id", "html").join(known, "page_id").select(F.col("site_url").alias("url"), "html")
+    return website.site_dossiers(_walk(spark, folder), website.page_facts(pages)).select("root", "page_count", "title", "emails")
