@@ -242,3 +242,13 @@ def test_first_free_number_and_ranks(spark, monkeypatch):
     assert got == {k: next(i for i in range(1, 20) if i not in ns) for k, ns in groups.items()}
     members = spark.createDataFrame([(k, f"{i * 7 % 50:02}") for k in "xyz" for i in range(50)], "key string, account_id string")
     assert {(r.key, r.account_id): r["rank"] for r in dedup.block_ranks(members).collect()} == {(k, f"{i:02}"): i + 1 for k in "xyz" for i in range(50)}
+
+
+def test_a_reopened_pair_takes_its_whole_group_apart_again(spark, tmp_path):
+    child = {"id": "lead-child", "organization": {"name": "Third"}, "compliance": {"duplicateOf": "lead-secondary"}}
+    tables = leads(spark, tmp_path, [PRIMARY, SECONDARY, child, {"id": "aside", "organization": {"name": "Aside"}}])
+    new, log, judged = judge(spark, tables, ("same", "lead-primary", "domain agrees", "2026-09-08"), ("reopened", None, "looked again", "2026-09-09"),
+                             ("same", "lead-secondary", "other way round", "2026-09-10"))
+    assert [r.outcome for r in judged.orderBy("seq").collect()] == ["accepted"] * 3
+    assert {r.lead_id: r.master_id for r in dedup.master_links(new).collect()} == {"lead-primary": "lead-secondary", "lead-child": "lead-secondary"}
+    assert new.count() == 4 and log.count() == 6

@@ -239,3 +239,15 @@ def test_mail_domains_and_provider_facts(spark):
     checked = spark.createDataFrame([("Sales@x.example", None, "catch_all", "72"), ("b@y.example", "z.example", "valid", None)], "email string, domain string, status string, confidence string")
     assert [(e["value"], e["status"], e["confidence"], e["source_ref"]) for e in rows(providers.verification_evidence(checked, at()), "value")] == [
         ("b@y.example", "verified", 0.8, "email-sleuth:z.example"), ("sales@x.example", "inconclusive", 0.72, "email-sleuth:x.example")]
+
+
+def test_dossiers_keep_each_value_once_in_the_order_of_visits(spark):
+    visits = spark.createDataFrame([("r", 0, "r", True), ("r", 2, "b", True), ("r", 1, "a", True), ("r", 3, "c", False), ("s", 0, "s", True)],
+                                   "root string, visit int, url string, readable boolean")
+    none = F.lit(None).cast("array<string>")
+    facts = spark.createDataFrame([("r", None, ["x", "y"]), ("a", "A", ["z", None, "x"]), ("b", "B", ["w", "z"]), ("c", "C", ["q"]), ("s", None, None)],
+                                  "url string, title string, emails array<string>")
+    facts = facts.select("*", *[none.alias(n) for n in website.DOSSIER_LISTS[1:]])
+    got = {g["root"]: (g["page_count"], g["title"], g["emails"], g["phones"]) for g in rows(website.site_dossiers(visits, facts))}
+    assert got == {"r": (3, "A", ["x", "y", "z", "w"], []), "s": (1, None, [], [])}
+    assert {g["root"]: g["emails"] for g in rows(website.site_dossiers(visits, facts, 2))} == {"r": ["x", "y"], "s": []}
