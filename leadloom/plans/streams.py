@@ -8,7 +8,7 @@ from leadloom.operators import dedup
 from leadloom.plans.base import lead_frame, query, time_text, with_parts
 from leadloom.plans.dedup import LEAD_PARTS, FINGERPRINTS, effective
 from leadloom.plans.funnel import EVENT_PARTS, as_of, event_frame
-from leadloom.session import work_path
+from leadloom.session import cut_lineage, work_path
 from leadloom.streaming import events as streaming
 
 
@@ -55,18 +55,17 @@ def stream_reminders(spark, folder):
 
 
 @query("stream_links", with_parts("""
-SELECT DISTINCT key, lead_id AS account_id FROM fingerprints
-WHERE key IN (SELECT key FROM fingerprints GROUP BY key HAVING count(DISTINCT lead_id) > 1)""", **LEAD_PARTS, fingerprints=FINGERPRINTS))
+SELECT key, least(head, account_id) AS left_id, greatest(head, account_id) AS right_id, confidence, reason FROM (
+  SELECT DISTINCT f.key, f.lead_id AS account_id, f.confidence, f.reason, h.head FROM fingerprints f JOIN (
+    SELECT key, arg_min(lead_id, (CAST(substring(lead_id, 2) AS BIGINT) % 4, lead_id)) AS head FROM fingerprints GROUP BY key) h ON h.key = f.key)
+WHERE head <> account_id""", **LEAD_PARTS, fingerprints=FINGERPRINTS))
 def stream_links(spark, folder):
-    """The accounts that share a block with another one, from the links found while they arrive."""
-    path, links = work_path(spark, "keys"), work_path(spark, "links")
-    keys = dedup.fingerprints(lead_frame(spark, folder), effective(spark, folder))
-    keys.withColumnRenamed("lead_id", "account_id").select("key", "account_id", "confidence", "reason").repartition(
-        4, "account_id").write.parquet(path)
-    stream = spark.readStream.schema("key string, account_id string, confidence double, reason string").option(
-        "maxFilesPerTrigger", 2).parquet(path)
-    streaming.link_new_members(stream, work_path(spark, "members"), links, work_path(spark, "checkpoint")).awaitTermination()
-    rows = spark.read.schema(streaming.LINK_DDL + ", batch bigint").parquet(links)
-    return rows.select("key", F.explode(F.array("left_id", "right_id")).alias("account_id")).distinct()
-
-
+    """The links found while the accounts arrive in four batches, one after the other."""
+    path, members, links, checkpoint = (work_path(spark, n) for n in ("arrivals", "members", "links", "checkpoint"))
+    keys = dedup.fingerprints(lead_frame(spark, folder), effective(spark, folder)).withColumnRenamed("lead_id", "account_id")
+    keys = cut_lineage(keys.select("key", "account_id", "confidence", "reason"), "keys")
+    for turn in range(4):
+        keys.where(F.substring("account_id", 2, 9).cast("bigint") % 4 == turn).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(keys.schema).parquet(path)
+        streaming.link_new_members(stream, members, links, checkpoint).awaitTermination()
+    return spark.read.schema(streaming.LINK_DDL).parquet(links).select("key", "left_id", "right_id", "confidence", "reason")
