@@ -7,8 +7,9 @@ their hashes. Documents with equal sets form a class; classes are joined as foll
    sets with a likeness of 0.8 have a union in which at most a fifth of the items are not shared, so two shared
    items stand next to each other: for sets of up to PREFIX items always; for longer ones, whose order is random,
    all PREFIX places would have to avoid it, with probability below 1e-11.
-2. Stars, in at most STARS rounds. Each class meets one other, the first head of its blocks under the round's order, and
-   takes over its label if they link. Groups of copies of any size collapse with a comparison or two per member.
+2. Stars, in at most STARS rounds, as long as a round links one class in YIELD. A block's head is its class with the
+   most and largest blocks, which of independent near copies is the least changed one; from the second round on it is
+   taken from a random part of the classes. Each class meets the one that heads most of its blocks, and takes over its label if they link. Groups of copies of any size collapse with a comparison or two per member.
 3. Rest. Blocks that still hold several components are searched in full: the members outside the block's largest
    component meet all members of other components whose counts in ranges of hashes do not rule the likeness out;
    before that, only the nearest of each component, as one link is enough to join two components.
@@ -26,14 +27,16 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.llm import words
 from leadloom.llm.common import by_group, components, free_name, join_hot, keep, register, table
 from leadloom.llm.prefix_tree import PrefixTree
 
-SIZE, PERCENT, PREFIX, SLICE, BLOCK, STARS, NEAREST = 5, 80, 41, 512, 2048, 2, 3
+SIZE, PERCENT, PREFIX, SLICE, BLOCK, STARS, YIELD, NEAREST = 5, 80, 41, 512, 2048, 4, 200, 3
+#: From the second round of stars on, heads come from one part in so many.
+PARTS = 4
 #: Documents whose keys are broadcast to fetch their texts (24 bytes each).
 FEW = 400_000
 
@@ -101,10 +104,12 @@ def _apart(n, m, a, b, percent: int) -> np.ndarray:
 
 
 def _shared_blocks(classes: DataFrame) -> DataFrame:
-    """node and block, for the blocks of two classes at least."""
+    """node, block and the node's weight (the sum of its blocks' sizes in bits), for the blocks of two classes at least."""
     members = classes.select("node", F.explode("blocks").alias("block"))
     shared_by = keep(members.groupBy("block").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "blocks")
-    return keep(join_hot(members, shared_by, "block", "times"), "members")
+    sized = join_hot(members, shared_by.withColumn("bits", F.length(F.bin("times"))), "block", "times")
+    weight = F.sum("bits").over(Window.partitionBy("node"))  # at most PREFIX rows of each node
+    return keep(sized.withColumn("weight", weight).drop("bits"), "members")
 
 
 def _live(members: DataFrame, labels: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
@@ -113,17 +118,22 @@ def _live(members: DataFrame, labels: DataFrame | None, turn: int) -> tuple[Data
         members = members.withColumn("component", F.col("node"))
     else:
         members = members.join(labels.hint("merge"), "node")
-    order = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), F.col("node"), F.col("component"))
+    part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(PARTS if turn else 1))
+    order = F.struct(part.alias("part"), (-F.col("weight")).alias("o"), F.col("node"), F.col("component"))
     blocks = members.groupBy("block").agg(F.min(order).alias("head"), F.count(F.lit(1)).alias("times"),
                                           F.min("component").alias("low"), F.max("component").alias("high"))
     return members, keep(blocks.where("low <> high").select("block", "times", "head"), "heads")
 
 
 def _stars(members: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs (node, probe): for each class the first class of another component, in the order of this turn, among the heads of its blocks."""
+    """Pairs (node, probe): for each class, of the heads of its blocks that are in another component, the one that heads most of them.
+
+    A passage that many texts share heads few of a class's blocks, its near copies head most. Ties go to the first in the
+    order of this turn. A class has at most PREFIX blocks, so the heads counted for it are few.
+    """
     members, heads = _live(members, labels, turn)
     met = join_hot(members, heads, "block", "times").where("head.component <> component")
-    return met.groupBy("node").agg(F.min("head").alias("head")).select("node", F.col("head.node").alias("probe"))
+    return met.groupBy("node").agg(F.mode("head", True).alias("head")).select("node", F.col("head.node").alias("probe"))
 
 
 def _adopted(classes: DataFrame, labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -195,7 +205,7 @@ def _rest(members: DataFrame, labels: DataFrame | None, classes: DataFrame, perc
     members of the main component never meet. Large blocks are dealt in slices of either side.
     """
     members = members.withColumn("component", F.col("node")) if labels is None else members.join(labels.hint("merge"), "node")
-    members = keep(members, "labelled")
+    members = keep(members.select("node", "block", "component"), "labelled")
     parts = members.groupBy("block", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("block").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("times"), F.count(F.lit(1)).alias("parts"))
     mixed = mixed.where("parts > 1").select(
@@ -260,11 +270,14 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -
             return None
         return keep(classes.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
 
-    for turn in range(STARS, 0, -1):
+    enough = classes.count() // YIELD
+    for turn in range(STARS):
         new = joined_by(_sifted(_stars(members, labels, turn), classes, percent))
         if new is None:
             break
         labels = _adopted(classes, labels, new)
+        if new.count() < enough:  # what is left is found below
+            break
     labels = all_joined()
     # First each one's nearest, which join it to most components it links with; then all that is left.
     for nearest in (NEAREST, None):
