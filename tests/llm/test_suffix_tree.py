@@ -69,3 +69,24 @@ def test_without_training_rows_and_empty(spark):
     _, got = run(spark, only_held)
     assert len(got) == len(only_held) and all(r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in got)
     assert run(spark, [])[1] == []
+
+
+def test_rare_contexts_count_however_many_tokens_there_are(spark):
+    train = [i for i in range(2000) if not held(i)]
+    aside = [i for i in range(2000) if held(i)][:2]
+    texts = ["a1 x b1", "a2 x b2"] * 3 + ["a1", "a2", "b1", "b2", "x"] * 12 + ["the cat " * 30000] * 8
+    _, got = run(spark, [*zip(train, texts), (aside[0], "a1 x b1"), (aside[1], "a1 x b2")])
+    score = {r.doc_id: r.score for r in got}
+    assert score[aside[0]] > score[aside[1]] + 0.3
+
+
+def test_the_broadcast_part_changes_no_score(spark, monkeypatch):
+    rows = [(i, f"the cat {'sat' if i % 2 else 'ran'} on the mat {i % 9} and the dog {i % 5} ran on " * (1 + i % 3)) for i in range(150)]
+    got = []
+    for share, next_share in ((1e-9, 0.01), (1 / 40, 0.003), (2.0, 1e-6)):
+        monkeypatch.setattr(suffix_tree, "HOT_SHARE", share)
+        monkeypatch.setattr(suffix_tree, "NEXT_SHARE", next_share)
+        tree, out = run(spark, rows)
+        got.append(({r.doc_id: r.score for r in out}, int(tree.hot.sum())))
+    assert got[0][1] > got[1][1] > got[2][1] == 0
+    assert all(math.isclose(got[0][0][i], s, rel_tol=1e-9) for scores, _ in got[1:] for i, s in scores.items())
