@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions import text as t
+from leadloom.session import once
 
 # ---- fixed values: message classes in order, with their patterns and weights ----
 SCENARIOS = {
@@ -58,6 +59,7 @@ SCENARIO_LABELS = {
     "production": "生产", "shipping": "运输", "complaint": "投诉", "follow-up": "跟进",
 }
 BASE_CONFIDENCE, CONFIDENCE_STEP, TOP_CONFIDENCE, UNMATCHED_CONFIDENCE = 0.46, 0.06, 0.98, 0.25
+TASKS_PER_CORE = 4
 
 # Reply texts: what is acknowledged and what comes next, per class; a closing line per tone.
 REPLY_COPY = {
@@ -122,24 +124,27 @@ TOOL_LIMITS = {"customer_name": 80, "customer_company": 120, "customer_country":
 def classify_messages(messages: DataFrame, scenarios=None, column: str = "text") -> DataFrame:
     """Adds scenario_id, score, confidence and the matched words to every message.
 
-    One generated projection per class: no join with a pattern table and no shuffle.
+    No join with a pattern table. Each pattern is tried once per message; messages are spread over all cores first, since the
+    patterns cost far more than the move and a small file is a single partition.
     """
     scenarios = scenarios or SCENARIOS
     body = F.coalesce(t.trimmed(column), F.lit(""))
-    staged = messages.withColumn("_body", body)
+    staged = once(messages.repartition(TASKS_PER_CORE * messages.sparkSession.sparkContext.defaultParallelism), _body=body)
 
     def found(pattern: str) -> Column:
-        return F.nullif(F.regexp_extract("_body", f"(?i)({t.ascii_regex(pattern)})", 1), F.lit(""))
+        return F.regexp_extract("_body", f"(?i)({t.ascii_regex(pattern)})", 1)
+
+    staged = once(staged, **{f"_words{i}": F.array(*[found(p) for p, _ in patterns]) for i, patterns in enumerate(scenarios.values())})
 
     def rate(name: str, position: int) -> Column:
-        hits = F.array(*[F.struct(found(p).alias("word"), F.lit(w).alias("weight")) for p, w in scenarios[name]])
-        matched = F.filter(hits, lambda h: h["word"].isNotNull())
+        hits = F.transform(f"_words{position}", lambda word, i: F.struct(word.alias("word"), F.array(*[F.lit(w) for _, w in scenarios[name]])[i].alias("weight")))
+        matched = F.filter(hits, lambda h: h["word"] != "")
         score = F.aggregate(matched, F.lit(0), lambda total, h: total + h["weight"])
         words = F.array_distinct(F.transform(matched, lambda h: h["word"]))
         return F.struct(score.alias("score"), F.lit(-position).alias("order"), F.lit(name).alias("scenario_id"),
                         words.alias("words"))
 
-    rated = staged.withColumn("_best", F.array_max(F.array(*[rate(n, i) for i, n in enumerate(scenarios)])))
+    rated = once(staged, _best=F.array_max(F.array(*[rate(n, i) for i, n in enumerate(scenarios)])))
     first = next(iter(scenarios))
     score = F.col("_best.score")
     confidence = (

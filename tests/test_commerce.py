@@ -31,6 +31,15 @@ def test_labelled_messages(spark):
     assert got[8].matched == ["defective", "damaged"] and max(r.confidence for r in got) <= 0.98 and got[14].matched == ["PO"]
 
 
+def test_messages_of_one_partition_are_spread_and_tried_once(spark):
+    df = spark.createDataFrame([(i, "two samples please") for i in range(200)], "id int, text string").coalesce(1)
+    got = messages.classify_messages(df)
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == sum(len(p) for p in messages.SCENARIOS.values())
+    assert {(r.scenario_id, r.score) for r in got.collect()} == {("sample", 5)}
+
+
 def test_replies_and_prompts(spark):
     df = spark.createDataFrame([("complaint", "Kim", None, None, "", "broken box", "we make bottles", "secret plan", "Sam", "industry", "warm"),
                                 ("unknown", None, None, None, None, "hi", "", "", None, "company", "odd")],
