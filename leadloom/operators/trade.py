@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadloom.functions import text as t
-from leadloom.session import first_code
+from leadloom.session import first_code, once
 
 # ---- fixed values: document types with titles, defaults and limits ----
 DOCUMENT_TITLES = {
@@ -157,13 +157,22 @@ def document_texts(documents: DataFrame, checked_lines: DataFrame) -> DataFrame:
     def money(value: Column) -> Column:
         return F.concat(F.col("currency"), F.lit(" "), plain_number(value))
 
-    def item(i: Column) -> Column:
+    # The numbers of a line are written once per order, for all its documents.
+    def written(i: Column) -> Column:
         quantity = F.concat(plain_number(i["quantity"]), F.lit(" "), i["unit"])
-        shared = bar(i["sku"], i["name"], F.coalesce(i["specification"], F.lit("-")), quantity)
-        packed = bar(shared, plain_number(i["carton_count"]), plain_number(i["gross_weight_kg"]),
-                     plain_number(i["net_weight_kg"]))
-        return F.when(packing, packed).when(catalog, shared).otherwise(
-            bar(shared, money(i["unit_price"]), money(i["line_total"])))
+        return F.struct(
+            bar(i["sku"], i["name"], F.coalesce(i["specification"], F.lit("-")), quantity).alias("shared"),
+            bar(plain_number(i["carton_count"]), plain_number(i["gross_weight_kg"]), plain_number(i["net_weight_kg"])).alias("packed"),
+            plain_number(i["unit_price"]).alias("unit_price"), plain_number(i["line_total"]).alias("line_total"))
+
+    items = once(items, _lines=F.transform("items", written)).select("order_id", "_lines")
+
+    def priced(value: Column) -> Column:
+        return F.concat(F.col("currency"), F.lit(" "), value)
+
+    def item(i: Column) -> Column:
+        return F.when(packing, bar(i["shared"], F.nullif(i["packed"], F.lit("")))).when(catalog, i["shared"]).otherwise(
+            bar(i["shared"], priced(i["unit_price"]), priced(i["line_total"])))
 
     def side(label: str, name: str) -> Column:
         return F.concat(F.lit(f"{label}: "), bar(*[F.col(f"{name}.{p}") for p in PARTIES]))
@@ -180,6 +189,6 @@ def document_texts(documents: DataFrame, checked_lines: DataFrame) -> DataFrame:
              labelled("Incoterm", F.col("incoterm")), labelled("Payment terms", F.col("payment_terms")), packing_line,
              labelled("Validity", F.col("valid_until_days").cast("string"), " days"),
              labelled("Notes", F.col("notes")), F.lit(STATUS_LINE)]
-    lines = reduce(F.concat, [F.array(*before), F.transform("items", item), F.array(*after)])
+    lines = reduce(F.concat, [F.array(*before), F.transform("_lines", item), F.array(*after)])
     return documents.join(items, "order_id").select(
         "order_id", "type", F.array_join(F.array_compact(lines), "\n").alias("text"))

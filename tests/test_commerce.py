@@ -120,6 +120,13 @@ def test_trade_documents(spark):
     assert "Unit price" not in texts["product-catalog"] and "Buyer" not in texts["product-catalog"] and all("\n\n" not in x and "DRAFT" in x for x in texts.values())
 
 
+def test_numbers_of_lines_are_written_once_for_all_documents(spark):
+    checked, lines = orders(spark)
+    documents, lines = (spark.createDataFrame(df.collect(), df.schema) for df in (trade.trade_documents(checked), lines))
+    plan = trade.document_texts(documents, lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 2 * (6 + 4)  # six numbers of a line, four of a document
+
+
 @pytest.mark.parametrize("change, code", [({"buyer": " "}, "buyer-name-missing"), ({"lines": (("5", "0", "1"),)}, "bad-line"), ({"lines": (("x", "1", "1"),)}, "bad-line"),
                                           ({"lines": ()}, "no-lines"), ({"lines": (("1", "1", "1"),) * 101}, "too-many-lines")])
 def test_unusable_orders(spark, change, code):
