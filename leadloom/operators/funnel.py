@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -187,29 +188,55 @@ def check_proposals(leads: DataFrame, qualified: DataFrame, proposals: DataFrame
 def standing(intervals: DataFrame, points: DataFrame, span: int) -> DataFrame:
     """`points` with `top`, the largest `value` of the intervals of their `key` that hold their `place`; null where none does.
 
-    Intervals have key, since, until (excluded) and value; places and ends lie between 0 and `span`. An interval is cut
+    Intervals have key, since, until (excluded) and value; places and starts lie between 0 and `span`. Those that end beyond `span` hold
+    all places from their start, so their largest value so far will do (`_so_far`). Any other is cut
     into pieces of sizes 1, 4, 16, ... that start at multiples of their size, three each side and size at most, and a place lies in one piece of
     each size. So pieces meet places by equality, whatever the number of intervals or places of a key.
     """
     levels = 1
     while 4 ** levels <= span:
         levels += 1
+    asked = points.select("key", "place").distinct()
     width = F.pow(F.lit(4.0), "level").cast("bigint")
-    cut = intervals.where("since < until").select("key", "value", "since", "until", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    ending = intervals.where((F.col("since") < F.col("until")) & (F.col("until") <= span))
+    cut = ending.select("key", "value", "since", "until", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
     cut = cut.withColumns({"low": F.ceil(F.col("since") / width).cast("bigint"), "high": F.floor(F.col("until") / width).cast("bigint")}).where("low < high")
     # The pieces of this size that no larger piece covers: up to the first multiple of four, and from the last one.
     left, right = F.least(F.col("high"), (F.ceil(F.col("low") / 4) * 4).cast("bigint")), F.expr("greatest(low, (high div 4) * 4)")
     places = lambda start, stop: F.when(start < stop, F.sequence(start, stop - 1)).otherwise(F.array().cast("array<bigint>"))
     pieces = F.when(left >= right, places(F.col("low"), F.col("high"))).otherwise(F.concat(places(F.col("low"), left), places(right, F.col("high"))))
     best = cut.select("key", "level", F.explode(pieces).alias("piece"), "value").groupBy("key", "level", "piece").agg(F.max("value").alias("value"))
-    asked = points.select("key", "place").distinct().select("key", "place", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
-    asked = asked.withColumn("piece", F.floor(F.col("place") / width).cast("bigint"))
-    tops = asked.join(best, ["key", "level", "piece"]).groupBy("key", "place").agg(F.max("value").alias("top"))
+    # A key without such intervals asks for no pieces; the others do so only up to their last end.
+    ends = ending.groupBy("key").agg(F.min("since").alias("_since"), F.max("until").alias("_until"))
+    within = asked.join(ends, "key").where((F.col("place") >= F.col("_since")) & (F.col("place") < F.col("_until")))
+    within = within.select("key", "place", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    within = within.withColumn("piece", F.floor(F.col("place") / width).cast("bigint"))
+    found = within.join(best, ["key", "level", "piece"]).select("key", "place", "value")
+    lasting = intervals.where(F.col("until") > span).select("key", F.col("since").alias("place"), "value")
+    tops = found.unionByName(_so_far(lasting, asked, span)).groupBy("key", "place").agg(F.max("value").alias("top"))
     return points.join(tops, ["key", "place"], "left")
 
 
+def _so_far(starts: DataFrame, asked: DataFrame, span: int) -> DataFrame:
+    """key, place and value: for each asked place the largest value its key has up to there.
+
+    Places are taken in runs, as many as a run is long: a key's largest values are followed inside each run, and then over its runs, so no
+    window is longer than a run has places or a key has runs.
+    """
+    run = F.floor(F.col("place") / (math.isqrt(span) + 1)).alias("run")
+    starts = starts.groupBy("key", "place").agg(F.max("value").alias("value"))
+    rows = starts.select("key", run, "place", "value", F.lit(False).alias("asked")).unionByName(
+        asked.select("key", run, "place", F.lit(None).cast(starts.schema["value"].dataType).alias("value"), F.lit(True).alias("asked")))
+    inside = Window.partitionBy("key", "run").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = rows.withColumn("value", F.max("value").over(inside)).where("asked").select("key", "run", "place", "value")
+    before = Window.partitionBy("key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.groupBy("key", "run").agg(F.max("value").alias("value")).select("key", "run", F.max("value").over(before).alias("before"))
+    met = inside.join(runs, ["key", "run"]).select("key", "place", F.greatest("value", "before").alias("value"))
+    return met.where(F.col("value").isNotNull())
+
+
 def _verdicts(checked: DataFrame, entered: DataFrame, span: int) -> DataFrame:
-    """The outcome of every checked proposal, were `entered` (history and accepted proposals, by place) the whole log."""
+    """The outcome of every proposal that checks did not refuse, were `entered` (history and accepted proposals, by place) the whole log."""
     by_id = entered.where("event_id IS NOT NULL").groupBy("lead_id", "event_id").agg(
         F.min("place").alias("_first"), F.min_by("type", F.struct("place", "seq")).alias("_type"))
     voids = entered.where("type = 'activity-voided' AND related_event_id IS NOT NULL").groupBy("lead_id", "related_event_id").agg(F.min("place").alias("_void"))
@@ -221,10 +248,10 @@ def _verdicts(checked: DataFrame, entered: DataFrame, span: int) -> DataFrame:
         F.struct("lead_id", F.when(~mark, F.col("related_event_id")).alias("plan")).alias("key"), (F.col("place") + 1).alias("since"),
         F.when(F.col("_void") < F.col("place"), F.col("place")).otherwise(F.coalesce(F.col("_void") + 1, F.lit(span + 1))).alias("until"),
         F.struct("occurred_at", "seq", "event_id", "type").alias("value"))
-    asking = F.col("refusal").isNull() & F.col("type").isin("follow-up-scheduled", "reopened", "follow-up-completed")
+    asking = F.col("type").isin("follow-up-scheduled", "reopened", "follow-up-completed")
     points = checked.where(asking).select(
         "lead_id", "seq", F.struct("lead_id", F.when(F.col("type") == "follow-up-completed", F.coalesce("related_event_id", F.lit(""))).alias("plan")).alias("key"), "place")
-    tops = standing(lasting, points, span + 1).select("lead_id", "seq", F.col("top.type").alias("_top"))
+    tops = standing(lasting, points, span).select("lead_id", "seq", F.col("top.type").alias("_top"))
     joined = checked.join(by_id.select("lead_id", "event_id", F.col("_first").alias("_own")), ["lead_id", "event_id"], "left")
     joined = joined.join(by_id.select("lead_id", F.col("event_id").alias("related_event_id"), "_first", "_type"), ["lead_id", "related_event_id"], "left")
     joined = joined.join(voids, ["lead_id", "related_event_id"], "left").join(tops, ["lead_id", "seq"], "left")
@@ -239,7 +266,7 @@ def _verdicts(checked: DataFrame, entered: DataFrame, span: int) -> DataFrame:
         ((kind == "follow-up-scheduled") & closed, "lead-is-closed"),
         ((kind == "follow-up-completed") & ~is_open, "no-open-follow-up"),
         ((kind == "reopened") & ~closed, "lead-is-not-closed"))
-    return joined.select(*checked.columns, F.coalesce("refusal", outcome, F.lit("accepted")).alias("outcome"))
+    return joined.select(*checked.columns, F.coalesce(outcome, F.lit("accepted")).alias("outcome"))
 
 
 def record_events(leads: DataFrame, qualified: DataFrame, events: DataFrame, proposals: DataFrame, recorded_at: Column) -> DataFrame:
@@ -250,14 +277,16 @@ def record_events(leads: DataFrame, qualified: DataFrame, events: DataFrame, pro
     those without a refusal enter, and again with the outcome until it stays: a round settles at least one more level of
     dependencies of every lead. No step gathers a lead.
     """
-    checked = cut_lineage(check_proposals(leads, qualified, proposals, recorded_at), "proposals")
+    checked = check_proposals(leads, qualified, proposals, recorded_at)
+    checked = cut_lineage(checked.withColumn("_row", F.monotonically_increasing_id()), "proposals")
     low, high = checked.agg(F.min("seq"), F.max("seq")).first()
     if low is None:
-        return checked.drop("refusal").withColumn("outcome", F.lit(None).cast("string"))
+        return checked.drop("refusal", "_row").withColumn("outcome", F.lit(None).cast("string"))
     span, needed = high - low + 2, ["lead_id", "event_id", "seq", "type", "occurred_at", "related_event_id", "place"]
-    checked = checked.withColumn("place", F.col("seq") - low + 1)  # the history stands at 0
+    # Rounds carry what a judgement needs, of the proposals that may enter; all else waits in the written table for the outcome of its row.
+    narrow = checked.where(F.col("refusal").isNull()).select("_row", *needed[:-1], (F.col("seq") - low + 1).alias("place"))  # the history stands at 0
     past = cut_lineage(events.withColumn("place", F.lit(0).cast("bigint")).select(*needed), "history")
-    judged, settled = cut_lineage(checked.withColumn("outcome", F.coalesce("refusal", F.lit("accepted"))), "judged"), []
+    judged, settled = narrow.withColumn("outcome", F.lit("accepted")), [checked.where(F.col("refusal").isNotNull()).withColumn("outcome", F.col("refusal"))]
     while True:
         entered = past.unionByName(judged.where("outcome = 'accepted'").select(*needed))
         new = cut_lineage(_verdicts(judged.withColumnRenamed("outcome", "_assumed"), entered, span), "judged")
@@ -265,7 +294,8 @@ def record_events(leads: DataFrame, qualified: DataFrame, events: DataFrame, pro
         wrong = cut_lineage(new.where(changed).select("lead_id").distinct(), "wrong")
         new = new.drop("_assumed")
         if wrong.isEmpty():
-            return functools.reduce(DataFrame.unionByName, [*settled, new]).drop("refusal", "place")
+            outcomes = functools.reduce(DataFrame.unionByName, [s.select("_row", "outcome") for s in [*settled, new]])
+            return checked.drop("refusal").join(outcomes, "_row").drop("_row")
         # The proposals of a lead without a change stand.
         settled.append(new.join(wrong, "lead_id", "left_anti").select(*new.columns))
         judged = cut_lineage(new.join(wrong, "lead_id", "left_semi").select(*new.columns), "judged")

@@ -200,6 +200,27 @@ def test_standing_equals_a_search_of_all_intervals(spark):
     assert got == {(k, p): max([v for key, a, b, v in spans if key == k and a <= p < b], default=None) for k, p in points}
 
 
+def test_lasting_intervals_are_followed_not_cut_into_pieces(spark, monkeypatch):
+    """An interval without an end is one row; places of many runs, equal places and keys without intervals included."""
+    intervals = [(k, (k * 37 + i * i * 13) % 900, 1001 if i % 4 else (k * 37 + i * i * 13) % 900 + i, i * 7 % 31) for k in range(5) for i in range(40)]
+    points = [(k, p) for k in range(6) for p in range(0, 1000, 7)]
+    whole = lambda rows: spark.createDataFrame(rows, "key long, since long, until long, value long")
+    asked = spark.createDataFrame(points, "key long, place long")
+    got = {(r.key, r.place): r.top for r in funnel.standing(whole(intervals), asked, 1000).collect()}
+    assert got == {(k, p): max((v for key, a, b, v in intervals if key == k and a <= p < b), default=None) for k, p in points}
+    rows = []
+    monkeypatch.setattr(funnel, "_so_far", lambda starts, places, span, f=funnel._so_far: rows.append(starts.count()) or f(starts, places, span))
+    funnel.standing(whole([x for x in intervals if x[2] == 1001]), asked, 1000).collect()
+    assert rows == [150]
+
+
+def test_refused_proposals_take_no_part_in_the_rounds(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(funnel, "_verdicts", lambda rows, entered, span, f=funnel._verdicts: seen.append((rows.count(), set(rows.columns))) or f(rows, entered, span))
+    test_recording_rules(spark, tmp_path)
+    assert seen and all("note" not in columns and "amount" not in columns for _, columns in seen)
+
+
 def test_states_equal_a_plain_fold(spark):
     rnd = random.Random(3)
     kinds = [k for k in model.EVENT_TYPES if k not in ("note",)]
