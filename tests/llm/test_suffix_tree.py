@@ -90,3 +90,20 @@ def test_the_broadcast_part_changes_no_score(spark, monkeypatch):
         got.append(({r.doc_id: r.score for r in out}, int(tree.hot.sum())))
     assert got[0][1] > got[1][1] > got[2][1] == 0
     assert all(math.isclose(got[0][0][i], s, rel_tol=1e-9) for scores, _ in got[1:] for i, s in scores.items())
+
+
+def test_branches_grow_alike_in_portions():
+    """Tokens of one branch stay together, portions are small, and states are those of all branches grown at once."""
+    rng = np.random.default_rng(5)
+    symbols, bits = suffix_tree.START + 40, suffix_tree.BITS
+    tree = suffix_tree.Tree(*[np.zeros(0)] * 2, np.log(np.full(symbols, 1 / symbols)), *[np.zeros(0)] * 3, hot=np.zeros(symbols, bool))
+    parts = [rng.integers(0, 40, 4000) for _ in range(4)]
+    past, symbol, learnt = (parts[0] << 2 * bits) + (parts[1] % 3 << bits) + parts[2] % 3, parts[3] % 7, rng.random(4000) < 0.8
+    whole = suffix_tree.Branches(past, symbol, learnt, []).grow(tree)
+    cuts = list(suffix_tree._portions(tree, past, 150))
+    assert sorted(np.concatenate(cuts)) == list(range(4000)) and len(cuts) > 10 and max(map(len, cuts)) < 600
+    newest = [set(past[at] >> 2 * bits) for at in cuts]
+    assert sum(map(len, newest)) == len(set.union(*newest))
+    for at in cuts:
+        part = suffix_tree.Branches(past[at], symbol[at], learnt[at], []).grow(tree)
+        assert np.array_equal(part.log, whole.log[at], equal_nan=True) and np.array_equal(part.stays, whole.stays[at])
