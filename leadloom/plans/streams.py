@@ -13,12 +13,16 @@ from leadloom.streaming import events as streaming
 
 
 def _event_files(spark: SparkSession, folder: str, files: int = 2) -> DataFrame:
-    """The events as files in arrival order unrelated to event time, every tenth one delivered twice."""
+    """The events in arrival order unrelated to event time, every tenth one delivered twice.
+
+    They arrive in four parts, of which a batch reads `files`. A part is written and read by many tasks, as a file each.
+    """
     path = work_path(spark, "arrivals")
     rows = event_frame(spark, folder)
     again = rows.where("seq % 10 = 0")
-    rows.unionByName(again).repartition(4, F.col("seq") % 97).write.parquet(path)
-    return spark.readStream.schema(model.EVENT_DDL).option("maxFilesPerTrigger", files).parquet(path)
+    each = max(1, spark.sparkContext.defaultParallelism // 4)
+    rows.unionByName(again).repartition(4 * each, "seq").write.parquet(path)
+    return spark.readStream.schema(model.EVENT_DDL).option("maxFilesPerTrigger", files * each).parquet(path)
 
 
 @query("stream_states", with_parts(f"""
