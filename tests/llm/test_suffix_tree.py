@@ -107,3 +107,29 @@ def test_branches_grow_alike_in_portions():
     for at in cuts:
         part = suffix_tree.Branches(past[at], symbol[at], learnt[at], []).grow(tree)
         assert np.array_equal(part.log, whole.log[at], equal_nan=True) and np.array_equal(part.stays, whole.stays[at])
+
+
+def test_tokens_are_shuffled_before_the_result_is_read(spark):
+    """The sums of the tree are written, so that the tokens' shuffle files need not stay until the result is; settings come back."""
+    before = {key: spark.conf.get(key, None) for key in suffix_tree.STEP_SETTINGS}
+    docs = spark.createDataFrame([(i, f"the cat {i % 3} ran on") for i in range(40)], "doc_id long, text string")
+    training = crc_of_id() % 7 != 2
+    tree, counts = suffix_tree.learn(docs.where(training))
+    scored = suffix_tree.score(docs, tree, counts, training)
+    assert "InPandas" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert {key: spark.conf.get(key, None) for key in suffix_tree.STEP_SETTINGS} == before
+    assert scored.count() == 40
+
+
+def test_packed_numbers_come_back_in_fewer_bytes():
+    rng = np.random.default_rng(3)
+    for values in (rng.zipf(1.3, 5000).clip(0, 9000).astype(np.int32), np.diff(np.sort(rng.integers(0, 1 << 60, 5000)), prepend=0), rng.integers(0, 4096, 5000).astype(np.uint16)):
+        data = suffix_tree._packed(values)
+        assert np.array_equal(suffix_tree._unpacked(data, values.dtype.type), values) and suffix_tree._size(data) == len(values)
+        joint = zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes(), 1)
+        assert len(data) < 0.98 * len(joint)
+
+
+def test_frequent_words_have_small_numbers(spark):
+    tree, _ = run(spark, [(i, "b " * 50 + "a " * 20 + "c " * 9) for i in range(30)])
+    assert np.all(np.diff(tree.first[suffix_tree.START + 1:]) <= 0) and len(tree.symbols) == 4
