@@ -25,7 +25,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -72,6 +72,12 @@ class Pieces:
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         assert (self.hashes[1:] != self.hashes[:-1]).all()
+        # Where a piece stands among the hashes, by their upper bits; -1 where several pieces share a place.
+        where = self._slot(self.hashes) >> 2
+        self.at = np.zeros(1 << 20, np.int32)
+        self.at[where] = np.arange(len(self.hashes))
+        same, times = np.unique(where, return_counts=True)
+        self.at[same[times > 1]] = -1
         self.names = np.array([i for i, _ in self.weight.values()], np.int64)[order]
         self.weights = np.array([w for _, w in self.weight.values()])[order]
         # Beginnings of pieces, by the upper bits of their hashes: no piece starts where a place's bit is not set.
@@ -81,6 +87,9 @@ class Pieces:
         sizes = np.array([len(x) for x in self.surface])
         self.surface_size, self.surface_start = sizes, np.cumsum(sizes) - sizes
         self.surface_bytes = np.frombuffer(b"".join(self.surface), np.uint8)
+        self.low = np.empty(1 << 14, np.int64)
+        self.run, self.p = np.empty(1 << 16), np.empty(1 << 16)
+        self.end, self.piece = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
         self.clear()
 
     @staticmethod
@@ -92,17 +101,23 @@ class Pieces:
         return sum((ord(c) + 1) * pow(MULTIPLIER, t, 1 << 64) for t, c in enumerate(name)) % (1 << 64)
 
     def clear(self) -> None:
+        """Forget the words; the arrays stay as large as they were."""
         self.start: dict[str, int] = {}
         self.nodes = self.size = 0
-        self.low = np.empty(1 << 14, np.int64)
-        self.run, self.p = np.empty(1 << 16), np.empty(1 << 16)
-        self.end, self.piece = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
+
+    def _find(self, hashes: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """For each hash the place of its piece among all pieces, if it is one's."""
+        hit = self.at[slots >> 2]
+        odd = np.flatnonzero(hit < 0)
+        if len(odd):
+            hit[odd] = np.minimum(np.searchsorted(self.hashes, hashes[odd]), len(self.hashes) - 1)
+        return hit
 
     def learn(self, words: list[str]) -> None:
         """Add the lattices of new words, all at once: find every piece in them, then sum backwards from the ends."""
         if not words:
             return
-        length = np.array([len(w) for w in words])
+        length = np.fromiter(map(len, words), np.int64, len(words))
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         total, stop = len(code), np.repeat(np.cumsum(length), length)
         left = stop - np.arange(total)  # characters to the word's end
@@ -111,12 +126,14 @@ class Pieces:
         for n in range(1, min(self.longest, int(length.max())) + 1):
             place = place[left[place] >= n]
             now = value[place] + (code[place + n - 1] + np.uint64(1)) * np.uint64(pow(MULTIPLIER, n - 1, 1 << 64))
-            open_ = self.begins[self._slot(now)]
-            place, now = place[open_], now[open_]
+            slot = self._slot(now)
+            open_ = np.flatnonzero(self.begins[slot])
+            place, now, slot = place[open_], now[open_], slot[open_]
             value[place] = now
-            hit = np.minimum(np.searchsorted(self.hashes, now), len(self.hashes) - 1)
-            good = self.hashes[hit] == now
-            found.append((place[good], self.names[hit[good]], self.weights[hit[good]]))
+            hit = self._find(now, slot)
+            good = np.flatnonzero(self.hashes[hit] == now)
+            hit = hit[good]
+            found.append((place[good], self.names[hit], self.weights[hit]))
             if n == 1:
                 single[place[good]] = True
         bare = np.flatnonzero(~single)  # as bytes: -1 - code stands for the character
@@ -177,7 +194,7 @@ class Pieces:
         found = np.fromiter(map(self.start.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(found < 0)
         if len(new):
-            again = [words[i] for i in new.tolist()]
+            again = list(compress(words, (found < 0).tolist()))
             self.learn(list(dict.fromkeys(again)))
             found[new] = np.fromiter(map(self.start.__getitem__, again), np.int64, len(new))
         return np.split(found, np.cumsum([len(ws) for ws in texts])[:-1]) if texts else []
@@ -191,7 +208,7 @@ class Pieces:
         node, entries, edges, n = nodes[entry], [], [], 0
         while len(entry):
             n += 1
-            u, edge = _uniform(keys[entry], n), self.low[node].copy()
+            u, edge = _uniform(keys[entry], n), self.low[node]
             late = np.flatnonzero(u >= self.run[edge])
             while len(late):
                 edge[late] += 1
@@ -244,12 +261,15 @@ class Pieces:
             inside = entries - (np.cumsum(sizes) - sizes)[owner]
             for n, (s, step) in enumerate(steps):
                 part = slice(cuts[n], cuts[n + 1])
-                s.add(step, edges[part], inside[part] + step.word, start[part], float(after[part.stop - 1]) if part.stop > part.start else step.before, limits[part], k)
+                s.add(step, edges[part], inside[part] + step.word, start[part], float(after[part.stop - 1]) if part.stop > part.start else step.before, limits[part], k - turn)
         return [s.result() for s in searches]
 
     def ids_all(self, paths: list[np.ndarray]) -> Iterator[np.ndarray]:
         """The ids of each path of edges."""
         every = self.piece[np.concatenate(paths)] if paths else np.zeros(0, np.int32)
+        bare = np.flatnonzero(every < 0)
+        bare = bare[every[bare] >= -128]
+        every[bare] = self.byte_ids[-1 - every[bare]]
         whole = not len(every) or every.min() >= 0
         last = 0
         for path in paths:
@@ -258,13 +278,9 @@ class Pieces:
 
     def _with_bytes(self, names: np.ndarray) -> np.ndarray:
         bare = np.flatnonzero(names < 0)
-        if len(bare):  # characters without a piece become their bytes
-            code = -1 - names[bare]
-            names[bare[code < 128]] = self.byte_ids[code[code < 128]]
-            data = [self.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))] for c in code[code >= 128]]
-            if data:
-                names = np.concatenate([x for a, b, d in zip(np.append(0, bare[code >= 128] + 1), bare[code >= 128], data) for x in (names[a:b], d)]
-                                       + [names[bare[code >= 128][-1] + 1:]])
+        if len(bare):  # characters without a piece become their bytes; those of one byte have by now
+            data = [self.byte_ids[list(chr(-1 - c).encode("utf-8", "surrogatepass"))] for c in names[bare].tolist()]
+            names = np.concatenate([x for a, b, d in zip(np.append(0, bare + 1), bare, data) for x in (names[a:b], d)] + [names[bare[-1] + 1:]])
         return names.astype("<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -334,15 +350,18 @@ class _Search:
         return _Step(-top, key, path, place, edge, int(words[place]), int(model.end[edge]), float(before[place]) + math.log(model.p[edge]))
 
     def add(self, step: _Step, edges, words, before, total: float, limits, k: int) -> None:
+        """A path, and the subspaces beside it; no more than the k largest of those are looked at from now on."""
         if step.path >= 0:
             old = self.paths[step.path]
             edges = np.concatenate([old[0][:step.place], [step.edge], edges])
-            words = np.concatenate([old[1][:step.place], [step.word], words])
-            before = np.concatenate([old[2][:step.place + 1], before])
+            if k > 1:  # nothing is taken from beside the last path
+                words = np.concatenate([old[1][:step.place], [step.word], words])
+                before = np.concatenate([old[2][:step.place + 1], before])
         skip = len(edges) - len(limits)
         open_ = np.flatnonzero(limits > -np.inf)
-        best = open_[np.argpartition(-limits[open_], k)[:k]] if len(open_) > k else open_
-        for b in best.tolist():
+        if len(open_) > k:
+            open_ = open_[np.argpartition(-limits[open_], k - 1)[:k]] if k > 1 else open_[[limits[open_].argmax()]]
+        for b in open_.tolist():
             heapq.heappush(self.queue, (-float(limits[b]), len(self.paths), skip + b, (int(edges[skip + b]),)))
         self.paths.append((edges, words, before, total, step.top))
 
@@ -355,6 +374,13 @@ def _mixed(keys: np.ndarray, n) -> np.ndarray:
     return mix(keys + mix(np.atleast_1d(n).astype(np.uint64) + np.uint64(MULTIPLIER)))
 
 
+def split(text: str) -> list[str]:
+    """The words of a normalised text, spaces in front; line ends and tabs are words of their own."""
+    if " " in text or SPACE * 2 in text:
+        return _WORD.findall(text)
+    return list(filter(None, text.replace(SPACE, " " + SPACE).replace("\n", " \n ").replace("\t", " \t ").split(" ")))
+
+
 def _mix_one(x: int) -> int:
     """`mix` of one number."""
     x ^= x >> 31
@@ -411,10 +437,9 @@ def sample(docs: DataFrame, k: int = K, path: str | None = None, alpha: float =
         row_keys = _mixed(keys.to_numpy().astype(np.uint64), seed).tolist()
         for at, stop in _slices(texts):
             some = [model.model.normalize(t) if t else "" for t in texts[at:stop]]
-            split = [_WORD.findall(t) for t in some]
             if model.size > MOST_EDGES:
                 model.clear()
-            every = model.sample(model.places(split), row_keys[at:stop], k)
+            every = model.sample(model.places([split(t) for t in some]), row_keys[at:stop], k)
             ids = list(model.ids_all([edges for found in every for edges, *_ in found]))
             back, ids = model.decode_all(ids), iter(ids)
             for text, found in zip(some, every):

@@ -17,11 +17,13 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose result bits depend on all bits."""
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x7FB5D329728EA185)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
+    out = x >> np.uint64(31)
+    out ^= x
+    out *= np.uint64(0x7FB5D329728EA185)
+    out ^= out >> np.uint64(27)
+    out *= np.uint64(0x81DADEF4BC2DD44D)
+    out ^= out >> np.uint64(33)
+    return out
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:

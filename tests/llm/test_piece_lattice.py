@@ -102,3 +102,24 @@ def test_words_are_forgotten_when_there_are_too_many(spark, monkeypatch):
     once = {(r.doc_id, r.sample, r.ids_crc32) for r in piece_lattice.sample(docs).collect()}
     again = {(r.doc_id, r.sample, r.ids_crc32) for r in piece_lattice.sample(docs.repartition(3)).collect()}
     assert once == again
+
+
+@pytest.mark.parametrize("text", ["", "▁a▁b", "ab▁c\nd▁\n▁e", "\n\n▁▁x▁", "▁a\t\t▁b▁▁▁c\n", "▁a b▁c", "x", "▁", "\t▁\t"])
+def test_words_as_the_pattern_has_them(text):
+    assert piece_lattice.split(text) == piece_lattice._WORD.findall(text)
+
+
+def test_every_piece_is_found_by_its_place(model):
+    order = np.arange(len(model.hashes))
+    assert (model._find(model.hashes, model._slot(model.hashes)) == order).all()
+    assert (model.at < 0).any()  # places shared by several pieces were among them
+
+
+def test_last_turn_keeps_one_subspace():
+    search = piece_lattice._Search(np.zeros(1, np.int64), 1)
+    step = piece_lattice._Step(0.0, 1)
+    limits = np.array([-3.0, -np.inf, -1.0, -2.0])
+    search.add(step, np.arange(4), np.zeros(4, int), np.zeros(4), -1.0, limits, 1)
+    assert [-x[0] for x in search.queue] == [-1.0]
+    search.add(step, np.arange(4), np.zeros(4, int), np.zeros(4), -1.0, limits, 2)
+    assert sorted(-x[0] for x in search.queue) == [-2.0, -1.0, -1.0]
