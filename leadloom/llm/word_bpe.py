@@ -34,7 +34,7 @@ def _byte_letters() -> dict[int, str]:
 _letters = _byte_letters()
 
 
-def _packed(ids) -> bytes:
+def _packed(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit numbers."""
     numbers = array("I", ids)
     if sys.byteorder == "big":
@@ -56,26 +56,27 @@ class WordBpe:
         self.parts: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
-        ids = self.parts[part] = _packed(t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_letters)))
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(_letters)  # visible ASCII stands for itself
+        ids = self.parts[part] = _packed([t.id for t in self.model.tokenize(shown)])
         return ids
 
     def _word(self, word: str) -> bytes:
         word, known = word.lower(), self.parts
-        if word.isascii() and word.isalpha():  # one part
-            return known.get(word) or self._part(word)
         return b"".join([known.get(part) or self._part(part) for part in _parts.findall(word)])
 
     def _find(self, words: set[str]) -> dict[str, bytes]:
         """The ids of words that the younger generation lacks."""
-        old = self.old
-        found = {w: old[w] for w in words if w in old}
-        rest = []
+        old, known, found, rest = self.old, self.parts, {}, []
         for word in words:
-            if word not in found:
-                if _plain.fullmatch(word):
-                    found[word] = self._word(word)
-                else:
-                    rest.append(word)
+            if ids := old.get(word):
+                found[word] = ids
+            elif word.isascii() and word.isalpha():  # one part
+                part = word.lower()
+                found[word] = known.get(part) or self._part(part)
+            elif _plain.fullmatch(word):
+                found[word] = self._word(word)
+            else:
+                rest.append(word)
         for word, coded in zip(rest, self.whole.encode_batch(rest, add_special_tokens=False) if rest else ()):
             found[word] = _packed(coded.ids)
         return found
@@ -90,10 +91,8 @@ class WordBpe:
             words = [w for w in re.sub(r"[\n\t\r]", " ", text).split(" ") if w]
         else:
             words = text.split()
-        try:
-            return b"".join(map(self.young.__getitem__, words))
-        except KeyError:
-            self.young.update(self._find({w for w in words if w not in self.young}))
+        if new := set(words).difference(self.young):
+            self.young.update(self._find(new))
         out = b"".join(map(self.young.__getitem__, words))
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}

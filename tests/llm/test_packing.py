@@ -115,3 +115,20 @@ def test_buckets_share_one_length(spark, monkeypatch):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_words_are_looked_up_once():
+    class Counted(dict):
+        seen = 0
+
+        def __getitem__(self, key):
+            Counted.seen += 1
+            return super().__getitem__(key)
+
+    coder = WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    plain = WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    coder.young = Counted()
+    for text in ("one two three two", "one two three novelword", "One, two3 Étude über-fünf 東京 don't \x1c x"):
+        Counted.seen = 0
+        assert coder.encode(text) == np.array(plain.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert Counted.seen == len(text.split(" "))
