@@ -216,7 +216,7 @@ class Pieces:
             entries.append(entry)
             edges.append(edge)
             node = self.end[edge].astype(np.int64)
-            more = node >= 0
+            more = np.flatnonzero(node >= 0)
             entry, node = entry[more], node[more]
         many = np.zeros(len(nodes), np.int64)
         for one in entries:
