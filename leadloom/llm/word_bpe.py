@@ -19,7 +19,6 @@ from tokenizers import Tokenizer
 #: About 250 bytes each, in each generation and of parts; one may pass it by the words of one text.
 CACHE_WORDS = 250_000
 # Letters that have one lower-case form, one composed form and no neighbours that change them; the apostrophe is left out, as it starts contractions.
-_plain = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+|[0-9]|[!-&(-/:-@\[-`{-~]+)+")
 _parts = re.compile(r"[A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 _odd_space = re.compile(r"[\x1c-\x1f]")
 
@@ -60,10 +59,6 @@ class WordBpe:
         ids = self.parts[part] = _packed([t.id for t in self.model.tokenize(shown)])
         return ids
 
-    def _word(self, word: str) -> bytes:
-        word, known = word.lower(), self.parts
-        return b"".join([known.get(part) or self._part(part) for part in _parts.findall(word)])
-
     def _find(self, words: set[str]) -> dict[str, bytes]:
         """The ids of words that the younger generation lacks."""
         old, known, found, rest = self.old, self.parts, {}, []
@@ -73,8 +68,8 @@ class WordBpe:
             elif word.isascii() and word.isalpha():  # one part
                 part = word.lower()
                 found[word] = known.get(part) or self._part(part)
-            elif _plain.fullmatch(word):
-                found[word] = self._word(word)
+            elif len("".join(parts := _parts.findall(word))) == len(word):
+                found[word] = b"".join([known.get(part) or self._part(part) for part in map(str.lower, parts)])
             else:
                 rest.append(word)
         for word, coded in zip(rest, self.whole.encode_batch(rest, add_special_tokens=False) if rest else ()):
