@@ -125,3 +125,53 @@ def test_sketches_find_terms_once(spark, monkeypatch):
     terms = imatch.unlike(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     terms.collect()
     assert "ReusedExchange" in terms._jdf.queryExecution().executedPlan().toString()
+
+
+def _counted(texts):
+    """Document frequencies and number of texts, (near) copies together, by plain loops."""
+    terms = lambda t: {h(w.encode()) for w in re.split(r"[^\w]+|_", t.lower()) if w}
+    rows = {h(t.encode()): terms(t) for t in texts}
+    sketches = (lambda t: chain(sorted(t)[:imatch.SKETCH]), lambda t: chain(sorted(h(struct.pack("<q", x)) for x in t)[:imatch.SKETCH]))
+    df, first = {}, {}
+    for turn, sketch in enumerate(sketches):
+        added, rest = set(), {}
+        for key, t in sorted(rows.items()):
+            head = first.setdefault((turn, sketch(t)), t)
+            if t is not head and 2 * len(t & head) >= len(t | head):
+                added |= {(sketch(t), x) for x in t - head}
+            else:
+                rest[key] = t
+        rows = rest
+        for _, x in added:
+            df[x] = df.get(x, 0) + 1
+    for t in rows.values():
+        for x in t:
+            df[x] = df.get(x, 0) + 1
+    return df, len(rows)
+
+
+@pytest.mark.parametrize("hot", [256, 0])
+def test_unlike_texts_of_one_sketch_all_count(spark, monkeypatch, hot):
+    monkeypatch.setattr(imatch, "HOT_SHARE", hot)
+    r, pool = random.Random(7), [f"w{i}" for i in range(600)]
+    low = [sorted(pool, key=key)[:imatch.SKETCH] for key in (lambda w: h(w.encode()), lambda w: h(struct.pack("<q", h(w.encode()))))]
+    texts = ["", "!", None]
+    for i in range(60):
+        words = r.sample(pool, r.randrange(5, 40)) + (low[0] if i % 3 else []) + (low[1] if i % 2 else [])
+        texts += [" ".join(words)] * (1 + i % 2) + [" ".join(words[1:] + [f"new{i}"])] * (i % 4)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counted = imatch.unlike(docs).collect()
+    df = {}
+    for row in counted:
+        for x in row.terms:
+            df[x] = df.get(x, 0) + 1
+    expected, many = _counted([t or "" for t in texts])
+    assert many > 40 and (df, sum(row.texts for row in counted)) == (expected, many)
+
+
+def test_thin_texts_go_through_a_lexicon(spark):
+    common = [f"common{k}" for k in range(12)]
+    rows = [(i, " ".join(common + [f"own{i}", f"own{i}a", f"own{i}b"])) for i in range(30)]
+    rows[10], rows[11] = (10, " ".join(common[3:] + ["own11", "own11a", "own11b"])), (11, " ".join(common + ["own11", "own11a", "own11b"]))
+    got = {r.doc_id: r.near_next for r in imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), thin=imatch.THIN).collect()}
+    assert got.pop(11) == 1.0 and set(got.values()) == {0.0}
